@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from ledgerlens.plans.registry import stored
+
 # Statement log: one SQL text per event.
 STATEMENTS_SQL = """
   SELECT event_id, user_id, ts, value,
@@ -71,3 +73,122 @@ def audit(t):
         .otherwise("succeeded")
         .alias("status"),
     )
+
+
+# Graph of the star schema: places, segments, brands, customers, suppliers and parts.
+NODES_SQL = """
+  SELECT 'region:' || r_regionkey AS id, 'entity' AS type, r_name AS name, 'region' AS table_name, 'place' AS semantic_type, 'part of the world' AS comment FROM region
+  UNION ALL SELECT 'nation:' || n_nationkey, 'concept', n_name, 'nation', 'place', 'country of a region' FROM nation
+  UNION ALL SELECT DISTINCT 'segment:' || c_mktsegment, 'entity', c_mktsegment, 'segment', 'group', 'market segment' FROM customer
+  UNION ALL SELECT DISTINCT 'brand:' || p_brand, 'table', p_brand, 'brand', '', 'brand of parts' FROM part
+  UNION ALL SELECT 'customer:' || c_custkey, 'column', c_name, 'customer', 'buyer', 'buys in ' || lower(c_mktsegment) FROM customer
+  UNION ALL SELECT 'supplier:' || s_suppkey, 'column', s_name, 'supplier', 'seller', '' FROM supplier
+  UNION ALL SELECT 'part:' || p_partkey, 'column', p_name, 'part', lower(p_type), 'sold as ' || p_brand FROM part"""
+
+EDGES_SQL = """
+  SELECT 'e1:' || c_custkey AS id, 'customer:' || c_custkey AS source_id, 'nation:' || c_nationkey AS target_id, 'represents' AS type,
+         0.5 + (c_custkey % 50) / 100.0::DOUBLE AS confidence FROM customer
+  UNION ALL SELECT 'e2:' || s_suppkey, 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'represents', 0.9 FROM supplier
+  UNION ALL SELECT 'e3:' || n_nationkey, 'region:' || n_regionkey, 'nation:' || n_nationkey, 'has_concept', 0.8 FROM nation
+  UNION ALL SELECT 'e4:' || c_custkey, 'customer:' || c_custkey, 'segment:' || c_mktsegment, 'foreign_key', 0.7 FROM customer
+  UNION ALL SELECT 'e5:' || c_mktsegment || ':' || n_regionkey, 'segment:' || c_mktsegment, 'region:' || n_regionkey, 'joinable', round(count(*) / any_value(total), 4)
+    FROM (SELECT *, count(*) OVER (PARTITION BY c_mktsegment) AS total FROM customer) JOIN nation ON n_nationkey = c_nationkey GROUP BY c_mktsegment, n_regionkey
+  UNION ALL SELECT 'e6:' || c_mktsegment || ':' || c_nationkey, 'segment:' || c_mktsegment, 'nation:' || c_nationkey, 'joinable', round(count(*) / any_value(total) * 10, 4)
+    FROM (SELECT *, count(*) OVER (PARTITION BY c_mktsegment) AS total FROM customer) GROUP BY c_mktsegment, c_nationkey
+  UNION ALL SELECT 'e7:' || p_partkey, 'brand:' || p_brand, 'part:' || p_partkey, 'contains', 1.0 FROM part
+  UNION ALL SELECT 'e8:' || l_partkey || ':' || l_suppkey, 'part:' || l_partkey, 'supplier:' || l_suppkey, 'joinable', round(avg(l_discount) * 10, 4)
+    FROM lineitem GROUP BY l_partkey, l_suppkey"""
+
+
+def nodes(t):
+    """Graph nodes of the star schema, as a stored table."""
+    return stored(t, "nodes", _nodes)
+
+
+def edges(t):
+    """Graph edges of the star schema, as a stored table."""
+    return stored(t, "edges", _edges)
+
+
+def _nodes(t):
+    key = lambda prefix, c: F.concat(F.lit(f"{prefix}:"), F.col(c).cast("string"))
+
+    def row(df, node_id, kind, name, table, meaning, comment):
+        lit = lambda x: F.lit(x) if isinstance(x, str) else x
+        return df.select(
+            node_id.alias("id"),
+            F.lit(kind).alias("type"),
+            F.col(name).alias("name"),
+            F.lit(table).alias("table_name"),
+            lit(meaning).alias("semantic_type"),
+            lit(comment).alias("comment"),
+        )
+
+    parts = [
+        row(t.region, key("region", "r_regionkey"), "entity", "r_name", "region", "place", "part of the world"),
+        row(t.nation, key("nation", "n_nationkey"), "concept", "n_name", "nation", "place", "country of a region"),
+        row(t.customer, key("segment", "c_mktsegment"), "entity", "c_mktsegment", "segment", "group", "market segment").distinct(),
+        row(t.part, key("brand", "p_brand"), "table", "p_brand", "brand", "", "brand of parts").distinct(),
+        row(t.customer, key("customer", "c_custkey"), "column", "c_name", "customer", "buyer", F.concat(F.lit("buys in "), F.lower("c_mktsegment"))),
+        row(t.supplier, key("supplier", "s_suppkey"), "column", "s_name", "supplier", "seller", ""),
+        row(t.part, key("part", "p_partkey"), "column", "p_name", "part", F.lower("p_type"), F.concat(F.lit("sold as "), "p_brand")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _edges(t):
+    key = lambda prefix, c: F.concat(F.lit(f"{prefix}:"), F.col(c).cast("string"))
+
+    def row(df, edge_id, source, target, kind, confidence):
+        c = F.lit(confidence) if isinstance(confidence, float) else confidence
+        return df.select(
+            edge_id.alias("id"), source.alias("source_id"), target.alias("target_id"), F.lit(kind).alias("type"), c.cast("double").alias("confidence")
+        )
+
+    total = t.customer.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("total"))
+    by_nation = t.customer.groupBy("c_mktsegment", "c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    by_region = (
+        by_nation.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("c_mktsegment", "n_regionkey").agg(F.sum("n").alias("n"))
+    )
+    pairs = t.lineitem.groupBy("l_partkey", "l_suppkey").agg(F.avg("l_discount").alias("d"))
+    two = lambda p, a, b: F.concat(F.lit(p + ":"), F.col(a).cast("string"), F.lit(":"), F.col(b).cast("string"))
+    parts = [
+        row(t.customer, key("e1", "c_custkey"), key("customer", "c_custkey"), key("nation", "c_nationkey"), "represents", 0.5 + (F.col("c_custkey") % 50) / 100.0),
+        row(t.supplier, key("e2", "s_suppkey"), key("supplier", "s_suppkey"), key("nation", "s_nationkey"), "represents", 0.9),
+        row(t.nation, key("e3", "n_nationkey"), key("region", "n_regionkey"), key("nation", "n_nationkey"), "has_concept", 0.8),
+        row(t.customer, key("e4", "c_custkey"), key("customer", "c_custkey"), key("segment", "c_mktsegment"), "foreign_key", 0.7),
+        row(
+            by_region.join(total, "c_mktsegment"), two("e5", "c_mktsegment", "n_regionkey"), key("segment", "c_mktsegment"), key("region", "n_regionkey"),
+            "joinable", F.round(F.col("n") / F.col("total"), 4),
+        ),
+        row(
+            by_nation.join(total, "c_mktsegment"), two("e6", "c_mktsegment", "c_nationkey"), key("segment", "c_mktsegment"), key("nation", "c_nationkey"),
+            "joinable", F.round(F.col("n") / F.col("total") * 10, 4),
+        ),
+        row(t.part, key("e7", "p_partkey"), key("brand", "p_brand"), key("part", "p_partkey"), "contains", 1.0),
+        row(pairs, two("e8", "l_partkey", "l_suppkey"), key("part", "l_partkey"), key("supplier", "l_suppkey"), "joinable", F.round(F.col("d") * 10, 4)),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+# Edges from orders that no node exists for yet.
+ORDER_EDGES_SQL = """
+  SELECT 'o:' || o_orderkey AS id, 'order:' || o_orderkey AS source_id, 'customer:' || o_custkey AS target_id, 'foreign_key' AS type,
+         (o_orderkey % 10) / 10.0::DOUBLE AS confidence FROM orders"""
+
+
+def order_edges(t):
+    """Edges from orders that no node exists for yet."""
+    return t.orders.select(
+        F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("id"),
+        F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("source_id"),
+        F.concat(F.lit("customer:"), F.col("o_custkey").cast("string")).alias("target_id"),
+        F.lit("foreign_key").alias("type"),
+        ((F.col("o_orderkey") % 10) / 10.0).alias("confidence"),
+    )

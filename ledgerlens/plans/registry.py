@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.session import configure
+from ledgerlens.session import configure, scratch_path
 
 
 class Tables:
@@ -21,6 +21,19 @@ class Tables:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
 
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def stored(t: Tables, label: str, build: Callable[[Tables], DataFrame]) -> DataFrame:
+    """A step table several queries read: written once per application and directory to the shared folder."""
+    key = (t.spark.sparkContext.applicationId, t.dir, label)
+    if key not in _WRITTEN:
+        path = scratch_path(t.spark, label)
+        build(t).write.parquet(path)
+        _WRITTEN[key] = path
+    return t.spark.read.parquet(_WRITTEN[key])
+
+
 @dataclass(frozen=True)
 class Query:
     name: str

@@ -6,9 +6,9 @@ from ledgerlens.functions import names
 from ledgerlens.operators import profile as p
 from ledgerlens.operators import relate as r
 from ledgerlens.plans.profile_plans import values_sql
-from ledgerlens.plans.registry import query
+from ledgerlens.plans.registry import query, stored
 from ledgerlens.plans.sources_plans import KEYS
-from ledgerlens.session import cut_lineage, scratch_path
+from ledgerlens.session import scratch_path
 from ledgerlens.sources.schema import check_foreign_keys
 
 COLUMNS = {
@@ -37,7 +37,7 @@ DECLARED = [("region", "r_regionkey"), ("nation", "n_nationkey")]
 
 def values(t):
     # read by several branches of each plan, so it is written once
-    return cut_lineage(p.long_values({n: getattr(t, n) for n in COLUMNS}, COLUMNS))
+    return stored(t, "values", lambda t: p.long_values({n: getattr(t, n) for n in COLUMNS}, COLUMNS))
 
 
 def keys(t, v):

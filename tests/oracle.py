@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 import os
 import sys
+import threading
 import time
 import traceback
 
@@ -15,6 +16,7 @@ import duckdb
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+LIMIT = 75.0
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
@@ -89,6 +91,8 @@ def main():
         if prefixes and not name.startswith(prefixes):
             continue
         start = time.time()
+        watch = threading.Timer(LIMIT, lambda n=name: (print(f"HUNG {n}", flush=True), os._exit(9)))
+        watch.start()
         try:
             df = run(spark, sf_dir)
             if name in sqls:
@@ -104,6 +108,7 @@ def main():
             ok, message = False, f"{type(error).__name__}: {str(error)[:900]}"
             if os.environ.get("TRACE"):
                 traceback.print_exc()
+        watch.cancel()
         if not ok:
             failed.append(name)
         print(f"{'ok  ' if ok else 'FAIL'} {name:42s} {time.time() - start:6.2f}s {message}", flush=True)
