@@ -192,3 +192,77 @@ def order_edges(t):
         F.lit("foreign_key").alias("type"),
         ((F.col("o_orderkey") % 10) / 10.0).alias("confidence"),
     )
+
+
+# Order features with a label: an order is positive when two or more of its lines were returned.
+FEATURES_SQL = """
+  SELECT o_orderkey AS user_id, coalesce(l.returned >= 2, false)::INTEGER AS label, o_totalprice AS f_price, o_orderpriority AS f_priority, o_orderstatus AS f_status,
+         c_mktsegment AS f_segment, c_nationkey AS f_nation, c_acctbal AS f_balance, l.lines AS f_lines, l.qty AS f_qty, round(l.disc, 8) AS f_discount, 1 AS f_const,
+         CASE WHEN o_totalprice > 300000 THEN o_totalprice END AS f_sparse, o_orderdate, l.shipped
+  FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN (
+    SELECT l_orderkey, count(*) AS lines, sum(l_quantity) AS qty, avg(l_discount) AS disc, count(*) FILTER (WHERE l_returnflag = 'R') AS returned, max(l_shipdate) AS shipped
+    FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey"""
+SPLIT_SQL = f"""SELECT *, CASE WHEN rn <= floor(n * 0.8) THEN 'train' ELSE 'valid' END AS split FROM (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(user_id::VARCHAR), user_id) AS rn, count(*) OVER (PARTITION BY label) AS n FROM ({FEATURES_SQL}))"""
+NUMERIC = ["f_price", "f_nation", "f_balance", "f_lines", "f_qty", "f_discount", "f_const", "f_sparse"]
+TEXT = ["f_priority", "f_status", "f_segment"]
+
+
+def features(t):
+    """Order features with a label, as a stored table."""
+    return stored(t, "features", _features)
+
+
+def _features(t):
+    from ledgerlens.operators.cohort import stratified_split
+
+    lines = t.lineitem.groupBy("l_orderkey").agg(
+        F.count(F.lit(1)).alias("f_lines"),
+        F.sum("l_quantity").alias("f_qty"),
+        F.round(F.avg("l_discount"), 8).alias("f_discount"),
+        F.count_if(F.col("l_returnflag") == "R").alias("returned"),
+        F.max("l_shipdate").alias("shipped"),
+    )
+    j = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey")).join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    wide = j.select(
+        F.col("o_orderkey").alias("user_id"),
+        F.coalesce(F.col("returned") >= 2, F.lit(False)).cast("int").alias("label"),
+        F.col("o_totalprice").alias("f_price"),
+        F.col("o_orderpriority").alias("f_priority"),
+        F.col("o_orderstatus").alias("f_status"),
+        F.col("c_mktsegment").alias("f_segment"),
+        F.col("c_nationkey").alias("f_nation"),
+        F.col("c_acctbal").alias("f_balance"),
+        "f_lines",
+        "f_qty",
+        "f_discount",
+        F.lit(1).alias("f_const"),
+        F.when(F.col("o_totalprice") > 300000, F.col("o_totalprice")).alias("f_sparse"),
+        "o_orderdate",
+        "shipped",
+    )
+    split = stratified_split(wide.select("user_id", "label"), "user_id", "label").select("user_id", "split")
+    return wide.join(split, "user_id")
+
+
+# Three scores per order: a smooth one, a tree-like one and a sum of points.
+SCORES_SQL = f"""SELECT user_id, label,
+    round(1 / (1 + exp(-(0.4 * coalesce(f_lines, 0) - 2.5 + coalesce(f_qty, 0) / 200.0))), 6) AS teacher_score,
+    CASE WHEN f_lines IS NULL THEN 0.05 WHEN f_lines <= 3 THEN 0.1 WHEN f_lines <= 5 THEN CASE WHEN f_qty <= 120 THEN 0.4 ELSE 0.45 END ELSE 0.8 END::DOUBLE AS tree_score,
+    round(coalesce(f_lines, 0) * 1.5 + CASE f_status WHEN 'F' THEN 0.5 WHEN 'O' THEN -0.5 ELSE 0 END + CASE WHEN f_discount > 0.05 THEN 0.25 ELSE 0 END, 2)::DOUBLE AS card_score
+  FROM ({FEATURES_SQL})"""
+
+
+def scores(t):
+    """Three scores per order: a smooth one, a tree-like one and a sum of points."""
+    lines, qty = F.coalesce(F.col("f_lines"), F.lit(0)), F.coalesce(F.col("f_qty"), F.lit(0.0))
+    teacher = F.round(1 / (1 + F.exp(-(0.4 * lines - 2.5 + qty / 200.0))), 6)
+    tree = (
+        F.when(F.col("f_lines").isNull(), 0.05)
+        .when(F.col("f_lines") <= 3, 0.1)
+        .when(F.col("f_lines") <= 5, F.when(F.col("f_qty") <= 120, 0.4).otherwise(0.45))
+        .otherwise(0.8)
+    )
+    points = F.when(F.col("f_status") == "F", 0.5).when(F.col("f_status") == "O", -0.5).otherwise(0.0)
+    card = F.round(lines * 1.5 + points + F.when(F.col("f_discount") > 0.05, 0.25).otherwise(0.0), 2)
+    return features(t).select("user_id", "label", teacher.alias("teacher_score"), tree.alias("tree_score"), card.alias("card_score"))
