@@ -287,7 +287,10 @@ POISSON_ONE = [math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) f
 
 def _poisson(*parts: Column) -> Column:
     u = F.pmod(F.xxhash64(*parts), F.lit(1 << 52)) / float(1 << 52)
-    return F.aggregate(F.array(*[(u >= p).cast("int") for p in POISSON_ONE]), F.lit(0), lambda a, b: a + b)
+    count = F.when(u < POISSON_ONE[0], 0)
+    for k, p in enumerate(POISSON_ONE[1:], 1):
+        count = count.when(u < p, k)
+    return count.otherwise(len(POISSON_ONE))
 
 
 def bootstrap_difference(

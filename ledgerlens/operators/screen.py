@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.ordering import exact_quantiles
+from ledgerlens.session import cut_lineage
 
 CATEGORY_LIMIT = 100
 BINS = 10
@@ -15,17 +16,21 @@ MISSING_MAX, IV_MIN, PSI_MAX = 0.5, 0.02, 0.2
 
 
 def feature_cells(df: DataFrame, features: list[str], label: str, split: str | None = None) -> DataFrame:
-    """Counts per (feature, value): n, pos, neg, and with ``split`` also n_train and n_valid. Null is a value of its own."""
+    """Counts per (feature, value): n, pos, neg. Null is a value of its own.
+
+    With ``split`` those three count the train rows, beside n_train, n_valid and n_all.
+    """
     base = [F.col(label).alias("_y")] + ([F.col(split).alias("_s")] if split else [])
     ids = ["_y"] + (["_s"] if split else [])
     long = df.select(*base, *[F.col(f).cast("string").alias(f) for f in features]).unpivot(ids, features, "feature", "value")
+    counted = F.col("_s") == "train" if split else F.lit(True)
     aggs = [
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("_y") == 1).alias("pos"),
-        F.count_if(F.col("_y") == 0).alias("neg"),
+        F.count_if(counted).alias("n"),
+        F.count_if(counted & (F.col("_y") == 1)).alias("pos"),
+        F.count_if(counted & (F.col("_y") == 0)).alias("neg"),
     ]
     if split:
-        aggs += [F.count_if(F.col("_s") == "train").alias("n_train"), F.count_if(F.col("_s") == "valid").alias("n_valid")]
+        aggs += [F.count_if(counted).alias("n_train"), F.count_if(F.col("_s") == "valid").alias("n_valid"), F.count(F.lit(1)).alias("n_all")]
     return long.groupBy("feature", "value").agg(*aggs)
 
 
@@ -61,9 +66,12 @@ def group_statistics(cells: DataFrame, total_pos: Column, total_neg: Column) ->
 
 def categorical_screening(df: DataFrame, features: list[str], label: str, limit: int = CATEGORY_LIMIT) -> DataFrame:
     """Group statistics per value of every feature with at most ``limit`` values; missing values are one row."""
-    cells = feature_cells(df, features, label)
+    return _categorical(feature_cells(df, features, label), *class_totals(df, label), limit)
+
+
+def _categorical(cells: DataFrame, total_pos: Column, total_neg: Column, limit: int) -> DataFrame:
     narrow = feature_facts(cells).where(F.col("n_unique") <= limit).select("feature")
-    stats = group_statistics(cells.join(narrow, "feature", "left_semi"), *class_totals(df, label))
+    stats = group_statistics(cells.join(narrow, "feature", "left_semi"), total_pos, total_neg)
     return stats.withColumn("value", F.coalesce("value", F.lit("NULL")))
 
 
@@ -95,12 +103,15 @@ def binned_cells(cells: DataFrame, edges: DataFrame, sums: list[str]) -> DataFra
 
 def numeric_screening(df: DataFrame, features: list[str], label: str, bins: int = BINS, limit: int = CATEGORY_LIMIT) -> DataFrame:
     """Group statistics per quantile bin of every numeric feature with more than ``limit`` values."""
-    cells = feature_cells(df, features, label)
+    return _numeric(feature_cells(df, features, label), *class_totals(df, label), bins, limit)
+
+
+def _numeric(cells: DataFrame, total_pos: Column, total_neg: Column, bins: int, limit: int) -> DataFrame:
     wide = feature_facts(cells).where(F.col("n_unique") > limit).select("feature")
     kept = cells.join(wide, "feature", "left_semi")
     binned = binned_cells(kept, quantile_edges(kept, bins), ["n", "pos", "neg"])
     named = binned.withColumn("value", F.concat(F.lit("bin_"), F.col("bin").cast("string")))
-    return group_statistics(named, *class_totals(df, label))
+    return group_statistics(named, total_pos, total_neg)
 
 
 def information_value(stats: DataFrame) -> DataFrame:
@@ -110,10 +121,14 @@ def information_value(stats: DataFrame) -> DataFrame:
 
 def population_stability(df: DataFrame, numeric: list[str], text: list[str], label: str, split: str, bins: int = BINS) -> DataFrame:
     """PSI between train and validation: shared quantile bins for numbers, values for text (null above 100 values)."""
-    cells = feature_cells(df, numeric + text, label, split).where("value is not null")
+    return _stability(feature_cells(df, numeric + text, label, split), numeric, text, bins)
+
+
+def _stability(all_cells: DataFrame, numeric: list[str], text: list[str], bins: int) -> DataFrame:
+    cells = all_cells.where("value is not null")
     numbers = cells.where(F.col("feature").isin(*numeric)) if numeric else cells.limit(0)
     words = cells.where(F.col("feature").isin(*text)) if text else cells.limit(0)
-    binned = binned_cells(numbers, quantile_edges(numbers, bins), ["n_train", "n_valid"])
+    binned = binned_cells(numbers, quantile_edges(numbers, bins, "n_all"), ["n_train", "n_valid"])
     groups = binned.select("feature", F.col("bin").cast("string").alias("value"), "n_train", "n_valid").unionByName(
         words.select("feature", "value", "n_train", "n_valid")
     )
@@ -146,14 +161,20 @@ def recommend(facts: DataFrame) -> DataFrame:
 
 
 def screening_report(df: DataFrame, numeric: list[str], text: list[str], label: str, split: str) -> DataFrame:
-    """Facts, information value, stability and advice per feature; statistics come from the train rows."""
-    train = df.where(F.col(split) == "train")
-    features = numeric + text
-    facts = feature_facts(feature_cells(train, features, label))
+    """Facts, information value, stability and advice per feature; statistics come from the train rows.
+
+    The rows are read once: all of it derives from one written table of counts per value.
+    """
+    cells = cut_lineage(feature_cells(df, numeric + text, label, split))
+    train = cells.where("n > 0")
+    total_pos, total_neg = class_totals(df.where(F.col(split) == "train"), label)
+    facts = feature_facts(train)
     iv = information_value(
-        categorical_screening(train, features, label).unionByName(numeric_screening(train, numeric, label))
+        _categorical(train, total_pos, total_neg, CATEGORY_LIMIT).unionByName(
+            _numeric(train.where(F.col("feature").isin(*numeric)), total_pos, total_neg, BINS, CATEGORY_LIMIT)
+        )
     )
-    psi = population_stability(df, numeric, text, label, split)
+    psi = _stability(cells, numeric, text, BINS)
     return recommend(facts.join(iv, "feature", "left").join(psi, "feature", "left"))
 
 
