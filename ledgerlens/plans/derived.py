@@ -266,3 +266,82 @@ def scores(t):
     points = F.when(F.col("f_status") == "F", 0.5).when(F.col("f_status") == "O", -0.5).otherwise(0.0)
     card = F.round(lines * 1.5 + points + F.when(F.col("f_discount") > 0.05, 0.25).otherwise(0.0), 2)
     return features(t).select("user_id", "label", teacher.alias("teacher_score"), tree.alias("tree_score"), card.alias("card_score"))
+
+
+# Run log: one event per row of ``events``; times in microseconds.
+RUNLOG_SQL = """
+  SELECT event_id, user_id AS run_id, user_id // 10 AS session_id, CASE event_type WHEN 'signup' THEN 'model' WHEN 'error' THEN 'model' WHEN 'purchase' THEN 'hook' ELSE 'tool' END AS kind,
+    CASE WHEN event_type IN ('signup', 'error') THEN 'm' || (k % 3) WHEN event_type = 'purchase' THEN CASE WHEN k < 50 THEN 'pruner' ELSE 'saver' END ELSE 't' || (k % 5) END AS name,
+    us AS start_us, CASE WHEN value < 0.2 THEN NULL WHEN value < 0.3 THEN us - 1000000 ELSE us + CAST(round(value * 600) AS BIGINT) * 1000000 END AS end_us,
+    round(value * 600) * 1000 AS elapsed_ms, event_type <> 'error' AND NOT (event_type = 'click' AND k < 5) AS success,
+    CASE WHEN k < 3 THEN 0 ELSE k * 37 END AS input_tokens, CASE WHEN k < 3 THEN 0 ELSE CAST(floor(value) AS BIGINT) END AS output_tokens,
+    CASE WHEN k < 3 THEN 0 ELSE k * 37 + CAST(floor(value) AS BIGINT) + CASE WHEN value < 5 THEN 1 ELSE 0 END END AS total_tokens,
+    CASE WHEN value >= 2 THEN round(100 / value, 4) END AS tokens_per_sec, k % 4 AS tool_calls, CASE WHEN k % 40 = 7 THEN 1 ELSE 0 END AS invalid_tool_calls,
+    'c' || (k % 4) AS caller, CASE WHEN k % 2 = 0 THEN 'stream' ELSE 'batch' END AS call_mode, 'perf-' || user_id || '.jsonl' AS file, props AS output
+  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, epoch_us(ts) AS us FROM events)"""
+
+
+def runlog(t):
+    """Run log: one event per row of ``events``; times in microseconds."""
+    from ledgerlens.operators.sequences import micros
+
+    k = F.col("k")
+    e = t.events.select("*", F.get_json_object("props", "$.k").cast("bigint").alias("k"), micros(F.col("ts")).alias("us"))
+    model = F.col("event_type").isin("signup", "error")
+    whole = F.round(F.col("value") * 600).cast("bigint")
+    used = lambda c: F.when(k < 3, F.lit(0)).otherwise(c)
+    out_tokens = F.floor("value").cast("bigint")
+    return e.select(
+        "event_id",
+        F.col("user_id").alias("run_id"),
+        F.expr("user_id div 10").alias("session_id"),
+        F.when(model, "model").when(F.col("event_type") == "purchase", "hook").otherwise("tool").alias("kind"),
+        F.when(model, F.concat(F.lit("m"), (k % 3).cast("string")))
+        .when(F.col("event_type") == "purchase", F.when(k < 50, "pruner").otherwise("saver"))
+        .otherwise(F.concat(F.lit("t"), (k % 5).cast("string")))
+        .alias("name"),
+        F.col("us").alias("start_us"),
+        F.when(F.col("value") < 0.2, F.lit(None)).when(F.col("value") < 0.3, F.col("us") - 1000000).otherwise(F.col("us") + whole * 1000000).alias("end_us"),
+        (F.round(F.col("value") * 600) * 1000).alias("elapsed_ms"),
+        ((F.col("event_type") != "error") & ~((F.col("event_type") == "click") & (k < 5))).alias("success"),
+        used(k * 37).alias("input_tokens"),
+        used(out_tokens).alias("output_tokens"),
+        used(k * 37 + out_tokens + F.when(F.col("value") < 5, 1).otherwise(0)).alias("total_tokens"),
+        F.when(F.col("value") >= 2, F.round(100 / F.col("value"), 4)).alias("tokens_per_sec"),
+        (k % 4).alias("tool_calls"),
+        F.when(k % 40 == 7, 1).otherwise(0).alias("invalid_tool_calls"),
+        F.concat(F.lit("c"), (k % 4).cast("string")).alias("caller"),
+        F.when(k % 2 == 0, "stream").otherwise("batch").alias("call_mode"),
+        F.concat(F.lit("perf-"), F.col("user_id").cast("string"), F.lit(".jsonl")).alias("file"),
+        F.col("props").alias("output"),
+    )
+
+
+# Evaluation rows: two modes over the labelled documents.
+EVAL_SQL = """
+  SELECT d.doc_id AS question_id, d.source AS db_id, m.mode, CASE WHEN n_chars < 500 THEN 'simple' WHEN n_chars < 3000 THEN 'moderate' ELSE 'challenging' END AS difficulty,
+    CASE WHEN n_chars < 60 THEN NULL WHEN m.mode = 'with' THEN quality = 1 ELSE quality = 1 AND n_chars % 3 > 0 END AS correct,
+    n_chars % 11 + CASE m.mode WHEN 'with' THEN 2 ELSE 5 END AS tool_calls, n_chars * CASE m.mode WHEN 'with' THEN 3 ELSE 4 END AS tokens, n_chars * 7 AS duration_ms,
+    CASE WHEN n_chars % 5 = 0 THEN '' ELSE 'SELECT ' || n_chars END AS predicted_sql, CASE WHEN toxic = 1 THEN 'timeout' END AS error, n_chars % 17 = 0 AS deferred
+  FROM documents d JOIN labels l USING (doc_id), (VALUES ('with'), ('without')) m(mode)"""
+
+
+def evaluation(t):
+    """Evaluation rows: two modes over the labelled documents."""
+    n = F.col("n_chars")
+    j = t.documents.join(t.labels, "doc_id").withColumn("mode", F.explode(F.array(F.lit("with"), F.lit("without"))))
+    with_mode = F.col("mode") == "with"
+    good = F.col("quality") == 1
+    return j.select(
+        F.col("doc_id").alias("question_id"),
+        F.col("source").alias("db_id"),
+        "mode",
+        F.when(n < 500, "simple").when(n < 3000, "moderate").otherwise("challenging").alias("difficulty"),
+        F.when(n < 60, F.lit(None)).when(with_mode, good).otherwise(good & (n % 3 > 0)).alias("correct"),
+        (n % 11 + F.when(with_mode, 2).otherwise(5)).alias("tool_calls"),
+        (n * F.when(with_mode, 3).otherwise(4)).alias("tokens"),
+        (n * 7).alias("duration_ms"),
+        F.when(n % 5 == 0, "").otherwise(F.concat(F.lit("SELECT "), n.cast("string"))).alias("predicted_sql"),
+        F.when(F.col("toxic") == 1, "timeout").alias("error"),
+        (n % 17 == 0).alias("deferred"),
+    )
