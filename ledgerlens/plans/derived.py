@@ -345,3 +345,40 @@ def evaluation(t):
         F.when(F.col("toxic") == 1, "timeout").alias("error"),
         (n % 17 == 0).alias("deferred"),
     )
+
+
+# Sales: one row per order line with revenue and cost parts.
+SALES_SQL = """
+  SELECT l_orderkey, l_linenumber, l_partkey, c_mktsegment AS segment, p_type AS product, n_regionkey AS region, o_orderstatus AS status, o_orderpriority AS channel, o_orderdate,
+    l_extendedprice AS revenue, l_quantity * p_retailprice AS goods, l_extendedprice * l_tax AS freight, l_extendedprice * l_discount + 0.0 AS discount,
+    l_extendedprice - l_quantity * p_retailprice - l_extendedprice * l_tax - l_extendedprice * l_discount AS profit, l_returnflag = 'R' AS refunded
+  FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey"""
+
+
+def sales(t):
+    """Sales: one row per order line with revenue and cost parts."""
+    goods = F.col("l_quantity") * F.col("p_retailprice")
+    freight, discount = F.col("l_extendedprice") * F.col("l_tax"), F.col("l_extendedprice") * F.col("l_discount")
+    orders = (
+        t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey"))
+        .join(t.nation, F.col("n_nationkey") == F.col("c_nationkey"))
+        .select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate", "c_mktsegment", "n_regionkey")
+    )
+    j = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).join(orders, F.col("o_orderkey") == F.col("l_orderkey"))
+    return j.select(
+        "l_orderkey",
+        "l_linenumber",
+        "l_partkey",
+        F.col("c_mktsegment").alias("segment"),
+        F.col("p_type").alias("product"),
+        F.col("n_regionkey").alias("region"),
+        F.col("o_orderstatus").alias("status"),
+        F.col("o_orderpriority").alias("channel"),
+        "o_orderdate",
+        F.col("l_extendedprice").alias("revenue"),
+        goods.alias("goods"),
+        freight.alias("freight"),
+        (discount + 0.0).alias("discount"),
+        (F.col("l_extendedprice") - goods - freight - discount).alias("profit"),
+        (F.col("l_returnflag") == "R").alias("refunded"),
+    )
