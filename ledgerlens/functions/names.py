@@ -70,13 +70,10 @@ def label_similarity(left: Column, right: Column) -> Column:
     return _containment(a, b, F.greatest(overlap, prefix / F.greatest(F.length(a), F.length(b))))
 
 
-def same_concept(left: Column, right: Column) -> Column:
-    """Whether two names stand in one synonym group."""
-    a, b = F.replace(F.lower(left), F.lit("-"), F.lit("_")), F.replace(F.lower(right), F.lit("-"), F.lit("_"))
-    out = F.lit(False)
-    for group in SYNONYM_GROUPS:
-        out = out | (a.isin(*group) & b.isin(*group))
-    return out
+def synonym_groups(name: Column) -> Column:
+    """Numbers of the synonym groups a name stands in."""
+    plain = F.replace(F.lower(name), F.lit("-"), F.lit("_"))
+    return F.array_compact(F.array(*[F.when(plain.isin(*group), F.lit(i)) for i, group in enumerate(SYNONYM_GROUPS)]))
 
 
 def comments_agree(left: Column, right: Column, left_name: Column, right_name: Column) -> Column:

@@ -74,10 +74,12 @@ def normalised(sql_text: Column) -> Column:
     return F.regexp_replace(text, r"\s+", " ")
 
 
-def blocked_reason(sql_text: Column) -> Column:
-    """Why a statement is refused, or null when it is read-only."""
-    text = F.trim(normalised(F.coalesce(sql_text, F.lit(""))))
-    bare = F.upper(F.regexp_replace(text, r"""'[^']*(?:'|$)|"[^"]*(?:"|$)""", "''"))
+def _bare(text: Column) -> Column:
+    return F.upper(F.regexp_replace(text, r"""'[^']*(?:'|$)|"[^"]*(?:"|$)""", "''"))
+
+
+def _reason(text: Column, bare: Column) -> Column:
+    """Refusal of a normalised statement; the word list is searched word by word only when one of its words occurs."""
     word = F.coalesce(
         *[F.when(bare.rlike(rf"\b{w}\b"), F.lit(f"Dangerous keyword blocked: {w}.")) for w in BLOCKED_WORDS]
     )
@@ -85,14 +87,21 @@ def blocked_reason(sql_text: Column) -> Column:
         F.when(text == "", REASON_EMPTY)
         .when(bare.rlike(r";\s*\S"), REASON_MULTIPLE)
         .when(~(bare.startswith("SELECT ") | bare.startswith("WITH ")), REASON_KIND)
-        .otherwise(word)
+        .when(bare.rlike(rf"\b(?:{'|'.join(BLOCKED_WORDS)})\b"), word)
     )
 
 
+def blocked_reason(sql_text: Column) -> Column:
+    """Why a statement is refused, or null when it is read-only."""
+    text = F.trim(normalised(F.coalesce(sql_text, F.lit(""))))
+    return _reason(text, _bare(text))
+
+
 def review_statements(df: DataFrame, sql_col: str = "sql_text") -> DataFrame:
     """Add ``allowed`` and ``reason`` to a table of statements; no statement is run."""
-    out = df.withColumn("reason", blocked_reason(F.col(sql_col)))
-    return out.withColumn("allowed", F.col("reason").isNull())
+    text = df.withColumn("_text", F.trim(normalised(F.coalesce(F.col(sql_col), F.lit("")))))
+    out = text.withColumn("_bare", _bare(F.col("_text"))).withColumn("reason", _reason(F.col("_text"), F.col("_bare")))
+    return out.withColumn("allowed", F.col("reason").isNull()).drop("_text", "_bare")
 
 
 def limited(df: DataFrame, policy: Policy, requested: int | None = None) -> DataFrame:

@@ -18,7 +18,7 @@ from ledgerlens.functions.names import (
     comments_contradict,
     label_similarity,
     name_similarity,
-    same_concept,
+    synonym_groups,
 )
 
 SKETCH_SLOTS = 128
@@ -213,22 +213,46 @@ def joinable(
     )
 
 
-def _column_pairs(profiles: DataFrame, extra: list[str], on: Column | None = None) -> DataFrame:
-    """Unordered pairs of profile rows from different tables; profiles are a few rows per table, bounded by the schema."""
+def _column_pairs(profiles: DataFrame, extra: list[str], same: str) -> DataFrame:
+    """Pairs of profile rows from different tables that agree in one field; profiles are a few rows per table."""
     cols = KEY + extra
     a = profiles.select(*[F.col(c).alias(f"a_{c}") for c in cols])
     b = profiles.select(*[F.col(c).alias(f"b_{c}") for c in cols])
-    rule = F.col("a_table_name") < F.col("b_table_name")
-    return a.join(b, rule if on is None else rule & on)
+    return a.join(b, (F.col(f"a_{same}") == F.col(f"b_{same}")) & (F.col("a_table_name") < F.col("b_table_name")))
+
+
+def _related_names(profiles: DataFrame) -> DataFrame:
+    """Column pairs that can have any synonym confidence at all: one meaning, one synonym group, or a shared character.
+
+    Every name similarity above 0 needs a shared character, so nothing is missed; all three are equi-joins.
+    """
+    name = F.lower("column_name")
+    base = profiles.select(*KEY, "semantic_type")
+    keys = base.select(
+        *KEY,
+        F.explode(
+            F.concat(
+                F.transform(F.array_distinct(F.split(F.replace(name, F.lit("_"), F.lit("")), "")), lambda c: F.concat(F.lit("c:"), c)),
+                F.array_compact(F.array(F.when(F.col("semantic_type") != "unknown", F.concat(F.lit("s:"), "semantic_type")))),
+                F.transform(synonym_groups(name), lambda g: F.concat(F.lit("g:"), g.cast("string"))),
+            )
+        ).alias("key"),
+    )
+    a = keys.select(*[F.col(c).alias(f"a_{c}") for c in KEY], "key")
+    b = keys.select(*[F.col(c).alias(f"b_{c}") for c in KEY], "key")
+    pairs = a.join(b, "key").where("a_table_name < b_table_name").drop("key").distinct()
+    left = base.select(*[F.col(c).alias(f"a_{c}") for c in base.columns])
+    right = base.select(*[F.col(c).alias(f"b_{c}") for c in base.columns])
+    return pairs.join(left, ["a_table_name", "a_column_name"]).join(right, ["b_table_name", "b_column_name"])
 
 
 def synonyms(profiles: DataFrame) -> DataFrame:
     """Confidence that two columns mean the same, from semantic type, synonym group and name similarity."""
-    j = _column_pairs(profiles, ["semantic_type"])
+    j = _related_names(profiles)
     a, b = F.col("a_column_name"), F.col("b_column_name")
     sim = label_similarity(a, b)
     same_type = (F.col("a_semantic_type") == F.col("b_semantic_type")) & (F.col("a_semantic_type") != "unknown")
-    group = same_concept(a, b)
+    group = F.arrays_overlap(synonym_groups(F.lower(a)), synonym_groups(F.lower(b)))
     confidence = (
         F.when(same_type & ((sim > 0.5) | group), 0.95)
         .when(same_type, 0.85)
@@ -249,7 +273,7 @@ def synonyms(profiles: DataFrame) -> DataFrame:
 
 def numeric_similarity(stats: DataFrame, minimum: float = SIMILARITY_MIN) -> DataFrame:
     """0.6 of the range overlap plus 0.4 of the mean similarity; columns of one type. Dates count by range overlap alone."""
-    j = _column_pairs(stats, ["dtype", "min_value", "max_value", "mean_value"], F.col("a_dtype") == F.col("b_dtype"))
+    j = _column_pairs(stats, ["dtype", "min_value", "max_value", "mean_value"], "dtype")
     overlap = F.least("a_max_value", "b_max_value") - F.greatest("a_min_value", "b_min_value")
     total = F.greatest("a_max_value", "b_max_value") - F.least("a_min_value", "b_min_value")
     largest = F.greatest(F.abs("a_mean_value"), F.abs("b_mean_value"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 # Frames whose source files stay below this many bytes may use the one-pass forms
 # (built-in percentile, one window); larger ones take the range-partitioned forms.
 SMALL_INPUT_KEY = "spark.ledgerlens.smallInputBytes"
-SMALL_INPUT_DEFAULT = 64 * 1024 * 1024
+SMALL_INPUT_DEFAULT = 32 * 1024 * 1024
 
 _RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
