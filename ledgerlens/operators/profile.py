@@ -222,7 +222,8 @@ def histogram(df: DataFrame, columns: list[str] | None = None, bins: int = HISTO
         lows[c] = F.when(flat, lo - 0.5).otherwise(lo)
         widths[c] = F.when(flat, F.lit(1.0)).otherwise(hi - lo) / bins
         place = F.floor((F.col(c).cast("double") - lows[c]) / widths[c])
-        picks.append(F.least(place, F.lit(bins - 1)).cast("int").alias(c))
+        # least() skips nulls, so missing values must be kept out by hand
+        picks.append(F.when(place.isNotNull(), F.least(place, F.lit(bins - 1))).cast("int").alias(c))
     binned = df.select(*picks).unpivot([], cols, "column_name", "bin").where("bin is not null")
     counted = binned.groupBy("column_name", "bin").agg(F.count(F.lit(1)).alias("cnt"))
     lo = F.coalesce(*[F.when(F.col("column_name") == c, lows[c]) for c in cols])

@@ -277,10 +277,12 @@ def numeric_similarity(stats: DataFrame, minimum: float = SIMILARITY_MIN) -> Dat
     overlap = F.least("a_max_value", "b_max_value") - F.greatest("a_min_value", "b_min_value")
     total = F.greatest("a_max_value", "b_max_value") - F.least("a_min_value", "b_min_value")
     largest = F.greatest(F.abs("a_mean_value"), F.abs("b_mean_value"))
-    mean_sim = F.when(largest > 0, 1.0 - F.abs(F.col("a_mean_value") - F.col("b_mean_value")) / largest).otherwise(0.0)
+    mean_sim = F.when(F.col("a_mean_value").isNotNull() & F.col("b_mean_value").isNotNull() & (largest > 0), 1.0 - F.abs(F.col("a_mean_value") - F.col("b_mean_value")) / largest).otherwise(0.0)
     ranged = overlap / F.nullif(total, F.lit(0.0))
+    bounds = [F.col(f"{side}_{c}") for side in "ab" for c in ("min_value", "max_value")]
+    empty = reduce(lambda x, y: x | y, [c.isNull() for c in bounds])
     score = (
-        F.when(overlap < 0, 0.0)
+        F.when(empty | (overlap < 0), 0.0)
         .when(total == 0, 1.0)
         .when(F.col("a_dtype") == "datetime", ranged)
         .otherwise(ranged * 0.6 + mean_sim * 0.4)

@@ -125,7 +125,7 @@ def outlier_treatment(df: DataFrame, column: str) -> DataFrame:
     c = F.col(column)
     reach = 1.5 * (q3 - q1)
     flag = (c < q1 - reach) | (c > q3 + reach)
-    return df.select("*", F.log1p(c).alias(f"{column}_log"), F.least(F.greatest(c, p1), p99).alias(f"{column}_clip"), flag.alias("is_outlier"))
+    return df.select("*", F.log1p(c).alias(f"{column}_log"), F.when(c.isNotNull(), F.least(F.greatest(c, p1), p99)).alias(f"{column}_clip"), flag.alias("is_outlier"))
 
 
 def outlier_rate(df: DataFrame, column: str) -> DataFrame:
