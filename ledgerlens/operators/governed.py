@@ -13,6 +13,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.session import spread
+
 # Words a read-only statement must not contain.
 BLOCKED_WORDS = [
     "INSERT",
@@ -99,7 +101,7 @@ def blocked_reason(sql_text: Column) -> Column:
 
 def review_statements(df: DataFrame, sql_col: str = "sql_text") -> DataFrame:
     """Add ``allowed`` and ``reason`` to a table of statements; no statement is run."""
-    text = df.withColumn("_text", F.trim(normalised(F.coalesce(F.col(sql_col), F.lit("")))))
+    text = spread(df).withColumn("_text", F.trim(normalised(F.coalesce(F.col(sql_col), F.lit("")))))
     out = text.withColumn("_bare", _bare(F.col("_text"))).withColumn("reason", _reason(F.col("_text"), F.col("_bare")))
     return out.withColumn("allowed", F.col("reason").isNull()).drop("_text", "_bare")
 

@@ -58,8 +58,10 @@ def exact_quantiles(
     levels = F.array(*[F.lit(float(p)) for p in probs])
     use_small = is_small(df) if small is None else small
     if use_small:
-        level = F.percentile(value, levels, F.col(weight)) if weight else F.percentile(value, levels)
-        agg = rows.groupBy(*by).agg(level.alias("_q")).where(F.col("_q").isNotNull())
+        if weight is None:
+            # equal values combine in generated code first; the percentile buffer then sees each of them once
+            rows, weight = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_w")), "_w"
+        agg = rows.groupBy(*by).agg(F.percentile(value, levels, F.col(weight)).alias("_q")).where(F.col("_q").isNotNull())
         return agg.select(*by, F.posexplode("_q").alias("_i", "quantile")).select(
             *by, F.element_at(levels, F.col("_i") + 1).alias("prob"), "quantile"
         )
@@ -69,14 +71,19 @@ def exact_quantiles(
     size = cells.groupBy(*by).agg(F.sum("_n").alias("_size"))
     joined = _join_nullsafe(ranked, size, by) if by else ranked.withColumn("_size", size.scalar())
     # each wanted rank falls into one cell; keep the cells that hold the lower or the upper rank
-    wanted = joined.select(
-        *by, "_v", "_n", "_cum__n" if "_cum__n" in joined.columns else "cum__n", "_size", F.explode(levels).alias("prob")
-    ).withColumnRenamed("cum__n", "_c")
+    holds = lambda rank: (F.col("cum__n") > rank) & (F.col("cum__n") - F.col("_n") <= rank)
+
+    def near(prob: Column) -> Column:
+        rank = (F.col("_size") - 1) * prob
+        return holds(F.floor(rank)) | holds(F.ceil(rank))
+
+    # cells that hold no wanted rank leave before the levels multiply rows
+    few = joined.where(reduce(lambda a, b: a | b, [near(F.lit(float(p))) for p in probs]))
+    wanted = few.select(*by, "_v", "_n", "cum__n", "_size", F.explode(levels).alias("prob"))
     place = (F.col("_size") - 1) * F.col("prob")
-    lower, upper = F.floor(place), F.ceil(place)
-    holds = lambda rank: (F.col("_c") > rank) & (F.col("_c") - F.col("_n") <= rank)
+    lower = F.floor(place)
     return (
-        wanted.where(holds(lower) | holds(upper))
+        wanted.where(near(F.col("prob")))
         .groupBy(*by, "prob")
         .agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.first(place - lower).alias("_f"))
         .select(*by, "prob", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias("quantile"))

@@ -173,13 +173,16 @@ def column_stats(values: DataFrame) -> DataFrame:
 def numeric_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Min, max, mean, sample deviation (0 for one value) and median per numeric column."""
     cols = columns or numeric_columns(df)
+    # moments need no unpivot: one aggregation over the wide rows, turned into a row per column afterwards
+    facts = []
+    for c in cols:
+        x = F.col(f"`{c}`").cast("double")
+        std = F.when(F.count(x) > 0, F.coalesce(F.stddev_samp(x), F.lit(0.0)))
+        facts.append(
+            F.struct(F.lit(c).alias("column_name"), F.min(x).alias("min_value"), F.max(x).alias("max_value"), F.avg(x).alias("mean_value"), std.alias("std_value"))
+        )
+    moments = df.agg(F.array(*facts).alias("f")).select(F.explode("f").alias("f")).select("f.*")
     long = unpivoted(df, cols, "double").where("value is not null")
-    moments = long.groupBy("column_name").agg(
-        F.min("value").alias("min_value"),
-        F.max("value").alias("max_value"),
-        F.avg("value").alias("mean_value"),
-        F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std_value"),
-    )
     median = exact_quantiles(long, ["column_name"], "value", [0.5]).select(
         "column_name", F.col("quantile").alias("median_value")
     )

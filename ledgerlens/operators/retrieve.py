@@ -10,6 +10,7 @@ from ledgerlens.functions import text as tx
 from ledgerlens.functions.names import normal_text
 from ledgerlens.operators import vectors as vec
 from ledgerlens.operators.sequences import carried, position_segment
+from ledgerlens.session import spread
 
 TOP_DEFAULT, TOP_MAX = 5, 20
 K1, B = 1.2, 0.75
@@ -32,7 +33,7 @@ PAGE_WEIGHTS = {
 
 def chunk_documents(documents: DataFrame, key: str, text: str, size: int = tx.CHUNK_SIZE, overlap: int = tx.CHUNK_OVERLAP) -> DataFrame:
     """Rows (doc_id, chunk_index, content) covering the whole of every document."""
-    return documents.select(F.col(key).alias("doc_id"), F.posexplode(tx.chunks(F.col(text), size, overlap)).alias("chunk_index", "content"))
+    return spread(documents.select(key, text)).select(F.col(key).alias("doc_id"), F.posexplode(tx.chunks(F.col(text), size, overlap)).alias("chunk_index", "content"))
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, top: int = TOP_DEFAULT) -> DataFrame:

@@ -1,5 +1,7 @@
 """Streaming jobs: events are written as files of a source folder, a query runs to the end, and its result is read back."""
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from ledgerlens.plans import derived as d
@@ -22,6 +24,19 @@ def source(t, df, label):
     return path, z.event_stream(t.spark, path, df.schema, 2)
 
 
+@contextmanager
+def local_state(t):
+    """On a local session keep as many state stores as there are cores; a cluster keeps its own number of partitions."""
+    key = "spark.sql.shuffle.partitions"
+    before = t.spark.conf.get(key)
+    if t.spark.sparkContext.master.startswith("local"):
+        t.spark.conf.set(key, str(min(int(before), t.spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        t.spark.conf.set(key, before)
+
+
 # Run events: purchases and clicks carry results of tool calls, errors end a run badly, signups end it well.
 KIND = "CASE event_type WHEN 'error' THEN 'RUN_ERROR' WHEN 'signup' THEN 'RUN_FINISHED' WHEN 'view' THEN 'STEP' ELSE 'RESULT' END"
 RUN_SQL = f"""SELECT event_id, user_id AS run_id, ts, {KIND} AS kind, CASE WHEN event_type IN ('click', 'purchase') THEN 'call-' || user_id || '-' || json_extract_string(props, '$.k') END AS call_id, value FROM events"""
@@ -38,7 +53,8 @@ def run_events(t):
 def z01(t):
     _, stream = source(t, run_events(t), "z01")
     out, state = scratch_path(t.spark, "z01-out"), scratch_path(t.spark, "z01-state")
-    z.append_files(z.drop_repeated_results(stream, "ts", "call_id", "60 days"), out, state)
+    with local_state(t):
+        z.append_files(z.drop_repeated_results(stream, "ts", "call_id", "60 days"), out, state)
     back = t.spark.read.parquet(out)
     delivery = F.coalesce("call_id", F.concat(F.lit("event:"), F.col("event_id").cast("string")))
     return back.select(delivery.alias("delivery"), (F.col("kind") == "RESULT").alias("is_result"))
@@ -62,7 +78,8 @@ def z02(t):
 def z03(t):
     _, stream = source(t, run_events(t), "z03")
     out, state = scratch_path(t.spark, "z03-out"), scratch_path(t.spark, "z03-state")
-    z.upsert_latest(z.run_projection(stream), out, state, "run_id")
+    with local_state(t):
+        z.upsert_latest(z.run_projection(stream), out, state, "run_id")
     return z.newest(t.spark, out, "run_id")
 
 
@@ -77,7 +94,8 @@ def z04(t):
     kept = df.join(last_end, "run_id").where("event_id <= _last").drop("_last").select(*df.columns)
     _, stream = source(t, kept, "z04")
     out, state = scratch_path(t.spark, "z04-out"), scratch_path(t.spark, "z04-state")
-    z.append_files(z.flush_on_end(stream, "ts", "60 days"), out, state)
+    with local_state(t):
+        z.append_files(z.flush_on_end(stream, "ts", "60 days"), out, state)
     return t.spark.read.parquet(out).select("run_id", "event_id")
 
 
@@ -105,6 +123,7 @@ def z06(t):
     audit = d.audit(t).select(z.with_zone("ts").alias("ts"), "status", "elapsed_ms")
     _, stream = source(t, audit, "z06")
     out, state = scratch_path(t.spark, "z06-out"), scratch_path(t.spark, "z06-state")
-    z.append_files(z.minute_rollup(stream, "ts", width="1 hour"), out, state)
+    with local_state(t):
+        z.append_files(z.minute_rollup(stream, "ts", width="1 hour"), out, state)
     back = t.spark.read.parquet(out)
     return back.select(F.unix_micros("w.start").alias("window_us"), "runs", "blocked", "failed", F.round("max_ms", 4).alias("max_ms"))

@@ -90,3 +90,16 @@ def is_small(df: DataFrame) -> bool:
     """True when the optimizer's estimate stays below the small-input limit."""
     limit = int(df.sparkSession.conf.get(SMALL_INPUT_KEY, str(SMALL_INPUT_DEFAULT)))
     return plan_bytes(df) <= limit
+
+
+def spread(df: DataFrame, least: int = 1024 * 1024) -> DataFrame:
+    """Give small one-file inputs to all cores before heavy work per row.
+
+    A file with one row group is one task however many cores there are. Inputs above the small-input limit come in many
+    splits already and pass unchanged, so no large shuffle is ever added.
+    """
+    spark = df.sparkSession
+    limit = int(spark.conf.get(SMALL_INPUT_KEY, str(SMALL_INPUT_DEFAULT)))
+    if least <= plan_bytes(df) <= limit:
+        return df.repartition(min(spark.sparkContext.defaultParallelism, 64))
+    return df
