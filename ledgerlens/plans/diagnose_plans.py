@@ -103,21 +103,21 @@ def _cf(name, f):
 @query(
     "B05_counterfactuals",
     f"""WITH {S}, c AS ({" UNION ALL ".join(_cf(n, f) for n, f in SCENARIOS.items())})
-        SELECT scenario, segment, n, round(gain, 6) AS gain, round(new_rate, 6) AS new_rate, turned_positive, covered, round(gain / sum(gain) OVER (PARTITION BY scenario), 6) AS gain_share FROM c""",
+        SELECT scenario, segment, n, round(gain, 2) AS gain, round(new_rate, 6) AS new_rate, turned_positive, covered, round(gain / sum(gain) OVER (PARTITION BY scenario), 6) AS gain_share FROM c""",
 )
 def b05(t):
     rows = g.counterfactuals(sales(t), "segment", SCENARIOS)
     out = rows.join(g.gain_concentration(rows, "segment"), ["scenario", "segment"])
-    return rnd(out, {"gain": 6, "new_rate": 6, "gain_share": 6})
+    return rnd(out, {"gain": 2, "new_rate": 6, "gain_share": 6})
 
 
 @query(
     "A28_cube_profile",
-    f"""WITH {S} SELECT product, region, segment, grouping_id(product, region, segment) AS level, count(*) AS n, round(sum(revenue), 2) AS revenue, round(sum(profit), 4) AS profit,
+    f"""WITH {S} SELECT product, region, segment, grouping_id(product, region, segment) AS level, count(*) AS n, round(sum(revenue), 2) AS revenue, round(sum(profit), 0) AS profit,
           count(*) FILTER (WHERE profit < 0) AS n_negative, round(sum(profit) / sum(revenue), 6) AS margin_rate FROM s GROUP BY CUBE (product, region, segment)""",
 )
 def a28(t):
-    return rnd(g.cube_profile(sales(t), ["product", "region", "segment"]), {"revenue": 2, "profit": 4, "margin_rate": 6})
+    return rnd(g.cube_profile(sales(t), ["product", "region", "segment"]), {"revenue": 2, "profit": 0, "margin_rate": 6})
 
 
 def _within(outer, inner):

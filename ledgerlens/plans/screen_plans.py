@@ -145,12 +145,12 @@ MI = ["f_price", "f_balance", "f_qty", "f_discount", "f_lines"]
         j AS (SELECT feature, {BIN} AS bin, label, count(*) AS n FROM lg JOIN ed USING (feature) GROUP BY 1, 2, 3),
         m AS (SELECT feature, round(sum(n / t * ln(n * t / (nb * ny))), 6) + 0.0 AS mutual_information FROM (SELECT *, sum(n) OVER (PARTITION BY feature, bin) AS nb,
               sum(n) OVER (PARTITION BY feature, label) AS ny, sum(n) OVER (PARTITION BY feature) AS t FROM j) GROUP BY 1)
-        SELECT feature, mutual_information, round(variance, 4) AS variance FROM m JOIN ({" UNION ALL ".join(f"SELECT '{c}' AS feature, var_samp({c}) AS variance FROM f" for c in MI)}) USING (feature)""",
+        SELECT feature, mutual_information, round(sqrt(variance), 4) AS deviation FROM m JOIN ({" UNION ALL ".join(f"SELECT '{c}' AS feature, var_samp({c}) AS variance FROM f" for c in MI)}) USING (feature)""",
 )
 def m20(t):
     df = d.features(t).select("label", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in MI])
     out = s.mutual_information(df, MI, "label").join(s.variance_ranking(df, MI), "feature")
-    return out.select("feature", (F.round("mutual_information", 6) + 0.0).alias("mutual_information"), F.round("variance", 4).alias("variance"))
+    return out.select("feature", (F.round("mutual_information", 6) + 0.0).alias("mutual_information"), F.round(F.sqrt("variance"), 4).alias("deviation"))
 
 
 @query(
