@@ -12,7 +12,6 @@ each block: ``slice, block, start`` (ids of the slice before it), ``doc_ids, len
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain, repeat
@@ -29,8 +28,8 @@ from ledgerlens.session import scratch_path
 
 END_ID = 1
 SCALE = 20
-LANES = 256
-CHECKPOINT = 256
+LANES = 1024
+CHECKPOINT = 128
 BLOCK_TOKENS = 1 << 18
 #: Words a worker keeps the ids of; beyond that it starts anew.
 CACHE_WORDS = 1_000_000
@@ -39,8 +38,36 @@ _LOW = 1 << 31  # a state is in [2**31, 2**63)
 _U = np.uint64
 
 
-#: Between an ASCII letter and white space these are a run of their own to the tokenizer; apart from the word, fewer words differ.
-_TAIL = re.compile(rb"([a-z])([.,;:!?|#$%&*]+)(?=[ \n])")
+#: Marks that the tokenizer splits from letters before them, as one run.
+_MARKS = ".,;:!?|#$%&*"
+
+
+_IS_MARK, _IS_SPACE, _IS_LETTER = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_IS_MARK[list(_MARKS.encode())] = True
+_IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
+_IS_LETTER[97:123] = True
+
+
+def _apart(data: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The texts with a space between letters and the marks that end a word: the ids stay the same, fewer words differ."""
+    mark = np.zeros(len(data) + 2, bool)
+    mark[1:-1] = _IS_MARK[data]
+    first, after = np.flatnonzero(mark[1:] & ~mark[:-1])[: len(data)], np.flatnonzero(mark[:-1] & ~mark[1:])
+    padded = np.concatenate([np.zeros(2, np.uint8), data, np.full(1, 32, np.uint8)])
+    before, two_before = padded[first + 1], padded[first]
+    letter = _IS_LETTER[before] | ((two_before == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7))  # a to z, or of Latin-1
+    at = first[letter & _IS_SPACE[padded[after + 2]]]
+    at = at[~np.isin(at, offsets, assume_unique=False)]
+    moved = at + np.arange(len(at))
+    out, old = np.empty(len(data) + len(at), np.uint8), np.ones(len(data) + len(at), bool)
+    old[moved] = False
+    out[old], out[moved] = data, 32
+    return out.tobytes(), offsets + np.searchsorted(at, offsets)
+
+
+def _plain(word: str) -> bool:
+    """Whether the tokenizer takes a word as one run: letters, or marks."""
+    return "\u0130" not in word and (word.isalpha() or not word.strip(_MARKS))  # that letter's small form has a mark of its own
 
 
 class Tokens:
@@ -51,6 +78,12 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        words = self.tokenizer.get_vocab()
+        #: Ids that end a run of letters or marks; without such a suffix all words count as not plain.
+        self.closes = np.zeros(max(words.values()) + 1, bool)
+        self.closes[[k for w, k in words.items() if suffix and w.endswith(suffix)]] = True
+        self.plain = bool(suffix)
         self.clear()
 
     def clear(self) -> None:
@@ -60,33 +93,45 @@ class Tokens:
         self.used = 0
 
     def learn(self, words: list[bytes]) -> None:
-        """Encode many words as one text; a token belongs to the word its first letter stands in."""
-        for a in range(0, len(words), 5_000):
-            part = words[a : a + 5_000]
-            texts = [w.decode() for w in part]
-            coded = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-            ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-            first = np.fromiter((x for x, _ in coded.offsets), np.int64, len(coded.ids))
-            lengths = np.bincount(np.searchsorted(ends, first, "right"), minlength=len(part))
-            total, known = len(first), len(self.numbers)
-            while self.used + total > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while known + len(part) > len(self.starts):
-                self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-            self.ids[self.used : self.used + total] = coded.ids
-            self.starts[known : known + len(part)] = self.used + np.cumsum(lengths) - lengths
-            self.lengths[known : known + len(part)] = lengths
-            self.numbers.update(zip(part, range(known, known + len(part)), strict=True))
-            self.used += total
+        """Encode many plain words as one text, in which each is a run with a closing token; the others each by itself."""
+        texts = [w.decode() for w in words]
+        plain = [x for x in zip(words, texts, strict=True) if self.plain and _plain(x[1])]
+        for a in range(0, len(plain), 5_000):
+            part = plain[a : a + 5_000]
+            coded = self.tokenizer.encode_batch_fast([" ".join(t for _, t in part)], add_special_tokens=False)[0]
+            ids = np.array(coded.ids, np.uint32)
+            last = np.flatnonzero(self.closes[ids]) + 1
+            if len(last) != len(part) or last[-1] != len(ids):
+                raise ValueError("the tokenizer does not split words as expected")
+            self.keep([w for w, _ in part], ids, np.diff(last, prepend=0))
+        other = [x for x in zip(words, texts, strict=True) if not (self.plain and _plain(x[1]))]
+        for a in range(0, len(other), 5_000):
+            part = other[a : a + 5_000]
+            coded = [x.ids for x in self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False)]
+            self.keep([w for w, _ in part], np.fromiter(chain.from_iterable(coded), np.uint32), np.fromiter(map(len, coded), np.int64, len(coded)))
+
+    def keep(self, words: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        known = len(self.numbers)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while known + len(words) > len(self.starts):
+            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts[known : known + len(words)] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[known : known + len(words)] = lengths
+        self.numbers.update(zip(words, range(known, known + len(words)), strict=True))
+        self.used += len(ids)
 
     def look_up(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.numbers.get, words, repeat(-1)), np.int64, len(words))
 
-    def encode(self, data: bytes, offsets: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text with the end id after it, and the ids of each text."""
-        texts = [data[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        if b"<|" not in data:  # else lowering could make one of the tokenizer's special strings
-            texts = [_TAIL.sub(rb"\1 \2", x.lower()) for x in texts]
+        raw = data.tobytes()
+        if self.plain and b"<|" not in raw:  # else lowering could make one of the tokenizer's special strings
+            raw, offsets = _apart(np.frombuffer(raw.lower(), np.uint8), offsets)
+        bounds = offsets.tolist()
+        texts = [raw[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         per_text = [x.split() for x in texts]
         words = list(chain.from_iterable(per_text))
         number = self.look_up(words)
@@ -124,8 +169,7 @@ def _tokenize(path: str):
         for batch in batches:
             data, offsets = string_buffers(batch.column("text"))
             for a, b in slices(offsets):
-                whole = data[offsets[a] : offsets[b]].tobytes()
-                ids, lengths = tokens.encode(whole, (offsets[a : b + 1] - offsets[a]).tolist())
+                ids, lengths = tokens.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 ids = ids.astype(tokens.width)
                 bounds = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32) * ids.itemsize
                 coded = pa.BinaryArray.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(bounds), pa.py_buffer(ids)])
@@ -299,8 +343,8 @@ def write_blocks(docs: DataFrame, path: str, tokenizer: str) -> None:
     ranged.mapInArrow(_encode_blocks(slots, width), BLOCK_SCHEMA).write.parquet(f"{path}/blocks")
 
 
-def _decode_blocks(slots: np.ndarray, scale: int):
-    names = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"]
+def _decode_blocks(slots: np.ndarray, scale: int, with_ids: bool):
+    names = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 4 + with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(slots, scale)
@@ -318,13 +362,14 @@ def _decode_blocks(slots: np.ndarray, scale: int):
                 starts = ends - row["lengths"]
                 texts = [raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 columns = [pa.array(row["doc_ids"], pa.int64()), pa.array(starts + row["start"] + row["before"], pa.int64()), pa.array(row["lengths"], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([zlib.crc32(x) for x in texts], pa.int64()), pa.array(texts, pa.binary())], names=names)
+                columns += [pa.array([zlib.crc32(x) for x in texts], pa.int64())] + [pa.array(texts, pa.binary())] * with_ids
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def read_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32, ids`` of all documents, decoded from the files; checksums are compared."""
+def read_blocks(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32`` and, if wanted, ``ids`` of all documents, decoded from the files; checksums are compared."""
     python_tasks(spark)
     one = spark.read.parquet(f"{path}/table").collect()[0]
     slots = np.frombuffer(bytes(one["slots"]), "<u4")
@@ -332,11 +377,13 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     sums = blocks.groupBy(F.col("slice").alias("_slice")).agg(F.sum("n_tokens").alias("n"))  # a row for each slice: as many as range partitions
     before = F.coalesce(F.sum("n").over(W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     placed = blocks.join(F.broadcast(sums.select("_slice", before.alias("before"))), F.col("slice") == F.col("_slice")).drop("_slice")
-    return placed.mapInArrow(_decode_blocks(slots, one["scale"]), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return placed.mapInArrow(
+        _decode_blocks(slots, one["scale"], with_ids), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
+    )
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Write the documents to the shared folder and read them back."""
+    """Write the documents to the shared folder and read them back: digests of the ids."""
     path = scratch_path(docs.sparkSession, "token-blocks")
     write_blocks(docs, path, tokenizer)
-    return read_blocks(docs.sparkSession, path)
+    return read_blocks(docs.sparkSession, path, with_ids=False)
