@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import chat, exact_dedup, fingerprints, line_dedup, mixing, packing, quality, token_blocks
+from ledgerlens.llm import chat, exact_dedup, fingerprints, line_dedup, mixing, packing, quality, substring, token_blocks
 from ledgerlens.llm.common import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,6 +111,27 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT doc_id, s, md5(array_to_string(words[s:s + 49], ' ')) AS k FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS s FROM d WHERE len(words) >= 50)),
+l AS (SELECT k, min(doc_id) AS least FROM w GROUP BY k),
+g AS (SELECT doc_id, list_distinct(flatten(list(range(s, s + 50)))) AS gone FROM w JOIN l USING (k) WHERE least < doc_id GROUP BY doc_id),
+x AS (
+    SELECT d.doc_id, u.word, u.place
+    FROM d, LATERAL (SELECT unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place) AS u
+    WHERE NOT EXISTS (SELECT 1 FROM (SELECT doc_id, unnest(gone) AS place FROM g) AS q WHERE q.doc_id = d.doc_id AND q.place = u.place)),
+r AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS kept FROM x GROUP BY doc_id)
+SELECT d.doc_id, len(d.words)::BIGINT AS n_words, (len(d.words) - coalesce(r.n, 0))::BIGINT AS n_removed, sha256(coalesce(r.kept, '')) AS kept_sha256
+FROM d LEFT JOIN r ON r.doc_id = d.doc_id
+"""
+
+
+@query("op8_substring_dedup", OP8_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more that a smaller doc_id has too, over all documents."""
+    return substring.dedup_passages(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 c AS (SELECT doc_id, lines, list_filter(range(1, len(lines) + 1), lambda i: regexp_matches(lines[i], '[^\x20\x09-\x0D]')) AS counted FROM d),
