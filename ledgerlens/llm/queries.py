@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import chat, exact_dedup, fingerprints, line_dedup, mixing, packing, quality, substring, token_blocks
+from ledgerlens.llm import chat, exact_dedup, fingerprints, line_dedup, mixing, ngram_join, packing, quality, substring, token_blocks
 from ledgerlens.llm.common import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+@query("op3_ngram_join")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose five-word shingles agree to 80 in 100."""
+    return ngram_join.near_groups(table(spark, sf_dir, "documents"))
+
+
 @query("op4_quality_classifier")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posterior of good quality for all documents: host is the source, path the language."""
