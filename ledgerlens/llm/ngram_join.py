@@ -30,6 +30,8 @@ BLOCK = 512
 FREQUENT = 1 << 17
 #: Shingles of a task whose counts are kept while it counts.
 COUNTERS = 1 << 18
+#: Parities of a set that travel with it.
+BITS = 1024
 #: Parts that a frequent column is dealt over, logarithm of a size class's width, and keys of a task that are remembered.
 SALTS, CLASS, SEEN = 64, np.log(1.25), 1_000_000
 
@@ -85,6 +87,15 @@ def set_keys(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mixed(mixed(a + n) ^ b)
 
 
+def parity_bits(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """``BITS`` parities of each set, as rows of 64-bit numbers: each bit that differs between two sets stands for a member that only one of them has."""
+    n = len(bounds) - 1
+    owner = np.repeat(np.arange(n), np.diff(bounds))
+    bit = (mixed(values ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
+    odd = (np.bincount(owner * BITS + bit, minlength=n * BITS) & 1).astype(np.uint8).reshape(n, BITS)
+    return np.packbits(odd, axis=1).view(np.int64)
+
+
 def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data, offsets = string_buffers(batch.column("text"))
     for a, b in slices(offsets):
@@ -92,20 +103,21 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndar
         yield a, b, values, bounds
 
 
-_FIRST = "kind int, id long, value long, n long"
+_FIRST = "kind int, id long, value long, n long, bits array<long>"
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kind 0: id, key and size of each document's set. Kind 1: the task's frequent shingles, with counts too low by what was taken off all counters at once."""
+    """Kind 0: id, key, size and parities of each document's set. Kind 1: the task's frequent shingles, with counts too low by what was taken off all counters at once."""
     known, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
-    def out(kind: int, ids: pa.Array, values: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        columns = [pa.array(np.full(len(values), kind, np.int32)), ids, pa.array(values.view(np.int64)), pa.array(n, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, names=["kind", "id", "value", "n"])
+    def out(kind: int, ids: pa.Array, values: np.ndarray, n: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * bits.shape[1]), pa.array(bits.ravel()))
+        columns = [pa.array(np.full(len(values), kind, np.int32)), ids, pa.array(values.view(np.int64)), pa.array(n, pa.int64()), lists]
+        return pa.RecordBatch.from_arrays(columns, names=["kind", "id", "value", "n", "bits"])
 
     for batch in batches:
         for a, b, values, bounds in _sets(batch):
-            yield out(0, batch.column("id").slice(a, b - a), set_keys(values, bounds), np.diff(bounds))
+            yield out(0, batch.column("id").slice(a, b - a), set_keys(values, bounds), np.diff(bounds), parity_bits(values, bounds))
             new, n = np.unique(values, return_counts=True)
             new, n = new[n > 1], n[n > 1]  # a shingle that is frequent stands in several texts of most slices
             known, back = np.unique(np.concatenate([known, new]), return_inverse=True)
@@ -113,7 +125,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(known) > COUNTERS:
                 counts = counts - np.partition(counts, len(counts) - COUNTERS)[len(counts) - COUNTERS]
                 known, counts = known[counts > 0], counts[counts > 0]
-    yield out(1, pa.nulls(len(known), pa.int64()), known, counts)
+    yield out(1, pa.nulls(len(known), pa.int64()), known, counts, np.zeros((len(known), 0), np.int64))
 
 
 def _rare_parts(frequent: np.ndarray):
@@ -178,9 +190,28 @@ def _product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def linked_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (``a, b``, different) whose overlap is enough: a block holds a head and at most about ``BLOCK`` of its rows."""
+def possible(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Those of the pairs (``a, b``) whose sizes and parities allow a link; no linked pair is lost."""
+    of = known.select(F.col("row").alias("_row"), "n", "bits")
+    both = pairs.join(of.withColumnsRenamed({"n": "n_a", "bits": "x"}), F.col("a") == F.col("_row")).drop("_row")
+    both = both.join(of.withColumnsRenamed({"n": "n_b", "bits": "y"}), F.col("b") == F.col("_row")).drop("_row")
+    apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, k: s + k)
+    part, whole = SIMILARITY
+    fits = (whole * F.least("n_a", "n_b") >= part * F.greatest("n_a", "n_b")) & (apart * (whole + part) <= (F.col("n_a") + F.col("n_b")) * (whole - part))
+    return written(both.where(fits).select("a", "b"), "ngram-possible")
+
+
+def linked_pairs(pairs: DataFrame, known: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs (``a, b``, different) whose overlap is enough: a block holds a head and at most about ``BLOCK`` of its rows.
+
+    Whole sets are made again for the rows of the pairs alone, from one text each.
+    """
     spark = pairs.sparkSession
+    pairs = possible(pairs, known)
+    rows = pairs.select(F.col("a").alias("_row")).unionByName(pairs.select(F.col("b").alias("_row"))).distinct()
+    ids = written(rows.join(known, F.col("_row") == F.col("row")).select(F.col("id").alias("_id")).distinct(), "ngram-ids")
+    whole = texts.join(ids, F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("text")
+    sets = whole.mapInArrow(_whole_sets, "row long, members array<long>").dropDuplicates(["row"])
     sizes = pairs.groupBy(F.col("a").alias("_a")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     rows = pairs.join(sizes, F.col("a") == F.col("_a")).select(F.col("a").alias("head"), F.col("b").alias("want"), F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"))
     heads = rows.select("head", F.col("head").alias("want"), "block").distinct()
@@ -259,6 +290,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     first = written(texts.mapInArrow(_survey, _FIRST), "ngram-survey")
     known = first.where("kind = 0").select("id", F.col("value").alias("row"), "n")
+    # a row of the matrix: its size, its parities and one document that has it
+    sets = first.where("kind = 0 AND n > 0").select("id", F.col("value").alias("row"), "n", "bits")
+    sets = written(sets.groupBy("row").agg(F.min_by(F.struct("id", "n", "bits"), F.coalesce("id", F.lit(0))).alias("s")).select("row", "s.*"), "ngram-sets")
     top = first.where("kind = 1").groupBy("value").agg(F.sum("n").alias("n")).where("n > 8")
     top = top.orderBy(F.col("n").desc(), "value").limit(FREQUENT).collect()  # at most FREQUENT rows
     frequent = np.array([r["value"] for r in reversed(top)], np.int64).view(np.uint64)
@@ -274,13 +308,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
     hot = hot.join(tops, (F.col("shingle") == F.col("_s")) & (F.col("class") == F.col("_c"))).where("a != head").select("a", F.col("head").alias("b"))
     pairs = written(stars.unionByName(hot).distinct(), "ngram-pairs")
 
-    need = shared.select(F.col("row").alias("_row")).distinct().join(known.groupBy("row").agg(F.min("id").alias("_id")), F.col("_row") == F.col("row")).select("_id").distinct()
-    whole = texts.join(need, F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("text")
-    sets = written(whole.mapInArrow(_whole_sets, "row long, members array<long>").dropDuplicates(["row"]), "ngram-sets")
-
-    links = linked_pairs(pairs, sets)
+    links = linked_pairs(pairs, sets, texts)
     roots = written(components(links), "ngram-roots")
-    more = linked_pairs(written(cross_pairs(shared, roots), "ngram-cross"), sets)
+    more = linked_pairs(cross_pairs(shared, roots), sets, texts)
     same = known.where("id IS NOT NULL").groupBy("id").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a < b").select("a", "b")  # one doc_id, several sets
     roots = written(components(links.unionByName(more).unionByName(same)), "ngram-roots")
     labelled = known.join(roots, (F.col("row") == F.col("node")) & (F.col("n") > 0), "left")
