@@ -26,12 +26,12 @@ from ledgerlens.llm.common import mixed, partitions, python_tasks, slices, split
 WORDS = 5
 SIMILARITY = (80, 100)
 BLOCK = 512
+#: Rows of a column from which on parities are compared before pairs are made.
+CROWD = 16
 #: Shingles that stand last in the order of rarity: so many at most, the most frequent ones found.
 FREQUENT = 1 << 17
 #: Shingles of a task whose counts are kept while it counts.
 COUNTERS = 1 << 18
-#: Parities of a set that travel with it.
-BITS = 1024
 #: Parts that a frequent column is dealt over, logarithm of a size class's width, and keys of a task that are remembered.
 SALTS, CLASS, SEEN = 64, np.log(1.25), 1_000_000
 
@@ -87,13 +87,43 @@ def set_keys(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mixed(mixed(a + n) ^ b)
 
 
-def parity_bits(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """``BITS`` parities of each set, as rows of 64-bit numbers: each bit that differs between two sets stands for a member that only one of them has."""
-    n = len(bounds) - 1
-    owner = np.repeat(np.arange(n), np.diff(bounds))
-    bit = (mixed(values ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
-    odd = (np.bincount(owner * BITS + bit, minlength=n * BITS) & 1).astype(np.uint8).reshape(n, BITS)
-    return np.packbits(odd, axis=1).view(np.int64)
+def parity_bits(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Parities of each set, as many as the power of two from its size on: a bit that differs between two sets stands for a member that only one of them has."""
+    n = np.diff(bounds)
+    width = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    at = np.concatenate([[0], np.cumsum(width)])
+    bit = (mixed(values ^ np.uint64(0x2545F4914F6CDD1D)) & np.repeat(width - 1, n).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(np.repeat(at[:-1], n) + bit, minlength=at[-1]) & 1).astype(np.uint8)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((at // 8).astype(np.int32)), pa.py_buffer(np.packbits(odd))])
+
+
+def fold(bits: np.ndarray, width: int) -> np.ndarray:
+    """Rows of parities (64-bit numbers) folded to fewer: the parities that a narrower table of the same members has."""
+    while bits.shape[1] > width:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
+
+
+def near_enough(bits: list[bytes], n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs (places in the lists) differ in so few parities that they may link; no linked pair is lost."""
+    widths = np.array([len(x) // 8 for x in bits], np.int64)
+    tables = {w: np.frombuffer(b"".join(x for x in bits if len(x) == 8 * w), np.uint64).reshape(-1, w) for w in set(widths.tolist())}
+    place = np.zeros(len(bits), np.int64)
+    for w in tables:
+        place[widths == w] = np.arange(np.count_nonzero(widths == w))
+    part, whole = SIMILARITY
+    out = np.zeros(len(a), bool)
+    for x in tables:
+        for y in tables:
+            own = np.flatnonzero((widths[a] == x) & (widths[b] == y))
+            w = min(x, y)
+            left, right = fold(tables[x], w), fold(tables[y], w)
+            for k in range(0, len(own), max(1, (1 << 20) // w)):
+                o = own[k : k + max(1, (1 << 20) // w)]
+                apart = np.bitwise_count(left[place[a[o]]] ^ right[place[b[o]]]).sum(axis=1, dtype=np.int64)
+                out[o] = apart * (whole + part) <= (n[a[o]] + n[b[o]]) * (whole - part)
+    return out
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -103,16 +133,15 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndar
         yield a, b, values, bounds
 
 
-_FIRST = "kind int, id long, value long, n long, bits array<long>"
+_FIRST = "kind int, id long, value long, n long, bits binary"
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Kind 0: id, key, size and parities of each document's set. Kind 1: the task's frequent shingles, with counts too low by what was taken off all counters at once."""
     known, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
-    def out(kind: int, ids: pa.Array, values: np.ndarray, n: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * bits.shape[1]), pa.array(bits.ravel()))
-        columns = [pa.array(np.full(len(values), kind, np.int32)), ids, pa.array(values.view(np.int64)), pa.array(n, pa.int64()), lists]
+    def out(kind: int, ids: pa.Array, values: np.ndarray, n: np.ndarray, bits: pa.Array) -> pa.RecordBatch:
+        columns = [pa.array(np.full(len(values), kind, np.int32)), ids, pa.array(values.view(np.int64)), pa.array(n, pa.int64()), bits]
         return pa.RecordBatch.from_arrays(columns, names=["kind", "id", "value", "n", "bits"])
 
     for batch in batches:
@@ -125,11 +154,15 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(known) > COUNTERS:
                 counts = counts - np.partition(counts, len(counts) - COUNTERS)[len(counts) - COUNTERS]
                 known, counts = known[counts > 0], counts[counts > 0]
-    yield out(1, pa.nulls(len(known), pa.int64()), known, counts, np.zeros((len(known), 0), np.int64))
+    yield out(1, pa.nulls(len(known), pa.int64()), known, counts, pa.nulls(len(known), pa.binary()))
+
+
+_RARE = "shingle long, salt int, row long, n int, rank int"
+_RARE_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
 
 
 def _rare_parts(frequent: np.ndarray):
-    """A row for each column that a set must share one of with a linked set: shingle, salt (frequent ones only), size class, row and size."""
+    """A row for each column that a set must share one of with a linked set: shingle, salt (frequent ones only), row, size and place in the order of rarity."""
     order = np.argsort(frequent)
     ranked = frequent[order]
 
@@ -150,11 +183,12 @@ def _rare_parts(frequent: np.ndarray):
                     at = np.minimum(np.searchsorted(ranked, values), len(ranked) - 1)
                     place = np.where(ranked[at] == values, order[at] + 1, 0)
                 few = np.lexsort((values, place, owner))
-                few = few[np.arange(len(values)) - bounds[:-1][owner] < length[owner]]
+                rank = np.arange(len(values)) - bounds[:-1][owner]
+                few, rank = few[rank < length[owner]], rank[rank < length[owner]]
                 row, n = keys[owner[few]], sizes[owner[few]]
                 salt = np.where(place[few] > 0, (mixed(row) % np.uint64(SALTS)).astype(np.int64), -1)
-                columns = [values[few].view(np.int64), salt, np.floor(np.log(n) / CLASS).astype(np.int64), row.view(np.int64), n]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["shingle", "salt", "class", "row", "n"])
+                columns = [values[few].view(np.int64), salt, row.view(np.int64), n, rank]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, _RARE_TYPES, strict=True)], names=["shingle", "salt", "row", "n", "rank"])
                 if len(done) > SEEN:
                     done = set()
 
@@ -190,15 +224,23 @@ def _product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def possible(pairs: DataFrame, known: DataFrame) -> DataFrame:
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        m = batch.num_rows
+        bits = batch.column("bits_a").to_pylist() + batch.column("bits_b").to_pylist()
+        n = np.concatenate([batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()])
+        keep = near_enough(bits, n, np.arange(m), np.arange(m, 2 * m))
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
+
+
+def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (``a, b``) whose sizes and parities allow a link; no linked pair is lost."""
-    of = known.select(F.col("row").alias("_row"), "n", "bits")
-    both = pairs.join(of.withColumnsRenamed({"n": "n_a", "bits": "x"}), F.col("a") == F.col("_row")).drop("_row")
-    both = both.join(of.withColumnsRenamed({"n": "n_b", "bits": "y"}), F.col("b") == F.col("_row")).drop("_row")
-    apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, k: s + k)
+    of = sets.select(F.col("row").alias("_row"), "n", "bits")
+    both = pairs.join(of.withColumnsRenamed({"n": "n_a", "bits": "bits_a"}), F.col("a") == F.col("_row")).drop("_row")
+    both = both.join(of.withColumnsRenamed({"n": "n_b", "bits": "bits_b"}), F.col("b") == F.col("_row")).drop("_row")
     part, whole = SIMILARITY
-    fits = (whole * F.least("n_a", "n_b") >= part * F.greatest("n_a", "n_b")) & (apart * (whole + part) <= (F.col("n_a") + F.col("n_b")) * (whole - part))
-    return written(both.where(fits).select("a", "b"), "ngram-possible")
+    both = both.where(whole * F.least("n_a", "n_b") >= part * F.greatest("n_a", "n_b"))
+    return written(both.mapInArrow(_possible, "a long, b long"), "ngram-possible")
 
 
 def linked_pairs(pairs: DataFrame, known: DataFrame, texts: DataFrame) -> DataFrame:
@@ -241,39 +283,55 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Block pairs of a column (sorted by column and block pair): pairs of rows that are in different components and near enough in size."""
-    names = ["shingle", "i", "j", "side", "row", "n", "root"]
+    """Block pairs of a column (sorted by column and block pair): pairs of rows in different components whose sizes, ranks and parities (where given) allow a link."""
+    names = ["shingle", "i", "j", "side", "row", "n", "rank", "root", "bits"]
     held: list[tuple] = []
+    part, whole = SIMILARITY
 
-    def pairs() -> pa.RecordBatch:
-        side, row, n, root = (np.array([x[k] for x in held], np.int64) for k in (3, 4, 5, 6))
+    def pairs() -> np.ndarray:
+        side, row, n, rank, root = (np.array([x[k] for x in held], np.int64) for k in range(3, 8))
         left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if held[0][1] != held[0][2] else (np.arange(len(held)),) * 2
-        ok = (root[left][:, None] != root[right][None, :]) & (least_size(np.maximum(n[left][:, None], n[right][None, :])) <= np.minimum(n[left][:, None], n[right][None, :]))
-        x, y = np.nonzero(ok)
-        a, b = row[left[x]], row[right[y]]
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        found = np.unique(np.column_stack([low, high]), axis=0) if len(low) else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+        # the first column that two linked rows share leaves room for their overlap after it
+        need = -(-part * (n[left][:, None] + n[right][None, :]) // (part + whole))
+        room = np.minimum((n - rank)[left][:, None], (n - rank)[right][None, :])
+        may = (root[left][:, None] != root[right][None, :]) & (need <= room)
+        if held[0][1] == held[0][2]:  # one block with itself: each pair once
+            may &= row[left][:, None] < row[right][None, :]
+        x, y = np.nonzero(may)
+        x, y = left[x], right[y]
+        if held[0][8] is not None and len(x):
+            keep = near_enough([r[8] for r in held], n, x, y)
+            x, y = x[keep], y[keep]
+        return np.column_stack([np.minimum(row[x], row[y]), np.maximum(row[x], row[y])])
 
     for batch in batches:
+        found = [np.zeros((0, 2), np.int64)]
         for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
             if held and held[-1][:3] != row[:3]:
-                yield pairs()
+                found.append(pairs())
                 held = []
             held.append(row)
+        found = np.unique(np.concatenate(found), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
     if held:
-        yield pairs()
+        found = np.unique(pairs(), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
 
-def cross_pairs(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """All pairs of rows that share a column, may link by size and are in different components, each once; ``BLOCK`` rows a side at a time."""
+def cross_pairs(shared: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """All pairs of rows that share a column, may link and are in different components, each once; ``BLOCK`` rows a side at a time."""
     spark = shared.sparkSession
-    placed = shared.select("shingle", "row", "n").distinct().join(roots, F.col("row") == F.col("node"), "left")
-    placed = written(placed.select("shingle", "row", "n", F.coalesce("root", "row").alias("root")), "ngram-placed")
-    several = placed.groupBy(F.col("shingle").alias("_s")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("root").alias("x"), F.max("root").alias("y"))
-    rows = placed.join(several.where("x < y").drop("x", "y"), F.col("shingle") == F.col("_s")).withColumn("k", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    placed = shared.select("shingle", "row", "n", "rank").distinct().join(roots, F.col("row") == F.col("node"), "left")
+    placed = written(placed.select("shingle", "row", "n", "rank", F.coalesce("root", "row").alias("root")), "ngram-placed")
+    several = placed.groupBy(F.col("shingle").alias("_s")).agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("x"), F.max("root").alias("y"))
+    several = several.where("x < y").select("_s", "rows", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
+    rows = placed.join(several, F.col("shingle") == F.col("_s")).withColumn("k", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    of = sets.select(F.col("row").alias("_row"), "bits")
+    rows = rows.where(F.col("rows") <= CROWD).withColumn("bits", F.lit(None).cast("binary")).unionByName(
+        rows.where(F.col("rows") > CROWD).join(of, F.col("row") == F.col("_row")).drop("_row")
+    )
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("k", o).alias("i"), F.greatest("k", o).alias("j"), (F.col("k") > o).cast("int").alias("side")))
-    dealt = rows.select("shingle", "row", "n", "root", F.explode(others).alias("o")).select("shingle", "o.i", "o.j", "o.side", "row", "n", "root")
+    dealt = rows.withColumn("o", F.explode(others)).select("shingle", "o.i", "o.j", "o.side", "row", "n", "rank", "root", "bits")
     dealt = dealt.repartition(partitions(spark), "shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
     return dealt.mapInArrow(_cross, "a long, b long").distinct()
 
@@ -297,7 +355,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     top = top.orderBy(F.col("n").desc(), "value").limit(FREQUENT).collect()  # at most FREQUENT rows
     frequent = np.array([r["value"] for r in reversed(top)], np.int64).view(np.uint64)
 
-    columns = texts.select("text").mapInArrow(_rare_parts(frequent), "shingle long, salt long, class long, row long, n long")
+    columns = texts.select("text").mapInArrow(_rare_parts(frequent), _RARE).withColumn("class", F.floor(F.log("n") / float(CLASS)))
     dealt = W.partitionBy("shingle", "salt")
     columns = columns.select("*", F.min("row").over(dealt).alias("least"), F.max("row").over(dealt).alias("most"), F.min("row").over(W.partitionBy("shingle", "salt", "class")).alias("head"))
     shared = written(columns.where("least < most OR salt >= 0").drop("least", "most"), "ngram-shared")
@@ -310,7 +368,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
     links = linked_pairs(pairs, sets, texts)
     roots = written(components(links), "ngram-roots")
-    more = linked_pairs(cross_pairs(shared, roots), sets, texts)
+    more = linked_pairs(cross_pairs(shared, roots, sets), sets, texts)
     same = known.where("id IS NOT NULL").groupBy("id").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a < b").select("a", "b")  # one doc_id, several sets
     roots = written(components(links.unionByName(more).unionByName(same)), "ngram-roots")
     labelled = known.join(roots, (F.col("row") == F.col("node")) & (F.col("n") > 0), "left")
