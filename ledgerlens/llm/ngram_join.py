@@ -28,6 +28,8 @@ SIMILARITY = (80, 100)
 BLOCK = 512
 #: Rows of a column from which on parities are compared before pairs are made.
 CROWD = 16
+#: Turns in which crowded columns are joined by stars.
+TURNS = 3
 #: Shingles that stand last in the order of rarity: so many at most, the most frequent ones found.
 FREQUENT = 1 << 17
 #: Shingles of a task whose counts are kept while it counts.
@@ -318,11 +320,28 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
 
-def cross_pairs(shared: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+def _placed(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of each column, each once, with the roots of their components."""
+    rows = shared.select("shingle", "class", "row", "n", "rank").distinct().join(roots, F.col("row") == F.col("node"), "left")
+    return written(rows.select("shingle", "class", "row", "n", "rank", F.coalesce("root", "row").alias("root")), "ngram-placed")
+
+
+def star_pairs(placed: DataFrame, turn: int) -> DataFrame:
+    """In each crowded column and size class: rows with two heads of other components, others in each turn. A few pairs a row, however many there are."""
+    key = F.xxhash64("row", F.lit(turn))
+    heads = placed.groupBy(F.col("shingle").alias("_s"), F.col("class").alias("_c")).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.min(F.struct(key.alias("k"), F.col("row").alias("head"), F.col("root").alias("other"))).alias("x"),
+        F.max(F.struct(key.alias("k"), F.col("row").alias("head"), F.col("root").alias("other"))).alias("y"),
+    )
+    heads = heads.where(F.col("rows") > CROWD).select("_s", "_c", F.explode(F.array("x", "y")).alias("h")).select("_s", "_c", "h.head", "h.other")
+    both = placed.join(heads, (F.col("shingle") == F.col("_s")) & (F.col("class") == F.col("_c"))).where("root != other")
+    return both.select(F.least("head", "row").alias("a"), F.greatest("head", "row").alias("b")).distinct()
+
+
+def cross_pairs(placed: DataFrame, sets: DataFrame) -> DataFrame:
     """All pairs of rows that share a column, may link and are in different components, each once; ``BLOCK`` rows a side at a time."""
-    spark = shared.sparkSession
-    placed = shared.select("shingle", "row", "n", "rank").distinct().join(roots, F.col("row") == F.col("node"), "left")
-    placed = written(placed.select("shingle", "row", "n", "rank", F.coalesce("root", "row").alias("root")), "ngram-placed")
+    spark = placed.sparkSession
     several = placed.groupBy(F.col("shingle").alias("_s")).agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("x"), F.max("root").alias("y"))
     several = several.where("x < y").select("_s", "rows", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
     rows = placed.join(several, F.col("shingle") == F.col("_s")).withColumn("k", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
@@ -367,8 +386,11 @@ def near_groups(docs: DataFrame) -> DataFrame:
     pairs = written(stars.unionByName(hot).distinct(), "ngram-pairs")
 
     links = linked_pairs(pairs, sets, texts)
+    for turn in range(1, TURNS + 1):  # large groups grow together; what is left apart is compared in full below
+        roots = written(components(links), "ngram-roots")
+        links = links.unionByName(linked_pairs(star_pairs(_placed(shared, roots), turn), sets, texts))
     roots = written(components(links), "ngram-roots")
-    more = linked_pairs(cross_pairs(shared, roots, sets), sets, texts)
+    more = linked_pairs(cross_pairs(_placed(shared, roots), sets), sets, texts)
     same = known.where("id IS NOT NULL").groupBy("id").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a < b").select("a", "b")  # one doc_id, several sets
     roots = written(components(links.unionByName(more).unionByName(same)), "ngram-roots")
     labelled = known.join(roots, (F.col("row") == F.col("node")) & (F.col("n") > 0), "left")
