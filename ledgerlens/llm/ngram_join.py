@@ -264,10 +264,14 @@ def linked_pairs(pairs: DataFrame, known: DataFrame, texts: DataFrame) -> DataFr
     return written(dealt.select("head", "block", "row", "members").mapInArrow(_product, "a long, b long"), "ngram-links")
 
 
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, root``: the smallest node that each node of the edges (``a, b``) is joined with, by alternating large and small stars."""
     edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "ngram-edges")
-    seen = None
+    seen = _state(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("w")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -277,7 +281,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, F.col("u") == F.col("w"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         edges = written(small.where("u > v").distinct(), "ngram-small")
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        state = _state(edges)
         if state == seen:
             break
         seen = state
@@ -388,7 +392,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
     links = linked_pairs(pairs, sets, texts)
     for turn in range(1, TURNS + 1):  # large groups grow together; what is left apart is compared in full below
         roots = written(components(links), "ngram-roots")
-        links = links.unionByName(linked_pairs(star_pairs(_placed(shared, roots), turn), sets, texts))
+        pairs = written(star_pairs(_placed(shared, roots), turn), "ngram-pairs")
+        if pairs.isEmpty():
+            break
+        links = links.unionByName(linked_pairs(pairs, sets, texts))
     roots = written(components(links), "ngram-roots")
     more = linked_pairs(cross_pairs(_placed(shared, roots), sets), sets, texts)
     same = known.where("id IS NOT NULL").groupBy("id").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a < b").select("a", "b")  # one doc_id, several sets
