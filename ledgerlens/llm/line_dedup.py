@@ -72,27 +72,22 @@ def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
 
     Lines end at a line feed. Lines of white space alone take no part and stay. A null text stays null; texts with fewer than ``run`` counted lines stay as they
     are. Rows that repeat a doc_id and its text are one place; rows that share only the doc_id are ordered by the hash of their text.
-    A null doc_id comes first. Other columns, of whatever name, pass through. Empty table: no rows.
+    A null doc_id comes first. Other columns pass through, but for two of the names that are added. Empty table: no rows.
     """
     starts = repeated_windows(docs, run).select(F.col("doc_id").alias("_doc"), F.col("_h").alias("_hash"), F.col("starts").alias("_starts"))
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).select(
         "_row", F.col("_row.text").alias("text"), F.col("_row.doc_id").alias("_id"), F.xxhash64("_row.text").alias("_h")
     )
     rows = own.join(starts, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_h") == F.col("_hash")), "left")
-    rows = rows.withColumn("_lines", _lines()).withColumn("_counted", _counted(F.col("_lines")))
+    # lines are split once a row: a generator keeps the optimizer from putting the expressions into one another
+    rows = rows.select("_row", "_starts", F.explode(F.array(_lines())).alias("_lines"))
+    rows = rows.select("_row", "_starts", "_lines", F.explode(F.array(_counted(F.col("_lines")))).alias("_counted"))
     gone = F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + run - 1))))
-    rows = rows.withColumn("_gone", F.transform(gone, lambda k: F.element_at("_counted", k + 1)))
+    gone = F.coalesce(F.transform(gone, lambda k: F.element_at("_counted", k + 1)), F.array().cast("array<int>"))
+    rows = rows.select("_row", "_starts", "_lines", F.size("_counted").cast("long").alias("n_lines"), F.explode(F.array(gone)).alias("_gone"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
     rest = F.array_join(F.transform(kept, lambda i: F.element_at("_lines", i + 1)), "\n")
-    rows = rows.select(
-        "_row",
-        F.when(F.col("_starts").isNull(), F.col("text")).otherwise(rest).alias("_new"),
-        F.size("_counted").cast("long").alias("_n"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_m"),
-    )
-    columns = [F.col("_new").alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns]
-    return rows.select(
-        *columns,
-        F.col("_n").alias("n_lines"),
-        F.when(F.col("_m") < 0, F.lit(0)).otherwise(F.col("_m")).cast("long").alias("n_removed"),
-    )
+    new = F.when(F.col("_starts").isNull(), F.col("_row.text")).otherwise(rest)
+    rows = rows.select("_row", "n_lines", F.size("_gone").cast("long").alias("n_removed"), F.explode(F.array(new)).alias("_new"))
+    columns = [F.col("_new").alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return rows.select(*columns, "n_lines", "n_removed")
