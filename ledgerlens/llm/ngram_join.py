@@ -332,14 +332,16 @@ def _placed(shared: DataFrame, roots: DataFrame) -> DataFrame:
 
 def star_pairs(placed: DataFrame, turn: int) -> DataFrame:
     """In each crowded column and size class: rows with two heads of other components, others in each turn. A few pairs a row, however many there are."""
-    key = F.xxhash64("row", F.lit(turn))
+    head = F.struct(F.xxhash64("row", F.lit(turn)).alias("k"), F.col("row").alias("head"), F.col("root").alias("other"), F.col("n").alias("m"), (F.col("n") - F.col("rank")).alias("left"))
     heads = placed.groupBy(F.col("shingle").alias("_s"), F.col("class").alias("_c")).agg(
         F.count(F.lit(1)).alias("rows"),
-        F.min(F.struct(key.alias("k"), F.col("row").alias("head"), F.col("root").alias("other"))).alias("x"),
-        F.max(F.struct(key.alias("k"), F.col("row").alias("head"), F.col("root").alias("other"))).alias("y"),
+        F.min(head).alias("x"),
+        F.max(head).alias("y"),
     )
-    heads = heads.where(F.col("rows") > CROWD).select("_s", "_c", F.explode(F.array("x", "y")).alias("h")).select("_s", "_c", "h.head", "h.other")
-    both = placed.join(heads, (F.col("shingle") == F.col("_s")) & (F.col("class") == F.col("_c"))).where("root != other")
+    heads = heads.where(F.col("rows") > CROWD).select("_s", "_c", F.explode(F.array("x", "y")).alias("h")).select("_s", "_c", "h.head", "h.other", "h.m", "h.left")
+    part, whole = SIMILARITY
+    room = part * (F.col("n") + F.col("m")) <= (part + whole) * F.least(F.col("n") - F.col("rank"), F.col("left"))
+    both = placed.join(heads, (F.col("shingle") == F.col("_s")) & (F.col("class") == F.col("_c")) & (F.col("root") != F.col("other")) & room)
     return both.select(F.least("head", "row").alias("a"), F.greatest("head", "row").alias("b")).distinct()
 
 
