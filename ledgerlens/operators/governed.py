@@ -13,8 +13,6 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.session import spread
-
 # Words a read-only statement must not contain.
 BLOCKED_WORDS = [
     "INSERT",
@@ -101,7 +99,7 @@ def blocked_reason(sql_text: Column) -> Column:
 
 def review_statements(df: DataFrame, sql_col: str = "sql_text") -> DataFrame:
     """Add ``allowed`` and ``reason`` to a table of statements; no statement is run."""
-    text = spread(df).withColumn("_text", F.trim(normalised(F.coalesce(F.col(sql_col), F.lit("")))))
+    text = df.withColumn("_text", F.trim(normalised(F.coalesce(F.col(sql_col), F.lit("")))))
     out = text.withColumn("_bare", _bare(F.col("_text"))).withColumn("reason", _reason(F.col("_text"), F.col("_bare")))
     return out.withColumn("allowed", F.col("reason").isNull()).drop("_text", "_bare")
 
@@ -111,13 +109,13 @@ def limited(df: DataFrame, policy: Policy, requested: int | None = None) -> Data
     return df.limit(policy.cap(requested))
 
 
-def masked(df: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """Replace non-null cells of the named columns (any case) by a fixed text; nulls stay null."""
+def masked(df: DataFrame, fields: tuple[str, ...], places: frozenset[int] = frozenset()) -> DataFrame:
+    """Replace non-null cells of the columns named (any case) or at the places given by a fixed text; nulls stay null."""
     hidden = {f.lower() for f in fields}
     return df.select(
         *[
-            F.when(F.col(f"`{c}`").isNotNull(), F.lit(MASK)).alias(c) if c.lower() in hidden else F.col(f"`{c}`")
-            for c in df.columns
+            F.when(F.col(f"`{c}`").isNotNull(), F.lit(MASK)).alias(c) if c.lower() in hidden or i in places else F.col(f"`{c}`")
+            for i, c in enumerate(df.columns)
         ]
     )
 
@@ -131,6 +129,76 @@ class TableNotAllowed(Exception):
     """A statement names a table outside the allowed ones."""
 
 
+# Parts of an analysed statement that bring rows without a table, that run outside code, and that pair columns by place.
+ROWLESS = {"OneRowRelation", "LocalRelation", "CTERelationRef", "Range"}
+OUTSIDE_CODE = {"CallMethodViaReflection", "TryReflect", "ScriptTransformation"}
+BY_PLACE = {"Union", "Intersect", "Except"}
+
+
+def _items(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _ids(attributes) -> list[int]:
+    return [a.exprId().id() for a in _items(attributes)]
+
+
+def _plan_nodes(plan, tables: set[str]) -> list:
+    """Nodes of an analysed plan, subqueries included, down to the allowed tables' own views."""
+    if plan.nodeName() == "View":
+        name = plan.desc().identifier()
+        if plan.isTempView() and name.database().isEmpty() and name.table().lower() in tables:
+            return [plan]
+        raise TableNotAllowed(f"not an allowed table: {name.table()}")
+    below = [*_items(plan.children()), *_items(plan.innerChildren())]
+    if plan.children().size() == 0 and plan.nodeName() not in ROWLESS:
+        raise TableNotAllowed("the statement reads something that is not an allowed table")
+    return [plan, *[n for b in below for n in _plan_nodes(b, tables)]]
+
+
+def _expressions(expression) -> list:
+    return [expression, *[e for c in _items(expression.children()) for e in _expressions(c)]]
+
+
+def _hidden_places(plan, nodes: list, fields: set[str]) -> frozenset[int]:
+    """Places of the result's columns that are made from a masked column under whatever name."""
+    hidden = {a.exprId().id() for n in nodes if n.nodeName() == "View" for a in _items(n.output()) if a.name().lower() in fields}
+    named = {n.id(): _ids(n.child().output()) for n in nodes if n.nodeName() == "CTERelationDef"}
+
+    def made_from_hidden(expression) -> bool:
+        for e in _expressions(expression):
+            if e.nodeName() == "AttributeReference" and e.exprId().id() in hidden:
+                return True
+            if e.nodeName() in {"ScalarSubquery", "OuterReference"}:
+                inner = _ids(e.plan().output()) if e.nodeName() == "ScalarSubquery" else [e.e().exprId().id()]
+                if hidden.intersection(inner):
+                    return True
+        return False
+
+    grown = -1
+    while grown != len(hidden):
+        grown = len(hidden)
+        for n in nodes:
+            kind, output = n.nodeName(), _ids(n.output())
+            if kind == "View":
+                continue
+            if kind == "CTERelationRef":
+                hidden.update(i for i, source in zip(output, named.get(n.cteId(), []), strict=False) if source in hidden)
+                continue
+            below = [_ids(c.output()) for c in _items(n.children())]
+            if kind in BY_PLACE:
+                hidden.update(i for k, i in enumerate(output) if any(b[k] in hidden for b in below))
+                continue
+            aliases = {e.exprId().id(): e for x in _items(n.expressions()) for e in _expressions(x) if e.nodeName() == "Alias"}
+            passed = {i for b in below for i in b}
+            for i in output:
+                if i in aliases and made_from_hidden(aliases[i]):
+                    hidden.add(i)
+                elif i not in aliases and i not in passed and passed & hidden:
+                    hidden.add(i)
+    return frozenset(k for k, i in enumerate(_ids(plan.output())) if i in hidden)
+
+
 class ReadOnlyGateway:
     """Runs checked statements in a child session that knows only the allowed tables."""
 
@@ -145,6 +213,7 @@ class ReadOnlyGateway:
         self.child.conf.set("spark.sql.session.timeZone", "UTC")
         self.child.conf.set("spark.sql.runSQLOnFiles", "false")
         self._shared: list[str] = []
+        self._tables = {name.lower() for name in allowed if name in tables}
         for name in allowed:
             if name in tables:
                 # a frame reaches another session through a global view under a name nobody can guess
@@ -172,7 +241,13 @@ class ReadOnlyGateway:
             ):
                 raise TableNotAllowed(str(error)) from error
             raise
-        return masked(limited(df, self.policy, max_rows), self.policy.mask_fields)
+        plan = df._jdf.queryExecution().analyzed()
+        nodes = _plan_nodes(plan, self._tables)
+        calls = {e.nodeName() for n in nodes if n.nodeName() != "View" for x in _items(n.expressions()) for e in _expressions(x)}
+        if OUTSIDE_CODE & (calls | {n.nodeName() for n in nodes}):
+            raise PermissionError("Calls of outside code are not allowed.")
+        places = _hidden_places(plan, nodes, {f.lower() for f in self.policy.mask_fields})
+        return masked(limited(df, self.policy, max_rows), self.policy.mask_fields, places)
 
     def cached(self, sql: str, max_rows: int | None = None) -> DataFrame:
         """The same request (white space aside) is computed once per gateway."""
@@ -200,7 +275,7 @@ class ReadOnlyGateway:
         except (PermissionError, TableNotAllowed) as error:
             status, reason = "blocked", str(error)
         except PySparkException as error:
-            status, reason = "failed", str(error)[:500]
+            status, reason = "failed", str(error)
         entry = {
             "id": hashlib.sha256(f"{start}|{sql}".encode()).hexdigest()[:16],
             "sql_text": sql,

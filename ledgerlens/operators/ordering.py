@@ -1,8 +1,7 @@
 """Exact order statistics without pulling a whole group into one task.
 
-Rows are first combined per distinct value. Small inputs (by the optimizer's size estimate) then use one window or the
-built-in percentile. Larger ones are range-partitioned on (group, value) and written to the shared folder; per-slice
-totals give each slice its offset, and windows run inside a slice only. Both forms give the same numbers.
+Rows are first combined per distinct value, range-partitioned on (group, value) and written to the shared folder; per-slice
+totals give each slice its offset, and windows run inside a slice only. Inputs of every size take this one form.
 """
 
 from __future__ import annotations
@@ -13,20 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerlens.session import cut_lineage, is_small
+from ledgerlens.session import cut_lineage
 
 
-def running_totals(
-    cells: DataFrame, by: list[str], order: str, sums: list[str], descending: bool = False, small: bool | None = None
-) -> DataFrame:
+def running_totals(cells: DataFrame, by: list[str], order: str, sums: list[str], descending: bool = False) -> DataFrame:
     """Add ``cum_<s>`` (inclusive running sum) per group in the order of ``order``.
 
     ``cells`` holds one row per (by, order).
     """
     direction = F.col(order).desc() if descending else F.col(order).asc()
-    if is_small(cells) if small is None else small:
-        w = W.partitionBy(*by).orderBy(direction).rowsBetween(W.unboundedPreceding, 0)
-        return cells.select("*", *[F.sum(s).over(w).alias(f"cum_{s}") for s in sums])
     sliced = cut_lineage(
         cells.repartitionByRange(*[F.col(b) for b in by], direction).withColumn("_slice", F.spark_partition_id())
     )
@@ -50,25 +44,14 @@ def _join_nullsafe(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def exact_quantiles(
-    df: DataFrame, by: list[str], value: str, probs: list[float], weight: str | None = None, small: bool | None = None
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], weight: str | None = None) -> DataFrame:
     """Linearly interpolated quantiles: rows (by…, prob, quantile); nulls are left out."""
     rows = df.where(F.col(value).isNotNull())
     levels = F.array(*[F.lit(float(p)) for p in probs])
-    use_small = is_small(df) if small is None else small
-    if use_small:
-        if weight is None:
-            # equal values combine in generated code first; the percentile buffer then sees each of them once
-            rows, weight = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_w")), "_w"
-        agg = rows.groupBy(*by).agg(F.percentile(value, levels, F.col(weight)).alias("_q")).where(F.col("_q").isNotNull())
-        return agg.select(*by, F.posexplode("_q").alias("_i", "quantile")).select(
-            *by, F.element_at(levels, F.col("_i") + 1).alias("prob"), "quantile"
-        )
     amount = F.sum(weight) if weight else F.count(F.lit(1))
     cells = rows.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(amount.alias("_n"))
-    ranked = running_totals(cells, by, "_v", ["_n"], small=False)
-    size = cells.groupBy(*by).agg(F.sum("_n").alias("_size"))
+    ranked = running_totals(cells, by, "_v", ["_n"])
+    size = ranked.groupBy(*by).agg(F.max("cum__n").alias("_size"))
     joined = _join_nullsafe(ranked, size, by) if by else ranked.withColumn("_size", size.scalar())
     # each wanted rank falls into one cell; keep the cells that hold the lower or the upper rank
     holds = lambda rank: (F.col("cum__n") > rank) & (F.col("cum__n") - F.col("_n") <= rank)
@@ -90,9 +73,9 @@ def exact_quantiles(
     )
 
 
-def global_quantiles(df: DataFrame, value: str, probs: list[float], small: bool | None = None) -> list[Column]:
+def global_quantiles(df: DataFrame, value: str, probs: list[float]) -> list[Column]:
     """Quantiles of the whole column as scalar expressions, usable in any other frame's plan."""
-    q = exact_quantiles(df, [], value, probs, small=small)
+    q = exact_quantiles(df, [], value, probs)
     return [q.where(F.col("prob") == float(p)).select("quantile").scalar() for p in probs]
 
 

@@ -247,11 +247,11 @@ def parse_log(lines: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
-def problem_lines(parsed: DataFrame, start: Column, end: Column) -> DataFrame:
-    """ERROR and WARNING lines in a time window, one per (time, level, first 80 characters), the smallest file name kept."""
+def problem_lines(parsed: DataFrame, start: Column, end: Column, head: int | None = None) -> DataFrame:
+    """ERROR and WARNING lines in a time window, one per (time, level, message or its first ``head`` characters), the smallest file name kept."""
     at = F.to_timestamp_ntz("time", F.lit("yyyy-MM-dd HH:mm:ss.SSS"))
     hits = parsed.where(F.col("level").isin("ERROR", "WARNING") & at.between(start, end))
-    key = F.substring("message", 1, 80)
+    key = F.col("message") if head is None else F.substring("message", 1, head)
     return hits.groupBy("time", "level", key.alias("head")).agg(
         F.min_by("message", F.struct("file", "message")).alias("message"), F.min("file").alias("file"), F.count(F.lit(1)).alias("copies")
     )
@@ -265,9 +265,10 @@ def log_rollup(parsed: DataFrame) -> DataFrame:
     return agg.select("level", "file", "lines", F.round(span, 1).alias("seconds"))
 
 
-def failed_actions(actions: DataFrame, output: str = "output") -> DataFrame:
-    """Failed actions with the first 1000 characters of their output, the form reports show."""
-    return actions.where(F.coalesce(~F.col("success"), F.lit(False))).select("run_id", "event_id", "name", F.substring(output, 1, 1000).alias("output"))
+def failed_actions(actions: DataFrame, output: str = "output", head: int | None = None) -> DataFrame:
+    """Failed actions with their output, or its first ``head`` characters for reports."""
+    shown = F.col(output) if head is None else F.substring(output, 1, head)
+    return actions.where(F.coalesce(~F.col("success"), F.lit(False))).select("run_id", "event_id", "name", shown.alias("output"))
 
 
 def session_bounds(events: DataFrame, by: list[str], margin_s: int = 60) -> DataFrame:

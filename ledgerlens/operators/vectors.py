@@ -25,11 +25,10 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
-    """The ``k`` most similar vectors per query: rows (query_id, rank, vec_id, score).
+def similarities(vectors: DataFrame, queries: DataFrame, threshold: float | None = None, k: int | None = None) -> DataFrame:
+    """Vectors at or above a threshold per query, all of them unless ``k`` bounds those of a batch: rows (query_id, vec_id, score).
 
-    ``vectors(vec_id, embedding)`` are read once and never shuffled: each batch is multiplied with the query matrix and sends
-    on at most ``k`` rows per query. The query side must fit its size bound; larger query sets go through in several calls.
+    ``vectors(vec_id, embedding)`` are read once and never shuffled: each batch is multiplied with the query matrix and only hits leave it. The query side must fit its size bound; larger query sets go through in several calls.
     """
     rows = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("embedding").cast("array<double>").alias("e"))
     size = rows.agg(F.sum(F.size("e")).alias("n")).first().n or 0
@@ -55,7 +54,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, threshold: float | Non
                 out.append(pd.DataFrame({"query_id": ids[j], "vec_id": batch["vec_id"].to_numpy()[order], "score": s[order]}))
             yield pd.concat(out, ignore_index=True)
 
-    partial = vectors.select("vec_id", "embedding").mapInPandas(score, "query_id string, vec_id bigint, score double")
+    return vectors.select("vec_id", "embedding").mapInPandas(score, "query_id string, vec_id bigint, score double")
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
+    """The ``k`` most similar vectors per query: rows (query_id, rank, vec_id, score); a batch sends on at most ``k`` rows per query."""
+    partial = similarities(vectors, queries, threshold, k)
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -108,7 +108,7 @@ _CODE = "CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'view' THE
 
 @query(
     "X05_result_vote",
-    f"""WITH r AS (SELECT user_id, event_type, string_agg(DISTINCT day, ',' ORDER BY day) AS res, (user_id // 30) AS task FROM (SELECT user_id, event_type, isodow(ts)::VARCHAR AS day FROM events WHERE value > 60) GROUP BY 1, 2),
+    f"""WITH r AS (SELECT user_id, event_type, string_agg(DISTINCT day, ',' ORDER BY day) AS res, (user_id // 30) AS task FROM (SELECT user_id, event_type, isodow(ts)::VARCHAR AS day FROM events) GROUP BY 1, 2),
          c AS (SELECT task, res, user_id * 10 + {_CODE} AS candidate, 'SELECT ' || event_type AS sql FROM r),
          v AS (SELECT task, res, count(*) AS votes, min((length(sql), candidate)) AS b, min(candidate) AS f FROM c GROUP BY 1, 2)
        SELECT task, votes, b[2] AS winner FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY votes DESC, f) AS rn FROM v) WHERE rn = 1""".replace(
@@ -116,8 +116,7 @@ _CODE = "CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'view' THE
     ),
 )
 def x05(t):
-    big = t.events.where("value > 60")
-    rows = big.select(F.expr(f"user_id * 10 + {_CODE}").alias("candidate"), "user_id", "event_type", F.weekday("ts").alias("day"))
+    rows = t.events.select(F.expr(f"user_id * 10 + {_CODE}").alias("candidate"), "user_id", "event_type", F.weekday("ts").alias("day"))
     candidates = rows.select("candidate", F.expr("user_id div 30").alias("task"), F.concat(F.lit("SELECT "), "event_type").alias("sql")).distinct()
     prints = e.result_fingerprints(rows, "candidate", ["day"])
     return e.vote(candidates, prints, "candidate", "sql", ["task"])

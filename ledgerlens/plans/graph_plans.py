@@ -179,8 +179,7 @@ def n09(t):
 )
 def n10(t):
     probe = t.embeddings.where("vec_id = 0").select(F.lit("q").alias("query_id"), "embedding")
-    n = t.embeddings.count()
-    hits = vec.top_k(t.embeddings, probe, n, 0.2).select(F.concat(F.lit("part:"), F.col("vec_id").cast("string")).alias("id"), F.col("score").alias("similarity"))
+    hits = vec.similarities(t.embeddings, probe, 0.2).select(F.concat(F.lit("part:"), F.col("vec_id").cast("string")).alias("id"), F.col("score").alias("similarity"))
     out = g.search_nodes(derived.nodes(t), "asia small, economy ring building market", hits)
     return out.withColumn("score", F.round("score", 6))
 

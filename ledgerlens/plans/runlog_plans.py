@@ -138,7 +138,7 @@ def a25(t):
 
 @query(
     "L02_problem_lines",
-    f"""WITH {LOGS} SELECT time, level, substr(message, 1, 80) AS head, arg_min(message, (file, message)) AS message, min(file) AS file, count(*) AS copies FROM lg
+    f"""WITH {LOGS} SELECT time, level, message AS head, arg_min(message, (file, message)) AS message, min(file) AS file, count(*) AS copies FROM lg
         WHERE level IN ('ERROR', 'WARNING') AND time::TIMESTAMP BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20' GROUP BY 1, 2, 3""",
 )
 def l02(t):
@@ -247,7 +247,7 @@ def l01(t):
     return r.anomalies(models(t))
 
 
-@query("L03_failed_actions", f"WITH {L} SELECT run_id, event_id, name, substr(output, 1, 1000) AS output FROM e WHERE NOT success AND kind = 'tool'")
+@query("L03_failed_actions", f"WITH {L} SELECT run_id, event_id, name, output FROM e WHERE NOT success AND kind = 'tool'")
 def l03(t):
     return r.failed_actions(log(t).where("kind = 'tool'"))
 

@@ -11,16 +11,21 @@ from ledgerlens.session import scratch_path
 from ledgerlens.streaming import jobs as z
 
 
-# The days at which one arrival of event files ends and the next begins.
-ARRIVALS = ["2024-01-01", "2024-01-07", "2024-01-13", "2024-01-19", "2024-01-25", "2024-02-01"]
+ARRIVALS = 5
 
 
 def source(t, df, label):
-    """Event files that arrive in time order, one span of days after the other, and the stream over them."""
+    """Event files that arrive in time order, one span of the data's own time after the other, and the stream over them.
+
+    Events without a time arrive last.
+    """
     path = scratch_path(t.spark, label)
-    for start, end in zip(ARRIVALS, ARRIVALS[1:]):
-        span = df.where((F.col("ts") >= F.lit(start).cast("timestamp")) & (F.col("ts") < F.lit(end).cast("timestamp")))
-        span.write.mode("append").parquet(path)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    first, last = df.agg(F.min(at), F.max(at)).first()
+    first, last = first or 0, last or 0
+    span = F.coalesce(F.floor((at - first) * ARRIVALS / (last - first + 1)), F.lit(ARRIVALS - 1))
+    for k in range(ARRIVALS):
+        df.where(F.least(span, F.lit(ARRIVALS - 1)) == k).write.mode("append").parquet(path)
     return path, z.event_stream(t.spark, path, df.schema, 2)
 
 
@@ -116,14 +121,14 @@ def z05(t):
 
 @query(
     "Z06_minute_rollup",
-    f"""WITH a AS ({d.AUDIT_SQL}), g AS (SELECT epoch_us(ts) // 3600000000 * 3600000000 AS window_us, count(*) AS runs, count(*) FILTER (WHERE status = 'blocked') AS blocked, count(*) FILTER (WHERE status = 'failed') AS failed,
-          round(max(elapsed_ms), 4) AS max_ms FROM a GROUP BY 1) SELECT * FROM g WHERE window_us + 3600000000 <= (SELECT max(epoch_us(ts)) FROM a) - 600000000""",
+    f"""WITH a AS ({d.AUDIT_SQL}), g AS (SELECT epoch_us(ts) // 60000000 * 60000000 AS window_us, count(*) AS runs, count(*) FILTER (WHERE status = 'blocked') AS blocked, count(*) FILTER (WHERE status = 'failed') AS failed,
+          round(max(elapsed_ms), 4) AS max_ms FROM a GROUP BY 1) SELECT * FROM g WHERE window_us + 60000000 <= (SELECT max(epoch_us(ts)) FROM a) - 600000000""",
 )
 def z06(t):
     audit = d.audit(t).select(z.with_zone("ts").alias("ts"), "status", "elapsed_ms")
     _, stream = source(t, audit, "z06")
     out, state = scratch_path(t.spark, "z06-out"), scratch_path(t.spark, "z06-state")
     with local_state(t):
-        z.append_files(z.minute_rollup(stream, "ts", width="1 hour"), out, state)
+        z.append_files(z.minute_rollup(stream, "ts"), out, state)
     back = t.spark.read.parquet(out)
     return back.select(F.unix_micros("w.start").alias("window_us"), "runs", "blocked", "failed", F.round("max_ms", 4).alias("max_ms"))

@@ -1,4 +1,4 @@
-"""Session settings, durable scratch space and the size checks the operators share."""
+"""Session settings and the durable scratch space the operators share."""
 
 from __future__ import annotations
 
@@ -8,11 +8,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Frames whose source files stay below this many bytes may use the one-pass forms
-# (built-in percentile, one window); larger ones take the range-partitioned forms.
-SMALL_INPUT_KEY = "spark.ledgerlens.smallInputBytes"
-SMALL_INPUT_DEFAULT = 32 * 1024 * 1024
-
 _RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -79,27 +74,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
-
-
-def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of a frame."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def is_small(df: DataFrame) -> bool:
-    """True when the optimizer's estimate stays below the small-input limit."""
-    limit = int(df.sparkSession.conf.get(SMALL_INPUT_KEY, str(SMALL_INPUT_DEFAULT)))
-    return plan_bytes(df) <= limit
-
-
-def spread(df: DataFrame, least: int = 1024 * 1024) -> DataFrame:
-    """Give small one-file inputs to all cores before heavy work per row.
-
-    A file with one row group is one task however many cores there are. Inputs above the small-input limit come in many
-    splits already and pass unchanged, so no large shuffle is ever added.
-    """
-    spark = df.sparkSession
-    limit = int(spark.conf.get(SMALL_INPUT_KEY, str(SMALL_INPUT_DEFAULT)))
-    if least <= plan_bytes(df) <= limit:
-        return df.repartition(min(spark.sparkContext.defaultParallelism, 64))
-    return df

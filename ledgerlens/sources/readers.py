@@ -45,10 +45,13 @@ def read_directory(spark: SparkSession, path: str, fmt: str = "parquet", registe
     return tables
 
 
-def read_documents(spark: SparkSession, path: str, sample: int = 20) -> DataFrame:
-    """JSON lines. Field types come from a sample; nested values are kept as their JSON text."""
-    lines = [r.value for r in spark.read.text(path).limit(sample).collect()]
-    inferred = spark.read.json(spark.sparkContext.parallelize(lines, 1)).schema
+def read_documents(spark: SparkSession, path: str, sample: int | None = None) -> DataFrame:
+    """JSON lines. Field types come from all lines, or from ``sample`` of them; nested values are kept as their JSON text."""
+    if sample is None:
+        inferred = spark.read.json(path).schema
+    else:
+        lines = [r.value for r in spark.read.text(path).limit(sample).collect()]
+        inferred = spark.read.json(spark.sparkContext.parallelize(lines, 1)).schema
     fields = [
         T.StructField(f.name, T.StringType() if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)) else f.dataType)
         for f in inferred.fields

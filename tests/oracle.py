@@ -77,8 +77,6 @@ def session():
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    if os.environ.get("SMALL_INPUT_BYTES"):
-        spark.conf.set("spark.ledgerlens.smallInputBytes", os.environ["SMALL_INPUT_BYTES"])
     return spark
 
 

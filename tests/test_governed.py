@@ -53,6 +53,32 @@ def test_gateway(spark, tmp_path):
     gate.release()
 
 
+def test_gateway_is_closed(spark):
+    t = spark.createDataFrame([(1, "a"), (2, None)], "id int, secret string")
+    spark.range(3).createOrReplaceGlobalTempView("pay")
+    gate = g.ReadOnlyGateway({"t": t}, g.Policy(mask_fields=("secret",), allow_tables=("t",)))
+    refused = [
+        "SELECT * FROM global_temp.pay", "WITH t2 AS (SELECT * FROM global_temp.pay) SELECT * FROM t2", "SELECT id, (SELECT max(id) FROM global_temp.pay) AS m FROM t",
+        "SELECT * FROM IDENTIFIER('global_temp.' || 'pay')", "SELECT id FROM t WHERE id IN (SELECT id FROM global_temp.pay)",
+        "SELECT reflect('java.lang.System', 'getProperty', 'user.home') AS x", "SELECT java_method('java.lang.System', 'getProperty', 'user.home') AS x FROM t",
+        "SELECT try_reflect('java.lang.System', 'getProperty', 'user.home') AS x",
+    ]
+    for sql in refused:
+        with pytest.raises((g.TableNotAllowed, PermissionError)):
+            gate.run(sql)
+    shown = {
+        "SELECT secret AS b FROM t WHERE id = 1", "SELECT upper(secret) AS b FROM t WHERE id = 1", "SELECT max(secret) AS b FROM t",
+        "WITH c AS (SELECT secret AS b, id FROM t) SELECT b FROM c WHERE id = 1", "SELECT (SELECT max(secret) FROM t) AS b",
+        "SELECT b FROM (SELECT 'x' AS b WHERE false UNION ALL SELECT secret FROM t WHERE id = 1)", "SELECT explode(split(secret, ',')) AS b FROM t",
+        "SELECT first_value(secret) OVER (ORDER BY id) AS b FROM t LIMIT 1",
+    }
+    for sql in shown:
+        assert [r.b for r in gate.run(sql).collect()] == [g.MASK], sql
+    assert [r.n for r in gate.run("WITH c AS (SELECT id + 1 AS n FROM t) SELECT n FROM c ORDER BY n").collect()] == [2, 3]
+    gate.release()
+    spark.catalog.dropGlobalTempView("pay")
+
+
 def test_policy_caps():
     p = g.Policy()
     assert (p.cap(None), p.cap(5), p.cap(99999), p.cap(0)) == (100, 5, 1000, 100)

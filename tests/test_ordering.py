@@ -1,11 +1,10 @@
-"""Order statistics: both forms against brute force, also with a value that fills a third of the rows."""
+"""Order statistics against brute force, also with a value that fills a third of the rows."""
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import ordering as o
-from ledgerlens.session import SMALL_INPUT_KEY
 
 
 def skewed(spark):
@@ -14,40 +13,46 @@ def skewed(spark):
     return values, spark.createDataFrame([*values, ("cold", None)], "g string, x double").repartition(5)
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_exact_quantiles(spark, small):
+def test_exact_quantiles(spark):
     values, df = skewed(spark)
     probs = [0.0, 0.1, 0.5, 0.9, 1.0]
-    got = {(r.g, r.prob): r.quantile for r in o.exact_quantiles(df, ["g"], "x", probs, small=small).collect()}
+    got = {(r.g, r.prob): r.quantile for r in o.exact_quantiles(df, ["g"], "x", probs).collect()}
     for g in ("hot", "cold"):
         xs = [x for k, x in values if k == g]
         for p in probs:
             assert abs(got[g, p] - np.quantile(xs, p)) < 1e-9, (g, p)
-    whole = {r.prob: r.quantile for r in o.exact_quantiles(df, [], "x", [0.25], small=small).collect()}
+    whole = {r.prob: r.quantile for r in o.exact_quantiles(df, [], "x", [0.25]).collect()}
     assert abs(whole[0.25] - np.quantile([x for _, x in values], 0.25)) < 1e-9
 
 
-@pytest.mark.parametrize("small", [True, False])
 @pytest.mark.parametrize("descending", [True, False])
-def test_running_totals(spark, small, descending):
+def test_running_totals(spark, descending):
     _, df = skewed(spark)
     cells = df.where("x is not null").groupBy("g", "x").agg(F.count(F.lit(1)).alias("n"))
-    got = {(r.g, r.x): r.cum_n for r in o.running_totals(cells, ["g"], "x", ["n"], descending, small=small).collect()}
+    got = {(r.g, r.x): r.cum_n for r in o.running_totals(cells, ["g"], "x", ["n"], descending).collect()}
     rows = cells.collect()
     for r in rows:
         want = sum(s.n for s in rows if s.g == r.g and (s.x >= r.x if descending else s.x <= r.x))
         assert got[r.g, r.x] == want
 
 
-def test_large_form_has_no_whole_group_window(spark):
+def test_no_window_over_a_whole_group(spark):
     _, df = skewed(spark)
     cells = df.where("x is not null").groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-    spark.conf.set(SMALL_INPUT_KEY, "0")
+    plan = o.running_totals(cells, [], "x", ["n"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "_slice" in plan and "LogicalRDD" in plan
+
+
+def test_a_group_over_many_slices(spark):
+    df = spark.range(20_000).select(F.lit("hot").alias("g"), (F.col("id") * 7919 % 20_000).cast("double").alias("x"))
+    cells = df.groupBy("g", "x").agg(F.count(F.lit(1)).alias("n"))
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")  # slices of a few rows are joined otherwise
     try:
-        plan = o.running_totals(cells, [], "x", ["n"])._jdf.queryExecution().optimizedPlan().toString()
+        out = o.running_totals(cells, ["g"], "x", ["n"])
+        assert out.where("cum_n <> x + 1").count() == 0 and out.count() == 20_000
     finally:
-        spark.conf.unset(SMALL_INPUT_KEY)
-    assert "_slice" in plan and "LogicalRDD" in plan
+        spark.conf.set(key, "true")
 
 
 def test_hash_rank_select(spark):
