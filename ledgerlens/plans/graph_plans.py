@@ -72,19 +72,18 @@ def n04(t):
 
 @query(
     "N05_clean_orphans",
-    f"""WITH {N}, e AS (SELECT * FROM ({derived.EDGES_SQL}) WHERE type <> 'represents' OR confidence >= 0.985),
-        anchored AS (SELECT DISTINCT target_id FROM e WHERE type = 'represents' AND source_id IN (SELECT id FROM n WHERE type IN ('column', 'table'))),
-        lc AS (SELECT id FROM n WHERE type = 'concept' AND id NOT IN (SELECT target_id FROM anchored)),
-        e2 AS (SELECT * FROM e WHERE source_id NOT IN (SELECT id FROM lc) AND target_id NOT IN (SELECT id FROM lc)),
-        reach AS (SELECT source_id FROM e2 WHERE type = 'has_concept' AND target_id IN (SELECT target_id FROM anchored)
-                  UNION SELECT source_id FROM e2 WHERE target_id IN (SELECT id FROM n WHERE type IN ('column', 'table'))),
-        le AS (SELECT id FROM n WHERE type = 'entity' AND id NOT IN (SELECT source_id FROM reach)), gone AS (SELECT * FROM lc UNION ALL SELECT * FROM le)
-        SELECT 'removed' AS what, id FROM gone UNION ALL SELECT 'node', id FROM n WHERE id NOT IN (SELECT id FROM gone)
-        UNION ALL SELECT 'edge', id FROM e WHERE source_id NOT IN (SELECT id FROM gone) AND target_id NOT IN (SELECT id FROM gone)""",
+    f"""WITH n AS MATERIALIZED ({derived.NODES_SQL}), e AS MATERIALIZED ({derived.EDGES_SQL}),
+        anchored AS MATERIALIZED (SELECT DISTINCT target_id AS id FROM e SEMI JOIN (SELECT id AS source_id FROM n WHERE type IN ('column', 'table')) USING (source_id) WHERE e.type = 'represents'),
+        lc AS MATERIALIZED (SELECT id FROM n ANTI JOIN anchored USING (id) WHERE n.type = 'concept'),
+        e2 AS MATERIALIZED (SELECT source_id, target_id, type FROM e ANTI JOIN (SELECT id AS source_id FROM lc) USING (source_id) ANTI JOIN (SELECT id AS target_id FROM lc) USING (target_id)),
+        reach AS MATERIALIZED (SELECT source_id AS id FROM e2 SEMI JOIN (SELECT id AS target_id FROM anchored) USING (target_id) WHERE e2.type = 'has_concept'
+                  UNION SELECT source_id FROM e2 SEMI JOIN (SELECT id AS target_id FROM n WHERE type IN ('column', 'table')) USING (target_id)),
+        le AS MATERIALIZED (SELECT id FROM n ANTI JOIN reach USING (id) WHERE n.type = 'entity'), gone AS MATERIALIZED (SELECT * FROM lc UNION ALL SELECT * FROM le)
+        SELECT 'removed' AS what, id FROM gone UNION ALL SELECT 'node', id FROM n ANTI JOIN gone USING (id)
+        UNION ALL SELECT 'edge', id FROM (SELECT id, source_id, target_id FROM e) ANTI JOIN (SELECT id AS source_id FROM gone) USING (source_id) ANTI JOIN (SELECT id AS target_id FROM gone) USING (target_id)""",
 )
 def n05(t):
-    edges = derived.edges(t).where("type <> 'represents' or confidence >= 0.985")
-    nodes, kept, gone = g.clean_orphans(derived.nodes(t), edges)
+    nodes, kept, gone = g.clean_orphans(derived.nodes(t), derived.edges(t))
     rows = lambda what, df, c: df.select(F.lit(what).alias("what"), F.col(c).alias("id"))
     return rows("removed", gone, "gone").unionByName(rows("node", nodes, "id")).unionByName(rows("edge", kept, "id"))
 
@@ -94,8 +93,8 @@ _TYPES = ["represents", "has_concept", "foreign_key", "joinable"]
 
 @query(
     "N06_best_paths",
-    f"""WITH RECURSIVE {E}, adj AS (SELECT source_id AS here, target_id AS there, id, confidence FROM e WHERE type <> 'contains' AND id NOT LIKE 'e8:%'
-            UNION ALL SELECT target_id, source_id, id, confidence FROM e WHERE type <> 'contains' AND id NOT LIKE 'e8:%'),
+    f"""WITH RECURSIVE {E}, adj AS (SELECT source_id AS here, target_id AS there, id, confidence FROM e WHERE type <> 'contains'
+            UNION ALL SELECT target_id, source_id, id, confidence FROM e WHERE type <> 'contains'),
         w AS (SELECT 'customer:' || c_custkey AS source, 'region:' || n_regionkey AS target FROM customer JOIN nation ON c_nationkey = n_nationkey),
         p AS (SELECT w.source, w.target, there AS here, [w.source, there] AS nodes, [id] AS ids, confidence FROM w JOIN adj ON here = source
               UNION ALL SELECT source, target, there, list_append(nodes, there), list_append(ids, id), p.confidence * adj.confidence
@@ -112,7 +111,7 @@ def n06(t):
         F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("source"),
         F.concat(F.lit("region:"), F.col("n_regionkey").cast("string")).alias("target"),
     )
-    return g.best_paths(derived.edges(t).where("id not like 'e8:%'"), pairs, _TYPES)
+    return g.best_paths(derived.edges(t), pairs, _TYPES)
 
 
 @query(

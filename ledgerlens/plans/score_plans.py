@@ -167,7 +167,7 @@ def m13(t):
 @query("M09_models")
 def m09(t):
     df = d.features(t)
-    return sc.train_models(df, ["f_price", "f_lines", "f_qty", "f_discount", "f_balance"], ["f_status", "f_segment"], "label", "split", max_iter=5)[2]
+    return sc.train_models(df, ["f_price", "f_lines", "f_qty", "f_discount", "f_balance"], ["f_status", "f_segment"], "label", "split")[2]
 
 
 @query("M10_surrogate_tree")
