@@ -21,6 +21,8 @@ BATCH_ROWS = 1000
 
 #: Bytes of text that the numpy code looks at in one go; a longer text is looked at alone.
 SLICE_BYTES = 1 << 21
+#: The same where texts are looked at one by one, so that smaller slices only save memory.
+SMALL_SLICE = 1 << 18
 
 
 _HOME = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import mixed, partitions, python_tasks, slices, split_words, string_buffers, written
+from ledgerlens.llm.common import SLICE_BYTES, SMALL_SLICE, mixed, partitions, python_tasks, slices, split_words, string_buffers, written
 
 WORDS = 5
 SIMILARITY = (80, 100)
@@ -128,9 +128,9 @@ def near_enough(bits: list[bytes], n: np.ndarray, a: np.ndarray, b: np.ndarray)
     return out
 
 
-def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _sets(batch: pa.RecordBatch, most: int = SMALL_SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data, offsets = string_buffers(batch.column("text"))
-    for a, b in slices(offsets):
+    for a, b in slices(offsets, most):
         values, bounds = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         yield a, b, values, bounds
 
@@ -147,7 +147,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays(columns, names=["kind", "id", "value", "n", "bits"])
 
     for batch in batches:
-        for a, b, values, bounds in _sets(batch):
+        for a, b, values, bounds in _sets(batch, SLICE_BYTES):  # counts repeats inside a slice
             yield out(0, batch.column("id").slice(a, b - a), set_keys(values, bounds), np.diff(bounds), parity_bits(values, bounds))
             new, n = np.unique(values, return_counts=True)
             new, n = new[n > 1], n[n > 1]  # a shingle that is frequent stands in several texts of most slices

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import SLICE_BYTES, python_tasks, slices, split_words, string_buffers, written
+from ledgerlens.llm.common import SMALL_SLICE, python_tasks, slices, split_words, string_buffers, written
 
 #: Labelled documents the classifier is fitted on, at most, chosen by a hash of their doc_id.
 SAMPLE = 20_000
@@ -42,7 +42,7 @@ def features(texts: pa.Array) -> np.ndarray:
     """A row of statistics for each text: shares of byte groups, words repeated at once, word lengths, sizes."""
     data, offsets = string_buffers(texts)
     out = np.zeros((len(offsets) - 1, N_FEATURES))
-    for a, b in slices(offsets, SLICE_BYTES):
+    for a, b in slices(offsets, SMALL_SLICE):
         own, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         counts = np.array([np.bincount(own[x:y], minlength=256) for x, y in zip(at[:-1], at[1:], strict=True)]) @ _MATRIX
         starts, ends, hashes, first = split_words(own, at)
