@@ -19,6 +19,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one Arrow batch: whole texts travel in it, so it is smaller than Spark's own default.
 BATCH_ROWS = 1000
 
+#: Bytes of one Arrow batch, more only where a single row is longer.
+BATCH_BYTES = 1 << 24
+
 #: Bytes of text that the numpy code looks at in one go; a longer text is looked at alone.
 SLICE_BYTES = 1 << 21
 #: The same where texts are looked at one by one, so that smaller slices only save memory.
@@ -47,6 +50,7 @@ def partitions(spark: SparkSession) -> int:
 def python_tasks(spark: SparkSession) -> None:
     """Arrow batches of whole texts stay small; workers find this package where they share the driver's files."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if _HOME not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (known, _HOME) if x)
