@@ -161,7 +161,8 @@ def with_posterior(rows: DataFrame, priors: DataFrame, threshold: float = THRESH
     """Rows (``_evidence, _host, _path``) with ``host_share, path_share, posterior, accepted``."""
     named = priors.select(F.col("_host").alias("_h"), F.col("_path").alias("_p"), "host_share", "path_share")
     rows = rows.join(named, F.col("_host").eqNullSafe(F.col("_h")) & F.col("_path").eqNullSafe(F.col("_p")), "left").drop("_h", "_p")
-    posterior = 1 / (1 + F.exp(-(F.col("_evidence") + _logit(F.col("path_share")))))
+    evident = F.coalesce("_evidence", F.lit(0.0))  # never null; said so, a filter on the posterior doesn't test the texts' evidence for null in a pass of its own
+    posterior = 1 / (1 + F.exp(-(evident + _logit(F.col("path_share")))))
     return rows.withColumn("posterior", posterior).withColumn("accepted", F.col("posterior") >= threshold)
 
 
