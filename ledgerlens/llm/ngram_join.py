@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import SLICE_BYTES, SMALL_SLICE, mixed, partitions, python_tasks, slices, split_words, string_buffers, written
+from ledgerlens.llm.common import SMALL_SLICE, lean, mixed, partitions, python_tasks, slices, split_words, string_buffers, written
 
 WORDS = 5
 SIMILARITY = (80, 100)
@@ -34,6 +34,8 @@ TURNS = 3
 FREQUENT = 1 << 17
 #: Shingles of a task whose counts are kept while it counts.
 COUNTERS = 1 << 18
+#: Shingles that wait in a task to be counted together.
+WAITING = 1 << 18
 #: Parts that a frequent column is dealt over, logarithm of a size class's width, and keys of a task that are remembered.
 SALTS, CLASS, SEEN = 64, np.log(1.25), 1_000_000
 
@@ -128,9 +130,9 @@ def near_enough(bits: list[bytes], n: np.ndarray, a: np.ndarray, b: np.ndarray)
     return out
 
 
-def _sets(batch: pa.RecordBatch, most: int = SMALL_SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data, offsets = string_buffers(batch.column("text"))
-    for a, b in slices(offsets, most):
+    for a, b in slices(offsets, SMALL_SLICE):
         values, bounds = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         yield a, b, values, bounds
 
@@ -146,16 +148,26 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [pa.array(np.full(len(values), kind, np.int32)), ids, pa.array(values.view(np.int64)), pa.array(n, pa.int64()), bits]
         return pa.RecordBatch.from_arrays(columns, names=["kind", "id", "value", "n", "bits"])
 
+    def count() -> None:
+        nonlocal known, counts
+        new, n = np.unique(np.concatenate(waiting), return_counts=True)
+        new, n = new[n > 1], n[n > 1]  # a shingle that is frequent stands in several of the texts that wait
+        known, back = np.unique(np.concatenate([known, new]), return_inverse=True)
+        counts = np.bincount(back, weights=np.concatenate([counts, n])).astype(np.int64) if len(known) else counts
+        if len(known) > COUNTERS:
+            counts = counts - np.partition(counts, len(counts) - COUNTERS)[len(counts) - COUNTERS]
+            known, counts = known[counts > 0], counts[counts > 0]
+        waiting.clear()
+
+    waiting: list[np.ndarray] = []
     for batch in batches:
-        for a, b, values, bounds in _sets(batch, SLICE_BYTES):  # counts repeats inside a slice
+        for a, b, values, bounds in _sets(batch):
             yield out(0, batch.column("id").slice(a, b - a), set_keys(values, bounds), np.diff(bounds), parity_bits(values, bounds))
-            new, n = np.unique(values, return_counts=True)
-            new, n = new[n > 1], n[n > 1]  # a shingle that is frequent stands in several texts of most slices
-            known, back = np.unique(np.concatenate([known, new]), return_inverse=True)
-            counts = np.bincount(back, weights=np.concatenate([counts, n])).astype(np.int64) if len(known) else counts
-            if len(known) > COUNTERS:
-                counts = counts - np.partition(counts, len(counts) - COUNTERS)[len(counts) - COUNTERS]
-                known, counts = known[counts > 0], counts[counts > 0]
+            waiting.append(values)
+            if sum(map(len, waiting)) >= WAITING:
+                count()
+    if waiting:
+        count()
     yield out(1, pa.nulls(len(known), pa.int64()), known, counts, pa.nulls(len(known), pa.binary()))
 
 
@@ -242,7 +254,7 @@ def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     both = both.join(of.withColumnsRenamed({"n": "n_b", "bits": "bits_b"}), F.col("b") == F.col("_row")).drop("_row")
     part, whole = SIMILARITY
     both = both.where(whole * F.least("n_a", "n_b") >= part * F.greatest("n_a", "n_b"))
-    return written(both.mapInArrow(_possible, "a long, b long"), "ngram-possible")
+    return written(both.mapInArrow(lean(_possible), "a long, b long"), "ngram-possible")
 
 
 def linked_pairs(pairs: DataFrame, known: DataFrame, texts: DataFrame) -> DataFrame:
@@ -255,13 +267,13 @@ def linked_pairs(pairs: DataFrame, known: DataFrame, texts: DataFrame) -> DataFr
     rows = pairs.select(F.col("a").alias("_row")).unionByName(pairs.select(F.col("b").alias("_row"))).distinct()
     ids = written(rows.join(known, F.col("_row") == F.col("row")).select(F.col("id").alias("_id")).distinct(), "ngram-ids")
     whole = texts.join(ids, F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("text")
-    sets = whole.mapInArrow(_whole_sets, "row long, members array<long>").dropDuplicates(["row"])
+    sets = whole.mapInArrow(lean(_whole_sets), "row long, members array<long>").dropDuplicates(["row"])
     sizes = pairs.groupBy(F.col("a").alias("_a")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     rows = pairs.join(sizes, F.col("a") == F.col("_a")).select(F.col("a").alias("head"), F.col("b").alias("want"), F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"))
     heads = rows.select("head", F.col("head").alias("want"), "block").distinct()
     wanted = rows.unionByName(heads).join(sets, F.col("want") == F.col("row")).drop("want")
     dealt = wanted.repartition(partitions(spark), "head", "block").sortWithinPartitions("head", "block", F.col("row") != F.col("head"))
-    return written(dealt.select("head", "block", "row", "members").mapInArrow(_product, "a long, b long"), "ngram-links")
+    return written(dealt.select("head", "block", "row", "members").mapInArrow(lean(_product), "a long, b long"), "ngram-links")
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -358,7 +370,7 @@ def cross_pairs(placed: DataFrame, sets: DataFrame) -> DataFrame:
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("k", o).alias("i"), F.greatest("k", o).alias("j"), (F.col("k") > o).cast("int").alias("side")))
     dealt = rows.withColumn("o", F.explode(others)).select("shingle", "o.i", "o.j", "o.side", "row", "n", "rank", "root", "bits")
     dealt = dealt.repartition(partitions(spark), "shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
-    return dealt.mapInArrow(_cross, "a long, b long").distinct()
+    return dealt.mapInArrow(lean(_cross), "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -371,7 +383,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     python_tasks(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    first = written(texts.mapInArrow(_survey, _FIRST), "ngram-survey")
+    first = written(texts.mapInArrow(lean(_survey), _FIRST), "ngram-survey")
     known = first.where("kind = 0").select("id", F.col("value").alias("row"), "n")
     # a row of the matrix: its size, its parities and one document that has it
     sets = first.where("kind = 0 AND n > 0").select("id", F.col("value").alias("row"), "n", "bits")
@@ -380,7 +392,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     top = top.orderBy(F.col("n").desc(), "value").limit(FREQUENT).collect()  # at most FREQUENT rows
     frequent = np.array([r["value"] for r in reversed(top)], np.int64).view(np.uint64)
 
-    columns = texts.select("text").mapInArrow(_rare_parts(frequent), _RARE).withColumn("class", F.floor(F.log("n") / float(CLASS)))
+    columns = texts.select("text").mapInArrow(lean(_rare_parts(frequent)), _RARE).withColumn("class", F.floor(F.log("n") / float(CLASS)))
     dealt = W.partitionBy("shingle", "salt")
     columns = columns.select("*", F.min("row").over(dealt).alias("least"), F.max("row").over(dealt).alias("most"), F.min("row").over(W.partitionBy("shingle", "salt", "class")).alias("head"))
     shared = written(columns.where("least < most OR salt >= 0").drop("least", "most"), "ngram-shared")

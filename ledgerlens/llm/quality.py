@@ -9,6 +9,7 @@ so sparse sites stand near the prior. A document's posterior log-odds are its ev
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import SMALL_SLICE, python_tasks, slices, split_words, string_buffers, written
+from ledgerlens.llm.common import SMALL_SLICE, lean, python_tasks, slices, split_words, string_buffers, written
 
 #: Labelled documents the classifier is fitted on, at most, chosen by a hash of their doc_id.
 SAMPLE = 20_000
@@ -101,12 +102,19 @@ def _as_array(x: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
 
 
+def _over_batches(f: Callable[[pa.Array], pa.Array], kind: str) -> Callable[[Column], Column]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return lean(lambda texts: map(f, texts))(batches)
+
+    return F.arrow_udf(run, kind)
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` labelled documents. Labels without quality or doc_id are left out; a doc_id counts once."""
     python_tasks(docs.sparkSession)
     chosen = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("double").alias("_y")).where("_id IS NOT NULL AND _y IS NOT NULL")
     chosen = chosen.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    statistics = F.arrow_udf(lambda texts: _as_array(features(texts)), "array<double>")
+    statistics = _over_batches(lambda texts: _as_array(features(texts)), "array<double>")
     known = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))  # at most ``sample`` rows
     rows = known.select("doc_id", "_y", statistics("text").alias("x")).groupBy("doc_id").agg(F.min(F.struct("_y", "x")).alias("r"))
     rows = rows.select("doc_id", "r.*").collect()
@@ -116,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def evidence(model: Model, text: Column) -> Column:
     """Log likelihood ratio of good quality, the labelled share taken out."""
-    return F.arrow_udf(lambda texts: pa.array(model.log_odds(features(texts)) - model.base), "double")(text)
+    return _over_batches(lambda texts: pa.array(model.log_odds(features(texts)) - model.base), "double")(text)
 
 
 def _strength(groups: DataFrame, center: Column) -> Column:
