@@ -52,11 +52,32 @@ def _containment(a: Column, b: Column, otherwise: Column) -> Column:
     )
 
 
+def common_subsequence(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two short texts.
+
+    One table row is folded over the letters of ``a``: the last value of a row is what the next cell can't fall below.
+    """
+    letters = F.filter(F.split(b, ""), lambda c: c != "")
+
+    def cell(above: Column, letter: Column):
+        def step(row: Column, i: Column) -> Column:
+            met = F.get(above, i - 1) + 1
+            return F.array_append(row, F.when(F.get(letters, i - 1) == letter, met).otherwise(F.greatest(F.get(above, i), F.get(row, i - 1))))
+
+        return step
+
+    def next_row(above: Column, letter: Column) -> Column:
+        places = F.slice(F.sequence(F.lit(0), F.size(letters)), F.lit(2), F.size(letters))
+        return F.aggregate(places, F.array(F.lit(0)), cell(above, letter))
+
+    first = F.array_repeat(F.lit(0), F.size(letters) + 1)
+    return F.element_at(F.aggregate(F.filter(F.split(a, ""), lambda c: c != ""), first, next_row), -1)
+
+
 def name_similarity(left: Column, right: Column) -> Column:
-    """1 for equal names, 0.5 to 1 when one holds the other, else one minus the edit distance over the longer length."""
+    """1 for equal names, 0.5 to 1 when one holds the other, else the longest common subsequence over the longer length."""
     a, b = normal_name(left), normal_name(right)
-    edit = 1.0 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
-    return _containment(a, b, edit)
+    return _containment(a, b, common_subsequence(a, b) / F.greatest(F.length(a), F.length(b)))
 
 
 def label_similarity(left: Column, right: Column) -> Column:

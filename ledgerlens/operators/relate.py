@@ -177,9 +177,9 @@ def measure_relations(values: DataFrame, keys: DataFrame, comments: DataFrame, t
         F.least(F.lit(1.0), overlap).alias("overlap"),
         score.alias("score"),
         name_similarity(F.col("a_column"), F.col("b_column")).alias("name_score"),
-        comments_agree(F.col("a_comment"), F.col("b_comment"), F.col("a_column"), F.col("b_column")).alias("comment_score"),
+        F.when(contradict, 0).otherwise(comments_agree(F.col("a_comment"), F.col("b_comment"), F.col("a_column"), F.col("b_column"))).alias("comment_score"),
         F.when(contradict, 0.0).otherwise(shape).alias("key_shape"),
-        (F.col("a_is_key") | F.col("b_is_key")).alias("parent_is_key"),
+        (~F.coalesce(contradict, F.lit(False)) & (F.col("a_is_key") | F.col("b_is_key"))).alias("parent_is_key"),
         veto.alias("veto"),
         status.alias("status"),
     )

@@ -76,12 +76,21 @@ COMMENTS = [
 ]
 
 
+def _lcs(x, y):
+    """Length of the longest common subsequence as SQL: table rows reduced over the places where each letter of x stands in y, as running maxima."""
+    best = "CASE WHEN k = 0 THEN 0 WHEN here[k] = 1 THEN above[k] + 1 ELSE above[k + 1] END"
+    row = f"list_transform(range(0, length({y}) + 1), lambda j: list_max(list_transform(range(0, j + 1), lambda k: {best})))"
+    places = f"list_transform(string_split({x}, ''), lambda c: list_transform(string_split({y}, ''), lambda d: (c = d)::BIGINT))"
+    zeros = f"list_transform(range(0, length({y}) + 1), lambda j: 0::BIGINT)"
+    return f"list_reduce(list_concat([{zeros}], {places}), lambda above, here: {row})[length({y}) + 1]"
+
+
 def _sim(a, b):
     """Name similarity of two columns as SQL."""
     x, y = (f"regexp_replace(lower({c}), '[^a-z0-9]+', '', 'g')" for c in (a, b))
     return f"""CASE WHEN {x} = {y} THEN 1.0 WHEN contains({x}, {y}) OR contains({y}, {x})
         THEN 0.5 + 0.5 * least(length({x}), length({y})) / greatest(length({x}), length({y}))
-        ELSE 1.0 - levenshtein({x}, {y}) / greatest(length({x}), length({y})) END"""
+        ELSE {_lcs(x, y)} / greatest(length({x}), length({y})) END"""
 
 
 _COMMENT_ROWS = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in COMMENTS)
@@ -98,11 +107,11 @@ _COMMENT_ROWS = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in COMMENTS)
         z AS (SELECT *, contra OR (an <= 32 AND bn <= 32 AND NOT ak AND NOT bk) AS veto, CASE WHEN contra THEN 0 ELSE least(1.0, overlap) END AS score FROM s)
         SELECT lt || '.' || ac AS "left", rt || '.' || bc AS "right", round(least(1.0, overlap)::DOUBLE, 6) AS overlap, round(score::DOUBLE, 6) AS score,
           round(({_sim('ac', 'bc')})::DOUBLE, 6) AS name_score,
-          CASE WHEN acm = '' OR bcm = '' THEN 0 WHEN contains(acm, bc) OR contains(bcm, ac)
+          CASE WHEN contra OR acm = '' OR bcm = '' THEN 0 WHEN contains(acm, bc) OR contains(bcm, ac)
             OR len(list_intersect(list_filter(string_split_regex(acm, '[^a-z0-9]+'), lambda x: length(x) >= 2),
                                   list_filter(string_split_regex(bcm, '[^a-z0-9]+'), lambda x: length(x) >= 2))) > 0 THEN 1 ELSE 0 END AS comment_score,
           (CASE WHEN contra THEN 0 WHEN ak <> bk THEN 1 WHEN ak AND bk THEN 0.6 ELSE 0.2 END)::DOUBLE AS key_shape,
-          ak OR bk AS parent_is_key, veto,
+          (ak OR bk) AND NOT contra AS parent_is_key, veto,
           CASE WHEN veto THEN 'veto' WHEN score >= 0.95 THEN 'publish' WHEN score >= 0.8 THEN 'grey' ELSE 'drop' END AS status FROM z""",
 )
 def r04(t):

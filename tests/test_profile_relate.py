@@ -1,4 +1,6 @@
 import math
+import random
+from itertools import combinations
 
 from conftest import rows
 from pyspark.sql import functions as F
@@ -114,6 +116,25 @@ def test_name_similarity(spark):
         assert math.isclose(row.got, row.want), row
 
 
+def test_common_subsequence(spark):
+    draw = random.Random(5)
+    texts = [("".join(draw.choices("abcd", k=draw.randint(0, 9))), "".join(draw.choices("abcd", k=draw.randint(0, 9)))) for _ in range(60)]
+
+    def kept(text):
+        return {"".join(c) for n in range(len(text) + 1) for c in combinations(text, n)}
+
+    df = spark.createDataFrame(texts + [("", ""), ("abc", "")], "a string, b string")
+    for row in df.select("a", "b", names.common_subsequence(F.col("a"), F.col("b")).alias("n")).collect():
+        assert row.n == max(map(len, kept(row.a) & kept(row.b))), row
+
+
+def test_contradicting_comments(spark):
+    v = spark.createDataFrame([("t", "id", str(i), 1) for i in range(9)] + [("u", "id", str(i), 1) for i in range(9)], "table_name string, column_name string, value string, cnt long")
+    comments = spark.createDataFrame([("t", "id", "id, unrelated"), ("u", "id", "id of u")], "table_name string, column_name string, comment string")
+    (row,) = r.measure_relations(v, r.parent_keys(p.column_stats(v)), comments).collect()
+    assert (row.score, row.comment_score, row.key_shape, row.parent_is_key, row.status) == (0.0, 0, 0.0, False, "veto")
+
+
 def test_synonyms(spark):
     rows_ = [("a", "customer_id", "identifier"), ("b", "client_id", "identifier"), ("b", "state", "unknown"), ("a", "status", "unknown"), ("a", "zzz", "unknown"), ("b", "qqq", "unknown")]
     df = spark.createDataFrame(rows_, "table_name string, column_name string, semantic_type string")
