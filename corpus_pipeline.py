@@ -47,7 +47,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Fitting, connected components and packing are beyond SQL; tests compare each stage with a brute-force version.
+#: Fitting, connected components and packing are beyond SQL; tests compare near duplicates with a brute-force version, and the operators that the stages call with theirs.
 ORACLE_SQL = None
 
 
