@@ -156,10 +156,38 @@ FROM j
 @query("op9_line_dedup", OP9_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated runs of three lines and more over all documents."""
-    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return _line_result(line_dedup.dedup_lines(table(spark, sf_dir, "documents"), least=None))
+
+
+def _line_result(done: DataFrame) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+OP9_CONTENT_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+c AS (SELECT doc_id, lines, list_filter(range(1, len(lines) + 1), lambda i: regexp_matches(lines[i], '[^\x20\x09-\x0D]')) AS counted FROM d),
+l AS (
+    SELECT doc_id, s, n, x1, x2, x3, length(regexp_replace(x1, '[\x20\x09-\x0D]', '', 'g')) AS c1, c1 + length(regexp_replace(x2, '[\x20\x09-\x0D]', '', 'g')) AS c2
+    FROM (SELECT doc_id, s, len(counted) AS n, lines[counted[s]] AS x1, lines[counted[s + 1]] AS x2, lines[counted[s + 2]] AS x3
+          FROM (SELECT doc_id, lines, counted, unnest(range(1, len(counted) + 1)) AS s FROM c))),
+w AS (
+    SELECT doc_id, s, CASE WHEN c1 >= 12 THEN [x1] WHEN c2 >= 12 THEN [x1, x2] WHEN s + 2 <= n THEN [x1, x2, x3] WHEN s = 1 AND n = 1 THEN [x1] WHEN s = 1 THEN [x1, x2] END AS run
+    FROM l),
+p AS (SELECT doc_id, s, len(run) AS size, row_number() OVER (PARTITION BY run ORDER BY doc_id, s) AS k FROM w WHERE run IS NOT NULL),
+g AS (SELECT doc_id, list_distinct(flatten(list(range(s, s + size)))) AS gone FROM p WHERE k > 1 GROUP BY doc_id),
+j AS (SELECT c.*, coalesce(list_transform(gone, lambda x: counted[x]), []) AS gone FROM c LEFT JOIN g USING (doc_id))
+SELECT doc_id, len(counted)::BIGINT AS n_lines, len(gone)::BIGINT AS n_removed,
+       sha256(array_to_string(list_transform(list_filter(range(1, len(lines) + 1), lambda i: NOT list_contains(gone, i)), lambda i: lines[i]), chr(10))) AS kept_sha256
+FROM j
+"""
+
+
+@query("op9_line_dedup_content", OP9_CONTENT_SQL)
+def op9_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of lines over all documents: three lines, or fewer with twelve characters, or a whole short document."""
+    return _line_result(line_dedup.dedup_lines(table(spark, sf_dir, "documents")))
+
+
 OP10_SQL = r"""
 WITH t AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -147,6 +147,34 @@ def test_lines(docs, nothing):
     assert line_dedup.dedup_lines(nothing).count() == 0 and line_dedup.dedup_lines(docs).count() == len(ROWS)
 
 
+def passages_brute(texts, run, least):
+    """Texts in order of doc_id, freed of windows that stand at an earlier place."""
+    first, out = set(), []
+    for text in texts:
+        lines, gone = text.split("\n"), set()
+        counted = [k for k, x in enumerate(lines) if words(x)]
+        for s in range(len(counted)):
+            size = next((k for k in range(1, run) if sum(len("".join(words(lines[i]))) for i in counted[s : s + k]) >= least), run)
+            if s + size > len(counted):
+                size = len(counted) if s == 0 else 0
+            window = tuple(lines[i] for i in counted[s : s + size])
+            if size and window in first:
+                gone |= set(counted[s : s + size])
+            first.add(window)
+        out.append("\n".join(x for k, x in enumerate(lines) if k not in gone))
+    return out
+
+
+def test_passages_of_lines(spark):
+    long, short = "a single line of many words", "tiny"
+    texts = [long, f"x\n{long}\ny", f"{long}\n{long}", short, short, f"{short}\nother\n\n p", f"{short}\nother\nand", "ab\ncd", "ab\ncd", "ab\ncd\nef", "one two\nthree four", "zero\none two\nthree four\nzero"]
+    texts += ["\n".join(rng.choice(["a", "bb", "cc dd", "eeee ff gggggg", "hhhhhh", "", " "], 12)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == passages_brute(texts, line_dedup.RUN, line_dedup.LEAST)
+    assert [got[k] for k in range(6)] == [long, "x\ny", "", short, "", f"{short}\nother\n\n p"] and got[8] == "" and got[11] == "zero\nzero"
+
+
 def test_mixing(docs, nothing):
     rows = mixing.mix(docs).collect()
     assert len(rows) == len(ROWS) and all(r.taken in (0, r["size"], 2 * r["size"]) for r in rows)
