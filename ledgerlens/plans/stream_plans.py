@@ -104,6 +104,24 @@ def z04(t):
     return t.spark.read.parquet(out).select("run_id", "event_id")
 
 
+@query(
+    "Z04_flush_on_end_or_timeout",
+    f"""WITH r AS ({RUN_SQL}), b AS (SELECT *, max(event_id) FILTER (WHERE kind LIKE 'RUN_%') OVER (PARTITION BY run_id) AS last FROM r)
+        SELECT run_id, event_id, CASE WHEN event_id < last THEN 'ended' ELSE 'timeout' END AS reason FROM b WHERE kind = 'RESULT'""",
+)
+def z04_whole(t):
+    df = run_events(t)
+    path, stream = source(t, df, "z04-whole")
+    # one last arrival, long after all others, moves the watermark past every run's silence
+    fixed = {"event_id": F.lit(-1), "run_id": F.lit(-1), "seq": F.lit(-1), "kind": F.lit("STEP"), "ts": F.col("ts") + F.expr("INTERVAL 68 DAYS")}
+    last = df.agg(F.max("ts").alias("ts")).where("ts IS NOT NULL")
+    last.select(*[fixed.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema]).write.mode("append").parquet(path)
+    out, state = scratch_path(t.spark, "z04-whole-out"), scratch_path(t.spark, "z04-whole-state")
+    with local_state(t):
+        z.append_files(z.flush_on_end(stream, "ts", "60 days", "7 days"), out, state)
+    return t.spark.read.parquet(out)
+
+
 @query(
     "Z05_profile_refresh",
     """SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 4) AS std, min(value) AS lo, max(value) AS hi, true AS distinct_near FROM events GROUP BY 1""",

@@ -81,34 +81,38 @@ def run_projection(events: DataFrame) -> DataFrame:
 def flush_on_end(events: DataFrame, ts: str, silent: str = "1 day", late: str = "10 minutes") -> DataFrame:
     """Results held back per run and delivered when its terminal event arrives, or once the run has been silent too long.
 
-    ``events(run_id, kind, event_id, ts)``. Time is event time, so a replay gives the same result. State per run holds event
-    ids only and is removed on delivery.
+    ``events(run_id, kind, event_id, ts)``. Time is event time, so a replay gives the same result: a result goes with an end of its run that is not
+    earlier (by time, then event id), in whichever order they arrive within ``late``. State per run holds times and event ids only and is removed once
+    the run is silent.
     """
     out_schema = "run_id bigint, event_id bigint, reason string"
     silent_ms = int(pd.Timedelta(silent).total_seconds() * 1000)
 
+    def rows(run: int, places: list[tuple[int, int]], reason: str) -> pd.DataFrame:
+        return pd.DataFrame({"run_id": run, "event_id": sorted(i for _, i in places), "reason": reason}).astype({"event_id": "int64"})
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, seen = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
+        times, ids, seen, *end = state.get if state.exists else ([], [], 0, -1, -1)
+        held, end = list(zip(times, ids)), tuple(end)
         if state.hasTimedOut:
             state.remove()
-            yield pd.DataFrame({"run_id": key[0], "event_id": held, "reason": "timeout"}).astype({"event_id": "int64"})
+            if held:
+                yield rows(key[0], held, "timeout")
             return
-        ended = False
         for pdf in batches:
-            held += pdf.loc[pdf["kind"] == "RESULT", "event_id"].tolist()
-            ended = ended or bool(pdf["kind"].isin(TERMINAL).any())
+            result, terminal = pdf[pdf["kind"] == "RESULT"], pdf[pdf["kind"].isin(TERMINAL)]
+            held += zip(result["ms"].tolist(), result["event_id"].tolist())
+            end = max([end, *zip(terminal["ms"].tolist(), terminal["event_id"].tolist())])
             seen = max(seen, int(pdf["ms"].max()))
-        if ended:
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame({"run_id": key[0], "event_id": sorted(held), "reason": "ended"}).astype({"event_id": "int64"})
-        else:
-            state.update((held, seen))
-            state.setTimeoutTimestamp(max(seen + silent_ms, state.getCurrentWatermarkMs() + 1))
+        done, held = [x for x in held if x < end], [x for x in held if x >= end]
+        if done:
+            yield rows(key[0], done, "ended")
+        state.update(([x for x, _ in held], [i for _, i in held], seen, *end))
+        state.setTimeoutTimestamp(max(seen + silent_ms, state.getCurrentWatermarkMs() + 1))
 
     timed = events.withWatermark(ts, late).select("run_id", "kind", "event_id", F.unix_millis(ts).alias("ms"), ts)
     return timed.groupBy("run_id").applyInPandasWithState(
-        step, out_schema, "pending array<bigint>, seen bigint", "append", GroupStateTimeout.EventTimeTimeout
+        step, out_schema, "times array<bigint>, ids array<bigint>, seen bigint, end_ms bigint, end_id bigint", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

@@ -154,6 +154,14 @@ def test_flush_on_end_and_timeout(spark, tmp_path):
     assert (2, 20, "timeout") in rows(spark.read.parquet(out))
 
 
+def test_results_after_an_end_wait_for_the_timeout(spark, tmp_path):
+    src, out, state = (str(tmp_path / x) for x in ("src", "out", "state"))
+    arrive(spark, src, [(1, "RESULT", 12, "2024-01-01 00:02:00"), (1, "RUN_ERROR", 11, "2024-01-01 00:01:00"), (1, "RESULT", 10, "2024-01-01 00:00:00"), (2, "RESULT", 20, "2024-01-01 00:00:00")])
+    arrive(spark, src, [(1, "RESULT", 9, "2024-01-01 00:00:30"), (3, "STEP", 30, "2024-01-01 05:00:00")])
+    z.append_files(z.flush_on_end(z.event_stream(spark, src, STREAM, 1), "ts", "1 hour", "5 minutes"), out, state)
+    assert sorted(rows(spark.read.parquet(out))) == [(1, 9, "ended"), (1, 10, "ended"), (1, 12, "timeout"), (2, 20, "timeout")]
+
+
 def test_delivery_survives_lost_checkpoint(spark, tmp_path):
     src, sink = str(tmp_path / "src"), str(tmp_path / "sink")
     arrive(spark, src, [(1, "A", i, "2024-01-01 00:00:00") for i in range(10)])
