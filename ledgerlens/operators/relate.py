@@ -26,7 +26,6 @@ CONTAINMENT_MIN = 0.8
 PUBLISH_MIN = 0.95
 GREY_MIN = 0.8
 JOINABLE_MIN = 0.1
-JOINABLE_MAX_CARDINALITY = 900
 SIMILARITY_MIN = 0.5
 CORRELATION_MIN = 0.5
 ALIGNED_ROWS_MIN = 5
@@ -190,15 +189,15 @@ def _compatible(a: Column, b: Column) -> Column:
     return (a.isin(*loose) & b.isin(*loose)) | (a.isin("datetime", "date") & b.isin("datetime", "date"))
 
 
-def joinable(
-    values: DataFrame, dtypes: DataFrame, minimum: float = JOINABLE_MIN, max_cardinality: int = JOINABLE_MAX_CARDINALITY
-) -> DataFrame:
+def joinable(values: DataFrame, dtypes: DataFrame, minimum: float = JOINABLE_MIN, max_cardinality: int | None = None) -> DataFrame:
     """Column pairs whose shared values cover at least ``minimum`` of the smaller domain; booleans never join.
 
-    Wide domains are left out before any value is grouped.
+    All domains are compared; with ``max_cardinality`` wider ones are left out before any value is grouped.
     """
     facts = cardinalities(values).join(dtypes, KEY)
-    usable = facts.where((F.col("n_distinct") <= max_cardinality) & ~F.col("dtype").rlike("boolean"))
+    usable = facts.where(~F.col("dtype").rlike("boolean"))
+    if max_cardinality is not None:
+        usable = usable.where(F.col("n_distinct") <= max_cardinality)
     kept = values.join(usable.select(*KEY), KEY, "left_semi")
     pairs = shared_values(kept).where("a_table < b_table")
     cols = ["n_distinct", "dtype"]

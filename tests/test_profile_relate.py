@@ -51,6 +51,14 @@ def test_containment_and_joinable(spark):
     assert all("users.id" not in (e.source_id, e.target_id) for e in narrow.collect())
 
 
+def test_wide_keys_are_joinable(spark):
+    key = [(str(i),) for i in range(1000)]
+    v = p.long_values({"a": spark.createDataFrame(key, "k string"), "b": spark.createDataFrame(key[:950], "k string")})
+    dtypes = v.select("table_name", "column_name").distinct().withColumn("dtype", F.lit("string"))
+    assert rows(r.joinable(v, dtypes).select("source_id", "target_id", "confidence")) == [("a.k", "b.k", 1.0)]
+    assert r.joinable(v, dtypes, max_cardinality=900).count() == 0
+
+
 def test_shared_values_against_brute_force(spark):
     data = {"a": {"x": ["1", "2", "3", None], "y": ["2", "2", "9", " "]}, "b": {"x": ["3", "2", "7", "8"]}, "c": {"z": ["1", "2", "3", "3 "]}}
     tables = {n: spark.createDataFrame(list(zip(*cols.values())), ", ".join(f"{c} string" for c in cols)) for n, cols in data.items()}
