@@ -13,8 +13,7 @@ from ledgerlens.functions.predicates import present
 MISSING_PCT_MAX = 50.0
 NUMERIC_TEXT_SHARE = 0.95
 COMMA_SHARE = 0.5
-WIDE_LIST_TERMS = 100
-TOP_TERMS, TOP_TERMS_WIDE = 10, 50
+TOP_TERMS = 50
 
 
 def cleaning_report(profile: DataFrame, protect: list[str]) -> DataFrame:
@@ -103,15 +102,12 @@ def _terms(column: Column, delimiter: str) -> Column:
     return F.filter(F.split(column, rf"\Q{delimiter}\E"), lambda x: F.trim(x) != "")
 
 
-def top_terms(df: DataFrame, column: str, delimiter: str) -> DataFrame:
-    """The most frequent terms of a list column: 10, or 50 when it has more than 100 terms."""
+def top_terms(df: DataFrame, column: str, delimiter: str, top: int = TOP_TERMS) -> DataFrame:
+    """The ``top`` most frequent terms of a list column, however many it has."""
     terms = df.select(F.explode(_terms(F.col(column), delimiter)).alias("term"))
     counts = terms.groupBy("term").agg(F.count(F.lit(1)).alias("freq"))
-    many = counts.agg((F.count(F.lit(1)) > WIDE_LIST_TERMS).alias("many")).scalar()
-    # at most 50 rows leave the sort; the exact number depends on how many terms there are
-    head = counts.orderBy(F.col("freq").desc(), "term").limit(TOP_TERMS_WIDE)
-    ranked = head.withColumn("rank", F.row_number().over(W.orderBy(F.col("freq").desc(), "term")))
-    return ranked.where(F.col("rank") <= F.when(many, TOP_TERMS_WIDE).otherwise(TOP_TERMS))
+    head = counts.orderBy(F.col("freq").desc(), "term").limit(top)
+    return head.withColumn("rank", F.row_number().over(W.orderBy(F.col("freq").desc(), "term")))
 
 
 def is_identifier_list(terms: DataFrame) -> DataFrame:
@@ -120,11 +116,11 @@ def is_identifier_list(terms: DataFrame) -> DataFrame:
     return head.agg(F.coalesce(F.bool_or(F.col("term").rlike(r"^\d{10,}$|^C\d+")), F.lit(False)).alias("identifier_list"))
 
 
-def expand_list(df: DataFrame, column: str, delimiter: str, terms: list[str] | None = None) -> DataFrame:
+def expand_list(df: DataFrame, column: str, delimiter: str, terms: list[str] | None = None, top: int = TOP_TERMS) -> DataFrame:
     """Replace a list column by 0/1 term columns, its length and an empty flag; identifier lists keep the last two only."""
     if terms is None:
-        top = top_terms(df, column, delimiter)
-        rows = top.crossJoin(F.broadcast(is_identifier_list(top))).collect()
+        head = top_terms(df, column, delimiter, top)
+        rows = head.crossJoin(F.broadcast(is_identifier_list(head))).collect()
         terms = [] if any(r.identifier_list for r in rows) else [r.term for r in sorted(rows, key=lambda r: r["rank"])]
     parts = _terms(F.col(column), delimiter)
     flags = [F.coalesce(F.array_contains(parts, x), F.lit(False)).cast("int").alias(f"{column}_{x}") for x in terms]

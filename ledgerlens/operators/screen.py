@@ -64,14 +64,16 @@ def group_statistics(cells: DataFrame, total_pos: Column, total_neg: Column) ->
     )
 
 
-def categorical_screening(df: DataFrame, features: list[str], label: str, limit: int = CATEGORY_LIMIT) -> DataFrame:
-    """Group statistics per value of every feature with at most ``limit`` values; missing values are one row."""
+def categorical_screening(df: DataFrame, features: list[str], label: str, limit: int | None = None) -> DataFrame:
+    """Group statistics per value of every feature; missing values are one row. With ``limit``, features of more values are left out."""
     return _categorical(feature_cells(df, features, label), *class_totals(df, label), limit)
 
 
-def _categorical(cells: DataFrame, total_pos: Column, total_neg: Column, limit: int) -> DataFrame:
-    narrow = feature_facts(cells).where(F.col("n_unique") <= limit).select("feature")
-    stats = group_statistics(cells.join(narrow, "feature", "left_semi"), total_pos, total_neg)
+def _categorical(cells: DataFrame, total_pos: Column, total_neg: Column, limit: int | None) -> DataFrame:
+    if limit is not None:
+        narrow = feature_facts(cells).where(F.col("n_unique") <= limit).select("feature")
+        cells = cells.join(narrow, "feature", "left_semi")
+    stats = group_statistics(cells, total_pos, total_neg)
     return stats.withColumn("value", F.coalesce("value", F.lit("NULL")))
 
 
@@ -119,12 +121,14 @@ def information_value(stats: DataFrame) -> DataFrame:
     return stats.groupBy("feature").agg(F.greatest(F.sum("iv_part"), F.lit(0.0)).alias("iv"))
 
 
-def population_stability(df: DataFrame, numeric: list[str], text: list[str], label: str, split: str, bins: int = BINS) -> DataFrame:
-    """PSI between train and validation: shared quantile bins for numbers, values for text (null above 100 values)."""
-    return _stability(feature_cells(df, numeric + text, label, split), numeric, text, bins)
+def population_stability(
+    df: DataFrame, numeric: list[str], text: list[str], label: str, split: str, bins: int = BINS, limit: int | None = None
+) -> DataFrame:
+    """PSI between train and validation: shared quantile bins for numbers, values for text. With ``limit``, null for text of more values."""
+    return _stability(feature_cells(df, numeric + text, label, split), numeric, text, bins, limit)
 
 
-def _stability(all_cells: DataFrame, numeric: list[str], text: list[str], bins: int) -> DataFrame:
+def _stability(all_cells: DataFrame, numeric: list[str], text: list[str], bins: int, limit: int | None = None) -> DataFrame:
     cells = all_cells.where("value is not null")
     numbers = cells.where(F.col("feature").isin(*numeric)) if numeric else cells.limit(0)
     words = cells.where(F.col("feature").isin(*text)) if text else cells.limit(0)
@@ -136,7 +140,9 @@ def _stability(all_cells: DataFrame, numeric: list[str], text: list[str], bins:
     j = groups.join(totals, "feature")
     share = lambda n, total: F.when(F.col(n) == 0, EMPTY_SHARE).otherwise(F.col(n) / F.nullif(F.col(total), F.lit(0)))
     t, v = share("n_train", "_t"), share("n_valid", "_v")
-    usable = (F.col("_t") > 0) & (F.col("_v") > 0) & ((F.col("_k") <= CATEGORY_LIMIT) | ~F.col("feature").isin(*text, ""))
+    usable = (F.col("_t") > 0) & (F.col("_v") > 0)
+    if limit is not None:
+        usable &= (F.col("_k") <= limit) | ~F.col("feature").isin(*text, "")
     part = F.when(usable, (v - t) * F.log(v / t))
     return j.groupBy("feature").agg(F.sum(part).alias("psi"))
 
@@ -163,16 +169,18 @@ def recommend(facts: DataFrame) -> DataFrame:
 def screening_report(df: DataFrame, numeric: list[str], text: list[str], label: str, split: str) -> DataFrame:
     """Facts, information value, stability and advice per feature; statistics come from the train rows.
 
+    Numbers of more than 100 values are judged by quantile bins, all other features by their values, however many.
     The rows are read once: all of it derives from one written table of counts per value.
     """
     cells = cut_lineage(feature_cells(df, numeric + text, label, split))
     train = cells.where("n > 0")
     total_pos, total_neg = class_totals(df.where(F.col(split) == "train"), label)
     facts = feature_facts(train)
+    numbers, words = train.where(F.col("feature").isin(*numeric)), train.where(~F.col("feature").isin(*numeric))
     iv = information_value(
-        _categorical(train, total_pos, total_neg, CATEGORY_LIMIT).unionByName(
-            _numeric(train.where(F.col("feature").isin(*numeric)), total_pos, total_neg, BINS, CATEGORY_LIMIT)
-        )
+        _categorical(numbers, total_pos, total_neg, CATEGORY_LIMIT)
+        .unionByName(_categorical(words, total_pos, total_neg, None))
+        .unionByName(_numeric(numbers, total_pos, total_neg, BINS, CATEGORY_LIMIT))
     )
     psi = _stability(cells, numeric, text, BINS)
     return recommend(facts.join(iv, "feature", "left").join(psi, "feature", "left"))

@@ -54,7 +54,7 @@ TERMS = f"""{TAGS}, tm AS (SELECT term, count(*) AS freq FROM (SELECT unnest(str
 
 @query("K07_top_terms", f"WITH {TERMS} SELECT term, freq, rank::INTEGER AS rank FROM top WHERE rank <= 10")
 def k07(t):
-    return ft.top_terms(tags(t), "tags", "#")
+    return ft.top_terms(tags(t), "tags", "#", 10)
 
 
 @query(
@@ -75,7 +75,7 @@ def c12(t):
     codes = t.orders.select("o_orderkey", F.concat(F.lit("C"), (F.col("o_orderkey") + 10000).cast("string"), F.lit("#C"), (F.col("o_custkey") + 10000).cast("string")).alias("codes"))
     rows = []
     for df, col in ((codes, "codes"), (tags(t), "tags")):
-        wide = ft.expand_list(df, col, "#")
+        wide = ft.expand_list(df, col, "#", top=10)
         flag = ft.is_identifier_list(ft.top_terms(df, col, "#"))
         rows.append(flag.select(F.lit(col).alias("field"), "identifier_list", F.lit(len(wide.columns) - 1).alias("columns")))
     return rows[0].unionByName(rows[1])

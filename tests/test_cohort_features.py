@@ -86,6 +86,12 @@ def test_list_expansion(spark):
     assert ft.top_terms(wide, "tags", "#").count() == 50
 
 
+def test_number_of_top_terms_is_fixed(spark):
+    for n in (60, 150):
+        df = spark.createDataFrame([(i, f"t{i}") for i in range(n)], "id int, tags string")
+        assert ft.top_terms(df, "tags", "#").count() == 50 and ft.top_terms(df, "tags", "#", 10).count() == 10
+
+
 def test_tiers(spark):
     tiers = spark.createDataFrame([("北京", "一线"), ("昆明", "新一线")], "name string, tier string")
     df = spark.createDataFrame([("北京市",), ("北京 市",), ("昆明",), ("某县",), ("未知",), ("别处",), ("",), (None,)], "city string")

@@ -74,6 +74,24 @@ def test_stability_of_equal_halves_is_zero(spark):
         assert abs(r.psi) < 1e-12
 
 
+def test_text_of_many_values_is_screened(spark):
+    data = [(i, int(i % 3 == 0), f"v{i % 150}", float(i), "train" if i % 7 else "valid") for i in range(1200)]
+    df = spark.createDataFrame(data, "user_id bigint, label int, f_text string, f_num double, split string")
+    cell = lambda part, label: np.array([sum(r[2] == f"v{k}" and r[4] in part and r[1] in label for r in data) for k in range(150)])
+    pos, neg = cell(["train"], [1]), cell(["train"], [0])
+    both = (pos > 0) & (neg > 0)
+    p, n = pos / pos.sum(), neg / neg.sum()
+    iv = max(((p - n)[both] * np.log(p[both] / n[both])).sum(), 0.0)
+    t, v = cell(["train"], [0, 1]), cell(["valid"], [0, 1])
+    a, b = np.where(t == 0, 0.001, t / t.sum()), np.where(v == 0, 0.001, v / v.sum())
+    psi = ((b - a) * np.log(b / a)).sum()
+    got = {r.feature: r for r in c.screening_report(df, ["f_num"], ["f_text"], "label", "split").collect()}
+    assert got["f_text"].iv is not None and abs(got["f_text"].iv - iv) < 1e-9 and abs(got["f_text"].psi - psi) < 1e-9
+    assert abs({r.feature: r.psi for r in c.population_stability(df, ["f_num"], ["f_text"], "label", "split").collect()}["f_text"] - psi) < 1e-9
+    assert c.population_stability(df, [], ["f_text"], "label", "split", limit=100).first().psi is None
+    assert c.categorical_screening(df, ["f_text"], "label").count() == 150 and c.categorical_screening(df, ["f_text"], "label", 100).count() == 0
+
+
 def test_null_is_one_row(spark):
     df = spark.createDataFrame([(1, None), (0, None), (1, "a"), (0, "b")], "label int, f string")
     got = {r.value: (r["count"], r.count_pos) for r in c.categorical_screening(df, ["f"], "label").collect()}
