@@ -13,8 +13,6 @@ from ledgerlens.operators.sequences import carried, position_segment
 
 TOP_DEFAULT, TOP_MAX = 5, 20
 K1, B = 1.2, 0.75
-VALUE_HITS = 8
-MENTION_SPANS = 8
 LINK_COLUMNS = 2
 
 # Weight of a page by its type.
@@ -35,13 +33,14 @@ def chunk_documents(documents: DataFrame, key: str, text: str, size: int = tx.CH
     return documents.select(F.col(key).alias("doc_id"), F.posexplode(tx.chunks(F.col(text), size, overlap)).alias("chunk_index", "content"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, top: int = TOP_DEFAULT) -> DataFrame:
-    """The best chunks per query for any of its terms: score ``1 / (1 + bm25)`` of the index, as users see it.
+def bm25(chunks: DataFrame, queries: DataFrame, top: int | None = TOP_DEFAULT) -> DataFrame:
+    """The best ``top`` chunks per query for any of its terms: score ``1 / (1 + bm25)`` of the index, as users see it.
+
+    With ``top=None`` all chunks that hold a term come back and no rank is given, so that no query's hits are sorted in one task.
 
     ``queries(query_id, query)``. Only words some query asks for leave a chunk, already counted, so the shuffle carries
-    matching terms and not texts. Rows: query_id, rank, doc_id, chunk_index, relevance, score.
+    matching terms and not texts. Rows: query_id, rank (with ``top``), doc_id, chunk_index, relevance, score.
     """
-    k = max(1, min(top, TOP_MAX))
     asked = queries.select("query_id", F.explode(F.array_distinct(tx.query_terms(F.col("query")))).alias("term"))
     words = chunks.select("doc_id", "chunk_index", tx.index_words(F.col("content")).alias("words"))
     size = words.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("avg")).alias("s")).scalar()
@@ -58,9 +57,11 @@ def bm25(chunks: DataFrame, queries: DataFrame, top: int = TOP_DEFAULT) -> DataF
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / avg))
     weighted = asked.join(spread, "term").select("query_id", "term", "df").join(postings, "term")
     hits = weighted.groupBy("query_id", "doc_id", "chunk_index").agg(F.round(F.sum(part), 9).alias("relevance"))
+    hits = hits.withColumn("score", 1 / (1 + F.abs("relevance")))
+    if top is None:
+        return hits
     order = W.partitionBy("query_id").orderBy(F.col("relevance").desc(), "doc_id", "chunk_index")
-    best = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return best.withColumn("score", 1 / (1 + F.abs("relevance")))
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(1, top))
 
 
 def above(hits: DataFrame, threshold: float | None) -> DataFrame:
@@ -69,9 +70,13 @@ def above(hits: DataFrame, threshold: float | None) -> DataFrame:
 
 
 def search(chunks: DataFrame, queries: DataFrame, vectors: DataFrame | None, top: int = TOP_DEFAULT, threshold: float | None = None) -> DataFrame:
-    """Vector search when an index and query vectors exist, else text search; rows query_id, item, rank, score."""
+    """Vector search when an index and query vectors exist, else text search; rows query_id, item, rank, score.
+
+    At most 20 hits a query, before the threshold; ``above`` over ``bm25`` or ``similarities`` without ``top`` gives all.
+    """
+    top = min(top, TOP_MAX)
     if vectors is not None and "embedding" in queries.columns:
-        hits = vec.top_k(vectors, queries, max(1, min(top, TOP_MAX))).select("query_id", F.col("vec_id").cast("string").alias("item"), "rank", "score")
+        hits = vec.top_k(vectors, queries, max(1, top)).select("query_id", F.col("vec_id").cast("string").alias("item"), "rank", "score")
     else:
         found = bm25(chunks, queries, top)
         hits = found.select(F.col("query_id").cast("string").alias("query_id"), F.concat_ws(":", "doc_id", "chunk_index").alias("item"), "rank", "score")
@@ -84,8 +89,9 @@ def value_index(values: DataFrame) -> DataFrame:
     return norm.where(F.length("normal") >= 2).distinct()
 
 
-def lookup_values(index: DataFrame, literals: DataFrame, most: int = VALUE_HITS) -> DataFrame:
-    """Values behind literals: equal or one inside the other; when there is none, columns sharing two shingles or more.
+def lookup_values(index: DataFrame, literals: DataFrame, most: int | None = None) -> DataFrame:
+    """Values behind literals: equal or one inside the other; when there is none, columns sharing two shingles or more,
+    all of them or the ``most`` that share the most.
 
     All of it is joined on shingles: a text inside another shares every shingle of the shorter one, so the candidates of an
     equality and containment test come from one equi-join. Literals shorter than a shingle are compared with the
@@ -108,27 +114,31 @@ def lookup_values(index: DataFrame, literals: DataFrame, most: int = VALUE_HITS)
     exact = found.select("literal", "table_name", "column_name", F.col("value").alias("sample"), F.lit("exact").alias("match"), F.lit(None).cast("bigint").alias("shared"))
     left = shared.join(found.select("literal").distinct(), "literal", "left_anti")
     per_column = left.groupBy("literal", "table_name", "column_name").agg(F.sum("shared").alias("shared"), F.max("value").alias("sample")).where("shared >= 2")
-    order = W.partitionBy("literal").orderBy(F.col("shared").desc(), "table_name", "column_name")
-    near = per_column.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most)
+    near = per_column
+    if most is not None:
+        order = W.partitionBy("literal").orderBy(F.col("shared").desc(), "table_name", "column_name")
+        near = near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most)
     return exact.unionByName(near.select("literal", "table_name", "column_name", "sample", F.lit("near").alias("match"), "shared"))
 
 
-def mention_spans(questions: DataFrame, key: str, text: str, most: int = MENTION_SPANS) -> DataFrame:
-    """Quoted texts, Latin words and runs of ideographs of a question that may name a value; at most eight, short ones first."""
+def mention_spans(questions: DataFrame, key: str, text: str, most: int | None = None) -> DataFrame:
+    """Quoted texts, Latin words and runs of ideographs of a question that may name a value; with ``most`` no more than so many, short ones first."""
     pick = lambda rx, g: F.regexp_extract_all(text, F.lit(rx), F.lit(g))
     every = F.concat(pick(r"[\"“']([^\"”']{2,40})[\"”']", 1), pick(r"([A-Za-z][A-Za-z0-9_./:-]{1,40})", 1), pick(r"([一-鿿]{2,6})", 1))
-    spans = F.array_distinct(F.filter(F.transform(every, F.trim), lambda s: F.length(s) >= 2))
+    spans = F.array_distinct(F.filter(F.transform(every, lambda s: F.trim(s)), lambda s: F.length(s) >= 2))
     rows = questions.select(key, F.posexplode(spans).alias("pos", "span"))
+    if most is None:
+        return rows.select(key, "span")
     size = F.length("span")
     group = F.when(size <= 4, 0).when(size <= 8, 1).otherwise(2)
     order = W.partitionBy(key).orderBy(group, size.desc(), "pos")
     return rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).select(key, "span")
 
 
-def link_mentions(spans: DataFrame, key: str, index: DataFrame, columns: int = LINK_COLUMNS) -> DataFrame:
-    """Spans with the columns they may mean: linked when there are at most two, else ambiguous."""
+def link_mentions(spans: DataFrame, key: str, index: DataFrame, columns: int = LINK_COLUMNS, most: int | None = None) -> DataFrame:
+    """Spans with the columns they may mean: linked when there are at most two, else ambiguous. ``most``: near columns of a span."""
     literals = spans.select(F.col("span").alias("literal")).distinct()
-    hits = lookup_values(index, literals)
+    hits = lookup_values(index, literals, most)
     per_column = hits.groupBy("literal", "table_name", "column_name", "match").agg(F.min("sample").alias("sample"))
     counted = per_column.groupBy("literal").agg(F.count_distinct("table_name", "column_name").alias("n"))
     j = spans.join(per_column.withColumnRenamed("literal", "span"), "span").join(counted.withColumnRenamed("literal", "span"), "span")

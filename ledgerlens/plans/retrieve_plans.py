@@ -61,7 +61,14 @@ def t02(t):
 
 @query("T03_score_threshold", BM25 + " SELECT query_id, doc_id, chunk_index FROM rk WHERE rank <= 20 AND 1 / (1 + abs(relevance)) >= 0.08")
 def t03(t):
-    return r.above(r.bm25(chunks(t), questions(t), 50), 0.08).select("query_id", "doc_id", "chunk_index")
+    """Chunks at or above the threshold among the best 20 of a query, as its SQL states."""
+    return r.above(r.bm25(chunks(t), questions(t), min(50, r.TOP_MAX)), 0.08).select("query_id", "doc_id", "chunk_index")
+
+
+@query("T03_score_threshold_all", BM25 + " SELECT query_id, doc_id, chunk_index FROM hit WHERE 1 / (1 + abs(relevance)) >= 0.08")
+def t03_all(t):
+    """All chunks at or above the threshold."""
+    return r.above(r.bm25(chunks(t), questions(t), None), 0.08).select("query_id", "doc_id", "chunk_index")
 
 
 CENTROIDS = """cen AS (SELECT label, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) r(i) GROUP BY 1, 2) GROUP BY 1),
@@ -143,36 +150,59 @@ LOOKUP = """sh AS (SELECT literal, lit, table_name, column_name, value, normal,
   nr AS (SELECT literal, table_name, column_name, sum(shared)::BIGINT AS shared, max(value) AS sample FROM sh WHERE shared > 0 AND literal NOT IN (SELECT literal FROM ex) GROUP BY 1, 2, 3 HAVING sum(shared) >= 2),
   hits AS (SELECT literal, table_name, column_name, value AS sample, 'exact' AS match, NULL::BIGINT AS shared FROM ex
     UNION ALL SELECT literal, table_name, column_name, sample, 'near', shared FROM (SELECT *, row_number() OVER (PARTITION BY literal ORDER BY shared DESC, table_name, column_name) AS rn FROM nr) WHERE rn <= 8)"""
+LOOKUP_ALL = LOOKUP.replace("SELECT *, row_number() OVER (PARTITION BY literal ORDER BY shared DESC, table_name, column_name) AS rn FROM nr) WHERE rn <= 8)", "SELECT * FROM nr))")
+NEAR_COLUMNS = 8
 LITERALS = ["Asia", "eu", "AUTOMOBIL", "buildng", "red ring now", "5-low", "zzz", "econmy", "src1", "1-URGENT ", "machinry"]
 _LITS = ", ".join(f"('{x}')" for x in LITERALS)
 
 
-@query(
-    "T05_value_lookup",
-    rf"WITH {VI}, lits AS (SELECT literal, regexp_replace(lower(trim(literal)), '\s+', ' ', 'g') AS lit FROM (VALUES {_LITS}) x(literal)), {LOOKUP} SELECT * FROM hits",
-)
+_T05 = rf"WITH {VI}, lits AS (SELECT literal, regexp_replace(lower(trim(literal)), '\s+', ' ', 'g') AS lit FROM (VALUES {_LITS}) x(literal)), {LOOKUP} SELECT * FROM hits"
+
+
+def literals(t):
+    return t.spark.createDataFrame([(x,) for x in LITERALS], "literal string")
+
+
+@query("T05_value_lookup", _T05)
 def t05(t):
-    literals = t.spark.createDataFrame([(x,) for x in LITERALS], "literal string")
-    return r.lookup_values(index(t), literals)
+    """Values behind literals, near columns up to eight a literal."""
+    return r.lookup_values(index(t), literals(t), NEAR_COLUMNS)
+
+
+@query("T05_value_lookup_all", _T05.replace(LOOKUP, LOOKUP_ALL))
+def t05_all(t):
+    """Values behind literals with all near columns."""
+    return r.lookup_values(index(t), literals(t))
 
 
 ASKED = "SELECT p_partkey AS q_id, 'show ' || p_name || ' of type \"' || p_type || '\" in Asia' AS question FROM part"
 
 
-@query(
-    "T06_mention_linking",
-    rf"""WITH {VI}, qs AS ({ASKED}),
+_T06 = rf"""WITH {VI}, qs AS ({ASKED}),
         raw AS (SELECT q_id, list_distinct(list_concat(regexp_extract_all(question, '["“'']([^"”'']{{2,40}})["”'']', 1), regexp_extract_all(question, '([A-Za-z][A-Za-z0-9_./:-]{{1,40}})', 1))) AS a FROM qs),
         sp AS (SELECT DISTINCT q_id, unnest(a) AS span FROM raw),
         lits AS (SELECT DISTINCT span AS literal, lower(span) AS lit FROM sp), {LOOKUP},
         pc AS (SELECT literal, table_name, column_name, match, min(sample) AS sample FROM hits GROUP BY 1, 2, 3, 4), ct AS (SELECT literal, count(DISTINCT (table_name, column_name)) AS n FROM pc GROUP BY 1)
-        SELECT q_id, span, table_name, column_name, sample, match, CASE WHEN n <= 2 THEN 'linked' ELSE 'ambiguous' END AS status FROM sp JOIN pc ON pc.literal = span JOIN ct ON ct.literal = span""",
-)
-def t06(t):
+        SELECT q_id, span, table_name, column_name, sample, match, CASE WHEN n <= 2 THEN 'linked' ELSE 'ambiguous' END AS status FROM sp JOIN pc ON pc.literal = span JOIN ct ON ct.literal = span"""
+
+
+def mentions(t):
     asked = t.part.select(
         F.col("p_partkey").alias("q_id"), F.concat(F.lit("show "), "p_name", F.lit(' of type "'), "p_type", F.lit('" in Asia')).alias("question")
     )
-    return r.link_mentions(r.mention_spans(asked, "q_id", "question"), "q_id", index(t))
+    return r.mention_spans(asked, "q_id", "question")
+
+
+@query("T06_mention_linking", _T06)
+def t06(t):
+    """All mentions of a question, near columns up to eight a mention."""
+    return r.link_mentions(mentions(t), "q_id", index(t), most=NEAR_COLUMNS)
+
+
+@query("T06_mention_linking_all", _T06.replace(LOOKUP, LOOKUP_ALL))
+def t06_all(t):
+    """All mentions of a question with all near columns."""
+    return r.link_mentions(mentions(t), "q_id", index(t))
 
 
 _TYPES = "CASE WHEN lang = 'en' THEN 'table' WHEN lang = 'fr' THEN 'metric' WHEN lang = 'de' THEN 'relation' ELSE 'other' END"

@@ -51,6 +51,19 @@ def test_lookup_against_brute_force(spark):
     assert got == want
 
 
+def test_hits_are_not_cut(spark):
+    chunks = spark.createDataFrame([(i, 0, f"fox word{i}") for i in range(30)] + [(99 + i, 0, "dog") for i in range(90)], "doc_id int, chunk_index int, content string")
+    asked = spark.createDataFrame([(1, "fox")], "query_id int, query string")
+    assert r.above(r.bm25(chunks, asked, None), 0.01).count() == 30 and r.bm25(chunks, asked, 25).count() == 25
+    vals = spark.createDataFrame([("t", f"c{i}", f"shanghai{i}") for i in range(12)], "table_name string, column_name string, value string")
+    lits = spark.createDataFrame([("shanghi",)], "literal string")
+    index = r.value_index(vals)
+    assert r.lookup_values(index, lits).count() == 12 and r.lookup_values(index, lits, 8).count() == 8
+    spans = r.mention_spans(spark.createDataFrame([(1, " ".join(f"name{i}" for i in range(12)))], "id int, q string"), "id", "q")
+    assert spans.count() == 12
+    assert r.mention_spans(spark.createDataFrame([(1, " ".join(f"name{i}" for i in range(12)))], "id int, q string"), "id", "q", 8).count() == 8
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(0)
     m = rng.normal(size=(60, 8))
