@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import chat, exact_dedup, fingerprints, line_dedup, mixing, ngram_join, packing, quality, substring, token_blocks
+from ledgerlens.llm import chat, exact_dedup, filter_audit, fingerprints, line_dedup, minhash, mixing, ngram_join, packing, quality, substring, token_blocks, vector_codes
 from ledgerlens.llm.common import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -207,3 +207,90 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return chat.read_back(written(chat.format_conversations(turns), "chat"))
+
+
+@query("op11_minhash_near_dedup")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose five-word shingles agree to 85 in 100; the smallest doc_id of each is kept."""
+    return minhash.near_copies(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH t AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+l AS (SELECT doc_id, max(coalesce(quality, 0) = 1) AS good, max(coalesce(toxic, 0) = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+d AS (
+    SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+           CASE WHEN len(words) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' ELSE '' END
+           || CASE WHEN 100 * len(regexp_extract_all(text, '[A-Z]')) > 10 * length(text) THEN 'C' ELSE '' END
+           || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+           || CASE WHEN t.doc_id > min(t.doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS failed
+    FROM t LEFT JOIN l ON t.doc_id = l.doc_id),
+c AS (SELECT part, failed, good, toxic, count(*) AS n FROM d GROUP BY ALL),
+f AS (SELECT unnest(string_split('ABCDE', '')) AS f),
+o AS (
+    SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f AS a, f AS b, f AS c, f AS d, f AS e
+    WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT part, filter_order, unnest(range(1, 6)) AS step FROM (SELECT DISTINCT part FROM t), o),
+p AS (SELECT *, filter_order[step] AS own, filter_order[1:step - 1] AS before FROM s),
+r AS (
+    SELECT part, filter_order, step, own,
+           sum(CASE WHEN translate(failed, before || own, '') = failed THEN n ELSE 0 END)::BIGINT AS kept,
+           sum(CASE WHEN contains(failed, own) AND translate(failed, before, '') = failed THEN n ELSE 0 END)::BIGINT AS removed,
+           sum(CASE WHEN contains(failed, own) AND translate(failed, before, '') <> failed THEN n ELSE 0 END)::BIGINT AS redundant,
+           sum(CASE WHEN failed = own THEN n ELSE 0 END)::BIGINT AS unique_fails,
+           sum(CASE WHEN good AND contains(failed, own) AND translate(failed, before, '') = failed THEN n ELSE 0 END)::BIGINT AS good_lost,
+           sum(CASE WHEN toxic AND contains(failed, own) AND translate(failed, before, '') = failed THEN n ELSE 0 END)::BIGINT AS toxic_lost
+    FROM p JOIN c USING (part) GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM r
+"""
+
+
+@query("op12_filter_interaction_audit", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters in all their orders, by language."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _op13_sql(rounds: int = vector_codes.ROUNDS) -> str:
+    """The rounds one after the other; distances as |a|^2 - 2ab + |b|^2, exact in doubles of this size."""
+    head = """
+WITH v AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS w FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (
+    SELECT vec_id, label, p, w[p * len(w) // 4 + 1:(p + 1) * len(w) // 4] AS a, list_inner_product(a, a) AS aa
+    FROM v, (SELECT unnest(range(0, 4)) AS p)),
+b0 AS MATERIALIZED (
+    SELECT p, e, a AS c, aa AS cc FROM (SELECT p, a, aa, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e FROM x) WHERE e < 256)"""
+    near = "SELECT vec_id, label, p, arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT vec_id, label, x.p, e, aa - 2 * list_inner_product(a, c) + cc AS d FROM x JOIN {book} AS b ON x.p = b.p) GROUP BY ALL"
+    near = near.replace("GROUP BY ALL", "GROUP BY vec_id, label, p")
+    for k in range(rounds):
+        head += f""",
+n{k} AS MATERIALIZED ({near.format(book=f"b{k}")}),
+m{k} AS (
+    SELECT p, e, list(s ORDER BY i) AS c
+    FROM (SELECT n.p, n.e, u.i, floor(sum(u.s) / count(*)) AS s
+          FROM n{k} AS n JOIN x ON n.vec_id = x.vec_id AND n.p = x.p, LATERAL (SELECT unnest(x.a) AS s, unnest(range(0, len(x.a))) AS i) AS u
+          GROUP BY n.p, n.e, u.i)
+    GROUP BY p, e),
+b{k + 1} AS MATERIALIZED (
+    SELECT b.p, b.e, coalesce(m.c, b.c) AS c, list_inner_product(coalesce(m.c, b.c), coalesce(m.c, b.c)) AS cc
+    FROM b{k} AS b LEFT JOIN m{k} AS m ON b.p = m.p AND b.e = m.e)"""
+    return (
+        head
+        + f""",
+z AS (SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM ({near.format(book=f"b{rounds}")}) GROUP BY vec_id, label)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda y: y::BIGINT), ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256
+FROM z
+"""
+    )
+
+
+@query("op13_vector_codes", _op13_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four bytes for each vector of ``embeddings``."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vector"), "label")
+    return vector_codes.encode(vectors).select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
