@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,8 +12,11 @@ from ledgerlens.functions import text as tx
 from ledgerlens.functions.names import normal_text
 from ledgerlens.operators import vectors as vec
 from ledgerlens.operators.sequences import carried, position_segment
+from ledgerlens.session import cut_lineage
 
-TOP_DEFAULT, TOP_MAX = 5, 20
+TOP_DEFAULT = 5
+#: Chunks of a shard of the text index.
+SHARD_CHUNKS = 1024
 K1, B = 1.2, 0.75
 LINK_COLUMNS = 2
 
@@ -33,35 +38,82 @@ def chunk_documents(documents: DataFrame, key: str, text: str, size: int = tx.CH
     return documents.select(F.col(key).alias("doc_id"), F.posexplode(tx.chunks(F.col(text), size, overlap)).alias("chunk_index", "content"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, top: int | None = TOP_DEFAULT) -> DataFrame:
+@dataclass(frozen=True)
+class TextIndex:
+    """Chunks with their counted words, and postings in blocks; both written tables."""
+
+    #: doc_id, chunk_index, length, terms (array of term and tf)
+    counted: DataFrame
+    #: shard, term, n, max_tf, min_length, postings (array of doc_id, chunk_index, tf, length)
+    blocks: DataFrame
+
+
+def counted_chunks(chunks: DataFrame) -> DataFrame:
+    """Each chunk with its words counted inside the chunk: no word leaves it uncounted."""
+    words = chunks.select("doc_id", "chunk_index", F.array_sort(tx.index_words(F.col("content"))).alias("words"))
+    return words.select("doc_id", "chunk_index", F.size("words").alias("length"), tx.counted(F.col("words")).alias("terms"))
+
+
+def posting_blocks(counted: DataFrame, shard_chunks: int = SHARD_CHUNKS) -> DataFrame:
+    """Postings in blocks: one block for each term of a shard of about ``shard_chunks`` chunks.
+
+    A term that all chunks hold has as many blocks as there are shards, none longer than a shard. A block knows its greatest count and its shortest
+    chunk, which bound the weight of all its postings.
+    """
+    shards = F.greatest(F.lit(1), F.ceil(counted.agg(F.count(F.lit(1)).alias("n")).scalar() / shard_chunks)).cast("int")
+    shard = F.pmod(F.xxhash64("doc_id", "chunk_index"), shards).cast("int")
+    each = counted.select(shard.alias("shard"), "doc_id", "chunk_index", "length", F.explode("terms").alias("t"))
+    posting = F.struct("doc_id", "chunk_index", F.col("t.tf").alias("tf"), "length")
+    return each.groupBy("shard", F.col("t.term").alias("term")).agg(
+        F.count(F.lit(1)).alias("n"), F.max("t.tf").alias("max_tf"), F.min("length").alias("min_length"), F.collect_list(posting).alias("postings")
+    )
+
+
+def text_index(chunks: DataFrame, shard_chunks: int = SHARD_CHUNKS) -> TextIndex:
+    """An index of chunks in the session's checkpoint folder."""
+    counted = cut_lineage(counted_chunks(chunks))
+    return TextIndex(counted, cut_lineage(posting_blocks(counted, shard_chunks)))
+
+
+def bm25(index: TextIndex, queries: DataFrame, top: int | None = TOP_DEFAULT) -> DataFrame:
     """The best ``top`` chunks per query for any of its terms: score ``1 / (1 + bm25)`` of the index, as users see it.
 
+    ``queries(query_id, query)``; all terms of a query count. With ``top`` only the shards are scored that can hold one of the best: the best shard of each query
+    by the bounds of its blocks gives a relevance that ``top`` chunks reach, and a shard whose bounds stay below it is skipped, its postings unread.
     With ``top=None`` all chunks that hold a term come back and no rank is given, so that no query's hits are sorted in one task.
-
-    ``queries(query_id, query)``. Only words some query asks for leave a chunk, already counted, so the shuffle carries
-    matching terms and not texts. Rows: query_id, rank (with ``top``), doc_id, chunk_index, relevance, score.
+    Rows: query_id, rank (with ``top``), doc_id, chunk_index, relevance, score.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tx.query_terms(F.col("query")))).alias("term"))
-    words = chunks.select("doc_id", "chunk_index", tx.index_words(F.col("content")).alias("words"))
-    size = words.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("avg")).alias("s")).scalar()
-    vocabulary = asked.select("term").distinct()
-    postings = (
-        words.select("doc_id", "chunk_index", F.size("words").alias("length"), F.explode("words").alias("term"))
-        .join(vocabulary, "term", "left_semi")
-        .groupBy("term", "doc_id", "chunk_index", "length")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    spread = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    size = index.counted.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg")).alias("s")).scalar()
+    heads = index.blocks.select("shard", "term", "n", "max_tf", "min_length")
+    spread = heads.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
     n, avg = size.getField("n"), size.getField("avg")
     idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / avg))
-    weighted = asked.join(spread, "term").select("query_id", "term", "df").join(postings, "term")
-    hits = weighted.groupBy("query_id", "doc_id", "chunk_index").agg(F.round(F.sum(part), 9).alias("relevance"))
-    hits = hits.withColumn("score", 1 / (1 + F.abs("relevance")))
+    weighted = cut_lineage(asked.join(spread, "term").select("query_id", "term", idf.alias("idf")))
+
+    def weight(tf: Column, length: Column) -> Column:
+        return F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg))
+
+    def scored(wanted: DataFrame, on: list[str]) -> DataFrame:
+        postings = wanted.join(index.blocks.select("shard", "term", "postings"), on).select("query_id", "idf", F.explode("postings").alias("p"))
+        hits = postings.groupBy("query_id", "p.doc_id", "p.chunk_index").agg(F.round(F.sum(weight(F.col("p.tf"), F.col("p.length"))), 9).alias("relevance"))
+        return hits.withColumn("score", 1 / (1 + F.abs("relevance")))
+
     if top is None:
-        return hits
+        return scored(weighted, ["term"])
+    top = max(1, top)
     order = W.partitionBy("query_id").orderBy(F.col("relevance").desc(), "doc_id", "chunk_index")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(1, top))
+
+    def best(hits: DataFrame) -> DataFrame:
+        return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+    # the weight grows with the count and falls with the length
+    bounds = weighted.join(heads, "term").groupBy("query_id", "shard").agg(F.sum(weight(F.col("max_tf"), F.col("min_length"))).alias("most"))
+    bounds = cut_lineage(bounds)
+    first = bounds.groupBy("query_id").agg(F.max_by("shard", F.struct("most", "shard")).alias("shard"))
+    reached = best(scored(first.join(weighted, "query_id"), ["term", "shard"])).where(F.col("rank") == top).select("query_id", F.col("relevance").alias("reached"))
+    able = bounds.join(reached, "query_id", "left").where(F.col("most") >= F.coalesce("reached", F.lit(0.0)) - 1e-6).select("query_id", "shard")
+    return best(scored(able.join(weighted, "query_id"), ["term", "shard"]))
 
 
 def above(hits: DataFrame, threshold: float | None) -> DataFrame:
@@ -69,52 +121,68 @@ def above(hits: DataFrame, threshold: float | None) -> DataFrame:
     return hits if threshold is None else hits.where(F.col("score") >= threshold)
 
 
-def search(chunks: DataFrame, queries: DataFrame, vectors: DataFrame | None, top: int = TOP_DEFAULT, threshold: float | None = None) -> DataFrame:
+def search(index: TextIndex, queries: DataFrame, vectors: DataFrame | None, top: int = TOP_DEFAULT, threshold: float | None = None) -> DataFrame:
     """Vector search when an index and query vectors exist, else text search; rows query_id, item, rank, score.
 
-    At most 20 hits a query, before the threshold; ``above`` over ``bm25`` or ``similarities`` without ``top`` gives all.
+    The best ``top`` of a query, of them those at or above the threshold; ``above`` over ``bm25`` or ``similarities`` without ``top`` gives all.
     """
-    top = min(top, TOP_MAX)
     if vectors is not None and "embedding" in queries.columns:
         hits = vec.top_k(vectors, queries, max(1, top)).select("query_id", F.col("vec_id").cast("string").alias("item"), "rank", "score")
     else:
-        found = bm25(chunks, queries, top)
+        found = bm25(index, queries, top)
         hits = found.select(F.col("query_id").cast("string").alias("query_id"), F.concat_ws(":", "doc_id", "chunk_index").alias("item"), "rank", "score")
     return above(hits, threshold)
 
 
 def value_index(values: DataFrame) -> DataFrame:
-    """Distinct normalised values of two characters or more, with the shingles they are found by."""
+    """Distinct values with their normal forms of two characters or more."""
     norm = values.where("value is not null").select("table_name", "column_name", "value", normal_text(F.col("value")).alias("normal"))
     return norm.where(F.length("normal") >= 2).distinct()
 
 
+def _pieces(text: str, n: int) -> Column:
+    """The different pieces of ``n`` characters of a text; a shorter text is its own piece."""
+    return F.array_distinct(tx.shingles(F.col(text), n))
+
+
+def _rarest(holders: DataFrame, text: str, others: DataFrame) -> DataFrame:
+    """Each different text of ``holders`` with the piece of it that fewest of the ``others`` hold (``piece, df``); texts with a piece that none of them holds fall out."""
+    each = holders.select(text).distinct().withColumn("pieces", _pieces(text, 3))
+    each = each.select(text, F.size("pieces").alias("size"), F.explode("pieces").alias("piece"))
+    kept = each.join(others, "piece").groupBy(text).agg(F.min_by("piece", F.struct("df", "piece")).alias("piece"), F.count(F.lit(1)).alias("found"), F.first("size").alias("size"))
+    return kept.where("found = size").select(text, "piece")
+
+
 def lookup_values(index: DataFrame, literals: DataFrame, most: int | None = None) -> DataFrame:
     """Values behind literals: equal or one inside the other; when there is none, columns sharing two shingles or more,
-    all of them or the ``most`` that share the most.
+    all of them or the ``most`` that share the most. Rows: literal, table_name, column_name, sample, match, shared.
 
-    All of it is joined on shingles: a text inside another shares every shingle of the shorter one, so the candidates of an
-    equality and containment test come from one equi-join. Literals shorter than a shingle are compared with the
-    shingle-sized pieces of their own length. Rows: literal, table_name, column_name, sample, match, shared.
+    A text inside another shares all its shingles with it, so it meets only the texts that hold its rarest one, and those are compared in full; frequent shingles
+    make no candidates. Texts of two characters are compared with the pieces of two characters. The shingles that a literal shares with a column's
+    values are summed from the column's counts of each shingle, so that no literal meets single values for it.
     """
     lits = literals.select(F.col("literal"), normal_text(F.col("literal")).alias("lit")).where(F.length("lit") >= 2).distinct()
-    # pieces of two characters find literals of two characters; pieces of three characters do the rest
-    pieces = lambda c, n: F.explode(F.array_distinct(tx.shingles(c, n))).alias("piece")
-    lit3 = lits.select("literal", "lit", pieces(F.col("lit"), 3))
-    val3 = index.select("table_name", "column_name", "value", "normal", pieces(F.col("normal"), 3))
-    shared = lit3.join(val3, "piece").groupBy("literal", "lit", "table_name", "column_name", "value", "normal").agg(F.count(F.lit(1)).alias("shared"))
-    short = lits.where(F.length("lit") == 2).select("literal", "lit")
-    val2 = index.select("table_name", "column_name", "value", "normal", pieces(F.col("normal"), 2))
-    two = short.join(val2, F.col("lit") == F.col("piece")).select("literal", "lit", "table_name", "column_name", "value", "normal")
-    tiny = index.where(F.length("normal") == 2)
-    lit2 = lits.select("literal", "lit", pieces(F.col("lit"), 2))
-    inside = lit2.join(tiny, F.col("piece") == F.col("normal")).select("literal", "lit", "table_name", "column_name", "value", "normal")
-    holds = F.contains("normal", F.col("lit")) | F.contains("lit", F.col("normal"))
-    found = shared.where(holds).drop("shared").unionByName(two).unionByName(inside).distinct()
+    held = index.select("table_name", "column_name", "value", "normal", F.explode(_pieces("normal", 3)).alias("piece"))
+    asked = lits.select("literal", "lit", F.explode(_pieces("lit", 3)).alias("piece"))
+    counts = cut_lineage(held.groupBy("table_name", "column_name", "piece").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("sample")))
+
+    columns = ["literal", "lit", "table_name", "column_name", "value", "normal"]
+    # literal inside value
+    rare = _rarest(lits.where(F.length("lit") >= 3), "lit", counts.groupBy("piece").agg(F.sum("n").alias("df")))
+    inside = rare.join(held, "piece").where(F.contains("normal", F.col("lit"))).join(lits, "lit").select(columns)
+    # value inside literal
+    rare = _rarest(index.where(F.length("normal") >= 3), "normal", asked.groupBy("piece").agg(F.count(F.lit(1)).alias("df")))
+    around = rare.join(asked, "piece").where(F.contains("lit", F.col("normal"))).join(index, "normal").select(columns)
+    # two characters on either side
+    two = lits.where(F.length("lit") == 2)
+    in_value = two.join(index.select("*", F.explode(_pieces("normal", 2)).alias("piece")), F.col("lit") == F.col("piece")).select(columns)
+    in_lit = lits.withColumn("piece", F.explode(_pieces("lit", 2))).join(index.where(F.length("normal") == 2), F.col("piece") == F.col("normal")).select(columns)
+    found = inside.unionByName(around).unionByName(in_value).unionByName(in_lit).distinct()
     exact = found.select("literal", "table_name", "column_name", F.col("value").alias("sample"), F.lit("exact").alias("match"), F.lit(None).cast("bigint").alias("shared"))
-    left = shared.join(found.select("literal").distinct(), "literal", "left_anti")
-    per_column = left.groupBy("literal", "table_name", "column_name").agg(F.sum("shared").alias("shared"), F.max("value").alias("sample")).where("shared >= 2")
-    near = per_column
+    exact = cut_lineage(exact)
+
+    left = asked.join(exact.select("literal").distinct(), "literal", "left_anti")
+    near = left.join(counts, "piece").groupBy("literal", "table_name", "column_name").agg(F.sum("n").alias("shared"), F.max("sample").alias("sample")).where("shared >= 2")
     if most is not None:
         order = W.partitionBy("literal").orderBy(F.col("shared").desc(), "table_name", "column_name")
         near = near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most)

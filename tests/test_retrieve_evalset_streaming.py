@@ -24,7 +24,7 @@ def test_chunks(spark):
 
 def test_bm25_by_hand(spark):
     chunks = spark.createDataFrame([(1, 0, "red fox jumps"), (2, 0, "red dog"), (3, 0, "blue cat sits here"), (4, 0, "fox fox")], "doc_id int, chunk_index int, content string")
-    got = r.bm25(chunks, spark.createDataFrame([(9, "Fox x")], "query_id int, query string"), 5).orderBy("rank").collect()
+    got = r.bm25(r.text_index(chunks), spark.createDataFrame([(9, "Fox x")], "query_id int, query string"), 5).orderBy("rank").collect()
     n, df_, avg = 4, 2, (3 + 2 + 4 + 2) / 4
     idf = max(math.log((n - df_ + 0.5) / (df_ + 0.5)), 1e-6)
     score = lambda tf, length: idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avg))
@@ -54,7 +54,8 @@ def test_lookup_against_brute_force(spark):
 def test_hits_are_not_cut(spark):
     chunks = spark.createDataFrame([(i, 0, f"fox word{i}") for i in range(30)] + [(99 + i, 0, "dog") for i in range(90)], "doc_id int, chunk_index int, content string")
     asked = spark.createDataFrame([(1, "fox")], "query_id int, query string")
-    assert r.above(r.bm25(chunks, asked, None), 0.01).count() == 30 and r.bm25(chunks, asked, 25).count() == 25
+    found = r.text_index(chunks, 16)
+    assert r.above(r.bm25(found, asked, None), 0.01).count() == 30 and r.bm25(found, asked, 25).count() == 25
     vals = spark.createDataFrame([("t", f"c{i}", f"shanghai{i}") for i in range(12)], "table_name string, column_name string, value string")
     lits = spark.createDataFrame([("shanghi",)], "literal string")
     index = r.value_index(vals)
