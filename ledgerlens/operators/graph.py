@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.names import fingerprint
-from ledgerlens.operators.sequences import carried, position_segment
+from ledgerlens.operators.sequences import carried
 from ledgerlens.session import cut_lineage
 
 MIN_CONFIDENCE = 0.3
@@ -308,9 +308,7 @@ def trace_graph(messages: DataFrame, session: str, position: str, role: str) ->
     Edges: starts_run (message to run), emits (run or event to the next event), continues_to (end of a run to the next turn).
     """
     user = (F.col(role) == "user").cast("int")
-    numbered = carried(
-        messages.select(session, position, role).withColumn("_u", user), [session], position_segment(F.col(position)), [position], {"run": ("sum", "_u")}
-    )
+    numbered = carried(messages.select(session, position, role).withColumn("_u", user), [session], [position], {"run": ("sum", "_u")})
     sid, pos = F.col(session).cast("string"), F.col(position).cast("string")
     run_node = F.concat(F.lit("run:"), sid, F.lit(":"), F.col("run").cast("string"))
     own = F.concat(F.when(F.col("_u") == 1, "message:").otherwise("event:"), sid, F.lit(":"), pos)
@@ -321,7 +319,7 @@ def trace_graph(messages: DataFrame, session: str, position: str, role: str) ->
     starts = rows.where("_u = 1").select(F.col("node").alias("source"), F.col("run_node").alias("target"), F.lit("starts_run").alias("kind"))
     # what a later row follows: the run node after a user message, else the event itself
     follow = rows.withColumn("_as_source", F.when(F.col("_u") == 1, F.col("run_node")).otherwise(F.col("node")))
-    linked = carried(follow, [session], position_segment(F.col(position)), [position], {"_prev": ("last", "_as_source")}, inclusive=False)
+    linked = carried(follow, [session], [position], {"_prev": ("previous", "_as_source")})
     emits = linked.where("_u = 0").select(F.col("_prev").alias("source"), F.col("node").alias("target"), F.lit("emits").alias("kind"))
     goes_on = linked.where("_u = 1 and _prev is not null").select(
         F.col("_prev").alias("source"), F.col("node").alias("target"), F.lit("continues_to").alias("kind")

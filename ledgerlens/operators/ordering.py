@@ -32,11 +32,11 @@ def running_totals(cells: DataFrame, by: list[str], order: str, sums: list[str],
     )
     inside = W.partitionBy(*by, "_slice").orderBy(direction).rowsBetween(W.unboundedPreceding, 0)
     local = sliced.select("*", *[F.sum(s).over(inside).alias(f"_l_{s}") for s in sums])
-    joined = _join_nullsafe(local, offsets, [*by, "_slice"])
+    joined = join_nullsafe(local, offsets, [*by, "_slice"])
     return joined.select(*cells.columns, *[(F.col(f"_l_{s}") + F.col(f"_o_{s}")).alias(f"cum_{s}") for s in sums])
 
 
-def _join_nullsafe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def join_nullsafe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     renamed = right.select(
         *[F.col(k).alias(f"_r_{k}") for k in keys], *[F.col(c) for c in right.columns if c not in keys]
     )
@@ -52,7 +52,7 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]
     cells = rows.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(amount.alias("_n"))
     ranked = running_totals(cells, by, "_v", ["_n"])
     size = ranked.groupBy(*by).agg(F.max("cum__n").alias("_size"))
-    joined = _join_nullsafe(ranked, size, by) if by else ranked.withColumn("_size", size.scalar())
+    joined = join_nullsafe(ranked, size, by) if by else ranked.withColumn("_size", size.scalar())
     # each wanted rank falls into one cell; keep the cells that hold the lower or the upper rank
     holds = lambda rank: (F.col("cum__n") > rank) & (F.col("cum__n") - F.col("_n") <= rank)
 
@@ -92,7 +92,7 @@ def hash_rank_select(df: DataFrame, by: list[str], key: str, keep: Column, small
     edges = counts.select(*by, "_b", "_bn", F.sum("_bn").over(order).alias("_bc"), F.sum("_bn").over(whole).alias("_size"))
     edges = edges.withColumn("_keep", keep).withColumn("_need", F.col("_keep") - (F.col("_bc") - F.col("_bn")))
     edges = edges.where("_need > 0").select(*by, "_b", "_bn", "_need")
-    joined = _join_nullsafe(h, edges, [*by, "_b"])
+    joined = join_nullsafe(h, edges, [*by, "_b"])
     full = joined.where("_need >= _bn").select(*df.columns)
     rank = F.row_number().over(W.partitionBy(*by, "_b").orderBy("_h", key))
     cut = joined.where("_need < _bn").withColumn("_rank", rank).where("_rank <= _need").select(*df.columns)

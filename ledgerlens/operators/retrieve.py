@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import text as tx
 from ledgerlens.functions.names import normal_text
 from ledgerlens.operators import vectors as vec
-from ledgerlens.operators.sequences import carried, position_segment
+from ledgerlens.operators.sequences import carried
 from ledgerlens.session import cut_lineage
 
 TOP_DEFAULT = 5
@@ -243,4 +243,4 @@ def conversation_view(messages: DataFrame, conversation: str, position: str, rol
         F.min_by(F.struct(position, role, text), F.col(position)).alias("m"), F.count(F.lit(1)).alias("copies")
     )
     rows = first.select(conversation, "m.*", "copies")
-    return carried(rows, [conversation], position_segment(F.col(position)), [position], {"shown_at": ("count", position)})
+    return carried(rows, [conversation], [position], {"shown_at": ("count", position)})

@@ -8,10 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.ordering import exact_quantiles, global_quantiles
+from ledgerlens.operators.ordering import exact_quantiles, global_quantiles, join_nullsafe
 from ledgerlens.operators.sequences import as_of, carried
 
-DAY_US = 86_400_000_000
 TOKENS = ["input_tokens", "output_tokens", "total_tokens"]
 
 # A log line as written by the logger, with an optional process field.
@@ -29,10 +28,6 @@ def _failures() -> Column:
     return F.count_if(F.coalesce(~F.col("success"), F.lit(False)))
 
 
-def _segment(us: str, width: int = DAY_US) -> Column:
-    return F.floor(F.col(us) / width)
-
-
 def event_aggregates(events: DataFrame, by: list[str]) -> DataFrame:
     """Count, total, average, percentiles, bounds, failures and error percentage per group."""
     e = events.withColumn("_ms", _elapsed())
@@ -54,21 +49,21 @@ def kind_shares(components: DataFrame) -> DataFrame:
 
 
 def interval_metrics(events: DataFrame, by: list[str]) -> DataFrame:
-    """Wall, active, idle and work time, parallelism and peak concurrency per group; ends count before starts."""
+    """Wall, active, idle and work time, parallelism and peak concurrency per group; ends count before starts.
+
+    One pass over starts and ends in time order: how many intervals are open after each of them, and when the next one comes.
+    """
     good = events.where("start_us is not null and end_us is not null and end_us >= start_us")
-    seen = carried(good, by, _segment("start_us"), ["start_us", "end_us"], {"_until": ("max", "end_us")}, inclusive=False)
-    # each interval adds what reaches beyond everything before it
-    added = F.greatest(F.lit(0), F.col("end_us") - F.greatest("start_us", F.coalesce(F.col("_until"), F.col("start_us"))))
-    spans = seen.groupBy(*by).agg(
-        ((F.max("end_us") - F.min("start_us")) / 1000.0).alias("wall_ms"), (F.sum(added) / 1000.0).alias("active_ms")
+    points = good.select(*by, F.explode(F.array(F.struct(F.col("start_us").alias("us"), F.lit(1).alias("delta")), F.struct(F.col("end_us").alias("us"), F.lit(-1).alias("delta")))).alias("p"))
+    points = points.select(*by, "p.us", "p.delta")
+    open_now = carried(points, by, ["us", "delta"], {"running": ("sum", "delta"), "until": ("next", "us")})
+    spans = open_now.groupBy(*by).agg(
+        ((F.max("us") - F.min("us")) / 1000.0).alias("wall_ms"),
+        (F.sum(F.when(F.col("running") > 0, F.coalesce("until", "us") - F.col("us")).otherwise(F.lit(0))) / 1000.0).alias("active_ms"),
+        F.greatest(F.max("running"), F.lit(0)).alias("peak_concurrency"),
     )
     work = events.groupBy(*by).agg(F.sum(_elapsed()).alias("work_ms"))
-    points = good.select(*by, F.col("start_us").alias("us"), F.lit(1).alias("delta")).unionByName(
-        good.select(*by, F.col("end_us").alias("us"), F.lit(-1).alias("delta"))
-    )
-    open_now = carried(points, by, _segment("us"), ["us", "delta"], {"running": ("sum", "delta")})
-    peak = open_now.groupBy(*by).agg(F.greatest(F.max("running"), F.lit(0)).alias("peak_concurrency"))
-    out = work.join(spans, by, "left").join(peak, by, "left").na.fill(0, ["wall_ms", "active_ms", "peak_concurrency"])
+    out = join_nullsafe(work, spans, by, "left").na.fill(0, ["wall_ms", "active_ms", "peak_concurrency"])
     return out.withColumn("idle_ms", F.greatest(F.col("wall_ms") - F.col("active_ms"), F.lit(0.0))).withColumn(
         "parallelism", F.when(F.col("active_ms") > 0, F.col("work_ms") / F.col("active_ms")).otherwise(0.0)
     )
@@ -88,18 +83,12 @@ def assign_tools(events: DataFrame) -> DataFrame:
     )
 
 
-def _next_start(models: DataFrame) -> DataFrame:
-    """Add the start of the next model call of the run: the last one seen when walking backwards."""
-    back = models.withColumn("_rev", -F.col("start_us")).withColumn("_rid", -F.col("event_id"))
-    return carried(back, ["run_id"], _segment("_rev"), ["_rev", "_rid"], {"next_start": ("last", "start_us")}, inclusive=False).drop("_rev", "_rid")
-
-
 def model_turns(events: DataFrame) -> DataFrame:
     """Per model call: its turn, tools, tool wall and work time, blocking tool, critical path and overhead."""
     models = events.where("kind = 'model' and start_us is not null").select("run_id", "event_id", "name", "start_us", "end_us", "elapsed_ms")
-    numbered = carried(models, ["run_id"], _segment("start_us"), ["start_us", "event_id"], {"turn": ("count", "event_id")})
+    numbered = carried(models, ["run_id"], ["start_us", "event_id"], {"turn": ("count", "event_id"), "next_start": ("next", "start_us")})
     run_end = events.groupBy("run_id").agg(F.max("end_us").alias("run_end"))
-    m = _next_start(numbered).join(run_end, "run_id").withColumn("next_start", F.coalesce("next_start", "run_end"))
+    m = numbered.join(run_end, "run_id").withColumn("next_start", F.coalesce("next_start", "run_end"))
     tools = assign_tools(events)
     walls = interval_metrics(tools, ["run_id", "model_id"]).select("run_id", "model_id", F.col("active_ms").alias("tool_wall_ms"), F.col("work_ms").alias("tool_work_ms"))
     facts = tools.groupBy("run_id", "model_id").agg(
@@ -122,13 +111,8 @@ def model_turns(events: DataFrame) -> DataFrame:
 
 def token_turns(calls: DataFrame) -> DataFrame:
     """Turn per run, growth of the input against the previous turn, and tokens so far in the whole session."""
-    per_run = carried(
-        calls, ["session_id", "run_id"], _segment("start_us"), ["start_us", "event_id"], {"turn": ("count", "event_id")}
-    )
-    lagged = carried(
-        per_run, ["session_id", "run_id"], _segment("start_us"), ["start_us", "event_id"], {"_before": ("last", "input_tokens")}, inclusive=False
-    )
-    summed = carried(lagged, ["session_id"], _segment("start_us"), ["start_us", "event_id"], {"cumulative_tokens": ("sum", "total_tokens")})
+    per_run = carried(calls, ["session_id", "run_id"], ["start_us", "event_id"], {"turn": ("count", "event_id"), "_before": ("previous", "input_tokens")})
+    summed = carried(per_run, ["session_id"], ["start_us", "event_id"], {"cumulative_tokens": ("sum", "total_tokens")})
     return summed.withColumn("input_delta", F.col("input_tokens") - F.coalesce("_before", F.lit(0))).drop("_before")
 
 
@@ -144,7 +128,7 @@ def timeline(events: DataFrame, by: list[str]) -> DataFrame:
 
 def sequence_numbers(events: DataFrame, run: str, ts_us: str, tie: str) -> DataFrame:
     """Running number of each event in its run."""
-    return carried(events, [run], _segment(ts_us), [ts_us, tie], {"seq": ("count", tie)})
+    return carried(events, [run], [ts_us, tie], {"seq": ("count", tie)})
 
 
 def slowest(events: DataFrame, n: int = 25) -> DataFrame:

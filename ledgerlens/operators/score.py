@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.predicates import stable_half
-from ledgerlens.operators.ordering import _join_nullsafe, running_totals
+from ledgerlens.operators.ordering import join_nullsafe, running_totals
 from ledgerlens.operators.screen import bin_of, feature_cells, quantile_edges
 from ledgerlens.session import cut_lineage
 
@@ -44,7 +44,7 @@ def _descending(cells: DataFrame, by: list[str]) -> DataFrame:
     ranked = running_totals(cells, by, "score", ["n", "pos"], descending=True)
     totals = cells.groupBy(*by).agg(F.sum("n").alias("total"), F.sum("pos").alias("total_pos"))
     if by:
-        return _join_nullsafe(ranked, totals, by)
+        return join_nullsafe(ranked, totals, by)
     t = totals.select(F.struct("total", "total_pos").alias("t")).scalar()
     return ranked.select("*", t.getField("total").alias("total"), t.getField("total_pos").alias("total_pos"))
 

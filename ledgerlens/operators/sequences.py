@@ -1,8 +1,4 @@
-"""Ordered computations per key that also hold when one key owns a large share of the rows.
-
-A key's rows are cut into segments (a slice of time or of positions). Windows run inside a segment only; one summary row
-per segment carries the state over to the next ones. A hot key therefore spreads over as many tasks as it has segments.
-"""
+"""Ordered computations per key that also hold when one key owns a large share of the rows."""
 
 from __future__ import annotations
 
@@ -10,74 +6,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.ordering import join_nullsafe
+from ledgerlens.session import cut_lineage
+
 
 def micros(ts: Column) -> Column:
     """Microseconds since 1970 of a timestamp column."""
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def time_segment(ts: Column, width: str = "day") -> Column:
-    """Segment by calendar unit."""
-    return F.date_trunc(width, ts)
-
-
-def position_segment(position: Column, width: int = 4096) -> Column:
-    """Segment by position."""
-    return F.floor(position / width)
-
-
-def carried(
-    df: DataFrame, keys: list[str], segment: Column, order: list[str], running: dict[str, tuple[str, str]], inclusive: bool = True
-) -> DataFrame:
+def carried(df: DataFrame, keys: list[str], order: list[str], running: dict[str, tuple[str, str]], inclusive: bool = True) -> DataFrame:
     """Add running columns ``{out: (kind, column)}`` over the rows of each key in ``order``.
 
-    Kinds: ``sum``, ``count`` (non-null rows), ``max``, ``last`` (latest non-null value). ``inclusive=False`` leaves the row
-    itself out. ``segment`` must not decrease along ``order``.
+    Kinds: ``sum``, ``count`` (non-null rows), ``max``, ``last`` (latest non-null value); ``inclusive=False`` leaves the row itself out of these.
+    ``previous`` and ``next`` are the nearest non-null values before and after the row. Null keys are a key.
+
+    A prefix scan in two passes: rows are range-partitioned on (keys, order) and written, windows run inside a slice of a key, and each slice hands one row of state to the others of its
+    key. A key that holds any share of the rows spreads over as many tasks as its rows fill.
     """
-    base = df.withColumn("_seg", segment)
-    stop = 0 if inclusive else -1
-    inside = W.partitionBy(*keys, "_seg").orderBy(*order).rowsBetween(W.unboundedPreceding, stop)
-    earlier = W.partitionBy(*keys).orderBy("_seg").rowsBetween(W.unboundedPreceding, -1)
-
-    def fold(kind: str, column: str) -> Column:
-        if kind == "sum":
-            return F.sum(column)
-        if kind == "count":
-            return F.count(column)
-        if kind == "max":
-            return F.max(column)
-        return F.max_by(column, F.when(F.col(column).isNotNull(), F.struct(*order)))
-
-    def carry(kind: str, column: str) -> Column:
-        if kind in ("sum", "count"):
-            return F.sum(column).over(earlier)
-        if kind == "max":
-            return F.max(column).over(earlier)
-        return F.last(column, ignorenulls=True).over(earlier)
-
-    def local(kind: str, column: str) -> Column:
-        if kind == "sum":
-            return F.sum(column).over(inside)
-        if kind == "count":
-            return F.count(column).over(inside)
-        if kind == "max":
-            return F.max(column).over(inside)
-        return F.last(column, ignorenulls=True).over(inside)
-
-    def combine(kind: str, now: Column, before: Column) -> Column:
-        if kind in ("sum", "count"):
-            return F.coalesce(now, F.lit(0)) + F.coalesce(before, F.lit(0))
-        if kind == "max":
-            return F.greatest(now, before)
-        return F.coalesce(now, before)
-
-    summary = base.groupBy(*keys, "_seg").agg(*[fold(k, c).alias(f"_f_{o}") for o, (k, c) in running.items()])
-    state = summary.select(*keys, "_seg", *[carry(k, f"_f_{o}").alias(f"_c_{o}") for o, (k, _) in running.items()])
-    rows = base.select("*", *[local(k, c).alias(f"_w_{o}") for o, (k, c) in running.items()])
-    joined = rows.join(state, [*keys, "_seg"])
-    return joined.select(
-        *df.columns, *[combine(k, F.col(f"_w_{o}"), F.col(f"_c_{o}")).alias(o) for o, (k, _) in running.items()]
-    )
+    sliced = cut_lineage(df.repartitionByRange(*[F.col(c) for c in [*keys, *order]]).withColumn("_slice", F.spark_partition_id()))
+    inside = W.partitionBy(*keys, "_slice").orderBy(*order)
+    slices = W.partitionBy(*keys).orderBy("_slice")
+    upto = inside.rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
+    before, after = inside.rowsBetween(W.unboundedPreceding, -1), inside.rowsBetween(1, W.unboundedFollowing)
+    earlier, later = slices.rowsBetween(W.unboundedPreceding, -1), slices.rowsBetween(1, W.unboundedFollowing)
+    known = lambda c: F.when(F.col(c).isNotNull(), F.struct(*order))
+    nothing = lambda now, carry: F.coalesce(now, F.lit(0)) + F.coalesce(carry, F.lit(0))
+    # of each kind: inside the slice, the state of a slice, the state carried to it, and both as one
+    kinds = {
+        "sum": (lambda c: F.sum(c).over(upto), lambda c: F.sum(c), lambda c: F.sum(c).over(earlier), nothing),
+        "count": (lambda c: F.count(c).over(upto), lambda c: F.count(c), lambda c: F.sum(c).over(earlier), nothing),
+        "max": (lambda c: F.max(c).over(upto), lambda c: F.max(c), lambda c: F.max(c).over(earlier), F.greatest),
+        "last": (lambda c: F.last(c, True).over(upto), lambda c: F.max_by(c, known(c)), lambda c: F.last(c, True).over(earlier), F.coalesce),
+        "previous": (lambda c: F.last(c, True).over(before), lambda c: F.max_by(c, known(c)), lambda c: F.last(c, True).over(earlier), F.coalesce),
+        "next": (lambda c: F.first(c, True).over(after), lambda c: F.min_by(c, known(c)), lambda c: F.first(c, True).over(later), F.coalesce),
+    }
+    summary = sliced.groupBy(*keys, "_slice").agg(*[kinds[k][1](c).alias(f"_f_{o}") for o, (k, c) in running.items()])
+    state = summary.select(*keys, "_slice", *[kinds[k][2](f"_f_{o}").alias(f"_c_{o}") for o, (k, _) in running.items()])
+    rows = sliced.select("*", *[kinds[k][0](c).alias(f"_w_{o}") for o, (k, c) in running.items()])
+    joined = join_nullsafe(rows, state, [*keys, "_slice"])
+    return joined.select(*df.columns, *[kinds[k][3](F.col(f"_w_{o}"), F.col(f"_c_{o}")).alias(o) for o, (k, _) in running.items()])
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column], columns: list[str]) -> DataFrame:
@@ -87,7 +55,7 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[Column], columns:
 
 
 def as_of(
-    left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, take: list[str], segment: str = "day"
+    left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, take: list[str]
 ) -> DataFrame:
     """Each left row with the latest right row of the same key at or before its time (ties: greatest ``take``).
 
@@ -103,7 +71,7 @@ def as_of(
         *keys, F.col(left_ts).alias("_ts"), F.lit(1).alias("_side"), F.lit(None).cast(r.schema["_hit"].dataType).alias("_hit"), F.struct(*l_cols).alias("_row")
     )
     both = r.unionByName(l).withColumn("_tie", F.col("_hit"))
-    filled = carried(both, keys, time_segment(F.col("_ts"), segment), ["_ts", "_side", "_tie"], {"_found": ("last", "_hit")})
+    filled = carried(both, keys, ["_ts", "_side", "_tie"], {"_found": ("last", "_hit")})
     return filled.where("_side = 1").select(
         *keys, *[F.col(f"_row.{c}").alias(c) for c in l_cols], F.col("_found._rts").alias(f"matched_{right_ts}"), *[F.col(f"_found.{c}").alias(f"matched_{c}") for c in take]
     )

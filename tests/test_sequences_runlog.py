@@ -8,6 +8,7 @@ from ledgerlens.operators import runlog as r
 from ledgerlens.operators import sequences as q
 
 S = 1_000_000
+DAY = 86_400 * S
 
 
 def events(spark):
@@ -38,13 +39,13 @@ def test_intervals(spark):
     assert r.interval_metrics(touching, ["run_id"]).first().peak_concurrency == 1
 
 
-def test_intervals_across_segments_by_brute_force(spark):
+def test_intervals_by_brute_force(spark):
     rng = random.Random(4)
     data = []
     for run in (1, 2):
         for _ in range(80):
-            a = rng.randrange(0, 6 * r.DAY_US, 1000)
-            data.append((run, a, a + rng.randrange(0, 2 * r.DAY_US, 1000), 5.0))
+            a = rng.randrange(0, 6 * DAY, 1000)
+            data.append((run, a, a + rng.randrange(0, 2 * DAY, 1000), 5.0))
     df = spark.createDataFrame(data, "run_id int, start_us bigint, end_us bigint, elapsed_ms double")
     got = {x.run_id: x for x in r.interval_metrics(df, ["run_id"]).collect()}
     for run in (1, 2):
@@ -61,23 +62,32 @@ def test_intervals_across_segments_by_brute_force(spark):
 
 def test_carried_by_brute_force(spark):
     rng = random.Random(9)
-    data = [(rng.choice("ab"), i * 7 % 200, i, rng.choice([None, rng.randrange(50)])) for i in range(200)]
+    data = [(rng.choice(["a", "b", None]), i * 7 % 200, i, rng.choice([None, rng.randrange(50)])) for i in range(200)]
     df = spark.createDataFrame(data, "k string, t int, id int, v int")
-    running = {"s": ("sum", "v"), "c": ("count", "v"), "m": ("max", "v"), "l": ("last", "v")}
+    running = {"s": ("sum", "v"), "c": ("count", "v"), "m": ("max", "v"), "l": ("last", "v"), "p": ("previous", "v"), "n": ("next", "v")}
     for inclusive in (True, False):
-        out = q.carried(df, ["k"], F.floor(F.col("t") / 13), ["t", "id"], running, inclusive)
-        got = {x.id: x for x in out.collect()}
+        got = {x.id: x for x in q.carried(df, ["k"], ["t", "id"], running, inclusive).collect()}
         assert len(got) == 200
-        for k in "ab":
-            seen = []
-            for _, t, i, v in sorted((x for x in data if x[0] == k), key=lambda x: (x[1], x[2])):
-                if inclusive:
-                    seen.append(v)
-                full = [x for x in seen if x is not None]
+        for k in ("a", "b", None):
+            own = sorted((x for x in data if x[0] == k), key=lambda x: (x[1], x[2]))
+            for at, (_, _, i, _) in enumerate(own):
+                full = [x[3] for x in own[: at + inclusive] if x[3] is not None]
+                before, after = ([x[3] for x in part if x[3] is not None] for part in (own[:at], own[at + 1 :]))
                 assert (got[i].s, got[i].c) == (sum(full), len(full))
                 assert got[i].m == (max(full) if full else None) and got[i].l == (full[-1] if full else None)
-                if not inclusive:
-                    seen.append(v)
+                assert got[i].p == (before[-1] if before else None) and got[i].n == (after[0] if after else None)
+
+
+def test_a_hot_run_spreads_over_tasks(spark, monkeypatch):
+    """A third of all rows in one run and one second: many slices, none with much more than its share."""
+    seen = []
+    monkeypatch.setattr(q, "cut_lineage", lambda df: seen.append(df.persist()) or seen[-1])
+    df = spark.range(30000).selectExpr("if(id % 3 = 0, -1, id) as run_id", "id * 7919 % 1000000 as us", "id")
+    out = q.carried(df, ["run_id"], ["us", "id"], {"seq": ("count", "id"), "after": ("next", "id")})
+    assert out.where("run_id = -1").agg(F.count("*"), F.max("seq"), F.count_distinct("seq"), F.count_if(F.col("after").isNull())).first() == (10000, 10000, 10000, 1)
+    sizes = [r["count"] for r in seen[0].where("run_id = -1").groupBy("_slice").count().collect()]
+    assert len(sizes) >= 3 and max(sizes) <= 30000 / 8 * 1.6
+    seen[0].unpersist()
 
 
 def test_as_of(spark):
