@@ -1,7 +1,5 @@
 """Streaming jobs: events are written as files of a source folder, a query runs to the end, and its result is read back."""
 
-from contextlib import contextmanager
-
 from pyspark.sql import functions as F
 
 from ledgerlens.plans import derived as d
@@ -29,17 +27,11 @@ def source(t, df, label):
     return path, z.event_stream(t.spark, path, df.schema, 2)
 
 
-@contextmanager
-def local_state(t):
-    """On a local session keep as many state stores as there are cores; a cluster keeps its own number of partitions."""
-    key = "spark.sql.shuffle.partitions"
-    before = t.spark.conf.get(key)
-    if t.spark.sparkContext.master.startswith("local"):
-        t.spark.conf.set(key, str(min(int(before), t.spark.sparkContext.defaultParallelism)))
-    try:
-        yield
-    finally:
-        t.spark.conf.set(key, before)
+def last_arrival(df, path, after, **fixed):
+    """One more event, long after all others, moves the watermark past everything that waits for it."""
+    given = {"ts": F.col("ts") + F.expr(f"INTERVAL {after}"), **{k: F.lit(v) for k, v in fixed.items()}}
+    last = df.agg(F.max("ts").alias("ts")).where("ts IS NOT NULL")
+    last.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema]).write.mode("append").parquet(path)
 
 
 # Run events: purchases and clicks carry results of tool calls, errors end a run badly, signups end it well.
@@ -58,7 +50,7 @@ def run_events(t):
 def z01(t):
     _, stream = source(t, run_events(t), "z01")
     out, state = scratch_path(t.spark, "z01-out"), scratch_path(t.spark, "z01-state")
-    with local_state(t):
+    with z.state_on_disk(t.spark):
         z.append_files(z.drop_repeated_results(stream, "ts", "call_id", "60 days"), out, state)
     back = t.spark.read.parquet(out)
     delivery = F.coalesce("call_id", F.concat(F.lit("event:"), F.col("event_id").cast("string")))
@@ -82,42 +74,23 @@ def z02(t):
 )
 def z03(t):
     _, stream = source(t, run_events(t), "z03")
-    out, state = scratch_path(t.spark, "z03-out"), scratch_path(t.spark, "z03-state")
-    with local_state(t):
-        z.upsert_latest(z.run_projection(stream), out, state, "run_id")
-    return z.newest(t.spark, out, "run_id")
+    store = scratch_path(t.spark, "z03-store")
+    z.keep_parts(stream, z.run_parts, store, scratch_path(t.spark, "z03-state"))
+    return z.merged_runs(t.spark.read.parquet(store))
 
 
 @query(
     "Z04_flush_on_end",
-    f"""WITH r AS ({RUN_SQL}), b AS (SELECT run_id, max(event_id) FILTER (WHERE kind LIKE 'RUN_%') AS last FROM r GROUP BY 1) SELECT r.run_id, event_id FROM r JOIN b USING (run_id) WHERE kind = 'RESULT' AND event_id < last""",
-)
-def z04(t):
-    df = run_events(t)
-    # a run's events after its last end would wait for the timeout; the comparison leaves them out
-    last_end = df.where(F.col("kind").isin(*z.TERMINAL)).groupBy("run_id").agg(F.max("event_id").alias("_last"))
-    kept = df.join(last_end, "run_id").where("event_id <= _last").drop("_last").select(*df.columns)
-    _, stream = source(t, kept, "z04")
-    out, state = scratch_path(t.spark, "z04-out"), scratch_path(t.spark, "z04-state")
-    with local_state(t):
-        z.append_files(z.flush_on_end(stream, "ts", "60 days"), out, state)
-    return t.spark.read.parquet(out).select("run_id", "event_id")
-
-
-@query(
-    "Z04_flush_on_end_or_timeout",
     f"""WITH r AS ({RUN_SQL}), b AS (SELECT *, max(event_id) FILTER (WHERE kind LIKE 'RUN_%') OVER (PARTITION BY run_id) AS last FROM r)
         SELECT run_id, event_id, CASE WHEN event_id < last THEN 'ended' ELSE 'timeout' END AS reason FROM b WHERE kind = 'RESULT'""",
 )
-def z04_whole(t):
+def z04(t):
+    """All results of all runs, those that only the timeout flushes too."""
     df = run_events(t)
-    path, stream = source(t, df, "z04-whole")
-    # one last arrival, long after all others, moves the watermark past every run's silence
-    fixed = {"event_id": F.lit(-1), "run_id": F.lit(-1), "seq": F.lit(-1), "kind": F.lit("STEP"), "ts": F.col("ts") + F.expr("INTERVAL 68 DAYS")}
-    last = df.agg(F.max("ts").alias("ts")).where("ts IS NOT NULL")
-    last.select(*[fixed.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema]).write.mode("append").parquet(path)
-    out, state = scratch_path(t.spark, "z04-whole-out"), scratch_path(t.spark, "z04-whole-state")
-    with local_state(t):
+    path, stream = source(t, df, "z04")
+    last_arrival(df, path, "68 DAYS", event_id=-1, run_id=-1, seq=-1, kind="STEP")
+    out, state = scratch_path(t.spark, "z04-out"), scratch_path(t.spark, "z04-state")
+    with z.state_on_disk(t.spark):
         z.append_files(z.flush_on_end(stream, "ts", "60 days", "7 days"), out, state)
     return t.spark.read.parquet(out)
 
@@ -140,13 +113,14 @@ def z05(t):
 @query(
     "Z06_minute_rollup",
     f"""WITH a AS ({d.AUDIT_SQL}), g AS (SELECT epoch_us(ts) // 60000000 * 60000000 AS window_us, count(*) AS runs, count(*) FILTER (WHERE status = 'blocked') AS blocked, count(*) FILTER (WHERE status = 'failed') AS failed,
-          round(max(elapsed_ms), 4) AS max_ms FROM a GROUP BY 1) SELECT * FROM g WHERE window_us + 60000000 <= (SELECT max(epoch_us(ts)) FROM a) - 600000000""",
+          round(max(elapsed_ms), 4) AS max_ms FROM a GROUP BY 1) SELECT * FROM g""",
 )
 def z06(t):
     audit = d.audit(t).select(z.with_zone("ts").alias("ts"), "status", "elapsed_ms")
-    _, stream = source(t, audit, "z06")
+    path, stream = source(t, audit, "z06")
+    last_arrival(audit, path, "1 DAY", status="marker")
     out, state = scratch_path(t.spark, "z06-out"), scratch_path(t.spark, "z06-state")
-    with local_state(t):
+    with z.state_on_disk(t.spark):
         z.append_files(z.minute_rollup(stream, "ts"), out, state)
     back = t.spark.read.parquet(out)
     return back.select(F.unix_micros("w.start").alias("window_us"), "runs", "blocked", "failed", F.round("max_ms", 4).alias("max_ms"))

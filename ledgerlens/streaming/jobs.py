@@ -7,17 +7,25 @@ where the last committed batch ended.
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 TERMINAL = ("RUN_FINISHED", "RUN_ERROR")
+#: Held results that a task has in hand at once.
+PIECE = 2000
+
+# the processor travels to the workers as it is, so that a worker needs no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def event_stream(spark: SparkSession, path: str, schema: str | T.StructType, files_per_batch: int = 8) -> DataFrame:
@@ -53,8 +61,9 @@ def existing(spark: SparkSession, path: str) -> DataFrame | None:
 def deliver_once(events: DataFrame, sink: str, key: str, checkpoint: str) -> None:
     """Append events to a sink exactly once, also when a batch runs again after a crash or all acknowledgements are lost.
 
-    Rows are kept under the query (its checkpoint) and the batch that delivered them. A replayed batch overwrites its own
-    rows, and an event some other batch delivered is left out.
+    Rows are kept under the query (its checkpoint) and the batch that delivered them, in the order of their keys. A replayed batch overwrites its own
+    rows, and an event that some other batch delivered is left out. For that a batch is compared with its own range of keys: where keys grow with time, Parquet skips
+    the deliveries outside it; where they do not, only the key column of the sink is read.
     """
     owner = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
@@ -63,57 +72,122 @@ def deliver_once(events: DataFrame, sink: str, key: str, checkpoint: str) -> Non
         fresh = batch.dropDuplicates([key])
         known = existing(batch.sparkSession, sink)
         if known is not None:
-            fresh = fresh.join(known.where(F.col("delivery") != mine).select(key), key, "left_anti")
-        out = fresh.withColumn("delivery", F.lit(mine))
+            low, high = batch.agg(F.min(key), F.max(key)).first()
+            delivered = known.where((F.col("delivery") != mine) & F.col(key).between(F.lit(low), F.lit(high))).select(F.col(key).alias("_known"))
+            fresh = fresh.join(delivered, F.col(key) == F.col("_known"), "left_anti")
+        out = fresh.withColumn("delivery", F.lit(mine)).sortWithinPartitions("delivery", key)
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("delivery").parquet(sink)
 
     run_to_end(events.writeStream.foreachBatch(write), checkpoint)
 
 
-def run_projection(events: DataFrame) -> DataFrame:
-    """Per run the counters a status page needs, updated by every batch; a keyed aggregation with map-side combining."""
+def run_parts(events: DataFrame) -> DataFrame:
+    """Mergeable counters of one batch for each run that it touches."""
     return events.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("events"), F.count_if(F.col("kind") == "RUN_ERROR").alias("errors"), F.count_if(F.col("kind") == "RESULT").alias("results"),
         F.max("seq").alias("last_seq"),
     )
 
 
+def merged_runs(parts: DataFrame) -> DataFrame:
+    """Counters of several batches as one row a run."""
+    return parts.groupBy("run_id").agg(F.sum("events").alias("events"), F.sum("errors").alias("errors"), F.sum("results").alias("results"), F.max("last_seq").alias("last_seq"))
+
+
+@contextmanager
+def state_on_disk(spark: SparkSession):
+    """Queries started inside keep their state in RocksDB: rows on the executor's disk and in the checkpoint, not in the heap."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+class FlushOnEnd(StatefulProcessor):
+    """Holds a run's results until an end of the run that is later than they, or until the run has been silent.
+
+    Held results are rows of a list state. What an end leaves over goes to the other one of two lists, so that no more than ``PIECE`` results are in hand. A run's state ends with
+    its timer.
+    """
+
+    def __init__(self, silent_ms: int):
+        self.silent_ms = silent_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.run = handle.getValueState("run", "end_ms bigint, end_id bigint, seen bigint, side int, timer bigint")
+        self.lists = [handle.getListState(f"held{k}", "ms bigint, event_id bigint") for k in (0, 1)]
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        end_ms, end_id, seen, side, timer = self.run.get() if self.run.exists() else (-1, -1, 0, 0, -1)
+        known = end = (end_ms, end_id)
+        for pdf in rows:
+            terminal = pdf[pdf["kind"].isin(TERMINAL)]
+            end = max([end, *zip(terminal["ms"].tolist(), terminal["event_id"].tolist())])
+            seen = max(seen, int(pdf["ms"].max()))
+            result = pdf[pdf["kind"] == "RESULT"]
+            places = list(zip(result["ms"].tolist(), result["event_id"].tolist()))
+            yield from self.out(key, [x for x in places if x < end], "ended")
+            left = [x for x in places if x >= end]
+            if left:
+                self.lists[side].appendList(left)
+        if end > known and self.lists[side].exists():
+            for piece in self.pieces(side):
+                yield from self.out(key, [x for x in piece if x < end], "ended")
+                left = [x for x in piece if x >= end]
+                if left:
+                    self.lists[1 - side].appendList(left)
+            self.lists[side].clear()
+            side = 1 - side
+        if timer >= 0:
+            self.handle.deleteTimer(timer)
+        timer = max(seen + self.silent_ms, timerValues.getCurrentWatermarkInMs() + 1)
+        self.handle.registerTimer(timer)
+        self.run.update((*end, seen, side, timer))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        for side in (0, 1):
+            if self.lists[side].exists():
+                for piece in self.pieces(side):
+                    yield from self.out(key, piece, "timeout")
+                self.lists[side].clear()
+        self.run.clear()
+
+    def close(self) -> None:
+        pass
+
+    def pieces(self, side: int) -> Iterator[list[tuple[int, int]]]:
+        piece: list[tuple[int, int]] = []
+        for row in self.lists[side].get():
+            piece.append((row[0], row[1]))
+            if len(piece) == PIECE:
+                yield piece
+                piece = []
+        if piece:
+            yield piece
+
+    @staticmethod
+    def out(key, places: list[tuple[int, int]], reason: str) -> Iterator[pd.DataFrame]:
+        if places:
+            yield pd.DataFrame({"run_id": key[0], "event_id": [i for _, i in places], "reason": reason})
+
+
 def flush_on_end(events: DataFrame, ts: str, silent: str = "1 day", late: str = "10 minutes") -> DataFrame:
     """Results held back per run and delivered when its terminal event arrives, or once the run has been silent too long.
 
     ``events(run_id, kind, event_id, ts)``. Time is event time, so a replay gives the same result: a result goes with an end of its run that is not
     earlier (by time, then event id), in whichever order they arrive within ``late``. State per run holds times and event ids only and is removed once
-    the run is silent.
+    the run is silent. The query must be started under ``state_on_disk``. An event without a time is left out.
     """
-    out_schema = "run_id bigint, event_id bigint, reason string"
     silent_ms = int(pd.Timedelta(silent).total_seconds() * 1000)
-
-    def rows(run: int, places: list[tuple[int, int]], reason: str) -> pd.DataFrame:
-        return pd.DataFrame({"run_id": run, "event_id": sorted(i for _, i in places), "reason": reason}).astype({"event_id": "int64"})
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, ids, seen, *end = state.get if state.exists else ([], [], 0, -1, -1)
-        held, end = list(zip(times, ids)), tuple(end)
-        if state.hasTimedOut:
-            state.remove()
-            if held:
-                yield rows(key[0], held, "timeout")
-            return
-        for pdf in batches:
-            result, terminal = pdf[pdf["kind"] == "RESULT"], pdf[pdf["kind"].isin(TERMINAL)]
-            held += zip(result["ms"].tolist(), result["event_id"].tolist())
-            end = max([end, *zip(terminal["ms"].tolist(), terminal["event_id"].tolist())])
-            seen = max(seen, int(pdf["ms"].max()))
-        done, held = [x for x in held if x < end], [x for x in held if x >= end]
-        if done:
-            yield rows(key[0], done, "ended")
-        state.update(([x for x, _ in held], [i for _, i in held], seen, *end))
-        state.setTimeoutTimestamp(max(seen + silent_ms, state.getCurrentWatermarkMs() + 1))
-
-    timed = events.withWatermark(ts, late).select("run_id", "kind", "event_id", F.unix_millis(ts).alias("ms"), ts)
-    return timed.groupBy("run_id").applyInPandasWithState(
-        step, out_schema, "times array<bigint>, ids array<bigint>, seen bigint, end_ms bigint, end_id bigint", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    timed = events.where(F.col(ts).isNotNull()).withWatermark(ts, late).select("run_id", "kind", "event_id", F.unix_millis(ts).alias("ms"), ts)
+    return timed.groupBy("run_id").transformWithStateInPandas(FlushOnEnd(silent_ms), "run_id bigint, event_id bigint, reason string", "append", "EventTime")
 
 
 def profile_parts(df: DataFrame, by: str, value: str) -> DataFrame:
@@ -141,16 +215,21 @@ def finished_profile(parts: DataFrame, by: str) -> DataFrame:
     )
 
 
-def refresh_profiles(events: DataFrame, by: str, value: str, store: str, checkpoint: str) -> None:
-    """Keep one small row of statistics per batch and group. Reading merges them; a replayed batch replaces its own rows."""
+def keep_parts(events: DataFrame, parts: Callable[[DataFrame], DataFrame], store: str, checkpoint: str) -> None:
+    """Keep one small row of mergeable statistics per batch and group; reading merges them. A replayed batch replaces its own rows, and the query itself holds no state."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        out = profile_parts(batch, by, value).withColumn("batch_id", F.lit(batch_id))
+        out = parts(batch).withColumn("batch_id", F.lit(batch_id))
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(store)
 
     run_to_end(events.writeStream.foreachBatch(write), checkpoint)
 
 
+def refresh_profiles(events: DataFrame, by: str, value: str, store: str, checkpoint: str) -> None:
+    """Statistics of all events so far, kept as parts."""
+    keep_parts(events, lambda batch: profile_parts(batch, by, value), store, checkpoint)
+
+
 def minute_rollup(audit: DataFrame, ts: str, late: str = "10 minutes", width: str = "1 minute") -> DataFrame:
     """Runs, refused and failed statements per window of time; windows close when the watermark passes them."""
     return audit.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w")).agg(
@@ -164,24 +243,6 @@ def append_files(events: DataFrame, path: str, checkpoint: str) -> None:
     run_to_end(events.writeStream.format("parquet").option("path", path).outputMode("append"), checkpoint)
 
 
-def upsert_latest(updates: DataFrame, path: str, checkpoint: str, key: str) -> None:
-    """Write an update-mode aggregation; each batch keeps its rows in its own partition and the newest one counts."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        out = batch.withColumn("batch_id", F.lit(batch_id))
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
-
-    run_to_end(updates.writeStream.outputMode("update").foreachBatch(write), checkpoint)
-
-
-def newest(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """The newest row per key of an upserted table."""
-    rows = spark.read.parquet(path)
-    cols = [c for c in rows.columns if c not in (key, "batch_id")]
-    best = rows.groupBy(key).agg(F.max_by(F.struct(*cols), "batch_id").alias("r"))
-    return best.select(key, *[F.col(f"r.{c}").alias(c) for c in cols])
-
-
 def apply_batches(df: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Steps applied one after the other, the same on a batch and on a stream."""
     return reduce(lambda d, step: step(d), steps, df)

@@ -155,7 +155,8 @@ def test_flush_on_end_and_timeout(spark, tmp_path):
     src, out, state = (str(tmp_path / x) for x in ("src", "out", "state"))
 
     def go():
-        z.append_files(z.flush_on_end(z.event_stream(spark, src, STREAM, 1), "ts", "1 hour", "1 minute"), out, state)
+        with z.state_on_disk(spark):
+            z.append_files(z.flush_on_end(z.event_stream(spark, src, STREAM, 1), "ts", "1 hour", "1 minute"), out, state)
 
     arrive(spark, src, [(1, "RESULT", 10, "2024-01-01 00:00:00"), (2, "RESULT", 20, "2024-01-01 00:00:00")])
     go()
@@ -172,10 +173,36 @@ def test_results_after_an_end_wait_for_the_timeout(spark, tmp_path):
     src, out, state = (str(tmp_path / x) for x in ("src", "out", "state"))
     arrive(spark, src, [(1, "RESULT", 12, "2024-01-01 00:02:00"), (1, "RUN_ERROR", 11, "2024-01-01 00:01:00"), (1, "RESULT", 10, "2024-01-01 00:00:00"), (2, "RESULT", 20, "2024-01-01 00:00:00")])
     arrive(spark, src, [(1, "RESULT", 9, "2024-01-01 00:00:30"), (3, "STEP", 30, "2024-01-01 05:00:00")])
-    z.append_files(z.flush_on_end(z.event_stream(spark, src, STREAM, 1), "ts", "1 hour", "5 minutes"), out, state)
+    with z.state_on_disk(spark):
+        z.append_files(z.flush_on_end(z.event_stream(spark, src, STREAM, 1), "ts", "1 hour", "5 minutes"), out, state)
     assert sorted(rows(spark.read.parquet(out))) == [(1, 9, "ended"), (1, 10, "ended"), (1, 12, "timeout"), (2, 20, "timeout")]
 
 
+def test_one_run_holds_most_results(spark, tmp_path, monkeypatch):
+    """Results of one run beyond what is in hand at once: an end flushes the earlier ones, the timeout the others."""
+    monkeypatch.setattr(z, "PIECE", 7)
+    src, out, state = (str(tmp_path / x) for x in ("src", "out", "state"))
+    at = lambda k: f"2024-01-01 00:{k // 60:02d}:{k % 60:02d}"
+    arrive(spark, src, [(1, "RESULT", k, at(k)) for k in range(120)])
+    arrive(spark, src, [(1, "RUN_FINISHED", 1000, at(79)), (1, "RESULT", 500, at(20)), (2, "RESULT", 600, at(1))])
+    arrive(spark, src, [(1, "RESULT", 501, at(130)), (1, "RESULT", 502, None), (1, "RUN_ERROR", 1001, at(99))])
+    arrive(spark, src, [(3, "STEP", 30, "2024-01-02 05:00:00")])
+    with z.state_on_disk(spark):
+        z.append_files(z.flush_on_end(z.event_stream(spark, src, STREAM, 1), "ts", "1 hour", "1 hour"), out, state)
+    want = [(1, k, "ended") for k in [*range(100), 500]] + [(1, k, "timeout") for k in [*range(100, 120), 501]] + [(2, 600, "timeout")]
+    assert sorted(rows(spark.read.parquet(out))) == sorted(want)
+
+
+def test_run_parts_merge(spark, tmp_path):
+    src, store = str(tmp_path / "src"), str(tmp_path / "store")
+    arrive(spark, src, [(1, "RESULT", 1, "2024-01-01 00:00:00"), (2, "RUN_ERROR", 2, "2024-01-01 00:00:00")])
+    arrive(spark, src, [(1, "RESULT", 3, "2024-01-02 00:00:00")])
+    events = z.event_stream(spark, src, STREAM, 1).withColumn("seq", F.col("event_id"))
+    for _ in range(2):
+        z.keep_parts(events, z.run_parts, store, str(tmp_path / "state"))
+    assert rows(z.merged_runs(spark.read.parquet(store))) == [(1, 2, 0, 2, 3), (2, 1, 1, 0, 2)]
+
+
 def test_delivery_survives_lost_checkpoint(spark, tmp_path):
     src, sink = str(tmp_path / "src"), str(tmp_path / "sink")
     arrive(spark, src, [(1, "A", i, "2024-01-01 00:00:00") for i in range(10)])
