@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.predicates import stable_half
@@ -285,36 +286,71 @@ def check_tree(scored: DataFrame, exported: str, out: str = "tree_score", tolera
 POISSON_ONE = [math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(16)]
 
 
-def _poisson(*parts: Column) -> Column:
-    u = F.pmod(F.xxhash64(*parts), F.lit(1 << 52)) / float(1 << 52)
+def _uniform(*parts: Column) -> Column:
+    """A number in (0, 1) from 52 bits of an md5: the same in every run and every engine."""
+    digits = F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 13)
+    return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
+def _poisson_one(u: Column) -> Column:
     count = F.when(u < POISSON_ONE[0], 0)
     for k, p in enumerate(POISSON_ONE[1:], 1):
         count = count.when(u < p, k)
     return count.otherwise(len(POISSON_ONE))
 
 
+def drawn(n: Column, *key: Column) -> Column:
+    """Poisson count of mean ``n``: how often ``n`` equal rows are drawn together in a resample.
+
+    The remainder of ``n`` by 16 is a sum of single draws. The rest is one normal draw with the skew of a Poisson count (its distribution is off by
+    0.003 at most), so that a cell of any size costs at most 17 numbers.
+    """
+    # each number is bound once, however many branches look at it
+    numbers = F.transform(F.when(n % 16 > 0, F.sequence(F.lit(1), (n % 16).cast("int"))).otherwise(F.array().cast("array<int>")), lambda j: _uniform(*key, j))
+    few = F.aggregate(numbers, F.lit(0), lambda total, u: total + _poisson_one(u))
+    mean = n - n % 16
+    normal = F.sqrt(-2 * F.log(_uniform(*key, F.lit("a")))) * F.cos(2 * math.pi * _uniform(*key, F.lit("b")))
+    many = F.transform(F.array(normal), lambda z: F.greatest(F.lit(0), F.floor(mean + F.sqrt(mean.cast("double")) * z + (z * z - 1) / 6 + 0.5)))[0]
+    return F.when(n >= 16, few + many).otherwise(few).cast("long")
+
+
 def bootstrap_difference(
     df: DataFrame, user: str, label: str, first: str, second: str, rounds: int = ROUNDS, share: float = PRIMARY_SHARE, seed: int = 42
 ) -> DataFrame:
     """Difference of precision at the top share between two scores: mean and interval over resampled rounds.
 
-    Each round weighs every row by a Poisson count hashed from (row, round), the distributed form of drawing with
+    Rows with the same scores and label are one cell, and a round draws for each cell how often its rows are taken, hashed from (cell, round): the distributed form of drawing with
     replacement, so both scores see the same sample. Rounds with one class only are left out.
+
+    Rows are never copied for a round. A first pass sums the draws of slices of each score's order, where they are made; from these each round knows the slice that its top
+    share ends in, and a second pass draws again for the cells of that slice alone.
     """
-    weighted = df.select(user, label, first, second, F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
-    weighted = weighted.withColumn("w", _poisson(F.col(user), F.col("round"), F.lit(seed))).where("w > 0")
-    both = weighted.unpivot(["round", label, "w"], [first, second], "which", "score").groupBy("round", "which", "score").agg(
-        F.sum("w").alias("n"), F.sum(F.col("w") * F.col(label)).alias("pos")
-    )
-    mixed = cut_lineage(both)
-    usable = mixed.where(F.col("which") == first).groupBy("round").agg(F.sum("pos").alias("p"), F.sum("n").alias("n")).where("p > 0 and p < n")
-    cells = mixed.join(usable.select("round"), "round", "left_semi")
-    c = _descending(cells, ["round", "which"])
-    k = F.greatest(F.lit(1), F.ceil(F.col("total") * share))
-    edge = c.withColumn("k", k).where((F.col("cum_n") >= F.col("k")) & (F.col("cum_n") - F.col("n") < F.col("k")))
-    hits = (F.col("cum_pos") - F.col("pos")) + (F.col("k") - F.col("cum_n") + F.col("n")) * F.col("pos") / F.col("n")
-    precision = edge.select("round", "which", (hits / F.col("k")).alias("p"))
-    per_round = precision.groupBy("round").agg(F.sum(F.when(F.col("which") == first, F.col("p")).otherwise(-F.col("p"))).alias("d"))
+    cells = df.groupBy(F.col(first).cast("double").alias("x0"), F.col(second).cast("double").alias("x1"), F.col(label).cast("long").alias("y"))
+    cells = cells.agg(F.count(F.lit(1)).alias("n"), F.min(user).alias("name"))
+    slices = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for k in (0, 1):  # the slice of a score's order that a cell lies in
+        cells = cut_lineage(cells.repartitionByRange(slices, F.col(f"x{k}").desc_nulls_last()).withColumn(f"slice{k}", F.spark_partition_id()))
+    draw = drawn(F.col("n"), F.lit(seed), F.col("name"), F.col("round"))
+    places = F.array(*[F.struct(F.lit(k).alias("which"), F.col(f"slice{k}").alias("slice"), F.col(f"x{k}").alias("score")) for k in (0, 1)])
+
+    every = cells.select("*", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).withColumn("w", draw)
+    sums = every.select("round", "w", "y", F.explode(places).alias("p")).groupBy("round", "p.which", "p.slice")
+    sums = sums.agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("pos"))
+    upto = W.partitionBy("round", "which").orderBy("slice").rowsBetween(W.unboundedPreceding, 0)
+    whole = W.partitionBy("round", "which")
+    sums = sums.select("*", *[F.sum(c).over(upto).alias(f"cum_{c}") for c in ("n", "pos")], *[F.sum(c).over(whole).alias(f"total_{c}") for c in ("n", "pos")])
+    k = F.greatest(F.lit(1), F.ceil(F.col("total_n") * share))
+    ends = sums.where("total_pos > 0 and total_pos < total_n").withColumn("k", k).where("cum_n >= k and cum_n - n < k")
+    # what the slices before took of the round's top share
+    ends = cut_lineage(ends.select("round", "which", "slice", "k", (F.col("cum_n") - F.col("n")).alias("before"), (F.col("cum_pos") - F.col("pos")).alias("hits")))
+
+    near = cells.select("n", "name", "y", F.explode(places).alias("p")).select("n", "name", "y", "p.*").join(ends, ["which", "slice"])
+    near = near.withColumn("w", draw).groupBy("round", "which", "score", "k", "before", "hits").agg(F.sum("w").alias("c"), F.sum(F.col("w") * F.col("y")).alias("pos"))
+    upto = W.partitionBy("round", "which").orderBy(F.col("score").desc_nulls_last()).rowsBetween(W.unboundedPreceding, 0)
+    near = near.select("*", (F.col("before") + F.sum("c").over(upto)).alias("cum_n"), (F.col("hits") + F.sum("pos").over(upto)).alias("cum_pos"))
+    edge = near.where("cum_n >= k and cum_n - c < k")
+    taken = (F.col("cum_pos") - F.col("pos")) + (F.col("k") - F.col("cum_n") + F.col("c")) * F.col("pos") / F.col("c")
+    per_round = edge.groupBy("round").agg(F.sum(F.when(F.col("which") == 0, taken / F.col("k")).otherwise(-taken / F.col("k"))).alias("d"))
     tail = (1 - CONFIDENCE) / 2
     return per_round.agg(
         F.avg("d").alias("difference"), F.percentile("d", tail).alias("ci_lower"), F.percentile("d", 1 - tail).alias("ci_upper"), F.count(F.lit(1)).alias("rounds")

@@ -182,9 +182,41 @@ def m10(t):
     return leaf
 
 
-@query("M17_paired_bootstrap")
+def _unit_sql(j):
+    return f"(('0x' || substr(md5('42:' || name || ':' || round || ':' || {j}), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0"
+
+
+def bootstrap_sql(first, second):
+    """All cells drawn in all rounds, ranked in full."""
+    steps = " ".join(f"WHEN u < {p!r} THEN {k}" for k, p in enumerate(sc.POISSON_ONE))
+    sums = ", ".join(f"sum({c}) OVER (PARTITION BY round, which ORDER BY x DESC ROWS UNBOUNDED PRECEDING) AS c{c}, sum({c}) OVER (PARTITION BY round, which) AS t{c}" for c in ("n", "pos"))
+    return f"""ce AS (SELECT {first} AS x0, {second} AS x1, label, count(*) AS n, min(user_id) AS name FROM s GROUP BY 1, 2, 3),
+        rd AS (SELECT *, unnest(range(1, {sc.ROUNDS + 1})) AS round FROM ce),
+        one AS (SELECT name, round, sum(CASE {steps} ELSE {len(sc.POISSON_ONE)} END) AS w FROM (SELECT name, round, {_unit_sql("j")} AS u FROM (SELECT name, round, unnest(range(1, n % 16 + 1)) AS j FROM rd)) GROUP BY 1, 2),
+        nm AS (SELECT name, round, n - n % 16 AS m, sqrt(-2 * ln({_unit_sql("'a'")})) * cos(2 * pi() * {_unit_sql("'b'")}) AS z FROM rd WHERE n >= 16),
+        mn AS (SELECT name, round, greatest(0, floor(m + sqrt(m::DOUBLE) * z + (z * z - 1) / 6 + 0.5)) AS w FROM nm),
+        dr AS (SELECT rd.*, coalesce(one.w, 0) + coalesce(mn.w, 0) AS w FROM rd LEFT JOIN one USING (name, round) LEFT JOIN mn USING (name, round)),
+        un AS (SELECT round, 0 AS which, x0 AS x, label, w FROM dr WHERE w > 0 UNION ALL SELECT round, 1, x1, label, w FROM dr WHERE w > 0),
+        gr AS (SELECT round, which, x, sum(w) AS n, sum(w * label) AS pos FROM un GROUP BY 1, 2, 3),
+        cu AS (SELECT *, {sums} FROM gr),
+        ed AS (SELECT *, greatest(1, ceil(tn * 0.1)) AS k FROM cu WHERE tpos > 0 AND tpos < tn),
+        pr AS (SELECT round, which, ((cpos - pos) + (k - cn + n) * pos / n) / k AS p FROM ed WHERE cn >= k AND cn - n < k),
+        df AS (SELECT round, sum(CASE which WHEN 0 THEN p ELSE -p END) AS d FROM pr GROUP BY 1)
+        SELECT round(avg(d), 9) AS difference, round(quantile_cont(d, 0.025), 9) AS ci_lower, round(quantile_cont(d, 0.975), 9) AS ci_upper, count(*) AS rounds FROM df"""
+
+
+@query("M17_paired_bootstrap", f"WITH {SC}, {bootstrap_sql('teacher_score', 'card_score')}")
 def m17(t):
-    return sc.bootstrap_difference(scores(t), "user_id", "label", "teacher_score", "card_score", rounds=100)
+    """Five hundred rounds."""
+    out = sc.bootstrap_difference(scores(t), "user_id", "label", "teacher_score", "card_score")
+    return out.select(*[F.round(c, 9).alias(c) for c in ("difference", "ci_lower", "ci_upper")], "rounds")
+
+
+@query("M17_paired_bootstrap_of_groups", f"WITH {SC}, {bootstrap_sql('tree_score', 'card_score')}")
+def m17_groups(t):
+    """The same with two scores of few values, whose cells hold many rows."""
+    out = sc.bootstrap_difference(scores(t), "user_id", "label", "tree_score", "card_score")
+    return out.select(*[F.round(c, 9).alias(c) for c in ("difference", "ci_lower", "ci_upper")], "rounds")
 
 
 @query(

@@ -141,9 +141,39 @@ def test_bootstrap_and_strategy(spark):
     assert s.choose_strategy(df, "user_id", "label", "noise", "good", rounds=40)["strategy"] == "scorecard"
 
 
-def test_poisson_weights(spark):
-    w = spark.range(20000).select(s._poisson(F.col("id"), F.lit(1)).alias("w")).agg(F.avg("w"), F.var_samp("w")).first()
-    assert abs(w[0] - 1) < 0.03 and abs(w[1] - 1) < 0.06
+@pytest.mark.parametrize("n", [1, 7, 16, 40, 1000, 10**9])
+def test_poisson_draws(spark, n):
+    """Mean, variance and, where the count is small, each probability of a Poisson count of mean ``n``."""
+    draws = spark.range(20000).select(s.drawn(F.lit(n).cast("long"), F.lit(42), F.col("id"), F.lit(3)).alias("w")).cache()
+    w = draws.agg(F.avg("w"), F.var_samp("w")).first()
+    assert abs(w[0] - n) < 4 * math.sqrt(n / 20000) + 0.01 and abs(w[1] / n - 1) < 0.06
+    if n <= 40:
+        got = {r.w: r["count"] / 20000 for r in draws.groupBy("w").count().collect()}
+        for k in range(3 * n):
+            assert abs(got.get(k, 0.0) - math.exp(k * math.log(n) - n - math.lgamma(k + 1))) < 0.015
+
+
+def test_bootstrap_by_brute_force(spark):
+    """Each round by ranking all drawn rows; slices of the order change nothing."""
+    rng = np.random.default_rng(12)
+    data = [(i, int(rng.random() < 0.3), float(rng.integers(0, 40)), float(rng.integers(0, 6))) for i in range(500)]
+    df = spark.createDataFrame(data, "user_id bigint, label int, a double, b double")
+    cells = df.groupBy("a", "b", "label").agg(F.count("*").alias("n"), F.min("user_id").alias("name"))
+    drawn = cells.select("*", F.explode(F.sequence(F.lit(1), F.lit(30))).alias("round")).withColumn("w", s.drawn(F.col("n"), F.lit(42), F.col("name"), F.col("round"))).toPandas()
+    differences = []
+    for _, part in drawn.groupby("round"):
+        k, top = max(1, math.ceil(part["w"].sum() * 0.1)), []
+        for score in ("a", "b"):
+            left, hits = k, 0.0
+            for _, tie in sorted(part.groupby(score), key=lambda x: -x[0]):
+                n, pos = tie["w"].sum(), (tie["w"] * tie["label"]).sum()
+                hits += pos * min(1, left / n) if n else 0
+                left -= min(left, n)
+            top.append(hits / k)
+        differences.append(top[0] - top[1])
+    got = s.bootstrap_difference(df, "user_id", "label", "a", "b", rounds=30).first()
+    want = (np.mean(differences), *np.percentile(differences, [2.5, 97.5]))
+    assert got.rounds == 30 and np.allclose((got.difference, got.ci_lower, got.ci_upper), want)
 
 
 def test_aligned_scores(spark):
