@@ -130,29 +130,38 @@ class Tokens:
         raw = data.tobytes()
         if self.plain and b"<|" not in raw:  # else lowering could make one of the tokenizer's special strings
             raw, offsets = _apart(np.frombuffer(raw.lower(), np.uint8), offsets)
-        bounds = offsets.tolist()
-        texts = [raw[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        per_text = [x.split() for x in texts]
-        words = list(chain.from_iterable(per_text))
-        number = self.look_up(words)
-        missing = np.flatnonzero(number < 0)
-        if len(missing):
-            new = {words[k] for k in missing.tolist()}
-            if len(self.numbers) + len(new) > CACHE_WORDS:
-                self.clear()
-                new, missing = set(words), np.arange(len(words))
-            self.learn(sorted(new))
-            number[missing] = self.look_up([words[k] for k in missing.tolist()])
+        number, first = self.numbered(np.frombuffer(raw, np.uint8), offsets)
         lengths = self.lengths[number]
         after = np.concatenate([[0], np.cumsum(lengths)])
         flat = self.ids[np.repeat(self.starts[number] - after[:-1], lengths) + np.arange(after[-1])]
-        first = np.concatenate([[0], np.cumsum(np.fromiter(map(len, per_text), np.int64, len(per_text)))])
         bounds = after[first]
-        out = np.full(len(flat) + len(texts), END_ID, np.uint32)
-        own = np.repeat(np.arange(len(texts)), np.diff(bounds)) + np.arange(len(flat))
+        out = np.full(len(flat) + len(offsets) - 1, END_ID, np.uint32)
+        own = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds)) + np.arange(len(flat))
         out[own] = flat
         return out, np.diff(bounds) + 1
 
+    def numbered(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of each word, and the first word of each text (one more at the end). A word that repeats is looked up once."""
+        inside = ~_IS_SPACE[data]
+        starts = inside.copy()
+        starts[1:] &= ~inside[:-1]
+        edges = offsets[:-1][offsets[:-1] < len(data)]
+        starts[edges] = inside[edges]
+        starts = np.flatnonzero(starts)
+        body = np.concatenate([[0], np.cumsum(inside, dtype=np.int32)]).astype(np.int32)  # bytes of words before each byte
+        ends = np.append(body[starts], body[-1]).astype(np.int32)
+        words = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data[inside])]).dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        number = self.look_up(distinct)
+        missing = np.flatnonzero(number < 0)
+        if len(missing):
+            if len(self.numbers) + len(missing) > CACHE_WORDS:
+                self.clear()
+                missing = np.arange(len(distinct))
+            self.learn(sorted(distinct[k] for k in missing.tolist()))
+            number = self.look_up(distinct)
+        return number[words.indices.to_numpy()], np.searchsorted(starts, offsets)
+
 
 _TOKENS: dict[str, Tokens] = {}
 

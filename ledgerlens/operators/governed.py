@@ -47,6 +47,8 @@ MASK = "[MASKED]"
 REASON_EMPTY = "SQL is empty."
 REASON_MULTIPLE = "Multiple SQL statements are not allowed."
 REASON_KIND = "Only SELECT/WITH statements are allowed."
+REASON_COMPARED = "Masked columns may be selected, but not compared, grouped or sorted by."
+REASON_COMPUTED = "Masked columns must not be used in calls that can fail or reveal them: {}."
 
 AUDIT_SCHEMA = (
     "id string, sql_text string, status string, blocked_reason string, row_count bigint, elapsed_ms double, at timestamp"
@@ -61,6 +63,8 @@ class Policy:
     max_rows: int = MAX_ROWS
     mask_fields: tuple[str, ...] = ()
     allow_tables: tuple[str, ...] = ()
+    #: Whether masked columns may decide which rows come back (filters, joins, groups, order); each answer then tells something of their values.
+    compare_masked: bool = False
 
     def cap(self, requested: int | None) -> int:
         return max(1, min(requested or self.default_rows, self.max_rows))
@@ -133,6 +137,17 @@ class TableNotAllowed(Exception):
 ROWLESS = {"OneRowRelation", "LocalRelation", "CTERelationRef", "Range"}
 OUTSIDE_CODE = {"CallMethodViaReflection", "TryReflect", "ScriptTransformation"}
 BY_PLACE = {"Union", "Intersect", "Except"}
+# Nodes that show what an expression gives, and nodes whose rows depend on the values of whole rows.
+SHOWING = {"Project", "Aggregate", "Window", "Generate", "Expand"}
+COMPARING = {"Intersect", "Except", "Distinct", "Deduplicate"}
+# Expressions that never fail on a value; only these may stand around a masked column. Their results are masked.
+NEVER_FAILING = {
+    "AttributeReference", "Alias", "Literal", "OuterReference", "ScalarSubquery", "Upper", "Lower", "StringTrim", "StringTrimLeft", "StringTrimRight", "Length", "Concat", "ConcatWs",
+    "Coalesce", "IsNull", "IsNotNull", "If", "CaseWhen", "EqualTo", "EqualNullSafe", "Not", "And", "Or", "Like", "Contains", "StartsWith", "EndsWith", "Substring", "StringSplit",
+    "StringReplace", "Reverse", "Md5", "Sha2", "Explode", "PosExplode", "Inline", "CreateNamedStruct", "GetStructField", "CreateArray", "CreateMap", "AggregateExpression", "Max", "Min", "Count",
+    "First", "Last", "CollectList", "CollectSet", "MaxBy", "MinBy", "WindowExpression", "WindowSpecDefinition", "SpecifiedWindowFrame", "UnspecifiedFrame", "UnspecifiedFrame$",
+    "UnboundedPreceding", "UnboundedPreceding$", "UnboundedFollowing", "UnboundedFollowing$", "CurrentRow", "CurrentRow$", "SortOrder", "Lag", "Lead", "RowNumber", "Rank", "DenseRank",
+}
 
 
 def _items(seq) -> list:
@@ -160,21 +175,10 @@ def _expressions(expression) -> list:
     return [expression, *[e for c in _items(expression.children()) for e in _expressions(c)]]
 
 
-def _hidden_places(plan, nodes: list, fields: set[str]) -> frozenset[int]:
-    """Places of the result's columns that are made from a masked column under whatever name."""
+def _hidden_ids(nodes: list, fields: set[str]) -> set[int]:
+    """Attributes of the plan that are made from a masked column under whatever name."""
     hidden = {a.exprId().id() for n in nodes if n.nodeName() == "View" for a in _items(n.output()) if a.name().lower() in fields}
     named = {n.id(): _ids(n.child().output()) for n in nodes if n.nodeName() == "CTERelationDef"}
-
-    def made_from_hidden(expression) -> bool:
-        for e in _expressions(expression):
-            if e.nodeName() == "AttributeReference" and e.exprId().id() in hidden:
-                return True
-            if e.nodeName() in {"ScalarSubquery", "OuterReference"}:
-                inner = _ids(e.plan().output()) if e.nodeName() == "ScalarSubquery" else [e.e().exprId().id()]
-                if hidden.intersection(inner):
-                    return True
-        return False
-
     grown = -1
     while grown != len(hidden):
         grown = len(hidden)
@@ -192,11 +196,59 @@ def _hidden_places(plan, nodes: list, fields: set[str]) -> frozenset[int]:
             aliases = {e.exprId().id(): e for x in _items(n.expressions()) for e in _expressions(x) if e.nodeName() == "Alias"}
             passed = {i for b in below for i in b}
             for i in output:
-                if i in aliases and made_from_hidden(aliases[i]):
+                if i in aliases and _over(aliases[i], hidden):
                     hidden.add(i)
                 elif i not in aliases and i not in passed and passed & hidden:
                     hidden.add(i)
-    return frozenset(k for k, i in enumerate(_ids(plan.output())) if i in hidden)
+    return hidden
+
+
+def _over(expression, hidden: set[int]) -> bool:
+    """Whether an expression reads a masked column, itself or through a subquery."""
+    for e in _expressions(expression):
+        kind = e.nodeName()
+        if kind == "AttributeReference" and e.exprId().id() in hidden:
+            return True
+        if kind in {"ScalarSubquery", "ListQuery", "LateralSubquery"} and hidden.intersection(_ids(e.plan().output())):
+            return True
+        if kind == "OuterReference" and e.e().exprId().id() in hidden:
+            return True
+    return False
+
+
+def _fails_on_values(expression) -> str | None:
+    """The first call of an expression that can fail on a value, and so tell it in its error."""
+    for e in _expressions(expression):
+        kind = e.nodeName()
+        if kind == "Cast" and e.dataType().typeName() == "string":
+            continue
+        if kind not in NEVER_FAILING:
+            return kind
+    return None
+
+
+def check_masked_flow(nodes: list, hidden: set[int], compare: bool) -> None:
+    """Refuse a plan in which masked columns decide about rows (unless ``compare``) or go through a call that can fail on them."""
+    for n in nodes:
+        kind = n.nodeName()
+        if kind in {"View", "CTERelationRef"}:  # their expressions are only their own columns
+            continue
+        over = [x for x in _items(n.expressions()) if _over(x, hidden)]
+        failing = next((f for f in map(_fails_on_values, over) if f is not None and not (compare and f in {"InSubquery", "ListQuery", "In", "Exists"})), None)
+        if failing is not None and kind in SHOWING:
+            raise PermissionError(REASON_COMPUTED.format(failing))
+        keys = []
+        if kind == "Aggregate":
+            keys = _items(n.groupingExpressions())
+        elif kind == "Window":
+            keys = [*_items(n.partitionSpec()), *_items(n.orderSpec())]
+        decides = (over and kind not in SHOWING) or any(_over(x, hidden) for x in keys)
+        if kind in COMPARING:
+            decides = decides or any(hidden.intersection(_ids(c.output())) for c in _items(n.children()))
+        if decides and not compare:
+            raise PermissionError(REASON_COMPARED)
+        if failing is not None:
+            raise PermissionError(REASON_COMPUTED.format(failing))
 
 
 class ReadOnlyGateway:
@@ -246,7 +298,9 @@ class ReadOnlyGateway:
         calls = {e.nodeName() for n in nodes if n.nodeName() != "View" for x in _items(n.expressions()) for e in _expressions(x)}
         if OUTSIDE_CODE & (calls | {n.nodeName() for n in nodes}):
             raise PermissionError("Calls of outside code are not allowed.")
-        places = _hidden_places(plan, nodes, {f.lower() for f in self.policy.mask_fields})
+        hidden = _hidden_ids(nodes, {f.lower() for f in self.policy.mask_fields})
+        check_masked_flow(nodes, hidden, self.policy.compare_masked)
+        places = frozenset(k for k, i in enumerate(_ids(plan.output())) if i in hidden)
         return masked(limited(df, self.policy, max_rows), self.policy.mask_fields, places)
 
     def cached(self, sql: str, max_rows: int | None = None) -> DataFrame:
@@ -275,7 +329,8 @@ class ReadOnlyGateway:
         except (PermissionError, TableNotAllowed) as error:
             status, reason = "blocked", str(error)
         except PySparkException as error:
-            status, reason = "failed", str(error)
+            # the class alone: messages quote the values that a call failed on
+            status, reason = "failed", error.getCondition() or type(error).__name__
         entry = {
             "id": hashlib.sha256(f"{start}|{sql}".encode()).hexdigest()[:16],
             "sql_text": sql,

@@ -79,6 +79,45 @@ def test_gateway_is_closed(spark):
     spark.catalog.dropGlobalTempView("pay")
 
 
+COMPARED = [
+    "SELECT id FROM t WHERE ssn LIKE '1%'", "SELECT id FROM t WHERE id IN (SELECT id FROM t WHERE ssn = '111-22')", "SELECT id FROM t WHERE '111-22' IN (SELECT ssn FROM t)",
+    "SELECT id FROM t x WHERE EXISTS (SELECT 1 FROM t y WHERE y.ssn LIKE '1%' AND y.id = x.id)", "SELECT id FROM t ORDER BY ssn", "SELECT count(*) AS n FROM t GROUP BY ssn",
+    "SELECT a.id FROM t a JOIN t b ON a.ssn = b.ssn", "SELECT DISTINCT ssn FROM t", "SELECT ssn FROM t INTERSECT SELECT '111-22'", "SELECT row_number() OVER (ORDER BY ssn) AS r, id FROM t",
+    "WITH c AS (SELECT upper(ssn) AS b, id FROM t) SELECT id FROM c WHERE b = 'X'", "SELECT id, count(*) AS n FROM t GROUP BY id HAVING max(ssn) > '2'",
+    "SELECT id FROM t WHERE (SELECT max(ssn) FROM t) = '222-33'",
+]
+FAILING = [
+    "SELECT cast(ssn AS int) AS b FROM t", "SELECT raise_error(ssn) AS b FROM t", "SELECT assert_true(ssn = 'x', ssn) AS b FROM t", "SELECT CASE WHEN ssn = '111-22' THEN 1 / 0 ELSE 1 END AS b FROM t",
+    "SELECT id FROM t WHERE id IN (SELECT cast(substr(ssn, 1, 1) AS int) FROM t)", "SELECT to_date(ssn) AS b FROM t", "SELECT sum(ssn) AS b FROM t", "SELECT element_at(split(ssn, '-'), 9) AS b FROM t",
+]
+
+
+def test_masked_values_do_not_leave_by_other_ways(spark, tmp_path):
+    t = spark.createDataFrame([(1, "111-22"), (2, "222-33"), (3, None)], "id int, ssn string")
+    gate = g.ReadOnlyGateway({"t": t}, g.Policy(mask_fields=("ssn",), allow_tables=("t",)), str(tmp_path / "audit"))
+    for sql in [*COMPARED, *FAILING]:
+        rows, entry = gate.audited(sql)
+        assert (rows, entry["status"]) == ([], "blocked"), sql
+    for sql in ("SELECT cast(ssn AS string) AS b FROM t WHERE id = 1", "SELECT CASE WHEN ssn LIKE '1%' THEN 'a' ELSE 'b' END AS b FROM t WHERE id = 1", "SELECT concat(ssn, 'x') AS b FROM t WHERE id < 2"):
+        assert [r.b for r in gate.run(sql).collect()] == [g.MASK], sql
+    # what fails on open columns keeps its values out of the audit too
+    _, entry = gate.audited("SELECT cast(concat('secret', id) AS int) AS n FROM t")
+    assert entry["status"] == "failed" and "secret" not in entry["blocked_reason"]
+    text = " ".join(str(r.blocked_reason) for r in gate.audit_log().collect())
+    assert not any(v in text for v in ("111-22", "222-33", "secret1"))
+    gate.release()
+
+
+def test_a_policy_may_allow_comparisons(spark):
+    t = spark.createDataFrame([(1, "111-22"), (2, "222-33")], "id int, ssn string")
+    gate = g.ReadOnlyGateway({"t": t}, g.Policy(mask_fields=("ssn",), allow_tables=("t",), compare_masked=True))
+    assert [tuple(r) for r in gate.run("SELECT id, ssn FROM t WHERE ssn LIKE '1%'").collect()] == [(1, g.MASK)]
+    assert gate.run("SELECT count(*) AS n FROM t GROUP BY ssn").count() == 2
+    with pytest.raises(PermissionError):
+        gate.run("SELECT id FROM t WHERE cast(ssn AS int) = 1")
+    gate.release()
+
+
 def test_policy_caps():
     p = g.Policy()
     assert (p.cap(None), p.cap(5), p.cap(99999), p.cap(0)) == (100, 5, 1000, 100)
