@@ -70,6 +70,10 @@ def _plain(word: str) -> bool:
     return "\u0130" not in word and (word.isalpha() or not word.strip(_MARKS))  # that letter's small form has a mark of its own
 
 
+#: Bytes of text whose words are looked up together.
+TOKEN_SLICE = 3 << 20
+
+
 class Tokens:
     """Ids of texts by a tokenizer that lowers letters and never joins across ASCII white space: each distinct word is encoded once."""
 
@@ -172,42 +176,59 @@ def _tokenizer(path: str) -> Tokens:
     return _TOKENS[path]
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Small batches joined up to a slice: the more text is looked at together, the more of its words repeat."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.nbytes for x in held) >= TOKEN_SLICE:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
+_TOKENIZED = "doc_id long, ids binary, counts binary"
+
+
 def _tokenize(path: str):
+    """The ids of each document; at the end of a task one row without ids that holds its counts of all ids."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _tokenizer(path)
-        for batch in batches:
+        tokens, total = _tokenizer(path), np.zeros(0, np.int64)
+        for batch in _gathered(batches):
             data, offsets = string_buffers(batch.column("text"))
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, TOKEN_SLICE):
                 ids, lengths = tokens.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 ids = ids.astype(tokens.width)
+                own = np.bincount(ids, minlength=len(total))
+                own[: len(total)] += total
+                total = own
                 bounds = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32) * ids.itemsize
                 coded = pa.BinaryArray.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(bounds), pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), coded], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), coded, pa.nulls(b - a, pa.binary())], names=["doc_id", "ids", "counts"])
+        counts = pa.array([total.astype("<i8").tobytes()], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), counts], names=["doc_id", "ids", "counts"])
 
     return run
 
 
 def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """``doc_id, ids`` (little-endian, 16-bit where the vocabulary allows) with the end id, for every row; null text is empty."""
+    """``doc_id, ids, counts``: ids (little-endian, 16-bit where the vocabulary allows) with the end id for every row; null text is empty. Rows without ids hold a task's counts of ids."""
     python_tasks(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenize(tokenizer), "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenize(tokenizer), _TOKENIZED)
 
 
 def _width(tokenizer: str) -> str:
     return _tokenizer(tokenizer).width
 
 
-def _counts(width: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            own = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), width))
-            total = np.pad(total, (0, max(0, len(own) - len(total))))
-            total[: len(own)] += own
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
-
-    return run
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for counts in batch.column("counts").to_pylist():
+            total = np.frombuffer(counts, "<i8")
+            seen = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 
 
 def shared_table(counts: np.ndarray, scale: int = SCALE) -> np.ndarray:
@@ -342,13 +363,14 @@ def write_blocks(docs: DataFrame, path: str, tokenizer: str) -> None:
     spark = docs.sparkSession
     width = _width(tokenizer)
     tokens = written(tokenized(docs, tokenizer), "tokens", compression="zstd")
-    counted = tokens.select("ids").mapInArrow(_counts(width), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # a row for each id of the vocabulary
+    counted = tokens.where("counts IS NOT NULL").select("counts").mapInArrow(_counts, "id long, n long")
+    counted = counted.groupBy("id").agg(F.sum("n").alias("n")).collect()  # a row for each id of the vocabulary
     counts = np.zeros(max([r["id"] for r in counted], default=-1) + 1, np.int64)
     for r in counted:
         counts[r["id"]] = r["n"]
     slots = shared_table(counts)
     spark.createDataFrame([(len(slots), SCALE, bytearray(slots.astype("<u4").tobytes()))], "n_ids long, scale int, slots binary").coalesce(1).write.parquet(f"{path}/table")
-    ranged = tokens.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "ids")
+    ranged = tokens.where("counts IS NULL").select("doc_id", "ids").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "ids")
     ranged.mapInArrow(_encode_blocks(slots, width), BLOCK_SCHEMA).write.parquet(f"{path}/blocks")
 
 
