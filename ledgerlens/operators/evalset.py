@@ -70,18 +70,34 @@ def vote(candidates: DataFrame, fingerprints: DataFrame, candidate: str, sql: st
     return best.select(*group, F.col("w.votes").alias("votes"), F.col("w.b.winner").alias("winner"))
 
 
-def reconcile_columns(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Columns of two tables side by side: in both with one type, with another type, or on one side only."""
-    spark = left.sparkSession
-    rows = lambda df, side: spark.createDataFrame(
-        [(f.name, f.dataType.simpleString()) for f in df.schema.fields], f"column_name string, {side} string"
+def reconcile_columns(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Columns of two tables that share a unique key, side by side: their types, how many rows and values each side has, and on how many keys they differ.
+
+    One full join on the key and one aggregate over it. Status: in one table only, other type, other values, or the same. Values are compared as text, null like a value; rows
+    whose key is on one side only count in ``left_keys`` and ``right_keys``. Rows without a key are left out.
+    """
+    types = {side: {f.name: f.dataType.simpleString() for f in df.schema.fields} for side, df in (("left", left), ("right", right))}
+    names = sorted(types["left"].keys() | types["right"].keys())
+    packed = lambda df, side: df.where(F.col(key).isNotNull()).select(
+        F.col(key).cast("string").alias("_key"), F.struct(*[(F.col(c).cast("string") if c in types[side] else F.lit(None).cast("string")).alias(c) for c in names]).alias(side)
     )
-    j = rows(left, "left_type").join(rows(right, "right_type"), "column_name", "full")
+    both = packed(left, "left").join(packed(right, "right"), "_key", "full")
+    facts = [F.count_if(F.col("left").isNotNull() & F.col("right").isNull()).alias("left_keys"), F.count_if(F.col("left").isNull() & F.col("right").isNotNull()).alias("right_keys")]
+    for c in names:
+        l, r = F.col(f"left.`{c}`"), F.col(f"right.`{c}`")  # noqa: E741
+        met = F.col("left").isNotNull() & F.col("right").isNotNull()
+        facts.append(F.struct(F.count(l).alias("left_values"), F.count(r).alias("right_values"), F.count_if(met & ~l.eqNullSafe(r)).alias("differing")).alias(f"_{c}"))
+    each = F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.lit(types["left"].get(c)).cast("string").alias("left_type"), F.lit(types["right"].get(c)).cast("string").alias("right_type"), F.col(f"`_{c}`").alias("f"))
+        for c in names
+    ])
+    out = both.agg(*facts).select("left_keys", "right_keys", F.explode(each).alias("c")).select("c.column_name", "c.left_type", "c.right_type", "c.f.*", "left_keys", "right_keys")
+    shared = F.col("left_type").isNotNull() & F.col("right_type").isNotNull()
     status = (
-        F.when(F.col("left_type").isNull(), "right_only").when(F.col("right_type").isNull(), "left_only")
-        .when(F.col("left_type") == F.col("right_type"), "same").otherwise("type_differs")
+        F.when(F.col("left_type").isNull(), "right_only").when(F.col("right_type").isNull(), "left_only").when(F.col("left_type") != F.col("right_type"), "type_differs")
+        .when(F.col("differing") > 0, "values_differ").otherwise("same")
     )
-    return j.withColumn("status", status)
+    return out.withColumn("differing", F.when(shared, F.col("differing"))).withColumn("status", status)
 
 
 def accuracy_table(rows: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.predicates import stable_half
 from ledgerlens.operators.ordering import join_nullsafe, running_totals
 from ledgerlens.operators.screen import bin_of, feature_cells, quantile_edges
+from ledgerlens.operators.sequences import carried
 from ledgerlens.session import cut_lineage
 
 TOP_SHARES = [0.01, 0.05, 0.10, 0.20, 0.30, 0.50]
@@ -27,7 +28,8 @@ WEIGHTS = [round(0.05 * i, 2) for i in range(1, 20)]
 CARD_SHARE = 0.20
 CARD_SCALE, CARD_LIMIT, CARD_BINS = 10.0, 30.0, 5
 MISSING = "__MISSING__"
-MAX_CARD_RULES = 100_000
+#: Rules that a plan holds as literals; a larger card is joined.
+PLAN_RULES = 2_000
 SCORE_TOLERANCE = 0.001
 
 # Weight of a feature by its place in the importance order.
@@ -213,14 +215,13 @@ def build_scorecard(df: DataFrame, importance: list[str], text: list[str], label
 
 
 def apply_scorecard(df: DataFrame, rules: DataFrame, out: str = "card_score") -> DataFrame:
-    """Add the summed score of the matching rules; row by row, without a shuffle.
+    """Add the summed score of the matching rules. Bins of a feature must not overlap.
 
-    The rule card is read to the driver (its size is checked) and each feature becomes one lookup: bins by position among
-    their edges, texts by a literal map.
+    A card of at most ``PLAN_RULES`` rules becomes lookups of the plan, row by row and without a shuffle. A larger one is joined, with the same result: see ``join_scorecard``.
     """
-    rows = rules.select("feature", "value", "lo", "hi", "weighted_score").limit(MAX_CARD_RULES + 1).collect()
-    if len(rows) > MAX_CARD_RULES:
-        raise ValueError("the rule card exceeds its size bound")
+    rows = rules.select("feature", "value", "lo", "hi", "weighted_score").limit(PLAN_RULES + 1).collect()
+    if len(rows) > PLAN_RULES:
+        return join_scorecard(df, rules, out)
     parts = []
     for feature in sorted({r.feature for r in rows}):
         mine = [r for r in rows if r.feature == feature]
@@ -247,6 +248,37 @@ def apply_scorecard(df: DataFrame, rules: DataFrame, out: str = "card_score") ->
     return df.withColumn(out, total)
 
 
+def join_scorecard(df: DataFrame, rules: DataFrame, out: str = "card_score") -> DataFrame:
+    """The same by joins, for a card of any size: nothing of it reaches the driver but the names of its features.
+
+    Values are unpivoted per distinct (feature, value) and counted rules are looked up once for each of them. Bins: values and lower bounds stand in one order, and the last bound
+    at or before a value gives its bin (``carried``), no pair of value and bin is made. Texts: an equi-join on distinct values, so a text that many rows hold is joined once. The scores go
+    back to the rows on (feature, value), salted by row.
+    """
+    named = [r.feature for r in rules.select("feature").distinct().collect()]  # columns of the table
+    features = [c for c in df.columns if c in named]
+    rows = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))
+    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    long = rows.select("_row", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("text"), F.expr(f"try_cast(`{c}` AS double)").alias("x")) for c in features])).alias("v"))
+    long = long.select("_row", "v.*").withColumn("salt", F.pmod("_row", F.lit(salts)))
+    seen = cut_lineage(long.groupBy("feature", "text", "x", "salt").agg(F.count(F.lit(1)).alias("_n")))
+    values = seen.select("feature", "text", "x").distinct()
+
+    score = F.col("weighted_score").cast("double")
+    bins = rules.where("value IS NULL").select("feature", F.coalesce(F.col("lo").cast("double"), F.lit(-math.inf)).alias("at"), F.lit(0).alias("side"), F.struct(F.col("hi").cast("double").alias("hi"), score.alias("score")).alias("bin"))
+    points = values.where("x IS NOT NULL").select("feature", F.col("x").alias("at"), F.lit(1).alias("side")).distinct().withColumn("bin", F.lit(None).cast(bins.schema["bin"].dataType))
+    met = carried(bins.unionByName(points), ["feature"], ["at", "side"], {"found": ("last", "bin")}).where("side = 1")
+    met = met.select("feature", F.col("at").alias("x"), F.when(F.col("found.hi").isNull() | (F.col("at") < F.col("found.hi")), F.col("found.score")).alias("by_bin"))
+    texts = rules.where("value IS NOT NULL").groupBy("feature", "value").agg(F.max_by(score, score).alias("by_text"))
+    scored = join_nullsafe(values, met, ["feature", "x"], "left")
+    scored = scored.withColumn("value", F.coalesce("text", F.lit(MISSING))).join(texts, ["feature", "value"], "left")
+    scored = scored.select("feature", "text", "x", (F.coalesce("by_bin", F.lit(0.0)) + F.coalesce("by_text", F.lit(0.0))).alias("score")).where("score <> 0")
+    spread = join_nullsafe(seen.select("feature", "text", "x", "salt"), scored, ["feature", "text", "x"])
+    total = join_nullsafe(long, spread, ["feature", "text", "x", "salt"]).groupBy("_row").agg(F.sum("score").alias("_total"))
+    done = rows.join(total, "_row", "left")
+    return done.select(*df.columns, F.coalesce("_total", F.lit(0.0)).alias(out))
+
+
 @dataclass(frozen=True)
 class TreeRule:
     """One leaf: a score and the conditions (feature, '<=' or '>', threshold) that lead to it."""

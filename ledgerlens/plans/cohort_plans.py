@@ -171,7 +171,7 @@ def u10(t):
     return c.stratified_split(t.labels.select("doc_id", "quality"), "doc_id", "quality")
 
 
-@query("X07_key_overlap", "SELECT 0::BIGINT AS shared_keys WHERE (SELECT count(*) FROM labels) > 0")
+@query("X07_key_overlap", f"WITH {SPLIT} SELECT count(*) AS shared_keys FROM (SELECT doc_id FROM split WHERE split = 'train' INTERSECT SELECT doc_id FROM split WHERE split = 'valid')")
 def x07(t):
     s = c.stratified_split(t.labels, "doc_id", "quality")
     return c.key_overlap(s.where("split = 'train'"), s.where("split = 'valid'"), "doc_id")

@@ -122,12 +122,23 @@ def x05(t):
     return e.vote(candidates, prints, "candidate", "sql", ["task"])
 
 
+_LEFT = "SELECT doc_id, lang, n_chars, source FROM documents WHERE n_chars % 10 > 0"
+_RIGHT = "SELECT doc_id, CASE WHEN toxic = 1 THEN NULL ELSE lang END AS lang, n_chars::VARCHAR AS n_chars, quality FROM documents JOIN labels USING (doc_id)"
+
+
 @query(
     "X06_column_reconciliation",
-    """SELECT * FROM (VALUES ('doc_id', 'bigint', 'bigint', 'same'), ('lang', 'string', NULL, 'left_only'), ('n_chars', 'bigint', 'string', 'type_differs'), ('quality', NULL, 'int', 'right_only'))
-         x(column_name, left_type, right_type, status) WHERE (SELECT count(*) FROM documents) > 0""",
+    f"""WITH l AS ({_LEFT}), r AS ({_RIGHT}),
+        k AS (SELECT (SELECT count(*) FROM l ANTI JOIN r USING (doc_id)) AS left_keys, (SELECT count(*) FROM r ANTI JOIN l USING (doc_id)) AS right_keys),
+        c AS (SELECT 'doc_id' AS column_name, 'bigint' AS left_type, 'bigint' AS right_type, (SELECT count(doc_id) FROM l) AS left_values, (SELECT count(doc_id) FROM r) AS right_values, 0 AS differing
+          UNION ALL SELECT 'lang', 'string', 'string', (SELECT count(lang) FROM l), (SELECT count(lang) FROM r), (SELECT count(*) FROM l JOIN r USING (doc_id) WHERE l.lang IS DISTINCT FROM r.lang)
+          UNION ALL SELECT 'n_chars', 'bigint', 'string', (SELECT count(n_chars) FROM l), (SELECT count(n_chars) FROM r), (SELECT count(*) FROM l JOIN r USING (doc_id) WHERE l.n_chars::VARCHAR IS DISTINCT FROM r.n_chars)
+          UNION ALL SELECT 'quality', NULL, 'int', 0, (SELECT count(quality) FROM r), NULL
+          UNION ALL SELECT 'source', 'string', NULL, (SELECT count(source) FROM l), 0, NULL)
+        SELECT c.*, left_keys, right_keys, CASE WHEN left_type IS NULL THEN 'right_only' WHEN right_type IS NULL THEN 'left_only' WHEN left_type <> right_type THEN 'type_differs'
+          WHEN differing > 0 THEN 'values_differ' ELSE 'same' END AS status FROM c, k""",
 )
 def x06(t):
-    left = t.documents.select("doc_id", "lang", "n_chars")
-    right = t.documents.join(t.labels, "doc_id").select("doc_id", F.col("n_chars").cast("string").alias("n_chars"), "quality")
-    return e.reconcile_columns(left, right)
+    left = t.documents.where("n_chars % 10 > 0").select("doc_id", "lang", "n_chars", "source")
+    right = t.documents.join(t.labels, "doc_id").select("doc_id", F.when(F.col("toxic") == 1, F.lit(None)).otherwise(F.col("lang")).alias("lang"), F.col("n_chars").cast("string").alias("n_chars"), "quality")
+    return e.reconcile_columns(left, right, "doc_id")

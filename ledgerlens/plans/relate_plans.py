@@ -135,35 +135,23 @@ _DTYPE = """CASE WHEN column_name IN ('r_name', 'n_name', 'c_mktsegment', 'p_typ
   WHEN column_name = 'quality' THEN 'integer_boolean' ELSE 'integer' END"""
 
 
-@query(
-    "R06_joinable",
-    f"""WITH {PAIRS}, f AS (SELECT *, {_DTYPE} AS dtype FROM card)
-        SELECT lt || '.' || ac AS source_id, rt || '.' || bc AS target_id, round(shared / least(a.n, b.n), 6) AS confidence, a.dtype AS dtype_a, b.dtype AS dtype_b
-        FROM pairs JOIN f a ON a.table_name = lt AND a.column_name = ac JOIN f b ON b.table_name = rt AND b.column_name = bc
-        WHERE lt < rt AND a.n <= 900 AND b.n <= 900 AND a.dtype <> 'integer_boolean' AND b.dtype <> 'integer_boolean' AND shared / least(a.n, b.n) >= 0.1""",
-)
-def r06(t):
-    """Joinable columns among those of at most 900 values."""
-    return joinable(t, 900)
-
-
-def joinable(t, max_cardinality):
+def joinable(t):
     v = values(t)
     dtypes = p.inferred_types(v, p.column_types({n: getattr(t, n).select(*cs) for n, cs in COLUMNS.items()}))
-    out = r.joinable(v, dtypes.select("table_name", "column_name", "dtype"), max_cardinality=max_cardinality)
+    out = r.joinable(v, dtypes.select("table_name", "column_name", "dtype"))
     return out.withColumn("confidence", F.round("confidence", 6))
 
 
 @query(
-    "R06_joinable_all",
+    "R06_joinable",
     f"""WITH {PAIRS}, f AS (SELECT *, {_DTYPE} AS dtype FROM card)
         SELECT lt || '.' || ac AS source_id, rt || '.' || bc AS target_id, round(shared / least(a.n, b.n), 6) AS confidence, a.dtype AS dtype_a, b.dtype AS dtype_b
         FROM pairs JOIN f a ON a.table_name = lt AND a.column_name = ac JOIN f b ON b.table_name = rt AND b.column_name = bc
         WHERE lt < rt AND a.dtype <> 'integer_boolean' AND b.dtype <> 'integer_boolean' AND shared / least(a.n, b.n) >= 0.1""",
 )
-def r06_all(t):
+def r06(t):
     """Joinable columns of any number of values."""
-    return joinable(t, None)
+    return joinable(t)
 
 
 @query("R07_synonyms")

@@ -111,6 +111,14 @@ def test_retry_and_overlay(spark):
     assert rows(e.overlay_retry(first, again, ["q"])) == [(1, None, 2), (2, False, 1)]
 
 
+def test_reconciled_columns(spark):
+    left = spark.createDataFrame([(1, "a", 1.0), (2, None, 2.0), (3, "c", 3.0), (None, "z", 9.0)], "id int, t string, x double")
+    right = spark.createDataFrame([(1, "a", 7), (2, "b", 8), (4, "d", 9)], "id int, t string, y int")
+    got = {r.column_name: (r.left_values, r.right_values, r.differing, r.left_keys, r.right_keys, r.status) for r in e.reconcile_columns(left, right, "id").collect()}
+    assert got == {"id": (3, 3, 0, 1, 1, "same"), "t": (2, 3, 1, 1, 1, "values_differ"), "x": (3, 0, None, 1, 1, "left_only"), "y": (0, 3, None, 1, 1, "right_only")}
+    assert {r.status for r in e.reconcile_columns(left, left.withColumn("x", F.col("x").cast("string")), "id").collect()} == {"same", "type_differs"}
+
+
 def test_page_ranking(spark):
     pages = spark.createDataFrame([("1", "table", "orders", "", "ok"), ("2", "metric", "gmv", "sum of orders", "pending"), ("3", "table", "x", "preorders", "ok")], "id string, type string, title string, body string, status string")
     assert rows(r.rank_pages(pages, ["orders"])) == [("1", "table", 12 + 40 + 5), ("2", "metric", 12 + 8 - 2)]

@@ -110,6 +110,35 @@ def test_scorecard_rows_match_one_rule(spark):
     assert "Exchange" not in s.apply_scorecard(df, rules)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_card_of_any_size(spark, monkeypatch):
+    """Two hundred thousand rules by joins, and the same card in both forms."""
+    df = spark.range(3000).selectExpr("id as user_id", "if(id % 10 = 0, null, cast(id * 0.37 % 1000 as double)) as x", "if(id % 3 = 0, 'hot', if(id % 7 = 0, null, concat('v', id % 500))) as t", "id % 5 as n", "'kept' as feature")
+    bins = spark.range(150000).selectExpr("'x' as feature", "cast(null as string) as value", "if(id = 0, null, id / 100D) as lo", "if(id % 11 = 5, (id + 0.5D) / 100D, (id + 1) / 100D) as hi", "cast(id % 17 as double) as weighted_score")
+    texts = spark.range(60000).selectExpr("'t' as feature", "if(id = 0, 'hot', if(id = 1, '__MISSING__', concat('v', id))) as value", "cast(null as double) as lo", "cast(null as double) as hi", "cast(id % 13 as double) + 0.5D as weighted_score")
+    rules = bins.unionByName(texts)
+    assert rules.count() > 200_000
+    got = {r.user_id: r for r in s.apply_scorecard(df, rules).collect()}
+    assert len(got) == 3000 and got[1].feature == "kept"
+    for r in df.collect():
+        want = 0.0
+        if r.x is not None:
+            k = min(int(r.x * 100 + 1e-9), 149999)
+            k = next(j for j in (k + 1, k, k - 1) if (j == 0 or r.x >= j / 100))
+            want += k % 17 if r.x < ((k + 0.5) / 100 if k % 11 == 5 else (k + 1) / 100) else 0
+        if r.t == "hot":
+            want += 0.5
+        elif r.t is None:
+            want += 1.5
+        elif int(r.t[1:]) > 1:
+            want += int(r.t[1:]) % 13 + 0.5
+        assert abs(got[r.user_id].card_score - want) < 1e-9, r
+    small = rules.where("(feature = 'x' and lo < 3) or (feature = 't' and weighted_score < 2 and length(value) < 4)").limit(1500)
+    small = spark.createDataFrame(small.collect(), small.schema)
+    a, b = s.apply_scorecard(df, small), s.join_scorecard(df, small)
+    assert "Exchange" not in a._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.user_id, round(r.card_score, 9)) for r in a.collect()) == sorted((r.user_id, round(r.card_score, 9)) for r in b.collect())
+
+
 def test_tier_weights():
     got = s.card_features([f"f{i}" for i in range(40)])
     assert [w for _, _, w in got] == [1.0, 1.0, 0.8, 0.8, 0.6, 0.6, 0.4, 0.4]
