@@ -422,6 +422,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that are the smallest doc_id of their component, with their own columns; all rows of such a doc_id stay."""
+    """The documents that are the smallest doc_id of their component, with their own columns, whatever their names; all rows of such a doc_id stay.
+
+    A row whose doc_id is null stays, and so does one whose text is null, empty or blank. Empty table: no rows.
+    """
     gone = near_groups(docs).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
