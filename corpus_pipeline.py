@@ -19,8 +19,13 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later repeats of runs of lines; documents that lose all their lines go."""
-    done = line_dedup.dedup_lines(docs).where("n_removed = 0 OR n_removed < n_lines").drop("n_lines", "n_removed")
+    """Texts without later repeats of runs of lines; documents that lose all their lines go.
+
+    Null texts stay null. A column of the documents that is named like one of the operator's own counts is kept under a free name meanwhile.
+    """
+    free = {c: next(n for n in (f"_own_{k}_{c}" for k in range(len(docs.columns) + 1)) if n not in docs.columns) for c in ("n_lines", "n_removed") if c in docs.columns}
+    done = line_dedup.dedup_lines(docs.withColumnsRenamed(free)).where("n_removed = 0 OR n_removed < n_lines").drop("n_lines", "n_removed")
+    done = done.withColumnsRenamed({new: old for old, new in free.items()})
     return done.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
 
 

@@ -100,6 +100,18 @@ def u03(t):
     return out
 
 
+@query(
+    "U04_other_interests",
+    f"""WITH {WINDOWS}, i AS (SELECT user_id AS user_key, count(*) FILTER (WHERE event_type = 'purchase') AS bought, count(*) AS n FROM events GROUP BY 1)
+        SELECT 'N6' AS population, user_key FROM i WHERE bought * 5 < n AND user_key NOT IN (SELECT user_key FROM posu)""",
+)
+def u04_other(t):
+    """Population N6: visitors whose interest lies elsewhere, here less than a fifth of their events are purchases."""
+    p = plan()
+    users = t.events.groupBy(F.col("user_id").alias("user_key")).agg(F.count_if(F.col("event_type") == "purchase").alias("bought"), F.count(F.lit(1)).alias("n"))
+    return c.negative_pools(t.events, users, p, F.col("event_type") == "view", F.col("event_type") == "purchase", F.col("bought") * 5 < F.col("n"), ("N6",))
+
+
 @query("U04_negative_pools", f"WITH {WINDOWS} SELECT population, user_key FROM pools")
 def u04(t):
     return pools(t)

@@ -73,14 +73,14 @@ def n04(t):
 @query(
     "N05_clean_orphans",
     f"""WITH n AS MATERIALIZED ({derived.NODES_SQL}), e AS MATERIALIZED ({derived.EDGES_SQL}),
-        anchored AS MATERIALIZED (SELECT DISTINCT target_id AS id FROM e SEMI JOIN (SELECT id AS source_id FROM n WHERE type IN ('column', 'table')) USING (source_id) WHERE e.type = 'represents'),
-        lc AS MATERIALIZED (SELECT id FROM n ANTI JOIN anchored USING (id) WHERE n.type = 'concept'),
-        e2 AS MATERIALIZED (SELECT source_id, target_id, type FROM e ANTI JOIN (SELECT id AS source_id FROM lc) USING (source_id) ANTI JOIN (SELECT id AS target_id FROM lc) USING (target_id)),
-        reach AS MATERIALIZED (SELECT source_id AS id FROM e2 SEMI JOIN (SELECT id AS target_id FROM anchored) USING (target_id) WHERE e2.type = 'has_concept'
-                  UNION SELECT source_id FROM e2 SEMI JOIN (SELECT id AS target_id FROM n WHERE type IN ('column', 'table')) USING (target_id)),
-        le AS MATERIALIZED (SELECT id FROM n ANTI JOIN reach USING (id) WHERE n.type = 'entity'), gone AS MATERIALIZED (SELECT * FROM lc UNION ALL SELECT * FROM le)
-        SELECT 'removed' AS what, id FROM gone UNION ALL SELECT 'node', id FROM n ANTI JOIN gone USING (id)
-        UNION ALL SELECT 'edge', id FROM (SELECT id, source_id, target_id FROM e) ANTI JOIN (SELECT id AS source_id FROM gone) USING (source_id) ANTI JOIN (SELECT id AS target_id FROM gone) USING (target_id)""",
+        st AS MATERIALIZED (SELECT id AS sid FROM n WHERE type IN ('column', 'table')),
+        an AS MATERIALIZED (SELECT DISTINCT target_id AS aid FROM e JOIN st ON sid = source_id WHERE type = 'represents'),
+        lc AS MATERIALIZED (SELECT id AS cid FROM n LEFT JOIN an ON aid = id WHERE type = 'concept' AND aid IS NULL),
+        e2 AS MATERIALIZED (SELECT source_id, target_id, type FROM e LEFT JOIN lc a ON a.cid = source_id LEFT JOIN lc b ON b.cid = target_id WHERE a.cid IS NULL AND b.cid IS NULL),
+        re AS MATERIALIZED (SELECT source_id AS rid FROM e2 LEFT JOIN an ON aid = target_id LEFT JOIN st ON sid = target_id WHERE (type = 'has_concept' AND aid IS NOT NULL) OR sid IS NOT NULL GROUP BY 1),
+        go AS MATERIALIZED (SELECT cid AS gid FROM lc UNION ALL SELECT id FROM n LEFT JOIN re ON rid = id WHERE type = 'entity' AND rid IS NULL)
+        SELECT 'removed' AS what, gid AS id FROM go UNION ALL SELECT 'node', id FROM n LEFT JOIN go ON gid = id WHERE gid IS NULL
+        UNION ALL SELECT 'edge', e.id FROM e LEFT JOIN go a ON a.gid = source_id LEFT JOIN go b ON b.gid = target_id WHERE a.gid IS NULL AND b.gid IS NULL""",
 )
 def n05(t):
     nodes, kept, gone = g.clean_orphans(derived.nodes(t), derived.edges(t))
