@@ -335,7 +335,7 @@ def drawn(n: Column, *key: Column) -> Column:
     """Poisson count of mean ``n``: how often ``n`` equal rows are drawn together in a resample.
 
     The remainder of ``n`` by 16 is a sum of single draws. The rest is one normal draw with the skew of a Poisson count (its distribution is off by
-    0.003 at most), so that a cell of any size costs at most 17 numbers.
+    0.001 at most), so that a cell of any size costs at most 17 numbers.
     """
     # each number is bound once, however many branches look at it
     numbers = F.transform(F.when(n % 16 > 0, F.sequence(F.lit(1), (n % 16).cast("int"))).otherwise(F.array().cast("array<int>")), lambda j: _uniform(*key, j))
