@@ -6,6 +6,7 @@ map-side counts collapse repeated values before the shuffle, so a value that fil
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from functools import reduce
 
@@ -82,6 +83,9 @@ BOOLEAN_TEXT = r"(?i)^(?:y|n|yes|no|true|false|0|1|on|off)$"
 TEMPORAL_NAME = r"(?i)(?:^|_)(?:date|time|datetime|timestamp)s?$|(?:^|_)(?:at|on)$"
 LARGE_TYPE = r"(?i)^(?:array|map|struct|binary|variant)"
 
+#: Bits a character that make a long text look encrypted.
+CIPHER_ENTROPY = 4.5
+
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 _TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -415,14 +419,34 @@ def semantic_types(stats: DataFrame, patterns: DataFrame, types: DataFrame) -> D
     return joined.select(*KEY, "dtype", F.coalesce(text, by_name, by_type).alias("semantic_type"))
 
 
+def looks_cipher(text: Column) -> Column:
+    """An opaque token or an unbroken run of base64 letters."""
+    return text.rlike(OPAQUE) | text.rlike(r"^[A-Za-z0-9+/=]{32,}$")
+
+
+def looks_secret(text: Column) -> Column:
+    """A private key or a salted password hash."""
+    return text.rlike(r"-----BEGIN (?:RSA |EC )?PRIVATE KEY-----|^\$2[aby]\$")
+
+
+def is_temporal(column: str, data_type: str) -> bool:
+    """A column of dates or times by its type or its name."""
+    return bool(re.search("(?i)date|time", data_type) or re.search(TEMPORAL_NAME, column))
+
+
+def is_large(data_type: str) -> bool:
+    """A type whose values have no plain text form."""
+    return bool(re.search(LARGE_TYPE, data_type))
+
+
 def column_lanes(values: DataFrame, stats: DataFrame, types: DataFrame, keys: list[tuple[str, str]] = ()) -> DataFrame:
     """skip (large or encrypted), range (temporal, running or opaque ids) or domain, per column."""
     present = values.where("value <> ''")
     facts = present.groupBy(*KEY).agg(
         F.avg(F.trim("value").rlike(OPAQUE).cast("int")).alias("opaque_share"),
-        F.avg((F.trim("value").rlike(OPAQUE) | F.trim("value").rlike(r"^[A-Za-z0-9+/=]{32,}$")).cast("int")).alias("_cipher"),
+        F.avg(looks_cipher(F.trim("value")).cast("int")).alias("_cipher"),
         F.avg(F.length(F.trim("value"))).alias("avg_length"),
-        F.bool_or(F.col("value").rlike(r"-----BEGIN (?:RSA |EC )?PRIVATE KEY-----|^\$2[aby]\$")).alias("_secret"),
+        F.bool_or(looks_secret(F.col("value"))).alias("_secret"),
         F.bool_and(F.col("value").rlike(r"^\d{1,14}$")).alias("_digits"),
     )
     joined = types.join(stats, KEY).join(facts, KEY, "left").join(char_entropy(values), KEY, "left")
@@ -431,7 +455,7 @@ def column_lanes(values: DataFrame, stats: DataFrame, types: DataFrame, keys: li
         is_key = is_key | ((F.col("table_name") == table) & (F.col("column_name") == column))
     distinct_ratio = F.col("n_distinct") / F.greatest("n_rows", "n_distinct")
     encrypted = F.coalesce(F.col("_secret"), F.lit(False)) | (
-        (F.col("avg_length") >= 24) & (F.col("entropy") >= 4.5) & ((F.col("_cipher") >= 0.8) | (F.col("avg_length") >= 40))
+        (F.col("avg_length") >= 24) & (F.col("entropy") >= CIPHER_ENTROPY) & ((F.col("_cipher") >= 0.8) | (F.col("avg_length") >= 40))
         & (F.col("_cipher") >= 0.5)
     )
     token_name = F.col("column_name").rlike(r"(?i)(?:^|_)(?:code|no|uuid|token|key|sn)$")

@@ -7,7 +7,7 @@ everywhere costs as much as any other.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +20,7 @@ from ledgerlens.functions.names import (
     name_similarity,
     synonym_groups,
 )
+from ledgerlens.operators import profile
 
 SKETCH_SLOTS = 128
 CONTAINMENT_MIN = 0.8
@@ -30,6 +31,8 @@ SIMILARITY_MIN = 0.5
 CORRELATION_MIN = 0.5
 ALIGNED_ROWS_MIN = 5
 LOW_CARDINALITY = 32
+#: Longer values are compared by their digest, so that no long text becomes a shuffle key.
+DIGEST_OVER = 64
 
 KEY = ["table_name", "column_name"]
 
@@ -40,6 +43,58 @@ def _distinct(values: DataFrame) -> DataFrame:
     return trimmed.distinct()
 
 
+def _short(text: Column) -> Column:
+    """The text itself, or the md5 of a long one with its outer spaces kept."""
+    inner = F.trim(text)
+    lead = F.length(text) - F.length(F.ltrim(text))
+    digest = F.concat(F.repeat(F.lit(" "), lead), F.lit("#"), F.md5(inner), F.repeat(F.lit(" "), F.length(text) - F.length(F.rtrim(text))))
+    return F.when(F.length(inner) > DIGEST_OVER, digest).otherwise(text)
+
+
+def relation_values(tables: Mapping[str, DataFrame], columns: Mapping[str, list[str]] | None = None) -> DataFrame:
+    """Distinct values of the columns (all scalar ones by default) with counts, for comparing columns.
+
+    Rows (table_name, column_name, value, folded, chars, cipher, secret, cnt): ``folded`` is the value without case; values over 64 characters are digests, made
+    before any shuffle. ``chars``, ``cipher`` and ``secret`` describe the whole value and decide which columns look encrypted.
+    """
+    parts = []
+    whole = F.trim("value")
+    for name, df in tables.items():
+        cells = profile.unpivoted(df, columns[name] if columns else profile.scalar_columns(df)).select(
+            "column_name",
+            _short(F.col("value")).alias("value"),
+            _short(F.lower("value")).alias("folded"),
+            F.length(whole).alias("chars"),
+            profile.looks_cipher(whole).alias("cipher"),
+            profile.looks_secret(F.col("value")).alias("secret"),
+        )
+        counted = cells.groupBy(*cells.columns).agg(F.count(F.lit(1)).alias("cnt"))
+        parts.append(counted.select(F.lit(name).alias("table_name"), *counted.columns))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def skipped_columns(tables: Mapping[str, DataFrame], values: DataFrame) -> list[tuple[str, str]]:
+    """Columns that take no part in relations: temporal, large or encrypted ones; ``values`` come from :func:`relation_values`.
+
+    Only facts of columns reach the driver. Characters are counted for the columns alone whose lengths and forms already look encrypted.
+    """
+    types = [(n, f.name, f.dataType.simpleString()) for n, df in tables.items() for f in df.schema.fields]
+    out = {(t, c) for t, c, kind in types if profile.is_temporal(c, kind) or profile.is_large(kind)}
+    facts = values.where("chars > 0").groupBy(*KEY).agg(
+        F.avg("chars").alias("chars"), F.avg(F.col("cipher").cast("int")).alias("cipher"), F.bool_or("secret").alias("secret")
+    )
+    suspects: dict[str, list[str]] = {}
+    for row in facts.where("secret or (chars >= 24 and cipher >= 0.5 and (cipher >= 0.8 or chars >= 40))").collect():
+        if row.secret:
+            out.add((row.table_name, row.column_name))
+        else:
+            suspects.setdefault(row.table_name, []).append(row.column_name)
+    if suspects:
+        entropy = profile.char_entropy(profile.long_values({n: tables[n] for n in suspects}, suspects))
+        out |= {(r.table_name, r.column_name) for r in entropy.where(F.col("entropy") >= profile.CIPHER_ENTROPY).collect()}
+    return sorted(out)
+
+
 def minhash_sketch(values: DataFrame, slots: int = SKETCH_SLOTS) -> DataFrame:
     """Per column the smallest xxhash64 of its distinct values under each of ``slots`` seeds, plus the cardinality."""
     agg = _distinct(values).groupBy(*KEY).agg(
@@ -94,6 +149,23 @@ def shared_values(values: DataFrame, touching: list[str] | None = None) -> DataF
     ).agg(F.sum("n").alias("shared"))
 
 
+def folded_overlaps(values: DataFrame) -> DataFrame:
+    """Column pairs of different tables, each once, with the distinct values of either side that the other holds in any case."""
+    folded = F.trim("folded" if "folded" in values.columns else F.lower("value"))
+    spelled = values.select(*KEY, F.trim("value").alias("value"), folded.alias("folded")).where("value <> ''").distinct()
+    spelled = spelled.groupBy(*KEY, "folded").agg(F.count(F.lit(1)).alias("n"))
+    holders = spelled.groupBy("folded").agg(F.array_sort(F.collect_list(F.struct(*KEY, "n"))).alias("holders"))
+    signatures = holders.where(F.size("holders") > 1).groupBy("holders").agg(F.count(F.lit(1)).alias("times"))
+    left = signatures.select("holders", "times", F.explode("holders").alias("a"))
+    pairs = left.select("a", "times", F.explode("holders").alias("b")).where("a.table_name < b.table_name")
+    return pairs.groupBy(
+        F.col("a.table_name").alias("a_table"),
+        F.col("a.column_name").alias("a_column"),
+        F.col("b.table_name").alias("b_table"),
+        F.col("b.column_name").alias("b_column"),
+    ).agg(F.sum(F.col("times") * F.col("a.n")).alias("a_shared"), F.sum(F.col("times") * F.col("b.n")).alias("b_shared"))
+
+
 def cardinalities(values: DataFrame) -> DataFrame:
     """Distinct trimmed, non-empty values per column."""
     return _distinct(values).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_distinct"))
@@ -149,13 +221,17 @@ def parent_keys(stats: DataFrame, declared: list[tuple[str, str]] = ()) -> DataF
     return stats.select(*KEY, "n_distinct", "n_rows", key.alias("is_key"), weight.alias("key_weight"))
 
 
-def measure_relations(values: DataFrame, keys: DataFrame, comments: DataFrame, touching: list[str] | None = None) -> DataFrame:
-    """Score each unordered column pair of different tables: overlap into the stronger key, names, comments, veto."""
+def measure_relations(values: DataFrame, keys: DataFrame, comments: DataFrame, skip: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """Score each unordered column pair of different tables: overlap into the stronger key, names, comments, veto.
+
+    Values are compared without case. Columns named in ``skip`` (see :func:`skipped_columns`) are left out before any value is grouped.
+    """
     facts = keys.join(comments, KEY, "left")
     cols = ["n_distinct", "is_key", "key_weight", "comment"]
-    pairs = shared_values(values, touching).where("a_table < b_table")
-    j = _with_side(_with_side(pairs, facts, "a", cols), facts, "b", cols)
-    into_b, into_a = F.col("shared") / F.col("a_n_distinct"), F.col("shared") / F.col("b_n_distinct")
+    for table, column in skip:
+        values = values.where(~((F.col("table_name") == table) & (F.col("column_name") == column)))
+    j = _with_side(_with_side(folded_overlaps(values), facts, "a", cols), facts, "b", cols)
+    into_b, into_a = F.col("a_shared") / F.col("a_n_distinct"), F.col("b_shared") / F.col("b_n_distinct")
     overlap = F.when(F.col("b_key_weight") >= F.col("a_key_weight"), into_b * F.col("b_key_weight")).otherwise(
         into_a * F.col("a_key_weight")
     )

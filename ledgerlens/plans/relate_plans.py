@@ -11,17 +11,32 @@ from ledgerlens.plans.sources_plans import KEYS
 from ledgerlens.session import scratch_path
 from ledgerlens.sources.schema import check_foreign_keys
 
+#: All scalar columns of all tables.
 COLUMNS = {
     "region": ["r_regionkey", "r_name"],
-    "nation": ["n_nationkey", "n_regionkey", "n_name"],
-    "customer": ["c_custkey", "c_nationkey", "c_mktsegment"],
-    "supplier": ["s_suppkey", "s_nationkey"],
-    "part": ["p_partkey", "p_size", "p_type"],
-    "orders": ["o_orderkey", "o_custkey", "o_orderstatus"],
-    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_linestatus"],
-    "events": ["user_id"],
-    "labels": ["doc_id", "quality"],
+    "nation": ["n_nationkey", "n_name", "n_regionkey"],
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+    "lineitem": [
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+        "l_returnflag", "l_linestatus", "l_shipdate",
+    ],
+    "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
+    "documents": ["doc_id", "text", "lang", "source", "n_chars"],
+    "embeddings": ["vec_id", "label"],
+    "pages": ["page_id", "url", "html"],
+    "benchmark": ["item_id", "text"],
+    "labels": ["doc_id", "quality", "toxic"],
+    "conversations": ["conv_id", "turn", "role", "text"],
 }
+FLOATS = ["c_acctbal", "s_acctbal", "p_retailprice", "o_totalprice", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "value"]
+TIMES = ["o_orderdate", "l_shipdate", "ts"]
+STRINGS = [
+    "r_name", "n_name", "c_name", "c_mktsegment", "s_name", "p_name", "p_brand", "p_type", "o_orderstatus", "o_orderpriority", "l_returnflag", "l_linestatus",
+    "event_type", "props", "text", "lang", "source", "url", "html", "role",
+]
 V = f"v AS ({values_sql(COLUMNS)})"
 PAIRS = f"""{V}, d AS (SELECT DISTINCT table_name, column_name, trim(value) AS value FROM v WHERE trim(value) <> ''),
   card AS (SELECT table_name, column_name, count(*) AS n FROM d GROUP BY 1, 2),
@@ -37,7 +52,7 @@ DECLARED = [("region", "r_regionkey"), ("nation", "n_nationkey")]
 
 def values(t):
     # read by several branches of each plan, so it is written once
-    return stored(t, "values", lambda t: p.long_values({n: getattr(t, n) for n in COLUMNS}, COLUMNS))
+    return stored(t, "values", lambda t: r.relation_values({n: getattr(t, n) for n in COLUMNS}))
 
 
 def keys(t, v):
@@ -100,9 +115,13 @@ _COMMENT_ROWS = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in COMMENTS)
     "R04_relation_measure",
     f"""WITH {PAIRS}, cm(table_name, column_name, comment) AS (VALUES {_COMMENT_ROWS}),
         f AS (SELECT k.*, coalesce(comment, '') AS comment FROM keys k LEFT JOIN cm USING (table_name, column_name)),
-        j AS (SELECT lt, ac, rt, bc, shared, a.n_distinct AS an, b.n_distinct AS bn, a.is_key AS ak, b.is_key AS bk, a.comment AS acm, b.comment AS bcm,
-                CASE WHEN b.w >= a.w THEN shared / a.n_distinct * b.w ELSE shared / b.n_distinct * a.w END AS overlap
-              FROM pairs JOIN f a ON a.table_name = lt AND a.column_name = ac JOIN f b ON b.table_name = rt AND b.column_name = bc WHERE lt < rt),
+        fo AS (SELECT table_name, column_name, lower(value) AS folded, count(*) AS n FROM d
+               WHERE column_name NOT IN {tuple(TIMES)} AND NOT regexp_matches(column_name, '(^|_)(date|time|datetime|timestamp)s?$|(^|_)(at|on)$', 'i') GROUP BY ALL),
+        fp AS (SELECT a.table_name AS lt, a.column_name AS ac, b.table_name AS rt, b.column_name AS bc, sum(a.n) AS a_shared, sum(b.n) AS b_shared
+               FROM fo a JOIN fo b ON a.folded = b.folded AND a.table_name < b.table_name GROUP BY ALL),
+        j AS (SELECT lt, ac, rt, bc, a.n_distinct AS an, b.n_distinct AS bn, a.is_key AS ak, b.is_key AS bk, a.comment AS acm, b.comment AS bcm,
+                CASE WHEN b.w >= a.w THEN a_shared / a.n_distinct * b.w ELSE b_shared / b.n_distinct * a.w END AS overlap
+              FROM fp JOIN f a ON a.table_name = lt AND a.column_name = ac JOIN f b ON b.table_name = rt AND b.column_name = bc),
         s AS (SELECT *, acm <> '' AND bcm <> '' AND contains(acm || ' ' || bcm, 'unrelated') AS contra FROM j),
         z AS (SELECT *, contra OR (an <= 32 AND bn <= 32 AND NOT ak AND NOT bk) AS veto, CASE WHEN contra THEN 0 ELSE least(1.0, overlap) END AS score FROM s)
         SELECT lt || '.' || ac AS "left", rt || '.' || bc AS "right", round(least(1.0, overlap)::DOUBLE, 6) AS overlap, round(score::DOUBLE, 6) AS score,
@@ -117,7 +136,7 @@ _COMMENT_ROWS = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in COMMENTS)
 def r04(t):
     v = values(t)
     comments = t.spark.createDataFrame(COMMENTS, "table_name string, column_name string, comment string")
-    out = r.measure_relations(v, keys(t, v), comments)
+    out = r.measure_relations(v, keys(t, v), comments, r.skipped_columns({n: getattr(t, n) for n in COLUMNS}, v))
     for c in ("overlap", "score", "name_score"):
         out = out.withColumn(c, F.round(c, 6))
     return out
@@ -131,8 +150,8 @@ def r05(t):
     return keys(t, values(t))
 
 
-_DTYPE = """CASE WHEN column_name IN ('r_name', 'n_name', 'c_mktsegment', 'p_type', 'o_orderstatus', 'l_linestatus') THEN 'string'
-  WHEN column_name = 'quality' THEN 'integer_boolean' ELSE 'integer' END"""
+_DTYPE = f"""CASE WHEN column_name IN {tuple(STRINGS)} THEN 'string' WHEN column_name IN {tuple(FLOATS)} THEN 'float' WHEN column_name IN {tuple(TIMES)} THEN 'datetime'
+  WHEN column_name IN ('quality', 'toxic') THEN 'integer_boolean' ELSE 'integer' END"""
 
 
 def joinable(t):
@@ -147,7 +166,7 @@ def joinable(t):
     f"""WITH {PAIRS}, f AS (SELECT *, {_DTYPE} AS dtype FROM card)
         SELECT lt || '.' || ac AS source_id, rt || '.' || bc AS target_id, round(shared / least(a.n, b.n), 6) AS confidence, a.dtype AS dtype_a, b.dtype AS dtype_b
         FROM pairs JOIN f a ON a.table_name = lt AND a.column_name = ac JOIN f b ON b.table_name = rt AND b.column_name = bc
-        WHERE lt < rt AND a.dtype <> 'integer_boolean' AND b.dtype <> 'integer_boolean' AND shared / least(a.n, b.n) >= 0.1""",
+        WHERE lt < rt AND a.dtype <> 'integer_boolean' AND b.dtype <> 'integer_boolean' AND (a.dtype = 'datetime') = (b.dtype = 'datetime') AND shared / least(a.n, b.n) >= 0.1""",
 )
 def r06(t):
     """Joinable columns of any number of values."""
@@ -297,8 +316,8 @@ def r11(t):
 def r12(t):
     known = {n: c for n, c in COLUMNS.items() if n != "lineitem"}
     path = scratch_path(t.spark, "values")
-    p.long_values({n: getattr(t, n) for n in known}, known).write.parquet(path)
-    new = p.long_values({"lineitem": t.lineitem}, {"lineitem": COLUMNS["lineitem"]})
+    r.relation_values({n: getattr(t, n) for n in known}).write.parquet(path)
+    new = r.relation_values({"lineitem": t.lineitem})
     both = t.spark.read.parquet(path).unionByName(new)
     return r.containment(both, touching=["lineitem"]).withColumn("containment", F.round("containment", 6))
 

@@ -2,6 +2,7 @@ import math
 import random
 from itertools import combinations
 
+import numpy as np
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -172,3 +173,33 @@ def test_relation_veto_and_contradiction(spark):
     assert got["child.parent_id", "parent.id"].status == "publish"
     assert got["child.enable", "other.enable"].veto
     assert got["other.x", "parent.id"].score == 0.0 and got["other.x", "parent.id"].veto
+
+
+def test_relations_fold_case_and_digest_long_values(spark):
+    long = "Word " * 40
+    a = spark.createDataFrame([("Red",), ("RED",), ("blue",), (long,), (None,), ("  ",)], "colour string")
+    b = spark.createDataFrame([("red",), ("green",), (long + " ",), (long.lower(),)], "paint string")
+    v = r.relation_values({"a": a, "b": b})
+    assert v.agg(F.max(F.length("value"))).first()[0] <= r.DIGEST_OVER and v.where("value is null").first().cnt == 1
+    # of four spellings in a, three are in b without case; of b's values the two long ones are one spelling each after trimming
+    (pair,) = r.folded_overlaps(v).collect()
+    assert (pair.a_shared, pair.b_shared) == (3, 3)
+    (exact,) = r.shared_values(v).where("a_table = 'a'").collect()
+    assert exact.shared == 1
+
+
+def test_skipped_columns(spark):
+    rng = np.random.default_rng(3)
+    letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))
+    sealed = ["".join(rng.choice(letters, 44)) for _ in range(40)]
+    rows_ = [(i, sealed[i], f"2024-01-{i % 28 + 1:02d}", f"note {i}", "$2b$10$abc" if i == 7 else "x") for i in range(40)]
+    df = spark.createDataFrame(rows_, "id int, sealed string, created_at string, note string, login string")
+    df = df.withColumn("day", F.to_date("created_at")).withColumn("many", F.array("id"))
+    tables = {"t": df}
+    skipped = r.skipped_columns(tables, r.relation_values(tables))
+    assert [c for _, c in skipped] == ["created_at", "day", "login", "many", "sealed"]
+    other = {"u": spark.createDataFrame([(i, f"2024-01-{i + 1:02d}") for i in range(28)], "id int, created_at string")}
+    v = r.relation_values(tables | other)
+    none = spark.createDataFrame([], "table_name string, column_name string, comment string")
+    measured = r.measure_relations(v, r.parent_keys(p.column_stats(v)), none, [*skipped, ("u", "created_at")])
+    assert [(m.left, m.right) for m in measured.collect()] == [("t.id", "u.id")]
