@@ -6,8 +6,10 @@ Metrics work on one row per distinct score, with running totals from ``ordering.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
+from statistics import median
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -24,6 +26,8 @@ PRIMARY_SHARE = 0.10
 ROUNDS = 500
 CONFIDENCE = 0.95
 MIN_UPLIFT = 0.02
+#: AUC that a larger feature set must gain; doubtful features ranking lower than this share of all, as a group, are not tried.
+FEATURE_GAIN, LOW_PLACES = 0.001, 0.7
 WEIGHTS = [round(0.05 * i, 2) for i in range(1, 20)]
 CARD_SHARE = 0.20
 CARD_SCALE, CARD_LIMIT, CARD_BINS = 10.0, 30.0, 5
@@ -420,10 +424,12 @@ def fusion_grid(df: DataFrame, user: str, label: str, tree: str, card: str, shar
 
 
 def choose_strategy(df: DataFrame, user: str, label: str, tree: str, card: str, rounds: int = ROUNDS, share: float = PRIMARY_SHARE) -> dict:
-    """Tree, scorecard or their mix: a clear winner of the paired comparison, else the mix when it beats both on unseen rows."""
-    precision = lambda frame, s: frame_top(frame, s)
+    """Tree, scorecard or their mix: a clear winner of the paired comparison, else the mix when it beats both on unseen rows.
 
-    def frame_top(frame: DataFrame, s: str) -> float:
+    The mix is only tried when neither score wins clearly. Evidence that was not needed is None.
+    """
+
+    def precision(frame: DataFrame, s: str) -> float:
         return float(tie_aware_top_k(frame, s, label, [share]).first().precision)
 
     def uplift(new: float, old: float) -> float:
@@ -431,10 +437,14 @@ def choose_strategy(df: DataFrame, user: str, label: str, tree: str, card: str,
 
     compared = bootstrap_difference(df, user, label, tree, card, rounds, share).first()
     tp, cp = precision(df, tree), precision(df, card)
+    evidence = {
+        "tree_precision": tp, "card_precision": cp, "ci_lower": compared.ci_lower, "ci_upper": compared.ci_upper,
+        "fusion_attempted": False, "fusion_precision": None, "over_tree_lower": None, "over_card_lower": None,
+    }
     if compared.ci_lower > 0 and uplift(tp, cp) >= MIN_UPLIFT:
-        return {"strategy": "decision_tree", "reason": "one_strategy_significantly_better", "weight": 1.0}
+        return {"strategy": "decision_tree", "reason": "one_strategy_significantly_better", "weight": 1.0} | evidence
     if compared.ci_upper < 0 and uplift(cp, tp) >= MIN_UPLIFT:
-        return {"strategy": "scorecard", "reason": "one_strategy_significantly_better", "weight": 0.0}
+        return {"strategy": "scorecard", "reason": "one_strategy_significantly_better", "weight": 0.0} | evidence
     weight = fusion_grid(df, user, label, tree, card, share).where("selected").first().tree_weight
     halves = df.withColumn("half", stable_half(F.col(user)))
     f = halves.where("half = 0").agg(F.avg(tree).alias("tm"), F.stddev_pop(tree).alias("ts"), F.avg(card).alias("cm"), F.stddev_pop(card).alias("cs")).first()
@@ -443,13 +453,25 @@ def choose_strategy(df: DataFrame, user: str, label: str, tree: str, card: str,
     over_tree = bootstrap_difference(judged, user, label, "fused", tree, rounds, share, seed=43).first()
     over_card = bootstrap_difference(judged, user, label, "fused", card, rounds, share, seed=44).first()
     fp, etp, ecp = precision(judged, "fused"), precision(judged, tree), precision(judged, card)
+    evidence |= {"fusion_attempted": True, "fusion_precision": fp, "over_tree_lower": over_tree.ci_lower, "over_card_lower": over_card.ci_lower}
     if over_tree.ci_lower > 0 and over_card.ci_lower > 0 and uplift(fp, etp) >= MIN_UPLIFT and uplift(fp, ecp) >= MIN_UPLIFT:
-        return {"strategy": "fusion", "reason": "fusion_beats_both", "weight": weight}
-    return {"strategy": "decision_tree" if tp >= cp else "scorecard", "reason": "no_significant_difference", "weight": 1.0 if tp >= cp else 0.0}
+        return {"strategy": "fusion", "reason": "fusion_beats_both", "weight": weight} | evidence
+    return {"strategy": "decision_tree" if tp >= cp else "scorecard", "reason": "no_significant_difference", "weight": 1.0 if tp >= cp else 0.0} | evidence
+
+
+def strategy_report(df: DataFrame, user: str, label: str, pairs: Sequence[tuple[str, str]], rounds: int = ROUNDS, share: float = PRIMARY_SHARE) -> DataFrame:
+    """One row per pair of scores (tree, card): the chosen strategy, why, the tree's weight and the evidence."""
+    schema = """tree string, card string, strategy string, reason string, weight double, tree_precision double, card_precision double, ci_lower double, ci_upper double,
+        fusion_attempted boolean, fusion_precision double, over_tree_lower double, over_card_lower double"""
+    rows = [{"tree": a, "card": b} | choose_strategy(df, user, label, a, b, rounds, share) for a, b in pairs]
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
-def train_models(df: DataFrame, numeric: list[str], text: list[str], label: str, split: str, max_iter: int = 20):
-    """Boosted trees and a logistic baseline with class weights, fitted on train rows; returns models, scored rows, AUC rows."""
+MODELS = ("boosted_trees", "logistic")
+
+
+def train_models(df: DataFrame, numeric: list[str], text: list[str], label: str, split: str, max_iter: int = 20, wanted: Sequence[str] = MODELS):
+    """Boosted trees and a logistic baseline (or one of them) with class weights, fitted on train rows; returns models, scored rows, AUC rows."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
     from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -470,7 +492,7 @@ def train_models(df: DataFrame, numeric: list[str], text: list[str], label: str,
     }
     models, rows = {}, []
     scored = filled(df)
-    for name, estimator in kinds.items():
+    for name, estimator in ((k, kinds[k]) for k in wanted):
         model = Pipeline(stages=[*prepare, estimator]).fit(filled(train))
         models[name] = model
         out = model.transform(filled(df)).withColumn("score", F.round(vector_to_array("probability")[1], 9))
@@ -480,6 +502,55 @@ def train_models(df: DataFrame, numeric: list[str], text: list[str], label: str,
     return models, scored, reduce(DataFrame.unionByName, rows)
 
 
+def importance_ranks(model, numeric: list[str], text: list[str]) -> dict[str, int]:
+    """Place of each feature by its share of the boosted trees' gain; equal shares by name."""
+    gains = dict(zip([*numeric, *text], model.stages[-1].featureImportances.toArray(), strict=True))
+    return {f: i for i, f in enumerate(sorted(gains, key=lambda f: (-gains[f], f)), 1)}
+
+
+def doubtful_features(ranks: dict[str, int], doubtful: list[str]) -> list[str]:
+    """Features the screening doubts that are worth a try: none when they rank low as a group, else those of the upper half, else all."""
+    places = sorted(ranks[f] for f in doubtful)
+    if not places or median(places) > LOW_PLACES * len(ranks):
+        return []
+    upper = [f for f in doubtful if ranks[f] <= 0.5 * len(ranks)]
+    return upper or list(doubtful)
+
+
+def feature_ab(
+    df: DataFrame, report: DataFrame, text: list[str], label: str, split: str, least_gain: float = FEATURE_GAIN, max_iter: int = 20
+) -> DataFrame:
+    """Boosted trees on the features that the screening keeps (A) against those and the doubtful ones of use (B), and a logistic baseline on the set that wins.
+
+    A model on all features not dropped ranks them; :func:`doubtful_features` picks. B wins when its AUC on the validation rows is at least ``least_gain`` above
+    A's, or when no feature is kept. Rows (experiment, model, n_features, features, auc, selected). Equal sets are fitted once.
+    """
+    advice = {r.feature: r.recommendation for r in report.select("feature", "recommendation").collect()}
+    kept, doubtful = (sorted(f for f, r in advice.items() if r == kind) for kind in ("KEEP", "CONSIDER_DROP"))
+    if not kept and not doubtful:
+        raise ValueError("the screening dropped every feature")
+    fitted: dict[tuple[str, ...], tuple[dict[str, int], float]] = {}
+
+    def parts(features: list[str]) -> tuple[list[str], list[str]]:
+        return [f for f in features if f not in text], [f for f in features if f in text]
+
+    def fit(features: list[str]) -> tuple[dict[str, int], float]:
+        key = tuple(sorted(features))
+        if key not in fitted:
+            models, _, metrics = train_models(df, *parts(key), label, split, max_iter, MODELS[:1])
+            fitted[key] = importance_ranks(models["boosted_trees"], *parts(key)), metrics.first().auc
+        return fitted[key]
+
+    chosen = doubtful_features(fit(kept + doubtful)[0], doubtful) if doubtful else []
+    sets = {"A": kept, "B": sorted(kept + chosen) or doubtful}
+    auc = {k: fit(v)[1] if v else None for k, v in sets.items()}
+    winner = "B" if auc["A"] is None or auc["B"] >= auc["A"] + least_gain else "A"
+    rows = [(k, "boosted_trees", len(sets[k]), sets[k], auc[k], k == winner) for k in ("A", "B")]
+    baseline = train_models(df, *parts(sets[winner]), label, split, max_iter, MODELS[1:])[2].first().auc
+    rows.append((winner, "logistic", len(sets[winner]), sets[winner], baseline, False))
+    return df.sparkSession.createDataFrame(rows, "experiment string, model string, n_features int, features array<string>, auc double, selected boolean")
+
+
 def surrogate_rules(scored: DataFrame, features: list[str], score: str, depth: int = 6, leaf_rows: int = 50) -> list[TreeRule]:
     """A shallow regression tree on the score, as leaf rules; every leaf once. A tree of depth 6 has at most 64 leaves."""
     from pyspark.ml.feature import VectorAssembler

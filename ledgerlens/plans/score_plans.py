@@ -170,6 +170,13 @@ def m09(t):
     return sc.train_models(df, ["f_price", "f_lines", "f_qty", "f_discount", "f_balance"], ["f_status", "f_segment"], "label", "split")[2]
 
 
+@query("M09_feature_ab")
+def m09_ab(t):
+    """Kept features against kept and doubtful ones."""
+    df = d.features(t)
+    return sc.feature_ab(df, s.screening_report(df, d.NUMERIC, d.TEXT, "label", "split"), d.TEXT, "label", "split")
+
+
 @query("M10_surrogate_tree")
 def m10(t):
     df = d.features(t).join(scores(t).select("user_id", "teacher_score"), "user_id")
@@ -182,18 +189,18 @@ def m10(t):
     return leaf
 
 
-def _unit_sql(j):
-    return f"(('0x' || substr(md5('42:' || name || ':' || round || ':' || {j}), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0"
+def _unit_sql(j, seed):
+    return f"(('0x' || substr(md5('{seed}:' || name || ':' || round || ':' || {j}), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0"
 
 
-def bootstrap_sql(first, second):
+def bootstrap_sql(first, second, source="s", seed=42):
     """All cells drawn in all rounds, ranked in full."""
     steps = " ".join(f"WHEN u < {p!r} THEN {k}" for k, p in enumerate(sc.POISSON_ONE))
     sums = ", ".join(f"sum({c}) OVER (PARTITION BY round, which ORDER BY x DESC ROWS UNBOUNDED PRECEDING) AS c{c}, sum({c}) OVER (PARTITION BY round, which) AS t{c}" for c in ("n", "pos"))
-    return f"""ce AS (SELECT {first} AS x0, {second} AS x1, label, count(*) AS n, min(user_id) AS name FROM s GROUP BY 1, 2, 3),
+    return f"""ce AS (SELECT {first} AS x0, {second} AS x1, label, count(*) AS n, min(user_id) AS name FROM {source} GROUP BY 1, 2, 3),
         rd AS (SELECT *, unnest(range(1, {sc.ROUNDS + 1})) AS round FROM ce),
-        one AS (SELECT name, round, sum(CASE {steps} ELSE {len(sc.POISSON_ONE)} END) AS w FROM (SELECT name, round, {_unit_sql("j")} AS u FROM (SELECT name, round, unnest(range(1, n % 16 + 1)) AS j FROM rd)) GROUP BY 1, 2),
-        nm AS (SELECT name, round, n - n % 16 AS m, sqrt(-2 * ln({_unit_sql("'a'")})) * cos(2 * pi() * {_unit_sql("'b'")}) AS z FROM rd WHERE n >= 16),
+        one AS (SELECT name, round, sum(CASE {steps} ELSE {len(sc.POISSON_ONE)} END) AS w FROM (SELECT name, round, {_unit_sql("j", seed)} AS u FROM (SELECT name, round, unnest(range(1, n % 16 + 1)) AS j FROM rd)) GROUP BY 1, 2),
+        nm AS (SELECT name, round, n - n % 16 AS m, sqrt(-2 * ln({_unit_sql("'a'", seed)})) * cos(2 * pi() * {_unit_sql("'b'", seed)}) AS z FROM rd WHERE n >= 16),
         mn AS (SELECT name, round, greatest(0, floor(m + sqrt(m::DOUBLE) * z + (z * z - 1) / 6 + 0.5)) AS w FROM nm),
         dr AS (SELECT rd.*, coalesce(one.w, 0) + coalesce(mn.w, 0) AS w FROM rd LEFT JOIN one USING (name, round) LEFT JOIN mn USING (name, round)),
         un AS (SELECT round, 0 AS which, x0 AS x, label, w FROM dr WHERE w > 0 UNION ALL SELECT round, 1, x1, label, w FROM dr WHERE w > 0),
@@ -219,14 +226,19 @@ def m17_groups(t):
     return out.select(*[F.round(c, 9).alias(c) for c in ("difference", "ci_lower", "ci_upper")], "rounds")
 
 
+def grid_sql(tree, card):
+    """Precision of each half and weight of the mix."""
+    return f"""h AS (SELECT *, ('0x' || substr(sha256(user_id::VARCHAR), 16, 1))::INTEGER % 2 AS half FROM s),
+        f AS (SELECT avg({tree}) AS tm, stddev_pop({tree}) AS ts, avg({card}) AS cm, stddev_pop({card}) AS cs FROM h WHERE half = 0),
+        c AS (SELECT half, (0.05 * i)::DECIMAL(4,2)::DOUBLE AS w, label, {tree}, {card} FROM h, range(1, 20) r(i)),
+        g AS (SELECT half, w, round(w * (({tree} - tm) / ts) + (1 - w) * (({card} - cm) / cs), 9) AS score, count(*) AS n, sum(label) AS pos FROM c, f GROUP BY 1, 2, 3),
+        k AS (SELECT *, sum(n) OVER o AS cn, sum(pos) OVER o AS cp, greatest(1, ceil(sum(n) OVER (PARTITION BY half, w) * 0.1)) AS k FROM g WINDOW o AS (PARTITION BY half, w ORDER BY score DESC)),
+        p AS (SELECT half, w, ((cp - pos) + (k - cn + n) * pos / n) / k AS p FROM k WHERE cn >= k AND cn - n < k)"""
+
+
 @query(
     "M18_score_fusion",
-    f"""WITH {SC}, h AS (SELECT *, ('0x' || substr(sha256(user_id::VARCHAR), 16, 1))::INTEGER % 2 AS half FROM s),
-        f AS (SELECT avg(tree_score) AS tm, stddev_pop(tree_score) AS ts, avg(card_score) AS cm, stddev_pop(card_score) AS cs FROM h WHERE half = 0),
-        c AS (SELECT half, (0.05 * i)::DECIMAL(4,2)::DOUBLE AS w, label, tree_score, card_score FROM h, range(1, 20) r(i)),
-        g AS (SELECT half, w, round(w * ((tree_score - tm) / ts) + (1 - w) * ((card_score - cm) / cs), 9) AS score, count(*) AS n, sum(label) AS pos FROM c, f GROUP BY 1, 2, 3),
-        k AS (SELECT *, sum(n) OVER o AS cn, sum(pos) OVER o AS cp, greatest(1, ceil(sum(n) OVER (PARTITION BY half, w) * 0.1)) AS k FROM g WINDOW o AS (PARTITION BY half, w ORDER BY score DESC)),
-        p AS (SELECT half, w, ((cp - pos) + (k - cn + n) * pos / n) / k AS p FROM k WHERE cn >= k AND cn - n < k),
+    f"""WITH {SC}, {grid_sql("tree_score", "card_score")},
         z AS (SELECT w AS tree_weight, round(max(p) FILTER (WHERE half = 0), 6) AS fit_precision, round(max(p) FILTER (WHERE half = 1), 6) AS eval_precision FROM p GROUP BY 1)
         SELECT *, tree_weight = (SELECT tree_weight FROM z ORDER BY fit_precision DESC, tree_weight LIMIT 1) AS selected FROM z""",
 )
@@ -235,6 +247,46 @@ def m18(t):
     return out.select("tree_weight", F.round("fit_precision", 6).alias("fit_precision"), F.round("eval_precision", 6).alias("eval_precision"), "selected")
 
 
+def precision_sql(source, score):
+    """Expected precision at the top tenth, ties shared."""
+    return f"""(SELECT ((cp - pos) + (k - cn + n) * pos / n) / k FROM (SELECT *, greatest(1, ceil(tn * 0.1)) AS k FROM (SELECT *, sum(n) OVER w AS cn, sum(pos) OVER w AS cp, sum(n) OVER () AS tn
+        FROM (SELECT {score} AS x, count(*) AS n, sum(label) AS pos FROM {source} GROUP BY 1) WINDOW w AS (ORDER BY x DESC))) WHERE cn >= k AND cn - n < k)"""
+
+
+def strategy_sql(tree, card):
+    """The choice for one pair of scores, all evidence computed at once."""
+    uplift = lambda new, old: f"({new} - {old}) / greatest(abs({old}), 1e-12) >= 0.02"
+    return f"""(WITH {SC}, {grid_sql(tree, card)},
+        b AS (SELECT tree_weight AS w FROM (SELECT w AS tree_weight, max(p) FILTER (WHERE half = 0) AS fp FROM p GROUP BY 1) ORDER BY fp DESC, tree_weight LIMIT 1),
+        e AS (SELECT user_id, label, {tree}, {card}, round(b.w * (({tree} - tm) / ts) + (1 - b.w) * (({card} - cm) / cs), 9) AS fused FROM h, f, b WHERE half = 1),
+        b0 AS (WITH {bootstrap_sql(tree, card)}), b1 AS (WITH {bootstrap_sql("fused", tree, "e", 43)}), b2 AS (WITH {bootstrap_sql("fused", card, "e", 44)}),
+        v AS (SELECT {precision_sql("s", tree)} AS tp, {precision_sql("s", card)} AS cp, {precision_sql("e", "fused")} AS fp, {precision_sql("e", tree)} AS etp, {precision_sql("e", card)} AS ecp,
+              b0.ci_lower AS lo, b0.ci_upper AS hi, b1.ci_lower AS l1, b2.ci_lower AS l2, b.w FROM b0, b1, b2, b),
+        won AS (SELECT *, lo > 0 AND {uplift("tp", "cp")} AS tree_wins, hi < 0 AND {uplift("cp", "tp")} AS card_wins,
+              l1 > 0 AND l2 > 0 AND {uplift("fp", "etp")} AND {uplift("fp", "ecp")} AS mix_wins FROM v),
+        done AS (SELECT *, CASE WHEN tree_wins THEN 'decision_tree' WHEN card_wins THEN 'scorecard' WHEN mix_wins THEN 'fusion' WHEN tp >= cp THEN 'decision_tree' ELSE 'scorecard' END AS strategy,
+              NOT (tree_wins OR card_wins) AS tried FROM won)
+        SELECT '{tree}' AS tree, '{card}' AS card, strategy,
+          CASE WHEN NOT tried THEN 'one_strategy_significantly_better' WHEN mix_wins THEN 'fusion_beats_both' ELSE 'no_significant_difference' END AS reason,
+          CASE strategy WHEN 'fusion' THEN w WHEN 'decision_tree' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS weight, round(tp, 6) AS tree_precision, round(cp, 6) AS card_precision,
+          round(lo, 6) AS ci_lower, round(hi, 6) AS ci_upper, tried AS fusion_attempted, CASE WHEN tried THEN round(fp, 6) END AS fusion_precision,
+          CASE WHEN tried THEN round(l1, 6) END AS over_tree_lower, CASE WHEN tried THEN round(l2, 6) END AS over_card_lower FROM done)"""
+
+
+STRATEGY_PAIRS = [("tree_score", "card_score"), ("card_score", "tree_score"), ("card_score", "teacher_score")]
+
+
+@query(
+    "M18_strategy_choice",
+    " UNION ALL ".join(strategy_sql(a, b) for a, b in STRATEGY_PAIRS),
+)
+def m18_choice(t):
+    """Which of two scores to deploy, or their mix, in both roles."""
+    out = sc.strategy_report(scores(t), "user_id", "label", STRATEGY_PAIRS)
+    numbers = ["tree_precision", "card_precision", "ci_lower", "ci_upper", "fusion_precision", "over_tree_lower", "over_card_lower"]
+    return out.select(*[F.round(c, 6).alias(c) if c in numbers else F.col(c) for c in out.columns])
+
+
 @query(
     "M19_batch_scoring",
     f"""WITH a AS ({d.SPLIT_SQL}), f AS (SELECT * FROM a WHERE split = 'valid'), {card_sql()}, x AS ({APPLY}) SELECT user_id, card_score AS score, rank() OVER (ORDER BY card_score DESC) AS score_rank FROM x""",

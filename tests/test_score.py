@@ -170,6 +170,17 @@ def test_bootstrap_and_strategy(spark):
     assert s.choose_strategy(df, "user_id", "label", "noise", "good", rounds=40)["strategy"] == "scorecard"
 
 
+def test_strategy_takes_the_mix(spark):
+    """Two scores with independent noise: neither wins clearly, their mean beats both."""
+    rng = np.random.default_rng(5)
+    y = (rng.random(4000) < 0.3).astype(int)
+    data = [(i, int(v), round(float(v + rng.normal()), 2), round(float(v + rng.normal()), 2)) for i, v in enumerate(y)]
+    df = spark.createDataFrame(data, "user_id bigint, label int, one double, two double")
+    (got,) = s.strategy_report(df, "user_id", "label", [("one", "two")], rounds=60).collect()
+    assert (got.strategy, got.reason, got.fusion_attempted) == ("fusion", "fusion_beats_both", True)
+    assert 0.3 <= got.weight <= 0.7 and got.fusion_precision > max(got.tree_precision, got.card_precision) and min(got.over_tree_lower, got.over_card_lower) > 0
+
+
 @pytest.mark.parametrize("n", [1, 7, 16, 40, 1000, 10**9])
 def test_poisson_draws(spark, n):
     """Mean, variance and, where the count is small, each probability of a Poisson count of mean ``n``."""
@@ -221,6 +232,34 @@ def test_models_and_surrogate(spark):
     assert applied.where("matched_rules <> 1").count() == 0 and len({r.rule_id for r in rules}) == len(rules) <= 64
 
 
+def test_doubtful_features():
+    ranks = {f: i for i, f in enumerate("abcdefghij", 1)}
+    assert s.doubtful_features(ranks, ["h", "i", "j"]) == []  # low as a group
+    assert s.doubtful_features(ranks, ["b", "f", "g"]) == ["b"]  # those of the upper half
+    assert s.doubtful_features(ranks, ["f", "g"]) == ["f", "g"]  # in the middle: all
+    assert s.doubtful_features(ranks, []) == []
+
+
+def test_feature_ab(spark):
+    """A doubtful feature that carries the label wins over the kept one; a useless one does not."""
+    rng = np.random.default_rng(9)
+    y = (rng.random(600) < 0.4).astype(int)
+    data = [(i, int(v), float(v * 0.3 + rng.normal()), float(v * 3 + rng.normal()), float(rng.normal()), "train" if i % 4 else "valid") for i, v in enumerate(y)]
+    df = spark.createDataFrame(data, "user_id bigint, label int, weak double, strong double, noise double, split string")
+
+    def run(advice):
+        report = spark.createDataFrame(advice, "feature string, recommendation string")
+        return {(r.experiment, r.model): r for r in s.feature_ab(df, report, [], "label", "split", max_iter=3).collect()}
+
+    got = run([("weak", "KEEP"), ("strong", "CONSIDER_DROP"), ("noise", "DROP")])
+    assert got["B", "boosted_trees"].selected and not got["A", "boosted_trees"].selected and got["B", "boosted_trees"].features == ["strong", "weak"]
+    assert got["B", "boosted_trees"].auc >= got["A", "boosted_trees"].auc + s.FEATURE_GAIN and got["B", "logistic"].auc > 0.9
+    got = run([("strong", "KEEP"), ("noise", "CONSIDER_DROP")])
+    assert got["A", "boosted_trees"].selected and got["A", "boosted_trees"].features == got["B", "boosted_trees"].features == ["strong"]
+    with pytest.raises(ValueError):
+        run([("noise", "DROP")])
+
+
 def test_mutual_information(spark):
     df = spark.createDataFrame([(i % 2, float(i % 2), float(i)) for i in range(200)], "label int, same double, other double")
     got = {r.feature: r.mutual_information for r in c.mutual_information(df, ["same", "other"], "label").collect()}
