@@ -69,7 +69,11 @@ def c11(t):
 
 @query(
     "C12_identifier_list",
-    """SELECT 'codes' AS field, true AS identifier_list, 2 AS columns WHERE (SELECT count(*) FROM orders) > 0 UNION ALL SELECT 'tags', false, 12""",
+    f"""WITH {TERMS}, ct AS (SELECT unnest(['C' || (o_orderkey + 10000), 'C' || (o_custkey + 10000)]) AS term FROM orders),
+        cr AS (SELECT term, row_number() OVER (ORDER BY count(*) DESC, term) AS rank FROM ct GROUP BY 1),
+        bt AS (SELECT 'codes' AS field, term, rank FROM cr UNION ALL SELECT 'tags', term, rank FROM top),
+        fl AS (SELECT field, bool_or(regexp_matches(term, '^\\d{{10,}}$|^C\\d+') AND rank <= 3) AS identifier_list, count(*) AS n FROM bt GROUP BY 1)
+        SELECT field, identifier_list, (CASE WHEN identifier_list THEN 2 ELSE 2 + least(n, 10) END)::INTEGER AS columns FROM fl""",
 )
 def c12(t):
     codes = t.orders.select("o_orderkey", F.concat(F.lit("C"), (F.col("o_orderkey") + 10000).cast("string"), F.lit("#C"), (F.col("o_custkey") + 10000).cast("string")).alias("codes"))
@@ -174,8 +178,12 @@ def m02(t):
 
 @query(
     "M03_wide_gates",
-    """SELECT 'rows_unchanged' AS gate, count(*)::DOUBLE AS observed, count(*)::DOUBLE AS expected, true AS passed FROM customer
-       UNION ALL SELECT 'key_unique', 0, 0, true UNION ALL SELECT 'no_raw_columns', 0, 0, true UNION ALL SELECT 'columns_agree', 1, 0, false""",
+    f"""WITH w AS ({WIDE_SQL}), names AS (SELECT column_name FROM (DESCRIBE {WIDE_SQL})), g AS (
+         SELECT 'rows_unchanged' AS gate, (SELECT count(*) FROM w) AS observed, (SELECT count(*) FROM customer) AS expected
+         UNION ALL SELECT 'key_unique', (SELECT count(*) FROM (SELECT c_custkey FROM w GROUP BY 1 HAVING count(*) > 1)), 0
+         UNION ALL SELECT 'no_raw_columns', (SELECT count(*) FROM names WHERE column_name IN ('tags', 'city')), 0
+         UNION ALL SELECT 'columns_agree', (SELECT count(*) FROM names WHERE column_name = 'orders_std'), 0)
+       SELECT gate, observed::DOUBLE AS observed, expected::DOUBLE AS expected, observed = expected AS passed FROM g""",
 )
 def m03(t):
     w = wide(t)

@@ -79,20 +79,25 @@ def g05(t):
     return g.review_statements(derived.statements(t)).select("event_id", "allowed", "reason")
 
 
+#: Statements of the audit with the column that each picks.
+AUDITED = [
+    ("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1", "o_orderstatus"),
+    ("DROP TABLE orders", ""),
+    ("SELECT nothing_like_it FROM orders", "nothing_like_it"),
+]
+
+
 @query(
     "G06_audit_log",
-    """SELECT 'SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1' AS sql_text, 'succeeded' AS status,
-              (SELECT count(DISTINCT o_orderstatus) FROM orders) AS row_count, false AS has_reason
-       UNION ALL SELECT 'DROP TABLE orders', 'blocked', 0, true
-       UNION ALL SELECT 'SELECT nothing_like_it FROM orders', 'failed', 0, true""",
+    f"""WITH st(sql_text, picked) AS (VALUES {", ".join(f"('{sql}', '{column}')" for sql, column in AUDITED)}),
+        k AS (SELECT *, regexp_matches(sql_text, '^ *(select|with) ', 'i') AS reads, picked IN (SELECT column_name FROM (DESCRIBE SELECT * FROM orders)) AS known FROM st),
+        n AS (SELECT 'o_orderstatus' AS picked, count(DISTINCT o_orderstatus) AS groups FROM orders)
+        SELECT sql_text, CASE WHEN NOT reads THEN 'blocked' WHEN NOT known THEN 'failed' ELSE 'succeeded' END AS status,
+          CASE WHEN reads AND known THEN groups ELSE 0 END AS row_count, NOT (reads AND known) AS has_reason FROM k LEFT JOIN n USING (picked)""",
 )
 def g06(t):
     gate = gateway(t, audit_path=scratch_path(t.spark, "audit"))
-    for sql in (
-        "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1",
-        "DROP TABLE orders",
-        "SELECT nothing_like_it FROM orders",
-    ):
+    for sql, _ in AUDITED:
         gate.audited(sql)
     return gate.audit_log().select("sql_text", "status", "row_count", F.col("blocked_reason").isNotNull().alias("has_reason"))
 

@@ -100,7 +100,12 @@ def k06(t):
 
 @query(
     "J15_aligned_scores",
-    f"""WITH {SC} SELECT user_id::VARCHAR AS user_id, label, teacher_score AS teacher, tree_score AS tree, card_score AS card, 3::BIGINT AS sources_aligned FROM s""",
+    f"""WITH {SC}, pu AS (SELECT user_id, label, n FROM (SELECT user_id, min(label) AS label, min(label) = max(label) AS same, count(*) AS n FROM s GROUP BY 1) WHERE same),
+        al AS (SELECT a.user_id, a.label, a.teacher_score AS teacher, b.tree_score AS tree, c.card_score AS card, a.label = b.label AND a.label = c.label AS agree
+               FROM s a JOIN s b USING (user_id) JOIN s c USING (user_id)),
+        ok AS (SELECT src, (SELECT max(n) FROM pu) = 1 AND (SELECT bool_and(agree) FROM al) AND (SELECT count(*) FROM s) = (SELECT count(*) FROM al) AS good
+               FROM (VALUES ('teacher'), ('tree'), ('card')) x(src))
+        SELECT user_id::VARCHAR AS user_id, label, teacher, tree, card, (SELECT count(*) FILTER (WHERE good) FROM ok) AS sources_aligned FROM al""",
 )
 def j15(t):
     df = scores(t)
@@ -153,9 +158,21 @@ RULES = [
 ]
 
 
+def _rule_row(rule):
+    """A rule as open lower and closed upper bounds of both features."""
+    bounds = {(f, op): v for f, op, v in rule.atoms}
+    pick = lambda f, op, missing: bounds.get((f, op), missing)
+    return f"""({pick("f_lines", ">", -1e9)}, {pick("f_lines", "<=", 1e9)}, {pick("f_qty", ">", -1e9)}, {pick("f_qty", "<=", 1e9)}, {rule.score}::DOUBLE)"""
+
+
 @query(
     "M13_apply_tree",
-    f"""WITH {SC} SELECT user_id, tree_score, 1 AS matched_rules, (SELECT count(*) FROM s) AS n_rows, 0::BIGINT AS unmatched, 0::BIGINT AS multiple, 0::BIGINT AS mismatches FROM s""",
+    f"""WITH {SC}, x AS (SELECT user_id, coalesce(f_lines, 0)::DOUBLE AS f_lines, coalesce(f_qty, 0)::DOUBLE AS f_qty FROM ({d.FEATURES_SQL})),
+        m AS (SELECT user_id, score FROM x JOIN (VALUES {", ".join(_rule_row(r) for r in RULES)}) r(low, high, low_qty, high_qty, score)
+              ON f_lines > low AND f_lines <= high AND f_qty > low_qty AND f_qty <= high_qty GROUP BY user_id, score, low, high, low_qty, high_qty),
+        a AS (SELECT x.user_id, max(score)::DOUBLE AS tree_score, count(score) AS n, max(s.tree_score) AS exported FROM x JOIN s USING (user_id) LEFT JOIN m USING (user_id) GROUP BY 1)
+        SELECT user_id, tree_score, n::INTEGER AS matched_rules, count(*) OVER () AS n_rows, count(*) FILTER (WHERE n = 0) OVER () AS unmatched,
+          count(*) FILTER (WHERE n > 1) OVER () AS multiple, count(*) FILTER (WHERE abs(coalesce(tree_score, 0) - exported) > 0.001) OVER () AS mismatches FROM a""",
 )
 def m13(t):
     df = d.features(t).select("user_id", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ("f_lines", "f_qty")])
