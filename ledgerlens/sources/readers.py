@@ -13,11 +13,26 @@ from ledgerlens.session import allow_charset
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", multiline: bool = True) -> DataFrame:
+def has_quoted_breaks(spark: SparkSession, path: str, encoding: str = "UTF-8") -> bool:
+    """Whether a quoted field may run over a line's end: the line it starts on then holds an odd number of quotes.
+
+    Lines are read as bytes, in splits; a stray quote also answers yes, which only costs speed. In charsets of two bytes a letter a byte of a letter may look like a
+    quote, so these answer yes at once.
+    """
+    if encoding.upper().startswith(("UTF-16", "UTF-32")):
+        return True
+    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
+def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", multiline: bool | None = None) -> DataFrame:
     """CSV with a header row; a column is DOUBLE when all its values are numbers, else text.
 
-    Types come from all rows, so a late text value never breaks the read.
+    Types come from all rows, so a late text value never breaks the read. Files are read in splits unless ``multiline`` is set or, when it is None, quoted fields
+    hold line breaks.
     """
+    if multiline is None:
+        multiline = has_quoted_breaks(spark, path, encoding)
     options = {"header": True, "encoding": allow_charset(spark, encoding), "multiLine": multiline, "quote": '"', "escape": '"'}
     typed = spark.read.options(**options, inferSchema=True).csv(path).schema
     fields = [
@@ -28,13 +43,12 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", multiline:
 
 
 def read_directory(spark: SparkSession, path: str, fmt: str = "parquet", register: bool = False) -> dict[str, DataFrame]:
-    """One lazily read table per file (or table folder) of a directory, named by its stem."""
+    """One lazily read table per file (or table folder) of a directory, named by its stem. Only names of tables reach the driver."""
     base = urlparse(path.rstrip("/")).path
-    listing = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").distinct()
-    )
-    # one row per file name, never file content
-    entries = {urlparse(r.path).path[len(base) + 1 :].split("/")[0] for r in listing.toLocalIterator()}
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    local = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    entry = F.split_part(F.substring(local, F.lit(len(base) + 2), F.length(local)), F.lit("/"), F.lit(1))
+    entries = [r.entry for r in listing.select(entry.alias("entry")).distinct().collect()]
     tables = {}
     for entry in sorted(e for e in entries if e.endswith(f".{fmt}")):
         name = entry.rsplit(".", 1)[0]

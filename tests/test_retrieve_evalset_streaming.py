@@ -226,3 +226,23 @@ def test_merged_profile_equals_whole(spark):
     want = {x.g: x for x in df.groupBy("g").agg(F.count("x").alias("n"), F.avg("x").alias("m"), F.stddev_samp("x").alias("s")).collect()}
     for x in z.finished_profile(parts, "g").collect():
         assert (x.n, round(x.mean, 9), round(x.std, 9)) == (want[x.g].n, round(want[x.g].m, 9), round(want[x.g].s, 9))
+
+
+@pytest.mark.parametrize("encoding", ["UTF-8", "GBK"])
+def test_csv_reads_in_splits_unless_breaks_are_quoted(spark, tmp_path, encoding):
+    plain = [(1.0, 'say "hi", 客户'), (2.0, ""), (3.0, "a,b")]
+    broken = [*plain, (4.0, 'first "line"\nsecond')]
+    for name, data, breaks in (("plain", plain, False), ("broken", broken, True)):
+        df = spark.createDataFrame(data, "id double, note string")
+        path = sinks.write_csv(df, str(tmp_path / f"{name}-{encoding}"), encoding=encoding)
+        assert readers.has_quoted_breaks(spark, path, encoding) is breaks
+        back = readers.read_csv(spark, path, encoding)
+        assert {(r.id, r.note or "") for r in back.collect()} == set(data)
+
+
+def test_directory_lists_tables_of_many_files(spark, tmp_path):
+    for name in ("a b", "c"):
+        spark.range(40).repartition(8).write.parquet(str(tmp_path / f"{name}.parquet"))
+    (tmp_path / "notes.txt").write_text("x")
+    got = readers.read_directory(spark, str(tmp_path))
+    assert {n: df.count() for n, df in got.items()} == {"a b": 40, "c": 40}
