@@ -83,6 +83,8 @@ BOOLEAN_TEXT = r"(?i)^(?:y|n|yes|no|true|false|0|1|on|off)$"
 TEMPORAL_NAME = r"(?i)(?:^|_)(?:date|time|datetime|timestamp)s?$|(?:^|_)(?:at|on)$"
 LARGE_TYPE = r"(?i)^(?:array|map|struct|binary|variant)"
 
+#: Longer values are counted and compared by their digest, so that no long text becomes a shuffle key.
+DIGEST_OVER = 64
 #: Bits a character that make a long text look encrypted.
 CIPHER_ENTROPY = 4.5
 
@@ -134,9 +136,72 @@ def long_values(tables: Mapping[str, DataFrame], columns: Mapping[str, list[str]
     return reduce(DataFrame.unionByName, parts)
 
 
+def short_value(text: Column) -> Column:
+    """The text itself, or the md5 of a long one with its outer spaces kept."""
+    inner = F.trim(text)
+    lead = F.length(text) - F.length(F.ltrim(text))
+    digest = F.concat(F.repeat(F.lit(" "), lead), F.lit("#"), F.md5(inner), F.repeat(F.lit(" "), F.length(text) - F.length(F.rtrim(text))))
+    return F.when(F.length(inner) > DIGEST_OVER, digest).otherwise(text)
+
+
 KEY = ["table_name", "column_name"]
 
 
+def _cell_facts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row a column from one aggregate over the rows as they are: counts, bounds and lengths; nothing but one row a task is shuffled."""
+    facts = []
+    for c in columns:
+        text = F.col(f"`{c}`").cast("string")
+        number = text.try_cast("double")
+        facts.append(
+            F.struct(
+                F.lit(c).alias("column_name"),
+                F.count(F.lit(1)).alias("n_rows"),
+                F.count(text).alias("filled"),
+                F.count(number).alias("_numbers"),
+                F.min(text).alias("min_text"),
+                F.max(text).alias("max_text"),
+                F.min(number).alias("min_number"),
+                F.max(number).alias("max_number"),
+                F.min(F.length(text)).alias("min_length"),
+                F.max(F.length(text)).alias("max_length"),
+                F.avg(F.length(text)).alias("avg_length"),
+            )
+        )
+    return df.agg(F.array(*facts).alias("f")).select(F.explode("f").alias("f")).select("f.*")
+
+
+def table_stats(tables: Mapping[str, DataFrame], columns: Mapping[str, list[str]] | None = None) -> DataFrame:
+    """The facts of :func:`column_stats` and :func:`text_stats` straight from tables, all scalar columns by default.
+
+    Distinct values are counted on short values; whole texts stay where they are read.
+    """
+    parts = []
+    for name, df in tables.items():
+        cols = columns[name] if columns else scalar_columns(df)
+        cells = unpivoted(df, cols).select("column_name", short_value(F.col("value")).alias("value"))
+        distinct = cells.distinct().groupBy("column_name").agg(F.count("value").alias("n_distinct"))
+        # an empty table has columns too
+        facts = _cell_facts(df, cols).join(distinct, "column_name", "left")
+        numeric = (F.col("_numbers") == F.col("filled")) & (F.col("filled") > 0)
+        parts.append(
+            facts.select(
+                F.lit(name).alias("table_name"),
+                "column_name",
+                "n_rows",
+                "filled",
+                F.coalesce("n_distinct", F.lit(0).cast("long")).alias("n_distinct"),
+                *[F.when(~numeric, F.col(c)).alias(c) for c in ("min_text", "max_text")],
+                *[F.when(numeric, F.col(c)).alias(c) for c in ("min_number", "max_number")],
+                F.when(F.col("n_rows") > 0, (F.col("n_rows") - F.col("filled")) / F.col("n_rows")).otherwise(0.0).alias("null_rate"),
+                "min_length",
+                "max_length",
+                "avg_length",
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
 def column_types(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Rows (table_name, column_name, data_type, kind) read off the schemas."""
     spark = next(iter(tables.values())).sparkSession

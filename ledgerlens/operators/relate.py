@@ -31,8 +31,6 @@ SIMILARITY_MIN = 0.5
 CORRELATION_MIN = 0.5
 ALIGNED_ROWS_MIN = 5
 LOW_CARDINALITY = 32
-#: Longer values are compared by their digest, so that no long text becomes a shuffle key.
-DIGEST_OVER = 64
 
 KEY = ["table_name", "column_name"]
 
@@ -43,14 +41,6 @@ def _distinct(values: DataFrame) -> DataFrame:
     return trimmed.distinct()
 
 
-def _short(text: Column) -> Column:
-    """The text itself, or the md5 of a long one with its outer spaces kept."""
-    inner = F.trim(text)
-    lead = F.length(text) - F.length(F.ltrim(text))
-    digest = F.concat(F.repeat(F.lit(" "), lead), F.lit("#"), F.md5(inner), F.repeat(F.lit(" "), F.length(text) - F.length(F.rtrim(text))))
-    return F.when(F.length(inner) > DIGEST_OVER, digest).otherwise(text)
-
-
 def relation_values(tables: Mapping[str, DataFrame], columns: Mapping[str, list[str]] | None = None) -> DataFrame:
     """Distinct values of the columns (all scalar ones by default) with counts, for comparing columns.
 
@@ -62,8 +52,8 @@ def relation_values(tables: Mapping[str, DataFrame], columns: Mapping[str, list[
     for name, df in tables.items():
         cells = profile.unpivoted(df, columns[name] if columns else profile.scalar_columns(df)).select(
             "column_name",
-            _short(F.col("value")).alias("value"),
-            _short(F.lower("value")).alias("folded"),
+            profile.short_value(F.col("value")).alias("value"),
+            profile.short_value(F.lower("value")).alias("folded"),
             F.length(whole).alias("chars"),
             profile.looks_cipher(whole).alias("cipher"),
             profile.looks_secret(F.col("value")).alias("secret"),

@@ -11,13 +11,6 @@ COLUMNS = {
     "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
     "labels": ["doc_id", "quality", "toxic"],
 }
-TEXTS = {
-    "customer": ["c_name", "c_mktsegment"],
-    "orders": ["o_orderstatus", "o_orderpriority"],
-    "part": ["p_name", "p_brand", "p_type"],
-    "pages": ["url"],
-    "events": ["event_type", "props"],
-}
 
 
 def values_sql(columns):
@@ -38,12 +31,32 @@ def types(t, columns=COLUMNS):
 
 
 V = f"WITH v AS ({values_sql(COLUMNS)})"
+#: All scalar columns of these tables, whole texts among them.
+WIDE = COLUMNS | {
+    "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
+    "documents": ["doc_id", "text", "lang", "source", "n_chars"],
+    "pages": ["page_id", "url", "html"],
+    "conversations": ["conv_id", "turn", "role", "text"],
+}
+TEXTS = {
+    "customer": ["c_name", "c_mktsegment"],
+    "orders": ["o_orderstatus", "o_orderpriority"],
+    "part": ["p_name", "p_brand", "p_type"],
+    "pages": ["url", "html"],
+    "events": ["event_type", "props"],
+    "documents": ["text", "lang", "source"],
+    "conversations": ["role", "text"],
+}
 VT = f"WITH v AS ({values_sql(TEXTS)})"
 
 
+def facts(t, columns):
+    return p.table_stats({n: getattr(t, n) for n in columns}, columns)
+
+
 @query(
     "A01_column_stats",
-    V
+    f"WITH v AS ({values_sql(WIDE)})"
     + """, s AS (SELECT table_name, column_name, sum(cnt)::BIGINT AS n_rows,
               coalesce(sum(cnt) FILTER (WHERE value IS NOT NULL), 0)::BIGINT AS filled, count(value) AS n_distinct,
               min(value) AS lo, max(value) AS hi, count(TRY_CAST(value AS DOUBLE)) AS nums,
@@ -54,7 +67,7 @@ VT = f"WITH v AS ({values_sql(TEXTS)})"
               round((n_rows - filled) / n_rows, 6) AS null_rate FROM s""",
 )
 def a01(t):
-    return p.column_stats(values(t)).withColumn("null_rate", F.round("null_rate", 6))
+    return facts(t, WIDE).drop("min_length", "max_length", "avg_length").withColumn("null_rate", F.round("null_rate", 6))
 
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
@@ -85,7 +98,7 @@ def a02(t):
            round(sum(length(value) * cnt) / sum(cnt), 6) AS avg_length FROM v WHERE value IS NOT NULL GROUP BY 1, 2""",
 )
 def a03(t):
-    return p.text_stats(values(t, TEXTS)).withColumn("avg_length", F.round("avg_length", 6))
+    return facts(t, TEXTS).select("table_name", "column_name", "min_length", "max_length", F.round("avg_length", 6).alias("avg_length"))
 
 
 @query(

@@ -180,7 +180,7 @@ def test_relations_fold_case_and_digest_long_values(spark):
     a = spark.createDataFrame([("Red",), ("RED",), ("blue",), (long,), (None,), ("  ",)], "colour string")
     b = spark.createDataFrame([("red",), ("green",), (long + " ",), (long.lower(),)], "paint string")
     v = r.relation_values({"a": a, "b": b})
-    assert v.agg(F.max(F.length("value"))).first()[0] <= r.DIGEST_OVER and v.where("value is null").first().cnt == 1
+    assert v.agg(F.max(F.length("value"))).first()[0] <= p.DIGEST_OVER and v.where("value is null").first().cnt == 1
     # of four spellings in a, three are in b without case; of b's values the two long ones are one spelling each after trimming
     (pair,) = r.folded_overlaps(v).collect()
     assert (pair.a_shared, pair.b_shared) == (3, 3)
@@ -203,3 +203,15 @@ def test_skipped_columns(spark):
     none = spark.createDataFrame([], "table_name string, column_name string, comment string")
     measured = r.measure_relations(v, r.parent_keys(p.column_stats(v)), none, [*skipped, ("u", "created_at")])
     assert [(m.left, m.right) for m in measured.collect()] == [("t.id", "u.id")]
+
+
+def test_table_stats_equal_those_of_distinct_values(spark):
+    long = "word " * 30
+    data = [(1, "5", long, None), (2, "7", long + " ", None), (2, "x", "", None), (None, "7", None, None), (3, "-1", long, None)]
+    df = spark.createDataFrame(data, "n int, mixed string, text string, empty string")
+    tables = {"t": df, "none": df.where("false")}
+    v = p.long_values({"t": df})
+    got = {(s.table_name, s.column_name): s.asDict() for s in p.table_stats(tables).collect()}
+    for s in p.column_stats(v).join(p.text_stats(v), p.KEY, "left").collect():
+        assert got["t", s.column_name] == s.asDict(), s.column_name
+    assert len(got) == 8 and got["none", "text"]["n_rows"] == got["none", "text"]["n_distinct"] == 0 and got["none", "n"]["null_rate"] == 0.0
