@@ -141,65 +141,69 @@ def short_value(text: Column) -> Column:
     inner = F.trim(text)
     lead = F.length(text) - F.length(F.ltrim(text))
     digest = F.concat(F.repeat(F.lit(" "), lead), F.lit("#"), F.md5(inner), F.repeat(F.lit(" "), F.length(text) - F.length(F.rtrim(text))))
-    return F.when(F.length(inner) > DIGEST_OVER, digest).otherwise(text)
+    # characters are only counted where the bytes leave it open
+    return F.when(F.octet_length(text) <= DIGEST_OVER, text).when(F.length(inner) > DIGEST_OVER, digest).otherwise(text)
 
 
 KEY = ["table_name", "column_name"]
 
 
 def _cell_facts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row a column from one aggregate over the rows as they are: counts, bounds and lengths; nothing but one row a task is shuffled."""
+    """One row a column from one aggregate over the rows as they are: counts, bounds and lengths; nothing but one row a task is shuffled.
+
+    Columns with a number type are never turned into text.
+    """
     facts = []
     for c in columns:
-        text = F.col(f"`{c}`").cast("string")
-        number = text.try_cast("double")
+        kind, column = df.schema[c].dataType, F.col(f"`{c}`")
+        # a float's text names another double than the float itself
+        typed = isinstance(kind, _NUMERIC) and not isinstance(kind, T.FloatType)
+        text = column.cast("string")
+        number = column.cast("double") if typed else text.try_cast("double")
+        none = F.lit(None)
+        size = F.length(text) if isinstance(kind, T.StringType) else None
         facts.append(
             F.struct(
                 F.lit(c).alias("column_name"),
                 F.count(F.lit(1)).alias("n_rows"),
-                F.count(text).alias("filled"),
-                F.count(number).alias("_numbers"),
-                F.min(text).alias("min_text"),
-                F.max(text).alias("max_text"),
+                F.count(column).alias("filled"),
+                F.count(number).alias("numbers"),
+                *[(none.cast("string") if typed else f(text)).alias(n) for f, n in ((F.min, "min_text"), (F.max, "max_text"))],
                 F.min(number).alias("min_number"),
                 F.max(number).alias("max_number"),
-                F.min(F.length(text)).alias("min_length"),
-                F.max(F.length(text)).alias("max_length"),
-                F.avg(F.length(text)).alias("avg_length"),
+                *[(none.cast("int") if size is None else f(size)).alias(n) for f, n in ((F.min, "min_length"), (F.max, "max_length"))],
+                (none.cast("double") if size is None else F.avg(size)).alias("avg_length"),
             )
         )
     return df.agg(F.array(*facts).alias("f")).select(F.explode("f").alias("f")).select("f.*")
 
 
 def table_stats(tables: Mapping[str, DataFrame], columns: Mapping[str, list[str]] | None = None) -> DataFrame:
-    """The facts of :func:`column_stats` and :func:`text_stats` straight from tables, all scalar columns by default.
+    """The facts of :func:`column_stats`, and for text columns those of :func:`text_stats`, straight from tables; all scalar columns by default.
 
-    Distinct values are counted on short values; whole texts stay where they are read.
+    Distinct values are counted on short values; whole texts stay where they are read. Columns of an empty table are there with zeros.
     """
-    parts = []
-    for name, df in tables.items():
-        cols = columns[name] if columns else scalar_columns(df)
-        cells = unpivoted(df, cols).select("column_name", short_value(F.col("value")).alias("value"))
-        distinct = cells.distinct().groupBy("column_name").agg(F.count("value").alias("n_distinct"))
-        # an empty table has columns too
-        facts = _cell_facts(df, cols).join(distinct, "column_name", "left")
-        numeric = (F.col("_numbers") == F.col("filled")) & (F.col("filled") > 0)
-        parts.append(
-            facts.select(
-                F.lit(name).alias("table_name"),
-                "column_name",
-                "n_rows",
-                "filled",
-                F.coalesce("n_distinct", F.lit(0).cast("long")).alias("n_distinct"),
-                *[F.when(~numeric, F.col(c)).alias(c) for c in ("min_text", "max_text")],
-                *[F.when(numeric, F.col(c)).alias(c) for c in ("min_number", "max_number")],
-                F.when(F.col("n_rows") > 0, (F.col("n_rows") - F.col("filled")) / F.col("n_rows")).otherwise(0.0).alias("null_rate"),
-                "min_length",
-                "max_length",
-                "avg_length",
-            )
-        )
-    return reduce(DataFrame.unionByName, parts)
+    chosen = {n: columns[n] if columns else scalar_columns(df) for n, df in tables.items()}
+    facts = [_cell_facts(df, chosen[n]).select(F.lit(n).alias("table_name"), "*") for n, df in tables.items()]
+    cells = []
+    for n, df in tables.items():
+        texts = set(string_columns(df))
+        short = df.select(*[short_value(F.col(f"`{c}`")).alias(c) if c in texts else F.col(f"`{c}`") for c in chosen[n]])
+        cells.append(unpivoted(short, chosen[n]).select(F.lit(n).alias("table_name"), "*"))
+    distinct = reduce(DataFrame.unionByName, cells).where("value is not null").distinct().groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_distinct"))
+    numeric = (F.col("numbers") == F.col("filled")) & (F.col("filled") > 0)
+    return reduce(DataFrame.unionByName, facts).join(distinct, KEY, "left").select(
+        *KEY,
+        "n_rows",
+        "filled",
+        F.coalesce("n_distinct", F.lit(0).cast("long")).alias("n_distinct"),
+        *[F.when(~numeric, F.col(c)).alias(c) for c in ("min_text", "max_text")],
+        *[F.when(numeric, F.col(c)).alias(c) for c in ("min_number", "max_number")],
+        F.when(F.col("n_rows") > 0, (F.col("n_rows") - F.col("filled")) / F.col("n_rows")).otherwise(0.0).alias("null_rate"),
+        "min_length",
+        "max_length",
+        "avg_length",
+    )
 
 
 def column_types(tables: Mapping[str, DataFrame]) -> DataFrame:

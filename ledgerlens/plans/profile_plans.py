@@ -32,7 +32,7 @@ def types(t, columns=COLUMNS):
 
 V = f"WITH v AS ({values_sql(COLUMNS)})"
 #: All scalar columns of these tables, whole texts among them.
-WIDE = COLUMNS | {
+WIDE = {
     "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
     "documents": ["doc_id", "text", "lang", "source", "n_chars"],
     "pages": ["page_id", "url", "html"],
@@ -54,19 +54,24 @@ def facts(t, columns):
     return p.table_stats({n: getattr(t, n) for n in columns}, columns)
 
 
-@query(
-    "A01_column_stats",
-    f"WITH v AS ({values_sql(WIDE)})"
-    + """, s AS (SELECT table_name, column_name, sum(cnt)::BIGINT AS n_rows,
+STATS = """, s AS (SELECT table_name, column_name, sum(cnt)::BIGINT AS n_rows,
               coalesce(sum(cnt) FILTER (WHERE value IS NOT NULL), 0)::BIGINT AS filled, count(value) AS n_distinct,
               min(value) AS lo, max(value) AS hi, count(TRY_CAST(value AS DOUBLE)) AS nums,
               min(TRY_CAST(value AS DOUBLE)) AS lon, max(TRY_CAST(value AS DOUBLE)) AS hin FROM v GROUP BY 1, 2)
        SELECT table_name, column_name, n_rows, filled, n_distinct,
               CASE WHEN nums <> n_distinct THEN lo END AS min_text, CASE WHEN nums <> n_distinct THEN hi END AS max_text,
               CASE WHEN nums = n_distinct THEN lon END AS min_number, CASE WHEN nums = n_distinct THEN hin END AS max_number,
-              round((n_rows - filled) / n_rows, 6) AS null_rate FROM s""",
-)
+              round((n_rows - filled) / n_rows, 6) AS null_rate FROM s"""
+
+
+@query("A01_column_stats", V + STATS)
 def a01(t):
+    return p.column_stats(values(t)).withColumn("null_rate", F.round("null_rate", 6))
+
+
+@query("A01_column_stats_of_texts", f"WITH v AS ({values_sql(WIDE)})" + STATS)
+def a01_texts(t):
+    """The same for tables with long texts, which stay where they are read."""
     return facts(t, WIDE).drop("min_length", "max_length", "avg_length").withColumn("null_rate", F.round("null_rate", 6))
 
 
