@@ -61,15 +61,6 @@ def index_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_-]+"), lambda w: F.length(w) > 0)
 
 
-def counted(words: Column) -> Column:
-    """Each different word of a sorted array with its count, in one pass over the array: ``array<struct<term, tf>>``."""
-    size = F.size(words)
-    first = F.filter(F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>")), lambda i: ~F.get(words, i).eqNullSafe(F.get(words, i - 1)))
-    ends = F.concat(F.slice(first, 2, size), F.array(size))
-    spans = F.arrays_zip(first.alias("a"), ends.alias("b"))
-    return F.transform(F.filter(spans, lambda s: s["a"].isNotNull()), lambda s: F.struct(F.get(words, s["a"]).alias("term"), (s["b"] - s["a"]).alias("tf")))
-
-
 def shingles(value: Column, size: int = 3) -> Column:
     """Overlapping pieces of ``size`` characters; a shorter value is its own piece."""
     places = F.sequence(F.lit(1), F.greatest(F.length(value) - (size - 1), F.lit(1)))

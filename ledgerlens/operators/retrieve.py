@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,23 +53,59 @@ class TextIndex:
 
 def counted_chunks(chunks: DataFrame) -> DataFrame:
     """Each chunk with its words counted inside the chunk: no word leaves it uncounted."""
-    words = chunks.select("doc_id", "chunk_index", F.array_sort(tx.index_words(F.col("content"))).alias("words"))
-    return words.select("doc_id", "chunk_index", F.size("words").alias("length"), tx.counted(F.col("words")).alias("terms"))
+
+    def count(batches):
+        for batch in batches:
+            words = batch.column("words")
+            length = words.value_lengths().to_numpy(zero_copy_only=False)
+            coded = words.flatten().dictionary_encode()
+            row = np.repeat(np.arange(len(length)), length)
+            kinds = max(1, len(coded.dictionary))
+            cells, tf = np.unique(row * kinds + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            pairs = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(cells % kinds)), pa.array(tf.astype(np.int32))], names=["term", "tf"])
+            ends = np.searchsorted(cells // kinds, np.arange(len(length) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("chunk_index"), pa.array(length.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pairs)],
+                names=["doc_id", "chunk_index", "length", "terms"],
+            )
+
+    words = chunks.select("doc_id", "chunk_index", F.coalesce(tx.index_words(F.col("content")), F.array().cast("array<string>")).alias("words"))
+    return words.mapInArrow(count, f"doc_id {chunks.schema['doc_id'].dataType.simpleString()}, chunk_index int, length int, terms array<struct<term: string, tf: int>>")
 
 
 def posting_blocks(counted: DataFrame, shard_chunks: int = SHARD_CHUNKS) -> DataFrame:
     """Postings in blocks: one block for each term of a shard of about ``shard_chunks`` chunks.
 
-    A term that all chunks hold has as many blocks as there are shards, none longer than a shard. A block knows its greatest count and its shortest
-    chunk, which bound the weight of all its postings.
+    A term that all chunks hold has as many blocks as there are shards, none longer than a shard. The chunks of a shard meet whole, and their postings are made where
+    they meet. A block knows its greatest count and its shortest chunk, which bound the weight of all its postings.
     """
     shards = F.greatest(F.lit(1), F.ceil(counted.agg(F.count(F.lit(1)).alias("n")).scalar() / shard_chunks)).cast("int")
     shard = F.pmod(F.xxhash64("doc_id", "chunk_index"), shards).cast("int")
-    each = counted.select(shard.alias("shard"), "doc_id", "chunk_index", "length", F.explode("terms").alias("t"))
-    posting = F.struct("doc_id", "chunk_index", F.col("t.tf").alias("tf"), "length")
-    return each.groupBy("shard", F.col("t.term").alias("term")).agg(
-        F.count(F.lit(1)).alias("n"), F.max("t.tf").alias("max_tf"), F.min("length").alias("min_length"), F.collect_list(posting).alias("postings")
-    )
+
+    def invert(chunks: pa.Table) -> pa.Table:
+        chunks = chunks.combine_chunks()
+        terms = chunks.column("terms").combine_chunks()
+        size = terms.value_lengths().to_numpy(zero_copy_only=False)
+        pairs = terms.flatten()
+        coded = pairs.field("term").dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(code, kind="stable")
+        row = pa.array(np.repeat(np.arange(len(size)), size)[order])
+        tf, length = pairs.field("tf").take(pa.array(order)), chunks.column("length").combine_chunks().take(row)
+        held = [chunks.column(c).combine_chunks().take(row) for c in ("doc_id", "chunk_index")]
+        begin = np.searchsorted(code[order], np.arange(len(coded.dictionary) + 1)).astype(np.int32)
+        postings = pa.ListArray.from_arrays(pa.array(begin), pa.StructArray.from_arrays([*held, tf, length], names=["doc_id", "chunk_index", "tf", "length"]))
+        kinds, some = len(coded.dictionary), len(order) > 0
+        best = np.maximum.reduceat(tf.to_numpy(zero_copy_only=False), begin[:-1]) if some else np.empty(0, np.int32)
+        least = np.minimum.reduceat(length.to_numpy(zero_copy_only=False), begin[:-1]) if some else np.empty(0, np.int32)
+        return pa.table(
+            [pa.repeat(chunks.column("shard")[0], kinds), coded.dictionary, pa.array(np.diff(begin).astype(np.int64)), pa.array(best), pa.array(least), postings],
+            names=["shard", "term", "n", "max_tf", "min_length", "postings"],
+        )
+
+    posting = f"struct<doc_id: {counted.schema['doc_id'].dataType.simpleString()}, chunk_index: int, tf: int, length: int>"
+    rows = counted.select(shard.alias("shard"), "doc_id", "chunk_index", "length", "terms")
+    return rows.groupBy("shard").applyInArrow(invert, f"shard int, term string, n bigint, max_tf int, min_length int, postings array<{posting}>")
 
 
 def text_index(chunks: DataFrame, shard_chunks: int = SHARD_CHUNKS) -> TextIndex:
@@ -75,45 +114,85 @@ def text_index(chunks: DataFrame, shard_chunks: int = SHARD_CHUNKS) -> TextIndex
     return TextIndex(counted, cut_lineage(posting_blocks(counted, shard_chunks)))
 
 
+def _shard_scores(top: int | None):
+    """Relevance of the chunks of one shard for all queries; with ``top`` the best of each query in the order of :func:`bm25`."""
+
+    def in_order(ids: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The different ids in order, and the place of each id among them."""
+        coded = ids.dictionary_encode(null_encoding="encode")
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return coded.dictionary.take(pa.array(order)), place[coded.indices.to_numpy(zero_copy_only=False)]
+
+    def score(blocks: pa.Table) -> pa.Table:
+        lists = [blocks.column(c).combine_chunks() for c in ("postings", "asked")]
+        p, q = (x.flatten() for x in lists)
+        ends, stops = (np.cumsum(x.value_lengths().to_numpy(zero_copy_only=False)) for x in lists)
+        tf, length = (p.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("tf", "length"))
+        weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / blocks.column("avg")[0].as_py()))
+        # places of chunks in the order of doc_id, chunk_index
+        docs, doc_at = in_order(p.field("doc_id"))
+        places = p.field("chunk_index").to_numpy(zero_copy_only=False).astype(np.int64)
+        width = places.max(initial=0) + 1
+        chunks, chunk_at = np.unique(doc_at * width + places, return_inverse=True)
+        asked, query_at = in_order(q.field("query_id"))
+        idf = q.field("idf").to_numpy(zero_copy_only=False)
+        block_of = np.repeat(np.arange(len(stops)), np.diff(stops, prepend=0))
+        order = np.argsort(query_at, kind="stable")
+        begin = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        each, found, sums = [], [], []
+        cell = np.zeros(len(chunks))
+        for run in np.split(order, np.flatnonzero(np.diff(query_at[order])) + 1):
+            cell[:] = 0
+            for i in run:
+                span = slice(begin[block_of[i]], ends[block_of[i]])
+                # a chunk stands in a block once
+                cell[chunk_at[span]] += idf[i] * weight[span]
+            held = np.flatnonzero(cell)
+            relevance = np.rint(cell[held] * 1e9)
+            if top is not None and len(held) > top:
+                able = np.flatnonzero(relevance >= np.partition(relevance, -top)[-top])
+                able = able[np.argsort(-relevance[able], kind="stable")[:top]]
+                held, relevance = held[able], relevance[able]
+            each.append(np.full(len(held), query_at[run[0]]))
+            found.append(held)
+            sums.append(relevance / 1e9)
+        hit = chunks[np.concatenate(found)]
+        return pa.table(
+            [asked.take(pa.array(np.concatenate(each))), docs.take(pa.array(hit // width)), pa.array((hit % width).astype(np.int32)), pa.array(np.concatenate(sums))],
+            names=["query_id", "doc_id", "chunk_index", "relevance"],
+        )
+
+    return score
+
+
 def bm25(index: TextIndex, queries: DataFrame, top: int | None = TOP_DEFAULT) -> DataFrame:
     """The best ``top`` chunks per query for any of its terms: score ``1 / (1 + bm25)`` of the index, as users see it.
 
-    ``queries(query_id, query)``; all terms of a query count. With ``top`` only the shards are scored that can hold one of the best: the best shard of each query
-    by the bounds of its blocks gives a relevance that ``top`` chunks reach, and a shard whose bounds stay below it is skipped, its postings unread.
+    ``queries(query_id, query)``; all terms of a query count. A term's blocks get the queries that ask for it, blocks meet by shard, and a shard of about 1,024 chunks
+    sums its postings for one query after the other: postings are sent once, however many queries ask for them, and no row is made for a query and a posting.
+    With ``top`` a shard hands on the best of each query only; they are ranked among all shards.
     With ``top=None`` all chunks that hold a term come back and no rank is given, so that no query's hits are sorted in one task.
     Rows: query_id, rank (with ``top``), doc_id, chunk_index, relevance, score.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tx.query_terms(F.col("query")))).alias("term"))
     size = index.counted.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg")).alias("s")).scalar()
-    heads = index.blocks.select("shard", "term", "n", "max_tf", "min_length")
-    spread = heads.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
+    spread = index.blocks.select("term", "n").join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
     n, avg = size.getField("n"), size.getField("avg")
     idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    weighted = cut_lineage(asked.join(spread, "term").select("query_id", "term", idf.alias("idf")))
-
-    def weight(tf: Column, length: Column) -> Column:
-        return F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg))
-
-    def scored(wanted: DataFrame, on: list[str]) -> DataFrame:
-        postings = wanted.join(index.blocks.select("shard", "term", "postings"), on).select("query_id", "idf", F.explode("postings").alias("p"))
-        hits = postings.groupBy("query_id", "p.doc_id", "p.chunk_index").agg(F.round(F.sum(weight(F.col("p.tf"), F.col("p.length"))), 9).alias("relevance"))
-        return hits.withColumn("score", 1 / (1 + F.abs("relevance")))
-
+    each = asked.join(spread, "term").select("term", F.struct("query_id", idf.alias("idf")).alias("asked"))
+    askers = cut_lineage(each.groupBy("term").agg(F.array_sort(F.collect_list("asked")).alias("asked")))
+
+    top = None if top is None else max(1, top)
+    blocks = index.blocks.select("shard", "term", "postings").join(askers, "term").select("shard", "postings", "asked", avg.alias("avg"))
+    kinds = {"query_id": asked.schema["query_id"].dataType, "doc_id": index.counted.schema["doc_id"].dataType}
+    rows = ", ".join(f"{k} {v.simpleString()}" for k, v in kinds.items())
+    hits = blocks.groupBy("shard").applyInArrow(_shard_scores(top), f"{rows}, chunk_index int, relevance double").withColumn("score", 1 / (1 + F.abs("relevance")))
     if top is None:
-        return scored(weighted, ["term"])
-    top = max(1, top)
+        return hits
     order = W.partitionBy("query_id").orderBy(F.col("relevance").desc(), "doc_id", "chunk_index")
-
-    def best(hits: DataFrame) -> DataFrame:
-        return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-
-    # the weight grows with the count and falls with the length
-    bounds = weighted.join(heads, "term").groupBy("query_id", "shard").agg(F.sum(weight(F.col("max_tf"), F.col("min_length"))).alias("most"))
-    bounds = cut_lineage(bounds)
-    first = bounds.groupBy("query_id").agg(F.max_by("shard", F.struct("most", "shard")).alias("shard"))
-    reached = best(scored(first.join(weighted, "query_id"), ["term", "shard"])).where(F.col("rank") == top).select("query_id", F.col("relevance").alias("reached"))
-    able = bounds.join(reached, "query_id", "left").where(F.col("most") >= F.coalesce("reached", F.lit(0.0)) - 1e-6).select("query_id", "shard")
-    return best(scored(able.join(weighted, "query_id"), ["term", "shard"]))
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
 def above(hits: DataFrame, threshold: float | None) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from conftest import rows
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import retrieve as r
@@ -145,3 +146,18 @@ def test_lookup_of_many(spark):
     index = r.value_index(spark.createDataFrame([("t", *x) for x in values], "table_name string, column_name string, value string"))
     found = r.lookup_values(index, spark.createDataFrame([(x,) for x in literals], "literal string")).collect()
     assert sorted(((x.literal, x.column_name, x.sample, x.match, x.shared) for x in found), key=str) == lookup_brute(values, literals)
+
+
+def test_scores_of_a_shard_make_no_row_a_posting(spark):
+    """Postings meet queries by shard: the plan holds no explode of postings, and equal scores of many chunks keep their order over shards."""
+    chunks = [(d, 0, "the red fox" if d % 2 else "the dog the") for d in range(200)]
+    index = r.text_index(spark.createDataFrame(chunks, "doc_id int, chunk_index int, content string"), 16)
+    asked = spark.createDataFrame([(None, "fox"), (1, "the fox"), (2, "dog fox"), (3, "nothing")], "query_id int, query string")
+    every = r.bm25(index, asked, None)
+    plan = every._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "explode(postings" not in plan
+    assert sorted(rows(every.groupBy("query_id").count()), key=str) == sorted([(None, 100), (1, 200), (2, 200)], key=str)
+    best = r.bm25(index, asked, 3).where("query_id is not null").orderBy("query_id", "rank").collect()
+    assert [(h.query_id, h.doc_id) for h in best if h.query_id == 1] == [(1, 1), (1, 3), (1, 5)] and len({h.relevance for h in best if h.query_id == 1}) == 1
+    the = index.blocks.where("term = 'the'").agg(F.sum("n"), F.max("max_tf"), F.min("min_length"), F.sum(F.size("postings"))).first()
+    assert tuple(the) == (200, 2, 3, 200)
