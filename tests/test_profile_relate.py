@@ -216,3 +216,22 @@ def test_table_stats_equal_those_of_distinct_values(spark):
         lengths = {} if s.column_name != "n" else dict.fromkeys(("min_length", "max_length", "avg_length"))
         assert got["t", s.column_name] == s.asDict() | lengths, s.column_name
     assert len(got) == 8 and got["none", "text"]["n_rows"] == got["none", "text"]["n_distinct"] == 0 and got["none", "n"]["null_rate"] == 0.0
+
+
+def test_values_are_shuffled_once_and_read_when_counted(spark):
+    """Facts of short values are made after counting, and one shuffle of the values gives pairs and cardinalities."""
+    token, secret = "a" * 40, "$2b$10$" + "x" * 70
+    a = spark.createDataFrame([(1, "Red "), (2, "red"), (2, token), (None, secret), (3, "İ" * 40), (3, None)], "k int, s string")
+    b = spark.createDataFrame([("2", "red"), ("3", "RED"), (" 3", secret)], "k string, s string")
+    v = r.relation_values({"a": a, "b": b})
+    got = {(x.column_name, x.value): (x.folded, x.chars, x.cipher, x.secret, x.cnt) for x in v.where("table_name = 'a'").collect()}
+    assert got["s", "Red "] == ("red ", 3, False, False, 1) and got["s", token] == (token, 40, True, False, 1)
+    assert got["s", None] == (None, None, None, None, 1) and got["k", "2"] == ("2", 1, False, False, 2)
+    long = [f for (c, x), f in got.items() if c == "s" and x and x.startswith("#")]
+    assert [f[1:] for f in long] == [(77, False, True, 1)]
+    counted = [x.split("[", 2)[1] for x in v._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate [" in x]
+    assert counted and all("value" in x and "folded" not in x for x in counted)  # grouped by the value; its facts come after
+    found = r.containment(v)
+    assert "cnt" not in found._jdf.queryExecution().optimizedPlan().toString()  # only column sets are left to read
+    pairs = {(x.child_table, x.child_column, x.parent_column): (x.shared, x.child_distinct) for x in found.collect()}
+    assert pairs == {("a", "k", "k"): (2, 3), ("b", "k", "k"): (2, 2), ("a", "s", "s"): (2, 5), ("b", "s", "s"): (2, 3)}
