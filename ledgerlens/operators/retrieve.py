@@ -292,27 +292,35 @@ def link_mentions(spans: DataFrame, key: str, index: DataFrame, columns: int = L
     return j.select(key, "span", "table_name", "column_name", "sample", "match", F.when(F.col("n") <= columns, "linked").otherwise("ambiguous").alias("status"))
 
 
-def _bounded(text: Column, term: Column) -> Column:
-    """Whether the term stands in the text with no letter, digit or underscore beside it."""
-    return F.regexp_like(text, F.concat(F.lit(r"(^|[^a-z0-9_])"), F.lit(r"\Q"), term, F.lit(r"\E"), F.lit(r"([^a-z0-9_]|$)")))
+def _bounded(text: Column, term: str) -> Column:
+    """Whether the term stands in the text with no letter, digit or underscore beside it.
+
+    The pattern begins with the term, so that a search only stops where the term stands, and is only tried where it does.
+    """
+    return F.contains(text, F.lit(term)) & F.regexp_like(text, F.lit(rf"\Q{term}\E(?<![a-z0-9_]\Q{term}\E)(?![a-z0-9_])"))
 
 
 def rank_pages(pages: DataFrame, terms: list[str]) -> DataFrame:
     """Score of pages (id, type, title, body, status) for the words of one question; pages without a match are left out."""
-    title, body = F.lower("title"), F.lower("body")
-    scores, whole_title = [], F.lit(False)
-    for term in [w.lower() for w in terms]:
-        ideographs = any("一" <= ch <= "鿿" for ch in term)
-        points = 12 if len(term) >= 4 or ideographs else 8
-        hit = (title == term) | _bounded(title, F.lit(term)) | _bounded(body, F.lit(term))
-        loose = F.contains(title, F.lit(term)) | F.contains(body, F.lit(term)) if ideographs else F.lit(False)
-        scores.append(F.when(hit, points).when(loose, 4).otherwise(0))
-        whole_title = whole_title | (title == term)
-    matched = sum(scores[1:], scores[0])
+
+    def points_of(page: Column) -> Column:
+        title, body = page.getField("title"), page.getField("body")
+        scores, whole_title = [], F.lit(False)
+        for term in [w.lower() for w in terms]:
+            ideographs = any("一" <= ch <= "鿿" for ch in term)
+            points = 12 if len(term) >= 4 or ideographs else 8
+            hit = (title == term) | _bounded(title, term) | _bounded(body, term)
+            loose = F.contains(title, F.lit(term)) | F.contains(body, F.lit(term)) if ideographs else F.lit(False)
+            scores.append(F.when(hit, points).when(loose, 4).otherwise(0))
+            whole_title = whole_title | (title == term)
+        return F.struct(sum(scores[1:], scores[0]).alias("m"), whole_title.alias("whole"))
+
+    # each page is lowered and searched once: a generator is not copied into the filter on its result
+    lowered = F.array(F.struct(F.lower("title").alias("title"), F.lower("body").alias("body")))
+    scored = pages.select("id", "type", "status", F.explode(F.transform(lowered, points_of)).alias("_p")).where("_p.m > 0")
     weight = F.coalesce(*[F.when(F.col("type") == k, F.lit(v)) for k, v in PAGE_WEIGHTS.items()], F.lit(0))
-    bonus = F.when((F.col("type") == "table") & whole_title, 40).otherwise(0)
-    scored = pages.withColumn("_m", matched).where("_m > 0")
-    return scored.select("id", "type", (F.col("_m") + bonus + weight - F.when(F.col("status") == "pending", 2).otherwise(0)).alias("score"))
+    bonus = F.when((F.col("type") == "table") & F.col("_p.whole"), 40).otherwise(0)
+    return scored.select("id", "type", (F.col("_p.m") + bonus + weight - F.when(F.col("status") == "pending", 2).otherwise(0)).alias("score"))
 
 
 def conversation_view(messages: DataFrame, conversation: str, position: str, role: str, text: str) -> DataFrame:

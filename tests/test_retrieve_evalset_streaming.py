@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pytest
@@ -246,3 +247,18 @@ def test_directory_lists_tables_of_many_files(spark, tmp_path):
     (tmp_path / "notes.txt").write_text("x")
     got = readers.read_directory(spark, str(tmp_path))
     assert {n: df.count() for n, df in got.items()} == {"a b": 40, "c": 40}
+
+
+def test_pages_are_searched_once(spark):
+    bodies = ["the heat", "them heath", "a_the the_", "(the)", "the", "x the\n", "preheat heat", "", None, "The", "thethe the1", "2.5 a+b", "a+bc"]
+    pages = spark.createDataFrame([(i, "table", "src7" if i == 4 else "t", b, "done") for i, b in enumerate(bodies)], "id int, type string, title string, body string, status string")
+    terms = ["the", "heat", "a+b", "src7"]
+    found = r.rank_pages(pages, terms)
+    want = {}
+    for i, body in enumerate(bodies):
+        at = lambda w, text: bool(re.search(rf"(^|[^a-z0-9_]){re.escape(w)}([^a-z0-9_]|$)", text))
+        m = sum((12 if len(w) >= 4 else 8) for w in terms if at(w, (body or "").lower()) or at(w, "src7" if i == 4 else "t"))
+        if m:
+            want[i] = m + 5 + (40 if i == 4 else 0)
+    assert {x.id: x.score for x in found.collect()} == want
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("lower(body") == 1
