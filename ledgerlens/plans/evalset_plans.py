@@ -92,6 +92,9 @@ def x03(t):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+PAIRS_OF_A_TASK = 500_000
+
+
 @query(
     "X04_set_equality",
     """WITH a AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag <> 'R'), b AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag <> 'A')
@@ -99,7 +102,10 @@ def x03(t):
               NOT EXISTS (SELECT * FROM a EXCEPT SELECT * FROM b) AND NOT EXISTS (SELECT * FROM b EXCEPT SELECT * FROM a) AS set_equal""",
 )
 def x04(t):
-    pairs = lambda flag: t.lineitem.where(F.col("l_returnflag") != flag).select("l_partkey", "l_suppkey").distinct()
+    # tasks hold so many rows however large the table is: pairs hardly repeat, so they are dealt out before they are made distinct
+    tasks = 1 + t.lineitem.count() // PAIRS_OF_A_TASK
+    dealt = lambda flag: t.lineitem.where(F.col("l_returnflag") != flag).select("l_partkey", "l_suppkey").repartition(tasks, "l_partkey", "l_suppkey")
+    pairs = lambda flag: dealt(flag).distinct()
     return e.compare_results(pairs("R"), pairs("A")).select("only_left", "only_right", "set_equal")
 
 

@@ -262,3 +262,17 @@ def test_pages_are_searched_once(spark):
             want[i] = m + 5 + (40 if i == 4 else 0)
     assert {x.id: x.score for x in found.collect()} == want
     assert found._jdf.queryExecution().optimizedPlan().toString().count("lower(body") == 1
+
+
+def test_set_equality_deals_pairs_by_rows(spark, monkeypatch):
+    """The tasks of the comparison grow with the table, not the rows of a task."""
+    from ledgerlens.plans import evalset_plans as plans
+    from ledgerlens.plans.registry import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    want = plans.x04(t).collect()
+    monkeypatch.setattr(plans, "PAIRS_OF_A_TASK", 1000)
+    found = plans.x04(t)
+    n = 1 + t.lineitem.count() // 1000
+    assert n > 5 and found._jdf.queryExecution().optimizedPlan().toString().count(f"], {n}") == 2
+    assert found.collect() == want
