@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from ledgerlens.session import cut_lineage
 
 
-def running_totals(cells: DataFrame, by: list[str], order: str, sums: list[str], descending: bool = False) -> DataFrame:
-    """Add ``cum_<s>`` (inclusive running sum) per group in the order of ``order``.
+def running_totals(cells: DataFrame, by: list[str], order: str, sums: list[str], descending: bool = False, whole: bool = False) -> DataFrame:
+    """Add ``cum_<s>`` (inclusive running sum) per group in the order of ``order``; with ``whole`` also ``all_<s>``, the group's total.
 
     ``cells`` holds one row per (by, order).
     """
@@ -27,13 +27,15 @@ def running_totals(cells: DataFrame, by: list[str], order: str, sums: list[str],
     # one row per group and slice: bounded by groups + slices, whatever the data size
     totals = sliced.groupBy(*by, "_slice").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     before = W.partitionBy(*by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    group = W.partitionBy(*by)
     offsets = totals.select(
-        *by, "_slice", *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums]
+        *by, "_slice", *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums],
+        *([F.sum(f"_t_{s}").over(group).alias(f"all_{s}") for s in sums] if whole else []),
     )
     inside = W.partitionBy(*by, "_slice").orderBy(direction).rowsBetween(W.unboundedPreceding, 0)
     local = sliced.select("*", *[F.sum(s).over(inside).alias(f"_l_{s}") for s in sums])
     joined = join_nullsafe(local, offsets, [*by, "_slice"])
-    return joined.select(*cells.columns, *[(F.col(f"_l_{s}") + F.col(f"_o_{s}")).alias(f"cum_{s}") for s in sums])
+    return joined.select(*cells.columns, *[(F.col(f"_l_{s}") + F.col(f"_o_{s}")).alias(f"cum_{s}") for s in sums], *([f"all_{s}" for s in sums] if whole else []))
 
 
 def join_nullsafe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -50,9 +52,8 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]
     levels = F.array(*[F.lit(float(p)) for p in probs])
     amount = F.sum(weight) if weight else F.count(F.lit(1))
     cells = rows.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(amount.alias("_n"))
-    ranked = running_totals(cells, by, "_v", ["_n"])
-    size = ranked.groupBy(*by).agg(F.max("cum__n").alias("_size"))
-    joined = join_nullsafe(ranked, size, by) if by else ranked.withColumn("_size", size.scalar())
+    # the size comes with the slices' offsets: no join gathers a group's values in one task
+    joined = running_totals(cells, by, "_v", ["_n"], whole=True).withColumnRenamed("all__n", "_size")
     # each wanted rank falls into one cell; keep the cells that hold the lower or the upper rank
     holds = lambda rank: (F.col("cum__n") > rank) & (F.col("cum__n") - F.col("_n") <= rank)
 

@@ -40,6 +40,11 @@ def feature_facts(cells: DataFrame) -> DataFrame:
     return cells.groupBy("feature").agg(F.count("value").alias("n_unique"), (missing / F.sum("n")).alias("missing_rate"))
 
 
+def per_feature(facts: DataFrame) -> DataFrame:
+    """Facts of one row a feature, to join with cells: they go to the cells, which stay dealt by (feature, value) and never gather by feature."""
+    return F.broadcast(facts)
+
+
 def class_totals(df: DataFrame, label: str) -> tuple[Column, Column]:
     """Positive and negative rows as scalar expressions."""
     row = df.agg(F.struct(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n")).alias("t")).scalar()
@@ -72,7 +77,7 @@ def categorical_screening(df: DataFrame, features: list[str], label: str, limit:
 def _categorical(cells: DataFrame, total_pos: Column, total_neg: Column, limit: int | None) -> DataFrame:
     if limit is not None:
         narrow = feature_facts(cells).where(F.col("n_unique") <= limit).select("feature")
-        cells = cells.join(narrow, "feature", "left_semi")
+        cells = cells.join(per_feature(narrow), "feature", "left_semi")
     stats = group_statistics(cells, total_pos, total_neg)
     return stats.withColumn("value", F.coalesce("value", F.lit("NULL")))
 
@@ -99,18 +104,18 @@ def bin_of(x: Column, edges: Column) -> Column:
 
 def binned_cells(cells: DataFrame, edges: DataFrame, sums: list[str]) -> DataFrame:
     """Cells of numeric features summed per bin; edges are one row per feature."""
-    j = cells.join(edges, "feature").withColumn("x", F.expr("try_cast(value as double)")).where("x is not null")
+    j = cells.join(per_feature(edges), "feature").withColumn("x", F.expr("try_cast(value as double)")).where("x is not null")
     return j.groupBy("feature", bin_of(F.col("x"), F.col("edges")).alias("bin")).agg(*[F.sum(s).alias(s) for s in sums])
 
 
 def numeric_screening(df: DataFrame, features: list[str], label: str, bins: int = BINS, limit: int = CATEGORY_LIMIT) -> DataFrame:
     """Group statistics per quantile bin of every numeric feature with more than ``limit`` values."""
-    return _numeric(feature_cells(df, features, label), *class_totals(df, label), bins, limit)
+    return _numeric(cut_lineage(feature_cells(df, features, label)), *class_totals(df, label), bins, limit)
 
 
 def _numeric(cells: DataFrame, total_pos: Column, total_neg: Column, bins: int, limit: int) -> DataFrame:
     wide = feature_facts(cells).where(F.col("n_unique") > limit).select("feature")
-    kept = cells.join(wide, "feature", "left_semi")
+    kept = cells.join(per_feature(wide), "feature", "left_semi")
     binned = binned_cells(kept, quantile_edges(kept, bins), ["n", "pos", "neg"])
     named = binned.withColumn("value", F.concat(F.lit("bin_"), F.col("bin").cast("string")))
     return group_statistics(named, total_pos, total_neg)
@@ -137,7 +142,7 @@ def _stability(all_cells: DataFrame, numeric: list[str], text: list[str], bins:
         words.select("feature", "value", "n_train", "n_valid")
     )
     totals = groups.groupBy("feature").agg(F.sum("n_train").alias("_t"), F.sum("n_valid").alias("_v"), F.count(F.lit(1)).alias("_k"))
-    j = groups.join(totals, "feature")
+    j = groups.join(per_feature(totals), "feature")
     share = lambda n, total: F.when(F.col(n) == 0, EMPTY_SHARE).otherwise(F.col(n) / F.nullif(F.col(total), F.lit(0)))
     t, v = share("n_train", "_t"), share("n_valid", "_v")
     usable = (F.col("_t") > 0) & (F.col("_v") > 0)

@@ -66,3 +66,15 @@ def test_hash_rank_select(spark):
     assert o.hash_rank_select(df, [], "id", F.lit(7)).count() == 7
     assert o.hash_rank_select(df, [], "id", F.lit(0)).count() == 0
     assert o.hash_rank_select(df, [], "id", F.lit(9999)).count() == 500
+
+
+def test_quantiles_gather_no_group(spark):
+    """The only join of quantiles is by slice; a join by group would send all values of a group to one task."""
+    _, df = skewed(spark)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = o.exact_quantiles(df, ["g"], "x", [0.5])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("SortMergeJoin") == 1, plan

@@ -274,3 +274,16 @@ def test_quantile_bins(spark, bins):
     for r in c.quantile_bins(df, ["x"], bins).collect():
         want = -1 if r.x is None else np.searchsorted(edges[1:-1], r.x, side="right")
         assert r.x_bin == want
+
+
+def test_cells_are_not_gathered_by_feature(spark):
+    """Facts of a feature go to its cells: a shuffle by feature alone would put all values of a feature in one task."""
+    df = spark.range(400).selectExpr("cast(id as double) AS f_num", "cast(id % 7 = 0 as int) AS label")
+    cells = c.feature_cells(df, ["f_num"], "label")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for out in (c._numeric(cells, *c.class_totals(df, "label"), 10, 100), c._categorical(cells, *c.class_totals(df, "label"), 100)):
+            assert "SortMergeJoin [feature#" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
