@@ -36,6 +36,8 @@ FREQUENT = 1 << 17
 COUNTERS = 1 << 18
 #: Shingles that wait in a task to be counted together.
 WAITING = 1 << 18
+#: Pairs and edges that a task gets at least.
+PAIRS, EDGES = 2_000, 50_000
 #: Parts that a frequent column is dealt over, logarithm of a size class's width, and keys of a task that are remembered.
 SALTS, CLASS, SEEN = 64, np.log(1.25), 1_000_000
 
@@ -247,25 +249,33 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
 
 
+def tasks(df: DataFrame, rows: int, least: int) -> DataFrame:
+    """The frame in no more tasks than ``rows`` fill with ``least`` each: few rows need no Python worker and no file for each partition."""
+    return df.coalesce(min(partitions(df.sparkSession), 1 + rows // least))
+
+
 def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (``a, b``) whose sizes and parities allow a link; no linked pair is lost."""
+    """Those of the pairs (``a, b``, written) whose sizes and parities allow a link; no linked pair is lost."""
     of = sets.select(F.col("row").alias("_row"), "n", "bits")
     both = pairs.join(of.withColumnsRenamed({"n": "n_a", "bits": "bits_a"}), F.col("a") == F.col("_row")).drop("_row")
     both = both.join(of.withColumnsRenamed({"n": "n_b", "bits": "bits_b"}), F.col("b") == F.col("_row")).drop("_row")
     part, whole = SIMILARITY
     both = both.where(whole * F.least("n_a", "n_b") >= part * F.greatest("n_a", "n_b"))
-    return written(both.mapInArrow(lean(_possible), "a long, b long"), "ngram-possible")
+    return written(tasks(both, pairs.count(), PAIRS).mapInArrow(lean(_possible), "a long, b long"), "ngram-possible")
 
 
 def linked_pairs(pairs: DataFrame, known: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs (``a, b``, different) whose overlap is enough: a block holds a head and at most about ``BLOCK`` of its rows.
+    """Those of the pairs (``a, b``, different, written) whose overlap is enough: a block holds a head and at most about ``BLOCK`` of its rows.
 
     Whole sets are made again for the rows of the pairs alone, from one text each.
     """
     spark = pairs.sparkSession
     pairs = possible(pairs, known)
+    n = pairs.count()
+    if not n:
+        return pairs
     rows = pairs.select(F.col("a").alias("_row")).unionByName(pairs.select(F.col("b").alias("_row"))).distinct()
-    ids = written(rows.join(known, F.col("_row") == F.col("row")).select(F.col("id").alias("_id")).distinct(), "ngram-ids")
+    ids = written(rows.join(known, F.col("_row") == F.col("row")).select(F.col("id").alias("_id")), "ngram-ids")
     whole = texts.join(ids, F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("text")
     sets = whole.mapInArrow(lean(_whole_sets), "row long, members array<long>").dropDuplicates(["row"])
     sizes = pairs.groupBy(F.col("a").alias("_a")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
@@ -273,31 +283,36 @@ def linked_pairs(pairs: DataFrame, known: DataFrame, texts: DataFrame) -> DataFr
     heads = rows.select("head", F.col("head").alias("want"), "block").distinct()
     wanted = rows.unionByName(heads).join(sets, F.col("want") == F.col("row")).drop("want")
     dealt = wanted.repartition(partitions(spark), "head", "block").sortWithinPartitions("head", "block", F.col("row") != F.col("head"))
-    return written(dealt.select("head", "block", "row", "members").mapInArrow(lean(_product), "a long, b long"), "ngram-links")
+    return written(tasks(dealt.select("head", "block", "row", "members"), n, PAIRS).mapInArrow(lean(_product), "a long, b long"), "ngram-links")
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _open(edges: DataFrame) -> int:
+    """Nodes that keep the edges from being stars: with two smaller neighbours, or with a smaller one and a larger one."""
+    ends = edges.select(F.col("u").alias("w"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("w"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("w").agg(F.sum("up").alias("up"), F.max("down").alias("down")).agg(F.count_if(F.expr("up > 1 OR up = 1 AND down = 1"))).first()[0]
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node, root``: the smallest node that each node of the edges (``a, b``) is joined with, by alternating large and small stars."""
-    edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "ngram-edges")
-    seen = _state(edges)
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy(F.col("u").alias("w")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = written(large.where("u > v").distinct(), "ngram-large")
+    """``node, root``: the smallest node that each node of the edges (``a, b``) is joined with, by alternating large and small stars until only stars are left."""
+    edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v")
+    edges = written(edges.distinct(), "ngram-edges")
+    rows = edges.count()  # no step makes more edges
+    while _open(edges):
+        # large star: an edge goes on to the smallest neighbour of its smaller end
+        least = edges.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
+        large = written(edges.join(least, F.col("v") == F.col("w"), "left").select("u", F.coalesce("m", "v").alias("v")).transform(tasks, rows, EDGES), "ngram-large")
+        # small star: a node and its smaller neighbours go to the smallest of these
         least = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
-        small = large.join(least, F.col("u") == F.col("w"))
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        edges = written(small.where("u > v").distinct(), "ngram-small")
-        state = _state(edges)
-        if state == seen:
-            break
-        seen = state
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        small = large.join(least, F.col("u") == F.col("w")).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = written(small.unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct().transform(tasks, rows, EDGES), "ngram-small")
+    return written(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "ngram-roots")
+
+
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The components with more links (``a, b``): known ones go in as stars."""
+    if links.isEmpty():
+        return roots
+    return components(links.unionByName(roots.where("node > root").select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,10 +351,10 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
 
-def _placed(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows of each column, each once, with the roots of their components."""
-    rows = shared.select("shingle", "class", "row", "n", "rank").distinct().join(roots, F.col("row") == F.col("node"), "left")
-    return written(rows.select("shingle", "class", "row", "n", "rank", F.coalesce("root", "row").alias("root")), "ngram-placed")
+def _placed(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of each column with the roots of their components."""
+    placed = rows.join(roots, F.col("row") == F.col("node"), "left")
+    return written(placed.select("shingle", "class", "row", "n", "rank", F.coalesce("root", "row").alias("root")), "ngram-placed")
 
 
 def star_pairs(placed: DataFrame, turn: int) -> DataFrame:
@@ -403,17 +418,20 @@ def near_groups(docs: DataFrame) -> DataFrame:
     hot = hot.join(tops, (F.col("shingle") == F.col("_s")) & (F.col("class") == F.col("_c"))).where("a != head").select("a", F.col("head").alias("b"))
     pairs = written(stars.unionByName(hot).distinct(), "ngram-pairs")
 
-    links = linked_pairs(pairs, sets, texts)
+    rows = written(shared.select("shingle", "class", "row", "n", "rank").distinct(), "ngram-rows")  # each row of a column once
+    roots = components(linked_pairs(pairs, sets, texts))
+    placed = _placed(rows, roots)
     for turn in range(1, TURNS + 1):  # large groups grow together; what is left apart is compared in full below
-        roots = written(components(links), "ngram-roots")
-        pairs = written(star_pairs(_placed(shared, roots), turn), "ngram-pairs")
+        pairs = written(star_pairs(placed, turn), "ngram-pairs")
         if pairs.isEmpty():
             break
-        links = links.unionByName(linked_pairs(pairs, sets, texts))
-    roots = written(components(links), "ngram-roots")
-    more = linked_pairs(cross_pairs(_placed(shared, roots), sets), sets, texts)
+        links = linked_pairs(pairs, sets, texts)
+        if not links.isEmpty():
+            roots = joined(roots, links)
+            placed = _placed(rows, roots)
+    more = linked_pairs(written(cross_pairs(placed, sets), "ngram-cross"), sets, texts)
     same = known.where("id IS NOT NULL").groupBy("id").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a < b").select("a", "b")  # one doc_id, several sets
-    roots = written(components(links.unionByName(more).unionByName(same)), "ngram-roots")
+    roots = joined(roots, more.unionByName(same))
     labelled = known.join(roots, (F.col("row") == F.col("node")) & (F.col("n") > 0), "left")
     labelled = written(labelled.select("id", "n", "row", F.when(F.col("n") > 0, F.coalesce("root", "row")).alias("root")), "ngram-labels")
     names = labelled.where("root IS NOT NULL").groupBy(F.col("root").alias("_root")).agg(F.min("id").alias("name"))

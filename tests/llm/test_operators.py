@@ -92,6 +92,17 @@ def near_brute(rows):
     return sorted((str(r[0]), len(sets[k]), str(smallest[find(k)])) for k, r in enumerate(rows))
 
 
+def test_components_stop_at_stars(spark, monkeypatch):
+    """Links that are stars already take no round; a chain ends in its smallest node."""
+    steps, write = [], ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", lambda df, label, **o: (steps.append(label), write(df, label, **o))[1])
+    stars = spark.createDataFrame([(1, 2), (1, 3), (7, 9)], "a long, b long")
+    assert sorted(map(tuple, ngram_join.components(stars).collect())) == [(1, 1), (2, 1), (3, 1), (7, 7), (9, 7)]
+    assert steps == ["ngram-edges", "ngram-roots"]
+    roots = ngram_join.components(spark.createDataFrame([(k, k + 1) for k in range(-4, 4)], "a long, b long"))
+    assert sorted(map(tuple, roots.collect())) == [(k, -4) for k in range(-4, 5)]
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_near_groups(spark, docs, nothing, monkeypatch, small):
     rows = list(ROWS)
