@@ -36,8 +36,8 @@ FREQUENT = 1 << 17
 COUNTERS = 1 << 18
 #: Shingles that wait in a task to be counted together.
 WAITING = 1 << 18
-#: Pairs and edges that a task gets at least.
-PAIRS, EDGES = 2_000, 50_000
+#: Pairs that a task multiplies at least.
+PAIRS = 2_000
 #: Parts that a frequent column is dealt over, logarithm of a size class's width, and keys of a task that are remembered.
 SALTS, CLASS, SEEN = 64, np.log(1.25), 1_000_000
 
@@ -249,23 +249,18 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
 
 
-def tasks(df: DataFrame, rows: int, least: int) -> DataFrame:
-    """The frame in no more tasks than ``rows`` fill with ``least`` each: few rows need no Python worker and no file for each partition."""
-    return df.coalesce(min(partitions(df.sparkSession), 1 + rows // least))
-
-
 def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (``a, b``, written) whose sizes and parities allow a link; no linked pair is lost."""
+    """Those of the pairs (``a, b``) whose sizes and parities allow a link; no linked pair is lost."""
     of = sets.select(F.col("row").alias("_row"), "n", "bits")
     both = pairs.join(of.withColumnsRenamed({"n": "n_a", "bits": "bits_a"}), F.col("a") == F.col("_row")).drop("_row")
     both = both.join(of.withColumnsRenamed({"n": "n_b", "bits": "bits_b"}), F.col("b") == F.col("_row")).drop("_row")
     part, whole = SIMILARITY
     both = both.where(whole * F.least("n_a", "n_b") >= part * F.greatest("n_a", "n_b"))
-    return written(tasks(both, pairs.count(), PAIRS).mapInArrow(lean(_possible), "a long, b long"), "ngram-possible")
+    return written(both.mapInArrow(lean(_possible), "a long, b long"), "ngram-possible")
 
 
 def linked_pairs(pairs: DataFrame, known: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs (``a, b``, different, written) whose overlap is enough: a block holds a head and at most about ``BLOCK`` of its rows.
+    """Those of the pairs (``a, b``, different) whose overlap is enough: a block holds a head and at most about ``BLOCK`` of its rows.
 
     Whole sets are made again for the rows of the pairs alone, from one text each.
     """
@@ -282,8 +277,8 @@ def linked_pairs(pairs: DataFrame, known: DataFrame, texts: DataFrame) -> DataFr
     rows = pairs.join(sizes, F.col("a") == F.col("_a")).select(F.col("a").alias("head"), F.col("b").alias("want"), F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"))
     heads = rows.select("head", F.col("head").alias("want"), "block").distinct()
     wanted = rows.unionByName(heads).join(sets, F.col("want") == F.col("row")).drop("want")
-    dealt = wanted.repartition(partitions(spark), "head", "block").sortWithinPartitions("head", "block", F.col("row") != F.col("head"))
-    return written(tasks(dealt.select("head", "block", "row", "members"), n, PAIRS).mapInArrow(lean(_product), "a long, b long"), "ngram-links")
+    dealt = wanted.repartition(min(partitions(spark), 1 + n // PAIRS), "head", "block").sortWithinPartitions("head", "block", F.col("row") != F.col("head"))
+    return written(dealt.select("head", "block", "row", "members").mapInArrow(lean(_product), "a long, b long"), "ngram-links")
 
 
 def _open(edges: DataFrame) -> int:
@@ -296,15 +291,14 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, root``: the smallest node that each node of the edges (``a, b``) is joined with, by alternating large and small stars until only stars are left."""
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v")
     edges = written(edges.distinct(), "ngram-edges")
-    rows = edges.count()  # no step makes more edges
     while _open(edges):
         # large star: an edge goes on to the smallest neighbour of its smaller end
         least = edges.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
-        large = written(edges.join(least, F.col("v") == F.col("w"), "left").select("u", F.coalesce("m", "v").alias("v")).transform(tasks, rows, EDGES), "ngram-large")
+        large = written(edges.join(least, F.col("v") == F.col("w"), "left").select("u", F.coalesce("m", "v").alias("v")), "ngram-large")
         # small star: a node and its smaller neighbours go to the smallest of these
         least = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
         small = large.join(least, F.col("u") == F.col("w")).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(small.unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct().transform(tasks, rows, EDGES), "ngram-small")
+        edges = written(small.unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct(), "ngram-small")
     return written(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "ngram-roots")
 
 
@@ -429,7 +423,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
         if not links.isEmpty():
             roots = joined(roots, links)
             placed = _placed(rows, roots)
-    more = linked_pairs(written(cross_pairs(placed, sets), "ngram-cross"), sets, texts)
+    more = linked_pairs(cross_pairs(placed, sets), sets, texts)
     same = known.where("id IS NOT NULL").groupBy("id").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a < b").select("a", "b")  # one doc_id, several sets
     roots = joined(roots, more.unionByName(same))
     labelled = known.join(roots, (F.col("row") == F.col("node")) & (F.col("n") > 0), "left")
