@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.predicates import in_label_window, in_lookback, present, through
-from ledgerlens.operators.ordering import hash_rank_select
+from ledgerlens.operators.ordering import hash_rank_mark, hash_rank_select
 from ledgerlens.session import cut_lineage
 
 REGULAR_MIN = 500
@@ -213,9 +213,8 @@ def sample_statistics(sample: DataFrame) -> DataFrame:
 
 def stratified_split(df: DataFrame, key: str, label_column: str, share: float = 0.8) -> DataFrame:
     """Add ``split`` train or valid: per class the first ``int(share * n)`` keys in hash order are train."""
-    train = hash_rank_select(df.select(key, label_column), [label_column], key, F.floor(F.col("_size") * share))
-    marked = df.join(train.select(key, F.lit("train").alias("split")), key, "left")
-    return marked.withColumn("split", F.coalesce("split", F.lit("valid")))
+    marked = hash_rank_mark(df, [label_column], key, F.floor(F.col("_size") * share), "_train")
+    return marked.withColumn("split", F.when(F.col("_train"), "train").otherwise("valid")).drop("_train")
 
 
 def key_overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

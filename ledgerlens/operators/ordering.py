@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerlens.session import cut_lineage
+from ledgerlens.session import cut_lineage, written
 
 
 def running_totals(cells: DataFrame, by: list[str], order: str, sums: list[str], descending: bool = False, whole: bool = False) -> DataFrame:
@@ -54,15 +54,13 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]
     cells = rows.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(amount.alias("_n"))
     # the size comes with the slices' offsets: no join gathers a group's values in one task
     joined = running_totals(cells, by, "_v", ["_n"], whole=True).withColumnRenamed("all__n", "_size")
-    # each wanted rank falls into one cell; keep the cells that hold the lower or the upper rank
-    holds = lambda rank: (F.col("cum__n") > rank) & (F.col("cum__n") - F.col("_n") <= rank)
-
+    # each wanted rank falls into one cell; keep the cells [cum - n, cum) that hold the whole rank below or above it
     def near(prob: Column) -> Column:
         rank = (F.col("_size") - 1) * prob
-        return holds(F.floor(rank)) | holds(F.ceil(rank))
+        return (F.col("cum__n") > rank) & (F.col("cum__n") - F.col("_n") - 1 < rank)
 
-    # cells that hold no wanted rank leave before the levels multiply rows
-    few = joined.where(reduce(lambda a, b: a | b, [near(F.lit(float(p))) for p in probs]))
+    # cells that hold no wanted rank leave before the levels multiply rows; one lambda, as code for all levels would be too long to be compiled
+    few = joined.where(F.exists(levels, near))
     wanted = few.select(*by, "_v", "_n", "cum__n", "_size", F.explode(levels).alias("prob"))
     place = (F.col("_size") - 1) * F.col("prob")
     lower = F.floor(place)
@@ -86,15 +84,38 @@ def hash_rank_select(df: DataFrame, by: list[str], key: str, keep: Column, small
     Rows fall into buckets by the leading hex digits of the hash (16**3 even buckets). Bucket counts give the bucket in
     which the cut lies; only that bucket is ranked. ``keep`` may use ``by`` columns and ``_size``, the rows of the group.
     """
-    h = df.withColumn("_h", F.md5(F.col(key).cast("string"))).withColumn("_b", F.substring("_h", 1, small_width))
+    h = _hashed(df, key, small_width)
+    joined = join_nullsafe(h, _kept_buckets(h, by, keep), [*by, "_b"])
+    full = joined.where("_need >= _bn").select(*df.columns)
+    rank = F.row_number().over(W.partitionBy(*by, "_b").orderBy("_h", key))
+    cut = joined.where("_need < _bn").withColumn("_rank", rank).where("_rank <= _need").select(*df.columns)
+    return full.unionByName(cut)
+
+
+def _hashed(df: DataFrame, key: str, width: int) -> DataFrame:
+    return df.withColumn("_h", F.md5(F.col(key).cast("string"))).withColumn("_b", F.substring("_h", 1, width))
+
+
+def _kept_buckets(h: DataFrame, by: list[str], keep: Column) -> DataFrame:
+    """Buckets of which something is kept: their rows (``_bn``) and how many are still wanted (``_need``)."""
     counts = h.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_bn"))
     order = W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, 0)
     whole = W.partitionBy(*by)
     edges = counts.select(*by, "_b", "_bn", F.sum("_bn").over(order).alias("_bc"), F.sum("_bn").over(whole).alias("_size"))
     edges = edges.withColumn("_keep", keep).withColumn("_need", F.col("_keep") - (F.col("_bc") - F.col("_bn")))
-    edges = edges.where("_need > 0").select(*by, "_b", "_bn", "_need")
-    joined = join_nullsafe(h, edges, [*by, "_b"])
-    full = joined.where("_need >= _bn").select(*df.columns)
+    return edges.where("_need > 0").select(*by, "_b", "_bn", "_need")
+
+
+def hash_rank_mark(df: DataFrame, by: list[str], key: str, keep: Column, out: str, small_width: int = 3) -> DataFrame:
+    """All rows, with whether :func:`hash_rank_select` would keep them in ``out``; never for a key that is null.
+
+    The buckets, and the kept keys of those in which a cut lies, are small written tables, so that whole rows meet them where they lie. ``df`` is read three
+    times, twice for its keys only.
+    """
+    keys = _hashed(df.select(*dict.fromkeys([*by, key])), key, small_width)
+    edges = written(_kept_buckets(keys, by, keep), "kept-buckets")
     rank = F.row_number().over(W.partitionBy(*by, "_b").orderBy("_h", key))
-    cut = joined.where("_need < _bn").withColumn("_rank", rank).where("_rank <= _need").select(*df.columns)
-    return full.unionByName(cut)
+    cut = join_nullsafe(keys, edges.where("_need < _bn"), [*by, "_b"]).withColumn("_rank", rank).where("_rank <= _need")
+    cut = written(cut.select(F.col(key).alias("_cut")), "kept-keys")
+    marked = join_nullsafe(_hashed(df, key, small_width), edges.where("_need >= _bn"), [*by, "_b"], "left").join(cut, F.col(key) == F.col("_cut"), "left")
+    return marked.select(*df.columns, (F.col(key).isNotNull() & (F.col("_need").isNotNull() | F.col("_cut").isNotNull())).alias(out))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ledgerlens.plans.registry import stored
+from ledgerlens.session import written
 
 # Statement log: one SQL text per event.
 STATEMENTS_SQL = """
@@ -241,8 +242,7 @@ def _features(t):
         "o_orderdate",
         "shipped",
     )
-    split = stratified_split(wide.select("user_id", "label"), "user_id", "label").select("user_id", "split")
-    return wide.join(split, "user_id")
+    return stratified_split(written(wide, "wide"), "user_id", "label")
 
 
 # Three scores per order: a smooth one, a tree-like one and a sum of points.

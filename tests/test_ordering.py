@@ -78,3 +78,21 @@ def test_quantiles_gather_no_group(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert plan.count("SortMergeJoin") == 1, plan
+
+
+def test_marked_rows_are_the_selected_ones(spark):
+    df = spark.range(3000).selectExpr("CASE WHEN id % 500 > 0 THEN id END AS id", "CASE WHEN id % 7 > 0 THEN id % 3 END AS c", "repeat('x', 20) AS wide")
+    keep = F.floor(F.col("_size") * 0.3)
+    marked = o.hash_rank_mark(df, ["c"], "id", keep, "kept", 1)
+    assert marked.count() == 3000 and marked.where("kept IS NULL").count() == 0
+    want = {r.id for r in o.hash_rank_select(df, ["c"], "id", keep, 1).collect()} - {None}
+    assert {r.id for r in marked.where("kept").collect()} == want
+    # whole rows meet small written tables and are not shuffled
+    assert "hashpartitioning" not in marked._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filter_of_quantile_cells_does_not_grow_with_levels(spark):
+    """A filter that repeats the cell's columns for each level is too long to be compiled and runs several times slower."""
+    df = spark.range(50).selectExpr("id % 2 AS g", "cast(id AS double) AS x")
+    plans = [o.exact_quantiles(df, ["g"], "x", [i / n for i in range(n + 1)])._jdf.queryExecution().optimizedPlan().toString() for n in (2, 100)]
+    assert plans[0].count("_size") == plans[1].count("_size")
