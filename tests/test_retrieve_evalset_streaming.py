@@ -276,3 +276,34 @@ def test_set_equality_deals_pairs_by_rows(spark, monkeypatch):
     n = 1 + t.lineitem.count() // 1000
     assert n > 5 and found._jdf.queryExecution().optimizedPlan().toString().count(f"], {n}") == 2
     assert found.collect() == want
+
+
+def test_batches_do_not_grow_with_files(spark, tmp_path):
+    """An arrival of many files is one batch: each batch reads and writes the state of all runs that it touches."""
+    import os
+    from types import SimpleNamespace
+
+    from ledgerlens.plans import stream_plans as sp
+
+    df = spark.range(400).selectExpr("id", "timestamp_millis(1704067200000 + id * 1000) AS ts").repartition(8)
+    path, stream = sp.source(SimpleNamespace(spark=spark), df, "many-files")
+    assert len(spark.read.parquet(path).inputFiles()) == 8 * sp.ARRIVALS
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    z.append_files(stream, out, state)
+    assert spark.read.parquet(out).count() == 400 and len([x for x in os.listdir(f"{state}/offsets") if x.isdigit()]) == sp.ARRIVALS
+
+
+def test_a_run_that_goes_on_is_not_silent(spark, tmp_path):
+    src, out, state = (str(tmp_path / x) for x in ("src", "out", "state"))
+
+    def go(*data):
+        for part in data:
+            arrive(spark, src, part)
+        with z.state_on_disk(spark):
+            z.append_files(z.flush_on_end(z.event_stream(spark, src, STREAM, 1), "ts", "1 hour", "1 minute"), out, state)
+        return sorted(rows(spark.read.schema("run_id bigint, event_id bigint, reason string").parquet(out)))
+
+    assert go([(1, "RESULT", 10, "2024-01-01 00:00:00")], [(1, "STEP", 11, "2024-01-01 00:50:00")]) == []
+    assert go([(9, "STEP", 90, "2024-01-01 01:30:00")]) == []  # an hour after the result, not after the run's last event
+    assert go([(9, "STEP", 91, "2024-01-01 01:55:00")]) == [(1, 10, "timeout")]
+    assert go([(1, "RESULT", 12, "2024-01-01 02:00:00")], [(9, "STEP", 92, "2024-01-01 04:00:00")]) == [(1, 10, "timeout"), (1, 12, "timeout")]
