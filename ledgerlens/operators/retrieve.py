@@ -15,7 +15,7 @@ from ledgerlens.functions import text as tx
 from ledgerlens.functions.names import normal_text
 from ledgerlens.operators import vectors as vec
 from ledgerlens.operators.sequences import carried
-from ledgerlens.session import cut_lineage
+from ledgerlens.session import cut_lineage, written
 
 TOP_DEFAULT = 5
 #: Chunks of a shard of the text index.
@@ -214,9 +214,13 @@ def search(index: TextIndex, queries: DataFrame, vectors: DataFrame | None, top:
 
 
 def value_index(values: DataFrame) -> DataFrame:
-    """Distinct values with their normal forms of two characters or more."""
+    """Distinct values with their normal forms of two characters or more.
+
+    They stay in as many slices as the session shuffles into: a value is short, but its pieces are many, so slices joined by their bytes would leave the lookups to few tasks.
+    """
     norm = values.where("value is not null").select("table_name", "column_name", "value", normal_text(F.col("value")).alias("normal"))
-    return norm.where(F.length("normal") >= 2).distinct()
+    slices = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return norm.where(F.length("normal") >= 2).repartition(slices, *norm.columns).distinct()
 
 
 def _pieces(text: str, n: int) -> Column:
@@ -226,7 +230,11 @@ def _pieces(text: str, n: int) -> Column:
 
 def _rarest(holders: DataFrame, text: str, others: DataFrame) -> DataFrame:
     """Each different text of ``holders`` with the piece of it that fewest of the ``others`` hold (``piece, df``); texts with a piece that none of them holds fall out."""
-    each = holders.select(text).distinct().withColumn("pieces", _pieces(text, 3))
+    each = holders.select(text).distinct()
+    # the first and the last piece rule most texts out before all pieces of a text are made
+    for end in (F.substring(text, 1, 3), F.substring(text, -3, 3)):
+        each = each.withColumn("_end", end).join(others.select(F.col("piece").alias("_end")), "_end", "left_semi").drop("_end")
+    each = each.withColumn("pieces", _pieces(text, 3))
     each = each.select(text, F.size("pieces").alias("size"), F.explode("pieces").alias("piece"))
     kept = each.join(others, "piece").groupBy(text).agg(F.min_by("piece", F.struct("df", "piece")).alias("piece"), F.count(F.lit(1)).alias("found"), F.first("size").alias("size"))
     return kept.where("found = size").select(text, "piece")
@@ -241,6 +249,7 @@ def lookup_values(index: DataFrame, literals: DataFrame, most: int | None = None
     values are summed from the column's counts of each shingle, so that no literal meets single values for it.
     """
     lits = literals.select(F.col("literal"), normal_text(F.col("literal")).alias("lit")).where(F.length("lit") >= 2).distinct()
+    lits = written(lits, "literals")
     held = index.select("table_name", "column_name", "value", "normal", F.explode(_pieces("normal", 3)).alias("piece"))
     asked = lits.select("literal", "lit", F.explode(_pieces("lit", 3)).alias("piece"))
     counts = cut_lineage(held.groupBy("table_name", "column_name", "piece").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("sample")))
@@ -284,12 +293,14 @@ def mention_spans(questions: DataFrame, key: str, text: str, most: int | None =
 
 def link_mentions(spans: DataFrame, key: str, index: DataFrame, columns: int = LINK_COLUMNS, most: int | None = None) -> DataFrame:
     """Spans with the columns they may mean: linked when there are at most two, else ambiguous. ``most``: near columns of a span."""
+    spans = written(spans, "spans")  # texts are searched once
     literals = spans.select(F.col("span").alias("literal")).distinct()
     hits = lookup_values(index, literals, most)
     per_column = hits.groupBy("literal", "table_name", "column_name", "match").agg(F.min("sample").alias("sample"))
     counted = per_column.groupBy("literal").agg(F.count_distinct("table_name", "column_name").alias("n"))
-    j = spans.join(per_column.withColumnRenamed("literal", "span"), "span").join(counted.withColumnRenamed("literal", "span"), "span")
-    return j.select(key, "span", "table_name", "column_name", "sample", "match", F.when(F.col("n") <= columns, "linked").otherwise("ambiguous").alias("status"))
+    # a written table: Spark knows its size, so that spans of all questions stay where they are while it is small
+    links = written(per_column.join(counted, "literal").withColumnRenamed("literal", "span"), "links")
+    return spans.join(links, "span").select(key, "span", "table_name", "column_name", "sample", "match", F.when(F.col("n") <= columns, "linked").otherwise("ambiguous").alias("status"))
 
 
 def _bounded(text: Column, term: str) -> Column:

@@ -307,3 +307,17 @@ def test_a_run_that_goes_on_is_not_silent(spark, tmp_path):
     assert go([(9, "STEP", 90, "2024-01-01 01:30:00")]) == []  # an hour after the result, not after the run's last event
     assert go([(9, "STEP", 91, "2024-01-01 01:55:00")]) == [(1, 10, "timeout")]
     assert go([(1, "RESULT", 12, "2024-01-01 02:00:00")], [(9, "STEP", 92, "2024-01-01 04:00:00")]) == [(1, 10, "timeout"), (1, 12, "timeout")]
+
+
+def test_mentions_of_many_questions_stay_where_they_are(spark):
+    """Values lie in the session's slices, not in few by their bytes, and spans meet their small table of links without a shuffle."""
+    words = ["Asia", "large ring", "ECONOMY", "Customer#000000001", "in"]
+    index = r.value_index(spark.createDataFrame([("t", f"c{i % 2}", w) for i, w in enumerate(words)], "table_name string, column_name string, value string"))
+    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert index.rdd.getNumPartitions() == slices
+    asked = spark.createDataFrame([(i, f'show large in "{w}"') for i, w in enumerate(["Asia", "economy", "nothing"])], "id int, q string")
+    out = r.link_mentions(r.mention_spans(asked, "id", "q"), "id", index)
+    assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(x.id, x["span"], x["sample"]) for x in out.where("match = 'exact'").collect()}
+    found = {(0, "Asia", "Asia"), (1, "economy", "ECONOMY"), (2, "nothing", "in")}
+    assert got == found | {(i, "large", "large ring") for i in range(3)} | {(i, "in", w) for i in range(3) for w in ("in", "large ring")}
