@@ -7,6 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from ledgerlens.session import cut_lineage, written
 TOP_DEFAULT = 5
 #: Chunks of a shard of the text index.
 SHARD_CHUNKS = 1024
+#: Hash slots of asked terms: so many numbers at most go to all tasks.
+TERM_SLOTS = 1 << 18
 K1, B = 1.2, 0.75
 LINK_COLUMNS = 2
 
@@ -43,75 +46,85 @@ def chunk_documents(documents: DataFrame, key: str, text: str, size: int = tx.CH
 
 @dataclass(frozen=True)
 class TextIndex:
-    """Chunks with their counted words, and postings in blocks; both written tables."""
+    """Chunks with their lengths, and postings in blocks; both parts of one written table, see :func:`counted_chunks`."""
 
-    #: doc_id, chunk_index, length, terms (array of term and tf)
+    #: shard, chunks (array of doc_id, chunk_index, length)
     counted: DataFrame
-    #: shard, term, n, max_tf, min_length, postings (array of doc_id, chunk_index, tf, length)
+    #: shard, term, n, max_tf, min_length, postings (array of places among the shard's chunks), tf (array)
     blocks: DataFrame
 
 
-def counted_chunks(chunks: DataFrame) -> DataFrame:
-    """Each chunk with its words counted inside the chunk: no word leaves it uncounted."""
+def counted_chunks(chunks: DataFrame, shard_chunks: int = SHARD_CHUNKS) -> DataFrame:
+    """Chunks with their words counted inside the chunk, shard by shard; written as a table it is the whole text index.
 
-    def count(batches):
+    A shard is the next ``shard_chunks`` chunks that a task reads. Its words are counted and put in the order of the terms where they are read, so that no text, word or count is
+    shuffled, nor written before it is a posting. Rows: shard, term, n, max_tf, min_length, postings, tf, chunks. A row for each term of a shard holds the places of the chunks
+    with that term and its counts there; a row without a term lists the chunks of the shard. The numbers of shards are those of one run: write the rows before they are read twice.
+    """
+    kind = chunks.schema["doc_id"].dataType.simpleString()
+
+    def blocks_of(shard: int, pieces: list[pa.RecordBatch]):
+        part = pa.Table.from_batches(pieces).combine_chunks()
+        words = part.column("words").combine_chunks()
+        length = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int32)
+        coded = words.flatten().dictionary_encode()
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        at = np.empty(len(order), np.int64)
+        at[order] = np.arange(len(order))
+        code = at[coded.indices.to_numpy(zero_copy_only=False)]
+        cells, tf = np.unique(code * len(length) + np.repeat(np.arange(len(length)), length), return_counts=True)
+        place, tf = (cells % len(length)).astype(np.int32), tf.astype(np.int32)
+        begin = np.searchsorted(cells, np.arange(len(order) + 1) * len(length)).astype(np.int32)
+        some = len(order) > 0
+        each = [
+            pa.array(np.diff(begin).astype(np.int64)),
+            pa.array(np.maximum.reduceat(tf, begin[:-1]) if some else tf),
+            pa.array(np.minimum.reduceat(length[place], begin[:-1]) if some else tf),
+            *(pa.ListArray.from_arrays(pa.array(begin), pa.array(x)) for x in (place, tf)),
+        ]
+        held = pa.StructArray.from_arrays([part.column("doc_id").combine_chunks(), part.column("chunk_index").combine_chunks(), pa.array(length)], names=["doc_id", "chunk_index", "length"])
+        held = pa.ListArray.from_arrays(pa.array([0, len(length)], pa.int32()), held)
+        names = ["shard", "term", "n", "max_tf", "min_length", "postings", "tf", "chunks"]
+        number = pa.array([shard], pa.int64())
+        yield pa.RecordBatch.from_arrays([number, pa.nulls(1, coded.dictionary.type), *(pa.nulls(1, x.type) for x in each), held], names=names)
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.repeat(number[0], len(order)), coded.dictionary.take(pa.array(order)), *each, pa.nulls(len(order), held.type)], names=names)
+
+    def run(batches):
+        shard, pieces, n = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
-            words = batch.column("words")
-            length = words.value_lengths().to_numpy(zero_copy_only=False)
-            coded = words.flatten().dictionary_encode()
-            row = np.repeat(np.arange(len(length)), length)
-            kinds = max(1, len(coded.dictionary))
-            cells, tf = np.unique(row * kinds + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
-            pairs = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(cells % kinds)), pa.array(tf.astype(np.int32))], names=["term", "tf"])
-            ends = np.searchsorted(cells // kinds, np.arange(len(length) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("chunk_index"), pa.array(length.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pairs)],
-                names=["doc_id", "chunk_index", "length", "terms"],
-            )
+            while batch.num_rows:
+                pieces.append(batch.slice(0, shard_chunks - n))
+                n, batch = n + pieces[-1].num_rows, batch.slice(shard_chunks - n)
+                if n == shard_chunks:
+                    yield from blocks_of(shard, pieces)
+                    shard, pieces, n = shard + 1, [], 0
+        if pieces:
+            yield from blocks_of(shard, pieces)
 
     words = chunks.select("doc_id", "chunk_index", F.coalesce(tx.index_words(F.col("content")), F.array().cast("array<string>")).alias("words"))
-    return words.mapInArrow(count, f"doc_id {chunks.schema['doc_id'].dataType.simpleString()}, chunk_index int, length int, terms array<struct<term: string, tf: int>>")
+    held = f"array<struct<doc_id: {kind}, chunk_index: int, length: int>>"
+    return words.mapInArrow(run, f"shard bigint, term string, n bigint, max_tf int, min_length int, postings array<int>, tf array<int>, chunks {held}")
 
 
-def posting_blocks(counted: DataFrame, shard_chunks: int = SHARD_CHUNKS) -> DataFrame:
-    """Postings in blocks: one block for each term of a shard of about ``shard_chunks`` chunks.
+def chunk_lists(counted: DataFrame) -> DataFrame:
+    """The chunks of each shard in the order that postings count them."""
+    return counted.where("term IS NULL").select("shard", "chunks")
 
-    A term that all chunks hold has as many blocks as there are shards, none longer than a shard. The chunks of a shard meet whole, and their postings are made where
-    they meet. A block knows its greatest count and its shortest chunk, which bound the weight of all its postings.
-    """
-    shards = F.greatest(F.lit(1), F.ceil(counted.agg(F.count(F.lit(1)).alias("n")).scalar() / shard_chunks)).cast("int")
-    shard = F.pmod(F.xxhash64("doc_id", "chunk_index"), shards).cast("int")
-
-    def invert(chunks: pa.Table) -> pa.Table:
-        chunks = chunks.combine_chunks()
-        terms = chunks.column("terms").combine_chunks()
-        size = terms.value_lengths().to_numpy(zero_copy_only=False)
-        pairs = terms.flatten()
-        coded = pairs.field("term").dictionary_encode()
-        code = coded.indices.to_numpy(zero_copy_only=False)
-        order = np.argsort(code, kind="stable")
-        row = pa.array(np.repeat(np.arange(len(size)), size)[order])
-        tf, length = pairs.field("tf").take(pa.array(order)), chunks.column("length").combine_chunks().take(row)
-        held = [chunks.column(c).combine_chunks().take(row) for c in ("doc_id", "chunk_index")]
-        begin = np.searchsorted(code[order], np.arange(len(coded.dictionary) + 1)).astype(np.int32)
-        postings = pa.ListArray.from_arrays(pa.array(begin), pa.StructArray.from_arrays([*held, tf, length], names=["doc_id", "chunk_index", "tf", "length"]))
-        kinds, some = len(coded.dictionary), len(order) > 0
-        best = np.maximum.reduceat(tf.to_numpy(zero_copy_only=False), begin[:-1]) if some else np.empty(0, np.int32)
-        least = np.minimum.reduceat(length.to_numpy(zero_copy_only=False), begin[:-1]) if some else np.empty(0, np.int32)
-        return pa.table(
-            [pa.repeat(chunks.column("shard")[0], kinds), coded.dictionary, pa.array(np.diff(begin).astype(np.int64)), pa.array(best), pa.array(least), postings],
-            names=["shard", "term", "n", "max_tf", "min_length", "postings"],
-        )
 
-    posting = f"struct<doc_id: {counted.schema['doc_id'].dataType.simpleString()}, chunk_index: int, tf: int, length: int>"
-    rows = counted.select(shard.alias("shard"), "doc_id", "chunk_index", "length", "terms")
-    return rows.groupBy("shard").applyInArrow(invert, f"shard int, term string, n bigint, max_tf int, min_length int, postings array<{posting}>")
+def posting_blocks(counted: DataFrame) -> DataFrame:
+    """Postings in blocks: one block for each term of a shard.
+
+    A term that all chunks hold has as many blocks as there are shards, none longer than a shard. A block knows its greatest count and its shortest chunk, which bound
+    the weight of all its postings.
+    """
+    return counted.where("term IS NOT NULL").select("shard", "term", "n", "max_tf", "min_length", "postings", "tf")
 
 
 def text_index(chunks: DataFrame, shard_chunks: int = SHARD_CHUNKS) -> TextIndex:
-    """An index of chunks in the session's checkpoint folder."""
-    counted = cut_lineage(counted_chunks(chunks))
-    return TextIndex(counted, cut_lineage(posting_blocks(counted, shard_chunks)))
+    """An index of chunks in the shared folder."""
+    counted = written(counted_chunks(chunks, shard_chunks), "text-index")
+    return TextIndex(chunk_lists(counted), posting_blocks(counted))
 
 
 def _shard_scores(top: int | None):
@@ -125,30 +138,34 @@ def _shard_scores(top: int | None):
         place[order] = np.arange(len(order))
         return coded.dictionary.take(pa.array(order)), place[coded.indices.to_numpy(zero_copy_only=False)]
 
-    def score(blocks: pa.Table) -> pa.Table:
+    def score(rows: pa.Table) -> pa.Table:
+        listed = rows.filter(rows.column("chunks").is_valid())
+        chunks = listed.column("chunks").combine_chunks().flatten()
+        chunks = pa.table([chunks.field(c) for c in ("doc_id", "chunk_index", "length")], names=["doc_id", "chunk_index", "length"])
+        # chunks in the order of doc_id, chunk_index
+        order = pc.sort_indices(chunks, sort_keys=[("doc_id", "ascending"), ("chunk_index", "ascending")], null_placement="at_start").to_numpy()
+        chunk_at = np.empty(len(order), np.int64)
+        chunk_at[order] = np.arange(len(order))
+        blocks = rows.filter(rows.column("postings").is_valid())
+        each, found, sums = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+        place, tf = (blocks.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("postings", "tf"))
         lists = [blocks.column(c).combine_chunks() for c in ("postings", "asked")]
-        p, q = (x.flatten() for x in lists)
         ends, stops = (np.cumsum(x.value_lengths().to_numpy(zero_copy_only=False)) for x in lists)
-        tf, length = (p.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("tf", "length"))
-        weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / blocks.column("avg")[0].as_py()))
-        # places of chunks in the order of doc_id, chunk_index
-        docs, doc_at = in_order(p.field("doc_id"))
-        places = p.field("chunk_index").to_numpy(zero_copy_only=False).astype(np.int64)
-        width = places.max(initial=0) + 1
-        chunks, chunk_at = np.unique(doc_at * width + places, return_inverse=True)
-        asked, query_at = in_order(q.field("query_id"))
-        idf = q.field("idf").to_numpy(zero_copy_only=False)
+        length = chunks.column("length").to_numpy()[place]
+        weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / (listed.column("avg")[0].as_py() or 1.0)))
+        place = chunk_at[place]
+        asked, query_at = in_order(lists[1].flatten())
+        idf = blocks.column("idf").to_numpy()
         block_of = np.repeat(np.arange(len(stops)), np.diff(stops, prepend=0))
-        order = np.argsort(query_at, kind="stable")
+        by_query = np.argsort(query_at, kind="stable")
         begin = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-        each, found, sums = [], [], []
-        cell = np.zeros(len(chunks))
-        for run in np.split(order, np.flatnonzero(np.diff(query_at[order])) + 1):
+        cell = np.zeros(len(order))
+        for run in np.split(by_query, np.flatnonzero(np.diff(query_at[by_query])) + 1) if len(by_query) else []:
             cell[:] = 0
-            for i in run:
-                span = slice(begin[block_of[i]], ends[block_of[i]])
+            for i in block_of[run]:
+                span = slice(begin[i], ends[i])
                 # a chunk stands in a block once
-                cell[chunk_at[span]] += idf[i] * weight[span]
+                cell[place[span]] += idf[i] * weight[span]
             held = np.flatnonzero(cell)
             relevance = np.rint(cell[held] * 1e9)
             if top is not None and len(held) > top:
@@ -158,37 +175,49 @@ def _shard_scores(top: int | None):
             each.append(np.full(len(held), query_at[run[0]]))
             found.append(held)
             sums.append(relevance / 1e9)
-        hit = chunks[np.concatenate(found)]
+        hit = chunks.take(pa.array(order[np.concatenate(found)]))
         return pa.table(
-            [asked.take(pa.array(np.concatenate(each))), docs.take(pa.array(hit // width)), pa.array((hit % width).astype(np.int32)), pa.array(np.concatenate(sums))],
+            [asked.take(pa.array(np.concatenate(each))), hit.column("doc_id"), hit.column("chunk_index"), pa.array(np.concatenate(sums))],
             names=["query_id", "doc_id", "chunk_index", "relevance"],
         )
 
     return score
 
 
+def _may_be_asked(blocks: DataFrame, asked: DataFrame) -> DataFrame:
+    """Blocks of all asked terms, and of some others that share a hash slot with one: the rest is left out before a join by term could shuffle it."""
+    slot = F.pmod(F.xxhash64("term"), F.lit(TERM_SLOTS)).alias("slot")
+    # at most TERM_SLOTS numbers, however many terms are asked for
+    return blocks.select("*", slot).join(F.broadcast(asked.select(slot).distinct()), "slot", "left_semi").drop("slot")
+
+
 def bm25(index: TextIndex, queries: DataFrame, top: int | None = TOP_DEFAULT) -> DataFrame:
     """The best ``top`` chunks per query for any of its terms: score ``1 / (1 + bm25)`` of the index, as users see it.
 
-    ``queries(query_id, query)``; all terms of a query count. A term's blocks get the queries that ask for it, blocks meet by shard, and a shard of about 1,024 chunks
-    sums its postings for one query after the other: postings are sent once, however many queries ask for them, and no row is made for a query and a posting.
-    With ``top`` a shard hands on the best of each query only; they are ranked among all shards.
+    ``queries(query_id, query)``; all terms of a query count. A term's blocks get the queries that ask for it, blocks meet by shard with the shard's chunks, and a shard of
+    1,024 chunks sums its postings for one query after the other: postings of asked terms are sent once, however many queries ask for them, each as a place and a count, and no
+    row is made for a query and a posting. With ``top`` a shard hands on the best of each query only; they are ranked among all shards.
     With ``top=None`` all chunks that hold a term come back and no rank is given, so that no query's hits are sorted in one task.
     Rows: query_id, rank (with ``top``), doc_id, chunk_index, relevance, score.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tx.query_terms(F.col("query")))).alias("term"))
-    size = index.counted.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg")).alias("s")).scalar()
-    spread = index.blocks.select("term", "n").join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
+    words = F.aggregate(F.col("chunks.length"), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    size = index.counted.agg(F.struct(F.sum(F.size("chunks")).alias("n"), (F.sum(words) / F.sum(F.size("chunks"))).alias("avg")).alias("s")).scalar()
+    spread = _may_be_asked(index.blocks.select("term", "n"), asked).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
     n, avg = size.getField("n"), size.getField("avg")
     idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    each = asked.join(spread, "term").select("term", F.struct("query_id", idf.alias("idf")).alias("asked"))
-    askers = cut_lineage(each.groupBy("term").agg(F.array_sort(F.collect_list("asked")).alias("asked")))
+    # nulls are ids too: collect_list would leave them out
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("query_id"))), lambda q: q.getField("query_id"))
+    each = asked.groupBy("term").agg(ids.alias("asked")).join(spread, "term").select("term", idf.alias("idf"), "asked")
+    # a written table: Spark knows its size, so that it goes to the blocks while it is small
+    askers = written(each, "askers")
 
     top = None if top is None else max(1, top)
-    blocks = index.blocks.select("shard", "term", "postings").join(askers, "term").select("shard", "postings", "asked", avg.alias("avg"))
-    kinds = {"query_id": asked.schema["query_id"].dataType, "doc_id": index.counted.schema["doc_id"].dataType}
-    rows = ", ".join(f"{k} {v.simpleString()}" for k, v in kinds.items())
-    hits = blocks.groupBy("shard").applyInArrow(_shard_scores(top), f"{rows}, chunk_index int, relevance double").withColumn("score", 1 / (1 + F.abs("relevance")))
+    blocks = _may_be_asked(index.blocks.select("shard", "term", "postings", "tf"), asked).join(askers, "term").drop("term")
+    rows = blocks.unionByName(index.counted.withColumn("avg", avg), allowMissingColumns=True)
+    kinds = {"query_id": asked.schema["query_id"].dataType, "doc_id": index.counted.schema["chunks"].dataType.elementType["doc_id"].dataType}
+    given = ", ".join(f"{k} {v.simpleString()}" for k, v in kinds.items())
+    hits = rows.groupBy("shard").applyInArrow(_shard_scores(top), f"{given}, chunk_index int, relevance double").withColumn("score", 1 / (1 + F.abs("relevance")))
     if top is None:
         return hits
     order = W.partitionBy("query_id").orderBy(F.col("relevance").desc(), "doc_id", "chunk_index")

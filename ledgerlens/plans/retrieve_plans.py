@@ -22,12 +22,13 @@ CHUNKS = r"""pars AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDE
   ch AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY grp, s) - 1)::INTEGER AS chunk_index, content FROM sl)"""
 
 
-def chunks(t):
-    def build(t):
-        docs = t.documents.select("doc_id", F.regexp_replace("text", r"\.\n", ".\n\n").alias("text"))
-        return r.chunk_documents(docs, "doc_id", "text")
+def chunked(t):
+    docs = t.documents.select("doc_id", F.regexp_replace("text", r"\.\n", ".\n\n").alias("text"))
+    return r.chunk_documents(docs, "doc_id", "text")
+
 
-    return stored(t, "chunks", build)
+def chunks(t):
+    return stored(t, "chunks", chunked)
 
 
 @query("T01_chunking", f"WITH RECURSIVE {CHUNKS} SELECT doc_id, chunk_index, length(content)::INTEGER AS size, md5(content) AS digest FROM ch")
@@ -47,9 +48,9 @@ BM25 = rf"""WITH RECURSIVE {CHUNKS},
 
 
 def text_index(t):
-    """The stored index over all chunks."""
-    counted = stored(t, "counted-chunks", lambda t: r.counted_chunks(chunks(t)))
-    return r.TextIndex(counted, stored(t, "posting-blocks", lambda t: r.posting_blocks(counted)))
+    """The stored index over all chunks; their texts are not written a second time."""
+    counted = stored(t, "counted-chunks", lambda t: r.counted_chunks(chunked(t)))
+    return r.TextIndex(r.chunk_lists(counted), r.posting_blocks(counted))
 
 
 def questions(t):

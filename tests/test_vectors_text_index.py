@@ -161,3 +161,45 @@ def test_scores_of_a_shard_make_no_row_a_posting(spark):
     assert [(h.query_id, h.doc_id) for h in best if h.query_id == 1] == [(1, 1), (1, 3), (1, 5)] and len({h.relevance for h in best if h.query_id == 1}) == 1
     the = index.blocks.where("term = 'the'").agg(F.sum("n"), F.max("max_tf"), F.min("min_length"), F.sum(F.size("postings"))).first()
     assert tuple(the) == (200, 2, 3, 200)
+
+
+def test_index_is_all_that_is_written_of_the_texts(spark, tmp_path):
+    """T04 filled the disk: chunks, counted words and postings were written one after the other and shuffled twice with their ids."""
+    import os
+    from pathlib import Path
+
+    from ledgerlens.plans import retrieve_plans as plans
+    from ledgerlens.plans.registry import Tables
+    from ledgerlens.session import shared_dir
+
+    source = "/root/testdata/sf0.01"
+    for table in ("documents", "benchmark", "embeddings"):
+        os.symlink(f"{source}/{table}.parquet", tmp_path / f"{table}.parquet")  # a folder that has no index yet
+    held = lambda: sum(p.stat().st_size for p in Path(shared_dir(spark).removeprefix("file:")).rglob("*") if p.is_file())
+    t, before = Tables(spark, str(tmp_path)), held()
+    found = plans.t04(t)
+    assert found.count() == Tables(spark, source).benchmark.count() * 3 + 3 * t.embeddings.select("label").distinct().count()
+    assert held() - before < 1.5 * os.path.getsize(f"{source}/documents.parquet")
+    index = plans.text_index(t)
+    assert index.blocks.schema["postings"].dataType.elementType.typeName() == "integer"  # a posting is a place, its ids are listed once
+    assert "Exchange" not in r.counted_chunks(plans.chunked(t))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shards_go_on_over_batches(spark):
+    """Shards of seven chunks from batches of three; ids are texts, one is null, and so is a text."""
+    words = ["the", "fox", "red", "dog", "ab"]
+    chunks = [(f"d{d:02}" if d else None, c, " ".join(rng.choice(words, rng.integers(1, 9))) if d != 5 else None) for d in range(20) for c in range(2)]
+    asked = spark.createDataFrame([("a", "the fox"), (None, "dog"), ("b", "red the ab")], "query_id string, query string")
+    table = spark.createDataFrame(chunks, "doc_id string, chunk_index int, content string").coalesce(1)
+    want = rows(r.bm25(r.text_index(table), asked, None))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        index = r.text_index(table, 7)
+        assert sorted(len(x.chunks) for x in index.counted.collect()) == [5, 7, 7, 7, 7, 7]
+        assert index.blocks.agg(F.max("n")).first()[0] <= 7 and rows(r.bm25(index, asked, None)) == want
+        terms = asked.select(F.explode(F.split("query", " ")).alias("term")).where("term in ('dog', 'ab')")
+        assert {x.term for x in r._may_be_asked(index.blocks, terms).collect()} == {"dog", "ab"}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
